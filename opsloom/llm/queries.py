@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup, near_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_near_dedup": near_dedup.op1_near_dedup,
+        "op8_decontamination": decontaminate.op8_decontamination,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_near_dedup": near_dedup.ORACLE_SQL,
+        "op8_decontamination": decontaminate.ORACLE_SQL,
         "op10_exact_dedup": exact_dedup.ORACLE_SQL,
     }
