@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, near_dedup, substring_dedup
+from . import decontaminate, exact_dedup, near_dedup, substring_dedup, url_rules
 
 
 def queries() -> dict:
     return {
         "op1_near_dedup": near_dedup.op1_near_dedup,
+        "op6_url_filters": url_rules.op6_url_filters,
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
@@ -17,6 +18,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_near_dedup": near_dedup.ORACLE_SQL,
+        "op6_url_filters": url_rules.ORACLE_SQL,
         "op8_decontamination": decontaminate.ORACLE_SQL,
         "op9_substring_dedup": substring_dedup.ORACLE_SQL,
         "op10_exact_dedup": exact_dedup.ORACLE_SQL,
