@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, near_dedup, substring_dedup, url_rules
+from . import decontaminate, exact_dedup, near_dedup, secret_markov, substring_dedup, url_rules
 
 
 def queries() -> dict:
     return {
         "op1_near_dedup": near_dedup.op1_near_dedup,
+        "op4_secret_scans": secret_markov.op4_secret_scans,
         "op6_url_filters": url_rules.op6_url_filters,
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
