@@ -59,12 +59,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_text"))
     rows = rows.withColumn("_digest", F.sha2("_text", 256))
     hot = _frequent(docs, text_col, ranges, seed)
-    salt = F.pmod(F.xxhash64("_id"), F.lit(2 * ranges)).cast("int")
-    rows = rows.withColumn("_salt", F.when(F.col("_digest").isin(hot), salt).otherwise(0) if hot else F.lit(0))
+    order = ["_digest"]
+    if hot:
+        salt = F.pmod(F.xxhash64("_id"), F.lit(2 * ranges)).cast("int")
+        rows = rows.withColumn("_salt", F.when(F.col("_digest").isin(hot), salt).otherwise(0))
+        order.append("_salt")
     rows = rows.withColumn("_head", F.substring("_text", 1, SPLIT_CHARS))
     # The range exchange satisfies the window's distribution: equal texts meet after one shuffle, sorted by content.
-    run = Window.partitionBy("_head", "_digest", "_salt", "_text")
-    found = rows.repartitionByRange("_head", "_digest", "_salt").select(
+    run = Window.partitionBy("_head", *order, "_text")
+    found = rows.repartitionByRange("_head", *order).select(
         "_id", "_digest", F.min("_id").over(run).alias("_keep"), F.count(F.lit(1)).over(run).alias("_size")
     )
     if hot:

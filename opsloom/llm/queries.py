@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, near_dedup, secret_markov, substring_dedup, url_rules
+from . import decontaminate, exact_dedup, language_mix, near_dedup, quality_knn, secret_markov, substring_dedup, url_rules
 
 
 def queries() -> dict:
     return {
         "op1_near_dedup": near_dedup.op1_near_dedup,
+        "op2_quality_classifier": quality_knn.op2_quality_classifier,
+        "op3_language_id": language_mix.op3_language_id,
         "op4_secret_scans": secret_markov.op4_secret_scans,
         "op6_url_filters": url_rules.op6_url_filters,
         "op8_decontamination": decontaminate.op8_decontamination,
