@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shuffle_partitions, table
+from .shared import table
 from .textarrow import SPACED, Block, mix, ngrams, spread, text_blocks, words
 
 U = np.uint64
 WINDOW = 20
 #: Bytes of text in a shard of the first level.
 SHARD_BYTES = 4 << 20
-#: Buckets of hashes, and of documents, for each shuffle partition.
-BUCKETS = 8
+#: Bytes of text for which there is a bucket of hashes, and one of documents: what a task holds at once.
+BUCKET_BYTES = 2 << 20
 
 _ENTRIES = "bucket int, settled boolean, hashes binary, docs binary, places binary"
 _VERDICTS = "shard int, docs binary, places binary"
@@ -225,9 +225,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = window // 2
     if base * 2 != window:
         raise ValueError("window must be even")
-    buckets = BUCKETS * shuffle_partitions(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    buckets = 1 + size // BUCKET_BYTES
     # The same number as _shard_of.
     texts = docs.withColumn("shard", F.pmod(F.col("doc_id").bitwiseXOR(F.shiftright("doc_id", 16)), F.lit(buckets)).cast("int"))
     judge = lambda rows, keep_first: rows.groupBy("bucket").applyInArrow(_judge(buckets, keep_first), _VERDICTS)
