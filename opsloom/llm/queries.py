@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_mix, near_dedup, quality_knn, secret_markov, substring_dedup, toxicity_cnn, url_rules
+from . import decontaminate, exact_dedup, language_mix, near_dedup, quality_knn, secret_markov, sentence_sampling, substring_dedup, toxicity_cnn, url_rules
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_secret_scans": secret_markov.op4_secret_scans,
         "op5_toxicity": toxicity_cnn.op5_toxicity,
         "op6_url_filters": url_rules.op6_url_filters,
+        "op7_sentencepiece": sentence_sampling.op7_sentencepiece,
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
