@@ -185,7 +185,7 @@ def new_patterns(spark, sf_dir):
     return incidents.new_templates(from_events(spark, sf_dir), START + 5 * MINUTE)
 
 
-@query(f"WITH {OBS}, l AS (SELECT host, arg_max(environment, us * 1000 + seq % 1000) AS environment, arg_max(value, us * 1000 + seq % 1000) AS value FROM o GROUP BY 1) SELECT host, 'cpu' AS metric, value, CASE WHEN host = 'prd-app-03' THEN 'host' ELSE 'pool' END AS scope, CASE WHEN host = 'prd-app-03' THEN 5.0 ELSE 50.0 END AS warn, CASE WHEN host = 'prd-app-03' THEN 10.0 ELSE 100.0 END AS crit, CASE WHEN value >= CASE WHEN host = 'prd-app-03' THEN 10.0 ELSE 100.0 END THEN 'crit' WHEN value >= CASE WHEN host = 'prd-app-03' THEN 5.0 ELSE 50.0 END THEN 'warn' ELSE 'ok' END AS state FROM l")
+@query(f"WITH {OBS}, l AS (SELECT host, arg_max(environment, us * 1000 + seq % 1000) AS environment, arg_max(value, us * 1000 + seq % 1000) AS value FROM o GROUP BY 1) SELECT host, 'cpu' AS metric, value, CASE WHEN host = 'prd-app-03' THEN 'host' ELSE 'pool' END AS scope, CASE WHEN host = 'prd-app-03' THEN 5e0 ELSE 50e0 END AS warn, CASE WHEN host = 'prd-app-03' THEN 10e0 ELSE 100e0 END AS crit, CASE WHEN value >= CASE WHEN host = 'prd-app-03' THEN 10e0 ELSE 100e0 END THEN 'crit' WHEN value >= CASE WHEN host = 'prd-app-03' THEN 5e0 ELSE 50e0 END THEN 'warn' ELSE 'ok' END AS state FROM l")
 def threshold_breaches(spark, sf_dir):
     """The latest value of each host under the policy that applies to it."""
     rules = spark.createDataFrame([("host", "prd-app-03", "cpu", 5.0, 10.0, 1), ("pool", "prd-app", "cpu", 40.0, 90.0, 2), ("pool", "prd-app", "cpu", 50.0, 100.0, 3), ("all", "*", "cpu", 1.0, 2.0, 4)], "scope string, target string, metric string, warn double, crit double, id int")
