@@ -168,7 +168,7 @@ def scrub(text: Column) -> Column:
 
     def card(x: Column) -> Column:
         d = F.regexp_replace(x, r"\D", "")
-        return F.when(F.length(d).between(13, 19) & F.luhn_check(d), "[KART]").when((F.length(d) == 11) & _citizen(d), "[TCKN]").otherwise(x)
+        return F.when(F.length(d).between(13, 19) & F.call_function("luhn_check", d), "[KART]").when((F.length(d) == 11) & _citizen(d), "[TCKN]").otherwise(x)
 
     kept, hits = F.split(t, runs, -1), F.regexp_extract_all(t, F.lit(runs), 0)
     return F.array_join(F.zip_with(kept, F.transform(hits, card), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
