@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import stats, text
+from ..functions import stats
+
+#: Vectors, and queries, that a task of the similarity search holds at once, on average.
+VECTOR_BLOCK, QUERY_BLOCK = 8192, 512
 
 
 def red(spans: DataFrame, keys: list[str], target_ms: float = 300) -> DataFrame:
@@ -72,8 +77,48 @@ def flow_edges(flows: DataFrame) -> DataFrame:
     return flows.groupBy("src", "dst").agg(F.count("*").alias("connections"), F.countDistinct("party").alias("parties"), F.max("t").alias("last_t"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The `k` vectors of largest cosine for each query (query_id, q); ties: smaller id. `queries` is a stated, small set."""
-    scored = vectors.join(F.broadcast(queries)).where("vec_id <> query_id").select("query_id", "vec_id", F.round(text.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
+def _best(k: int):
+    """The `k` best vectors for each query of a block among one block of vectors."""
+
+    def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+        rows = [np.zeros(width) if x is None else np.array(x, np.float64) for x in column.to_pylist()]
+        return np.stack(rows) if rows else np.zeros((0, width))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        width = max((len(x) for c in (left.column("embedding"), right.column("q")) for x in c.to_pylist() if x is not None), default=0)
+        v, q = matrix(left.column("embedding"), width), matrix(right.column("q"), width)
+        ids, asked = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy()
+        out = []
+        if len(ids) and len(asked):
+            size = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((v * v).sum(1))[None, :]
+            cosine = np.round(np.divide(q @ v.T, size, out=np.zeros(size.shape), where=size > 0), 6)
+            for a, row in zip(asked, cosine, strict=True):
+                others = np.flatnonzero(ids != a)
+                if len(others) > k:
+                    others = others[row[others] >= np.partition(row[others], len(others) - k)[len(others) - k]]
+                others = others[np.lexsort((ids[others], -row[others]))[:k]]
+                out.append((np.full(len(others), a), ids[others], row[others]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "cosine": pa.array(columns[2], pa.float64())})
+
+    return run
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, vector_block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """The `k` vectors of largest cosine for each query (query_id, q); ties: smaller id.
+
+    Every query meets every vector: a task scores one block of queries against
+    one block of vectors, both of bounded size, and gives out its best `k` of
+    each query; these are merged by query. Null vectors and those of length 0
+    have cosine 0; rows without an identifier are left out.
+    """
+    v = vectors.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    q = queries.where("query_id IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), "q")
+    blocks = [max(1, -(-df.count() // most)) for df, most in ((v, vector_block), (q, query_block))]
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = v.select("*", own("vec_id", blocks[0]).alias("vb"), every(blocks[1]).alias("qb"))
+    q = q.select("*", own("query_id", blocks[1]).alias("qb"), every(blocks[0]).alias("vb"))
+    scored = v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInArrow(_best(k), "query_id long, vec_id long, cosine double")
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)

@@ -250,6 +250,13 @@ def similar_vectors(spark, sf_dir):
     return traces.nearest(v, v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10)
 
 
+@query("WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) SELECT query_id, vec_id, cosine, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS INT) AS place FROM s QUALIFY place <= 10")
+def nearest_vectors(spark, sf_dir):
+    """The ten nearest vectors to each one whose identifier is divisible by 50, among all."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return traces.nearest(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10)
+
+
 @query("SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
 def inventory_enrichment(spark, sf_dir):
     """Records joined to their inventory; its size is known, and the join's kind is left to the optimizer."""
