@@ -4,9 +4,11 @@ A document's set of five-word shingles gets a signature of 48 b-bit symbols
 (b = 16), cut into 12 chunks of four. By the pigeonhole principle, two
 signatures that differ in at most 23 symbols have a chunk with at most one
 differing symbol; so each chunk is entered once for each of the four symbols
-that may differ, and signatures that meet under such a key are candidates. All
-pairs within that signature distance are found. A pair of similarity 0.75
-differs in 12 symbols on average and meets with a probability of 1 - 2e-7.
+that may differ, and signatures that meet under such a key are candidates,
+however many symbols differ elsewhere. A pair of similarity 0.75 differs in 12
+symbols on average; it meets in a chunk with probability 0.738 (0.75^4 + 4 x
+0.75^3 x 0.25), and in none of the 12 with 1e-7. That search is all that can
+miss a link: what follows looks at the full sets.
 
 Documents with equal sets are one class. Candidates are confirmed on full sets.
 Under a key with few members, all pairs are candidates. Under a crowded one,
@@ -30,8 +32,6 @@ U = np.uint64
 SHINGLE = 5
 CHUNKS, PER_CHUNK = 12, 4
 SYMBOLS = CHUNKS * PER_CHUNK
-#: Most symbols in which the signatures of a candidate may differ. The pigeonhole guarantee holds up to 23; of pairs at similarity 0.75, one in 30,000 differs in more than 24.
-DISTANCE = 24
 #: Members of a key up to which all pairs are candidates at once; beyond it, blocks.
 CROWD = 32
 #: Documents in one block of a crowd.
@@ -102,14 +102,6 @@ def _keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(ids, CHUNKS))], names=["key", "doc_id"])
 
 
-def _close(batches):
-    """Pairs whose signatures differ in at most DISTANCE symbols."""
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for i in (2, 3))
-        near = (a != b).sum(1) <= DISTANCE
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near)), batch.column(1).filter(pa.array(near))], names=["a", "b"])
-
-
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether two sorted sets have a Jaccard similarity of 0.75 or more."""
     if 4 * min(len(x), len(y)) < 3 * max(len(x), len(y)):
@@ -144,29 +136,30 @@ def _crowd_links(key, rows):
     column = lambda n: batch.column(n).combine_chunks() if isinstance(batch.column(n), pa.ChunkedArray) else batch.column(n)
     ids = column("doc_id").to_numpy()
     own = column("block").to_numpy()
-    root = {c: c for c in column("component").to_pylist()}
-    member = column("component").to_pylist()
-    sig = np.frombuffer(b"".join(column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+    member = np.array(column("component").to_pylist(), np.int64)
     sets = shingle_sets(column("text"))
+    size = np.array([len(x) for x in sets])
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
     first, second = key[1].as_py(), key[2].as_py()
 
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
     out = []
+    seen = np.zeros(int(code.max()) + 1, np.int32)
     for i in range(len(ids)):
         if own[i] != first:
             continue
-        others = np.flatnonzero((own == second) & ((first != second) | (np.arange(len(ids)) > i)))
-        apart = (sig[others] != sig[i]).sum(1)
-        near = others[apart <= DISTANCE]
-        for j in near[np.argsort(apart[apart <= DISTANCE], kind="stable")].tolist():
-            p, q = find(member[i]), find(member[j])
-            if p != q and linked(sets[i], sets[j]):
-                root[max(p, q)] = min(p, q)
+        others = (own == second) & (member != member[i]) & (4 * np.minimum(size, size[i]) >= 3 * np.maximum(size, size[i]))
+        if first == second:
+            others[: i + 1] = False
+        if not others.any():
+            continue
+        mine = code[bounds[i] : bounds[i + 1]]
+        seen[mine] = 1
+        both = np.add.reduceat(seen[code], bounds[:-1])
+        seen[mine] = 0
+        for j in np.flatnonzero(others & (100 * both >= 75 * (size + size[i] - both))).tolist():
+            if member[i] != member[j]:
+                member[member == max(member[i], member[j])] = min(member[i], member[j])
                 out.append((ids[i], ids[j]))
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
@@ -187,18 +180,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = durable(sketch(docs))
     sets = made.where("n_shingles > 0")
     classes = durable(sets.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("class_id"), F.min_by("sig", "doc_id").alias("sig")))
-    reps = classes.select(F.col("class_id").alias("doc_id"), "sig").dropDuplicates(["doc_id"])
+    reps = classes.select(F.col("class_id").alias("doc_id"), "sig", "n_shingles").dropDuplicates(["doc_id"])
 
     under = Window.partitionBy("key")
-    keys = reps.mapInArrow(_keys, "key long, doc_id long").repartition(shuffle_partitions(spark), "key")
+    keys = reps.select("doc_id", "sig").mapInArrow(_keys, "key long, doc_id long").repartition(shuffle_partitions(spark), "key")
     met = durable(keys.select("key", "doc_id", F.count("*").over(under).alias("n"), F.min("doc_id").over(under).alias("low")).where("n > 1"))
     star = met.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))
     small = met.where(F.col("n").between(3, CROWD))
     small = small.groupBy("key").agg(F.sort_array(F.collect_list("doc_id")).alias("m"))
     pairs = small.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, CROWD), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
     pairs = pairs.unionByName(star).distinct()
-    sig = lambda n: reps.select(F.col("doc_id").alias(n), F.col("sig").alias(f"sig_{n}"))
-    pairs = durable(pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_close, "a long, b long"))
+    # Linked sets differ in size by a quarter at most, so nothing that the full sets would confirm goes here.
+    sized = lambda n: reps.select(F.col("doc_id").alias(n), F.col("n_shingles").alias(f"n_{n}"))
+    pairs = durable(pairs.join(sized("a"), "a").join(sized("b"), "b").where(4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")).select("a", "b"))
 
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = _wanted(docs, ids)
@@ -210,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = crowded.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("low").alias("centre")).where("lo <> hi")
     members = durable(crowded.join(split, "key").select("key", "doc_id", "component", "centre"))
     if not members.isEmpty():
-        links = links.unionByName(_compare_crowds(docs, reps, members))
+        links = links.unionByName(_compare_crowds(docs, members))
         of = durable(components(links))
 
     named = classes.join(of, classes["class_id"] == of["node"], "left").select("n_shingles", "set_a", "set_b", "class_id", F.coalesce("component", "class_id").alias("component_id"))
@@ -218,7 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def _compare_crowds(docs: DataFrame, reps: DataFrame, members: DataFrame) -> DataFrame:
+def _compare_crowds(docs: DataFrame, members: DataFrame) -> DataFrame:
     """Exact links between components inside crowds, block against block.
 
     Crowded keys that share members make one crowd (components over key centres).
@@ -232,7 +226,7 @@ def _compare_crowds(docs: DataFrame, reps: DataFrame, members: DataFrame) -> Dat
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
     work = dealt.select("crowd", "doc_id", "component", "block", F.explode(meet).alias("m")).select("crowd", "m.x", "m.y", "doc_id", "component", "block")
     texts = _wanted(docs, people.select("doc_id"))
-    full = work.join(reps, "doc_id").join(texts, "doc_id")
+    full = work.join(texts, "doc_id")
     return durable(full.groupBy("crowd", "x", "y").applyInArrow(_crowd_links, "a long, b long"))
 
 
