@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -62,10 +62,10 @@ def signatures(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketch(id_col: str, text_col: str):
+def _sketch(id_col: str, text_col: str, *carried: str):
     def run(batches):
         for batch in batches:
-            ids, text = (batch.column(batch.schema.get_field_index(c)) for c in (id_col, text_col))
+            ids, text, *other = (batch.column(batch.schema.get_field_index(c)) for c in (id_col, text_col, *carried))
             for block in text_blocks(text):
                 grams, bounds = ngrams(words(block, SPACED_LOWER), SHINGLE)
                 sets = [np.unique(grams[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -80,7 +80,7 @@ def _sketch(id_col: str, text_col: str):
                     one[full] = np.add.reduceat(mix(flat), cut[:-1]).view(np.int64)
                     two[full] = np.bitwise_xor.reduceat(mix(flat ^ U(0x5851F42D4C957F2D)), cut[:-1]).view(np.int64)
                 rows = slice(block.first, block.first + len(sets))
-                yield pa.RecordBatch.from_arrays([ids[rows].cast(pa.int64()), pa.array(n), pa.array(one), pa.array(two), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "sig"])
+                yield pa.RecordBatch.from_arrays([ids[rows].cast(pa.int64()), pa.array(n), pa.array(one), pa.array(two), pa.array(sig, pa.binary()), *(c[rows] for c in other)], names=["doc_id", "n_shingles", "set_a", "set_b", "sig", *carried])
 
     return run
 
@@ -121,10 +121,18 @@ def _confirm(batches):
             yield pa.RecordBatch.from_arrays([a.filter(good), b.filter(good)], names=["a", "b"])
 
 
-def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of `docs` (doc_id, text) whose identifiers are in `ids`."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+def _row_key() -> Column:
+    """Digest of the text: with the identifier, the key of a row. Rows that share both are equal and get the same."""
+    return F.xxhash64("text")
+
+
+def _text_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id (the class), text: one text for each row (doc_id, rep_id, rep_hash) of `classes`, whose key is that of its first row."""
+    few = classes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    rows = docs.select(F.col("doc_id").alias("_id"), _row_key().alias("_hash"), "text")
+    found = rows.join(F.broadcast(classes) if few else classes, F.col("_id").eqNullSafe(F.col("rep_id")) & (F.col("_hash") == F.col("rep_hash")))
+    # Rows of the same identifier and text are one row here.
+    return found.groupBy("doc_id").agg(F.any_value("text").alias("text"))
 
 
 def _crowd_links(key, rows):
@@ -171,16 +179,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     than five words is one shingle. Returns doc_id, n_shingles, component_id
     (smallest identifier reachable over links), kept, and class_id (smallest
     identifier with the same set). A null, empty or wordless text has an empty
-    set and is linked with nothing. Rows that share an identifier are returned
-    each. Identifiers are integers and not null. An empty table gives an empty
-    result; other columns are not looked at.
+    set and is linked with nothing. Each row stands for itself: rows that share
+    an identifier are returned each, with the component of their own text, and
+    all kept when theirs is the smallest identifier of it. A null identifier is
+    larger than any other. An empty table gives an empty result; other columns
+    are not looked at.
+    """
+    return _components_by_row(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).drop("row_hash")
+
+
+def _components_by_row(docs: DataFrame) -> DataFrame:
+    """What near_duplicates gives for (doc_id, text), and row_hash, the text's half of the row key.
+
+    Inside, a node is a class of equal sets, under a number of its own that the checkpoint holds.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
-    made = durable(sketch(docs))
+    keyed = docs.withColumn("row_hash", _row_key())
+    made = durable(keyed.mapInArrow(_sketch("doc_id", "text", "row_hash"), "doc_id long, n_shingles long, set_a long, set_b long, sig binary, row_hash long"))
     sets = made.where("n_shingles > 0")
-    classes = durable(sets.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("class_id"), F.min_by("sig", "doc_id").alias("sig")))
-    reps = classes.select(F.col("class_id").alias("doc_id"), "sig", "n_shingles").dropDuplicates(["doc_id"])
+    of_class = sets.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("class_id"), F.first(F.struct("sig", F.col("doc_id").alias("rep_id"), F.col("row_hash").alias("rep_hash"))).alias("rep"))
+    classes = durable(of_class.select("n_shingles", "set_a", "set_b", "class_id", "rep.*", F.monotonically_increasing_id().alias("node")))
+    reps = classes.select(F.col("node").alias("doc_id"), "sig", "n_shingles", "rep_id", "rep_hash")
 
     under = Window.partitionBy("key")
     keys = reps.select("doc_id", "sig").mapInArrow(_keys, "key long, doc_id long").repartition(shuffle_partitions(spark), "key")
@@ -195,7 +214,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = durable(pairs.join(sized("a"), "a").join(sized("b"), "b").where(4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")).select("a", "b"))
 
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = _wanted(docs, ids)
+    texts = _text_of(docs, ids.join(reps.select("doc_id", "rep_id", "rep_hash"), "doc_id"))
     side = lambda n: texts.select(F.col("doc_id").alias(n), F.col("text").alias(f"text_{n}"))
     links = durable(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long").distinct())
     of = durable(components(links))
@@ -204,15 +223,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = crowded.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("low").alias("centre")).where("lo <> hi")
     members = durable(crowded.join(split, "key").select("key", "doc_id", "component", "centre"))
     if not members.isEmpty():
-        links = links.unionByName(_compare_crowds(docs, members))
+        links = links.unionByName(_compare_crowds(docs, reps, members))
         of = durable(components(links))
 
-    named = classes.join(of, classes["class_id"] == of["node"], "left").select("n_shingles", "set_a", "set_b", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    named = classes.select("n_shingles", "set_a", "set_b", "class_id", "node").join(of, "node", "left")
+    least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = named.join(least, "component", "left").select("n_shingles", "set_a", "set_b", "class_id", F.when(F.col("component").isNull(), F.col("class_id")).otherwise(F.col("component_id")).alias("component_id"), F.lit(True).alias("named"))
     found = made.join(named, ["n_shingles", "set_a", "set_b"], "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    own = lambda c: F.when(F.col("named"), F.col(c)).otherwise(F.col("doc_id"))
+    return found.select("doc_id", "n_shingles", own("component_id").alias("component_id"), own("component_id").eqNullSafe(F.col("doc_id")).alias("kept"), own("class_id").alias("class_id"), "row_hash")
 
 
-def _compare_crowds(docs: DataFrame, members: DataFrame) -> DataFrame:
+def _compare_crowds(docs: DataFrame, reps: DataFrame, members: DataFrame) -> DataFrame:
     """Exact links between components inside crowds, block against block.
 
     Crowded keys that share members make one crowd (components over key centres).
@@ -225,15 +247,19 @@ def _compare_crowds(docs: DataFrame, members: DataFrame) -> DataFrame:
     dealt = people.join(sizes, "crowd").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
     work = dealt.select("crowd", "doc_id", "component", "block", F.explode(meet).alias("m")).select("crowd", "m.x", "m.y", "doc_id", "component", "block")
-    texts = _wanted(docs, people.select("doc_id"))
+    texts = _text_of(docs, people.select("doc_id").join(reps.select("doc_id", "rep_id", "rep_hash"), "doc_id"))
     full = work.join(texts, "doc_id")
     return durable(full.groupBy("crowd", "x", "y").applyInArrow(_crowd_links, "a long, b long"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component stays: that with the smallest identifier."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("_kept_id"), "left_semi")
+    """One document of each component stays: that with the smallest identifier.
+
+    Of rows that share an identifier each is judged by its own text; where several share the kept one, all of them stay.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    kept = _components_by_row(rows).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("row_hash").alias("_kept_hash")).distinct()
+    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.xxhash64(text_col) == F.col("_kept_hash")), "left_semi")
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -348,12 +348,13 @@ def _sample(voc: Vocabulary, samples: int, alpha: float, packed: bool, checked:
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            # A null identifier draws as one fixed number would; the output has it null.
+            ids = batch.column(0).fill_null(-1).to_numpy()
             for block in text_blocks(batch.column(1), BLOCK_BYTES):
                 found = sample_block(block, ids[block.first : block.first + len(block.bounds) - 1], voc, samples, alpha)
                 rows = [(d, k, x) for d, own in enumerate(found) for k, x in enumerate(own or [{"ids": np.zeros(0, np.int32), "log_prob": 0.0, "perturbed": 0.0, "log_inclusion": 0.0}])]
                 out = {
-                    "doc_id": pa.array(ids[[block.first + d for d, _, _ in rows]]),
+                    "doc_id": batch.column(0).take(pa.array([block.first + d for d, _, _ in rows], pa.int64())),
                     "sample": pa.array([k + 1 for _, k, _ in rows], pa.int32()),
                     "ids": pa.array([x["ids"].tobytes() if packed else x["ids"] for _, _, x in rows], kind),
                 }
@@ -376,9 +377,9 @@ def sample_segmentations(docs: DataFrame, model: str = MODEL, samples: int = SAM
     next perturbed value). With `checked`, exact tells whether decoding gives the
     text back. A text with fewer paths than `samples` has them all, with
     log_inclusion 0; a null or empty text has one row without ids. Rows that
-    share an identifier and a text get the same samples. Identifiers are integers
-    and not null. An empty table gives an empty result; other columns are not
-    looked at.
+    share an identifier and a text get the same samples, each its own rows; so do
+    those of equal texts without identifier. An empty table gives an empty
+    result; other columns are not looked at.
     """
     voc = load_vocabulary(model)
     schema = _SCHEMA.format("binary" if packed else "array<int>") + (", exact boolean" if checked else "")

@@ -33,6 +33,9 @@ SHARD_BYTES = 4 << 20
 #: Bytes of text for which there is a bucket of hashes, and one of documents: what a task holds at once.
 BUCKET_BYTES = 2 << 20
 
+#: The key of a null identifier, and the bits of a place below the row's rank among those of its key.
+LAST, PLACE_BITS = (1 << 63) - 1, 32
+
 _ENTRIES = "bucket int, settled boolean, hashes binary, docs binary, places binary"
 _VERDICTS = "shard int, docs binary, places binary"
 
@@ -73,7 +76,7 @@ def _pack(bucket, settled, hashes, docs, places):
     bucket, hashes, docs, places = bucket[order], hashes[order], docs[order], places[order]
     cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
     blob = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(np.full(len(cut) - 1, settled)), blob(hashes), blob(docs), blob(places.astype(np.int32))], names=["bucket", "settled", "hashes", "docs", "places"])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(np.full(len(cut) - 1, settled)), blob(hashes), blob(docs), blob(places.astype(np.int64))], names=["bucket", "settled", "hashes", "docs", "places"])
 
 
 def _shard_of(docs: np.ndarray, buckets: int) -> np.ndarray:
@@ -87,7 +90,7 @@ def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
 def _first_level(base: int, window: int, buckets: int):
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids = _keys_of(batch.column(0))
             for block in text_blocks(batch.column(1), SHARD_BYTES):
                 text, _, anchor, grams, bounds = _windows(block, base, window)
                 at = np.unique(bounds[:-1][text] + anchor)
@@ -115,7 +118,7 @@ def _verdicts(docs: np.ndarray, places: np.ndarray, buckets: int) -> pa.Table:
     shard, docs, places = shard[order], docs[order], places[order]
     cut = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]]) if len(shard) else np.zeros(1, np.int64)
     blob = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
-    return pa.table({"shard": pa.array(shard[cut[:-1]]), "docs": blob(docs), "places": blob(places.astype(np.int32))})
+    return pa.table({"shard": pa.array(shard[cut[:-1]]), "docs": blob(docs), "places": blob(places.astype(np.int64))})
 
 
 def _joined(column, kind) -> np.ndarray:
@@ -128,23 +131,50 @@ def _judge(buckets: int, keep_first: bool):
     def run(rows: pa.Table) -> pa.Table:
         open_rows = rows.filter(pa.array([not x for x in rows.column("settled").to_pylist()]))
         done = rows.filter(rows.column("settled"))
-        h, docs, places = _joined(open_rows.column("hashes"), U), _joined(open_rows.column("docs"), np.int64), _joined(open_rows.column("places"), np.int32)
+        h, docs, places = _joined(open_rows.column("hashes"), U), _joined(open_rows.column("docs"), np.int64), _joined(open_rows.column("places"), np.int64)
         order = np.lexsort((places, docs, h))
         h, docs, places = h[order], docs[order], places[order]
         again = np.zeros(len(h), bool)
         again[1:] = h[1:] == h[:-1]
         if not keep_first:
             again[:-1] |= again[1:]
-        return _verdicts(np.concatenate([docs[again], _joined(done.column("docs"), np.int64)]), np.concatenate([places[again], _joined(done.column("places"), np.int32)]), buckets)
+        return _verdicts(np.concatenate([docs[again], _joined(done.column("docs"), np.int64)]), np.concatenate([places[again], _joined(done.column("places"), np.int64)]), buckets)
 
     return run
 
 
-def _by_text(verdicts: pa.Table, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Verdicts as (row among `ids`, place); ids are distinct."""
-    docs, places = _joined(verdicts.column("docs"), np.int64), _joined(verdicts.column("places"), np.int32)
+def _keys_of(ids) -> np.ndarray:
+    """Identifiers as sort keys: a null one comes last."""
+    return ids.fill_null(LAST).to_numpy()
+
+
+def _ranks(texts: pa.Table, ids: np.ndarray) -> np.ndarray:
+    """The place of each row among those of its key, in the order of their texts; rows that compare equal here are equal."""
+    rank = np.zeros(len(ids), np.int64)
+    _, inverse, n = np.unique(ids, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(n[inverse] > 1)
+    if len(shared):
+        null = texts.column("doc_id").is_null().to_pylist()
+        text = dict(zip(shared.tolist(), texts.column("text").take(pa.array(shared)).to_pylist(), strict=True))
+        order = sorted(shared.tolist(), key=lambda i: (ids[i], null[i], text[i]))
+        for before, i in zip(order, order[1:]):
+            rank[i] = rank[before] + 1 if ids[i] == ids[before] else 0
+    return rank
+
+
+def _of_key(verdicts: pa.Table, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Verdicts of the first level as (row among `ids`, place), for every row of the key."""
+    docs, places = _joined(verdicts.column("docs"), np.int64), _joined(verdicts.column("places"), np.int64)
     order = np.argsort(ids, kind="stable")
-    return order[np.searchsorted(ids[order], docs)] if len(docs) else np.zeros(0, np.int64), places.astype(np.int64)
+    lo, hi = (np.searchsorted(ids[order], docs, side) for side in ("left", "right"))
+    return order[spread(lo, hi - lo)], np.repeat(places, hi - lo)
+
+
+def _of_row(verdicts: pa.Table, ids: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Verdicts of the last level, which name the row of the key, as (row among `ids`, place)."""
+    docs, places = _joined(verdicts.column("docs"), np.int64), _joined(verdicts.column("places"), np.int64)
+    order = np.lexsort((rank, ids))
+    return order[np.searchsorted(ids[order], docs) + (places >> PLACE_BITS)], places & ((1 << PLACE_BITS) - 1)
 
 
 def _next_level(base: int, window: int, buckets: int):
@@ -153,8 +183,9 @@ def _next_level(base: int, window: int, buckets: int):
     def run(texts: pa.Table, verdicts: pa.Table) -> pa.Table:
         out = []
         if verdicts.num_rows and texts.num_rows:
-            ids = texts.column("doc_id").to_numpy()
-            row, place = _by_text(verdicts, ids)
+            ids = _keys_of(texts.column("doc_id"))
+            rank = _ranks(texts, ids)
+            row, place = _of_key(verdicts, ids)
             order = np.lexsort((place, row))
             row, place = row[order], place[order]
             docs, starts, hashes = [], [], []
@@ -162,13 +193,15 @@ def _next_level(base: int, window: int, buckets: int):
                 text, start, anchor, grams, bounds = _windows(block, base, window)
                 lo, hi = np.searchsorted(row, [block.first, block.first + len(block.bounds) - 1])
                 alive = np.zeros(len(grams), bool)
-                alive[bounds[row[lo:hi] - block.first] + place[lo:hi]] = True
+                at = bounds[row[lo:hi] - block.first] + place[lo:hi]
+                # A verdict can be another row's that shares the identifier and is longer.
+                alive[at[at < bounds[row[lo:hi] - block.first + 1]]] = True
                 first = bounds[:-1][text]
                 keep = alive[first + anchor]
                 at = (first + start)[keep]
                 hashes.append(mix(grams[at] * U(0x2545F4914F6CDD1D) + grams[at + window - base]))
                 docs.append(ids[block.first + text[keep]])
-                starts.append(start[keep])
+                starts.append((rank[block.first + text[keep]] << PLACE_BITS) | start[keep])
             h, docs, places = np.concatenate(hashes), np.concatenate(docs), np.concatenate(starts)
             order = np.lexsort((places, docs, h))
             later = np.zeros(len(h), bool)
@@ -184,8 +217,8 @@ def _next_level(base: int, window: int, buckets: int):
 
 def _finish(window: int):
     def run(texts: pa.Table, verdicts: pa.Table) -> pa.Table:
-        ids = texts.column("doc_id").to_numpy()
-        row, place = _by_text(verdicts, ids)
+        ids = _keys_of(texts.column("doc_id"))
+        row, place = _of_row(verdicts, ids, _ranks(texts, ids)) if verdicts.num_rows else (np.zeros(0, np.int64),) * 2
         order = np.lexsort((place, row))
         row, place = row[order], place[order]
         cut = np.searchsorted(row, np.arange(len(ids) + 1))
@@ -206,7 +239,7 @@ def _finish(window: int):
             n_removed.append(n_words[-1] - len(parts))
             kept_text.append(b" ".join(parts).decode())
             spans.append([{"start": a, "end": b} for a, b in found])
-        return pa.table({"doc_id": pa.array(ids), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept_text, pa.string()), "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))})
+        return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept_text, pa.string()), "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))})
 
     return run
 
@@ -218,9 +251,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     space) and removed (word spans, end exclusive). Words are runs without ASCII
     white space, unchanged; windows lie in one document and are judged on the
     input; earlier is a smaller identifier, or an earlier start in the same
-    document. A null, empty or wordless text has no words; a text shorter than a
-    window loses nothing. Identifiers are distinct integers and not null. An
-    empty table gives an empty result; other columns are not looked at.
+    document. A null identifier is larger than any other, and rows that share
+    one are documents of their own, in the order of their texts; one task looks
+    at all of them. A null, empty or wordless text has no words; a text shorter
+    than a window loses nothing. An empty table gives an empty result; other
+    columns are not looked at.
     """
     base = window // 2
     if base * 2 != window:
@@ -230,7 +265,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = 1 + size // BUCKET_BYTES
     # The same number as _shard_of.
-    texts = docs.withColumn("shard", F.pmod(F.col("doc_id").bitwiseXOR(F.shiftright("doc_id", 16)), F.lit(buckets)).cast("int"))
+    key = F.coalesce("doc_id", F.lit(LAST))
+    texts = docs.withColumn("shard", F.pmod(key.bitwiseXOR(F.shiftright(key, 16)), F.lit(buckets)).cast("int"))
     judge = lambda rows, keep_first: rows.groupBy("bucket").applyInArrow(_judge(buckets, keep_first), _VERDICTS)
     alone = judge(docs.mapInArrow(_first_level(base, window, buckets), _ENTRIES), False)
     longer = texts.groupBy("shard").cogroup(alone.groupBy("shard")).applyInArrow(_next_level(base, window, buckets), _ENTRIES)
