@@ -10,12 +10,12 @@ Gumbel variables cut off at the parent's. All random numbers are hashes of the
 row key, the draw and the place, so results depend on no partitioning.
 
 The lattice falls apart at white space that no piece crosses. Its messages are
-computed once for each distinct segment of a block.
+computed once for each distinct segment that a task meets, as long as a bounded
+store of them holds it. All texts of a block are searched at once, array by array.
 """
 
 from __future__ import annotations
 
-import heapq
 from typing import NamedTuple
 
 import numpy as np
@@ -31,6 +31,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segmentations of each text, and the exponent that flattens (below 1) or sharpens the pieces' weights.
 SAMPLES, ALPHA = 2, 1.0
 BLOCK_BYTES = 1 << 20
+#: Bytes of distinct segments whose lattices a task keeps for its next blocks.
+STORE_BYTES = 3 << 19
 _FILTER = 22
 
 
@@ -98,24 +100,24 @@ def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, down
 
 
-class Lattice(NamedTuple):
-    """Edges of distinct segments, by the position where they begin."""
+#: Chances in a lattice are whole numbers of 2**-52, logarithms of 2**-32: sums of them are exact, so no result depends on what else is in a block.
+CHANCE, LOG = 52, 32
 
-    first: np.ndarray  # first edge of each position, and one more
-    piece: np.ndarray
-    to: np.ndarray
-    cdf: np.ndarray  # of choosing this edge or one before it
-    log_chance: np.ndarray
 
+def build_lattice(data: np.ndarray, begin: np.ndarray, end: np.ndarray, voc: Vocabulary, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lattice over the segments data[begin:end], which follow each other without gaps.
 
-def build_lattice(data: np.ndarray, begin: np.ndarray, end: np.ndarray, voc: Vocabulary, alpha: float) -> Lattice:
-    """Lattice over the segments data[begin:end], which follow each other without gaps."""
+    Edges come by the position where they begin, then by length. Gives the first
+    edge of each position and one more, each edge's piece, the position that it
+    leads to, and the logarithm of its chance among the edges of its position.
+    """
     n = len(data)
     sums, down = _sums(data)
     stop = np.repeat(end, end - begin)
-    at, piece = [], []
-    alive = np.flatnonzero((data & 0xC0) != 0x80)
-    width = np.ones(n, np.int64)
+    sets = []
+    head = np.flatnonzero((data & 0xC0) != 0x80)
+    alive = head
+    width = np.ones(n, np.int8)
     width[data >= 0xC0], width[data >= 0xE0], width[data >= 0xF0] = 2, 3, 4
     single = np.zeros(n, bool)
     for size in range(1, voc.longest + 1):
@@ -128,39 +130,120 @@ def build_lattice(data: np.ndarray, begin: np.ndarray, end: np.ndarray, voc: Voc
         hit, place = h[maybe], alive[maybe]
         k = np.minimum(np.searchsorted(voc.hashes, hit), len(voc.hashes) - 1)
         good = voc.hashes[k] == hit
-        at.append(place[good])
-        piece.append(voc.ids[k[good]])
-        single[place[good][width[place[good]] == size]] = True
+        place = place[good]
+        sets.append((place, voc.ids[k[good]]))
+        single[place[width[place] == size]] = True
         alive = alive[voc.begins[slot]]
     # Characters that are no piece fall into bytes.
-    head = np.flatnonzero((data & 0xC0) != 0x80)
     lost = head[~single[head]]
     lost = spread(lost, np.minimum(width[lost], stop[lost] - lost))
-    at.append(lost)
-    piece.append(voc.byte_id[data[lost]])
-    at, piece = np.concatenate(at), np.concatenate(piece)
+    sets.insert(0, (lost, voc.byte_id[data[lost]]))
+    count = np.zeros(n, np.int64)
+    for place, _ in sets:
+        count[place] += 1
+    first = np.concatenate([[0], np.cumsum(count)])
+    piece, used = np.empty(first[-1], np.int32), first[:-1].copy()
+    for place, ids in sets:
+        piece[used[place]] = ids
+        used[place] += 1
+    at = np.repeat(np.arange(n), count)
     to = at + voc.length[piece]
-    left = stop[at] - at
-    order = np.argsort((left << 32) | at)  # from the ends of the segments
-    at, piece, to, left = at[order], piece[order], to[order], left[order]
     weight = voc.weight[piece] * alpha
-    message = np.full(n + 1, -np.inf)
-    final = to == stop[at]
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(left)) + 1, [len(left)]])
+    # Messages go from the ends of the segments to their beginnings, by the distance to the end.
+    left = stop - np.arange(n)
+    by_left = np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")
+    by_left = by_left[count[by_left] > 0]
+    edges = spread(first[by_left], count[by_left])
+    message = np.zeros(n + 1)
+    message[:n] = -np.inf
+    target = np.where(to == stop[at], n, to)  # nothing is left after an edge to the end
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(left[by_left])) + 1, [len(by_left)]])
+    heads = np.cumsum(count[by_left]) - count[by_left]
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        own = at[a:b]
-        value = weight[a:b] + np.where(final[a:b], 0.0, message[to[a:b]])
-        group = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
-        message[own[group]] = np.logaddexp.reduceat(value, group)
-    log_chance = weight + np.where(final, 0.0, message[to]) - message[at]
-    order = np.argsort((at << 20) | piece)
-    at, piece, to, log_chance = at[order], piece[order], to[order], log_chance[order]
-    first = np.searchsorted(at, np.arange(n + 1))
-    total = np.concatenate([[0.0], np.cumsum(np.exp(log_chance))])
-    cdf = total[1:] - total[first[at]]
-    last = first[1:][first[1:] > first[:-1]] - 1
-    cdf[last] = 2.0
-    return Lattice(first, piece, to, cdf, log_chance)
+        lo, hi = heads[a], heads[b] if b < len(heads) else len(edges)
+        own = edges[lo:hi]
+        message[by_left[a:b]] = np.logaddexp.reduceat(weight[own] + message[target[own]], heads[a:b] - lo)
+    return first, piece, to, weight + message[target] - message[at]
+
+
+def _room(array: np.ndarray, used: int, more: int) -> np.ndarray:
+    """`array`, or a larger copy with room for `more` after its first `used` entries."""
+    if used + more <= len(array):
+        return array
+    larger = np.empty(max(2 * len(array), used + more), array.dtype)
+    larger[:used] = array[:used]
+    return larger
+
+
+class Lattices:
+    """Lattices of the distinct segments that a task has met, one after the other.
+
+    A segment is worked out once and then found again by its hash and bytes. What
+    is kept is bounded: beyond `most` bytes of segments all are let go before the
+    next block, whose own segments are then the only ones.
+    """
+
+    def __init__(self, voc: Vocabulary, alpha: float, most: int = STORE_BYTES):
+        self.voc, self.alpha, self.most = voc, alpha, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hashes, self.at = np.zeros(0, U), np.zeros(0, np.int64)  # of known segments, by hash
+        self.size, self.edges = 0, 0
+        self.data, self.first = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.stop = np.zeros(0, np.int64)  # of the segment that begins at a position
+        self.piece, self.to = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.upto = np.zeros(0, U)  # chance of choosing an edge or one before it
+        self.chance, self.log = np.zeros(0), np.zeros(0, np.int64)
+
+    def place(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Where each segment data[start:stop] begins here; together they are all of `data`."""
+        if self.size > self.most:
+            self._clear()
+        sums, down = _sums(data)
+        length = stop - start
+        h, one, kind = np.unique(mix((sums[stop] - sums[start]) * down[start] + length.astype(U)), return_index=True, return_inverse=True)
+        slot = np.searchsorted(self.hashes, h)
+        found = np.zeros(len(h), bool)
+        inside = slot < len(self.hashes)
+        found[inside] = self.hashes[slot[inside]] == h[inside]
+        at = np.zeros(len(h), np.int64)
+        at[found] = self.at[slot[found]]
+        new = ~found
+        at[new] = self._add(data, start[one[new]], length[one[new]])
+        hashes, places = np.concatenate([self.hashes, h[new]]), np.concatenate([self.at, at[new]])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.at = hashes[order], places[order]
+        at = at[kind]
+        # Equal hashes are not taken for equal bytes.
+        other = self.data[np.minimum(spread(at, length), self.size - 1)] != data
+        other = np.logical_or.reduceat(other, start) | (self.stop[at] - at != length)
+        if other.any():
+            at[other] = self._add(data, start[other], length[other])
+        return at
+
+    def _add(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        if not len(start):
+            return np.zeros(0, np.int64)
+        own = data[spread(start, length)]
+        end = np.cumsum(length)
+        first, piece, to, log = build_lattice(own, end - length, end, self.voc, self.alpha)
+        n, e = len(own), len(piece)
+        chance = np.exp(np.minimum(log, 0))
+        upto = np.cumsum(np.rint(chance * 2.0**CHANCE).astype(U))  # sums wrap around, differences don't
+        upto -= np.concatenate([np.zeros(1, U), upto])[np.repeat(first[:-1], np.diff(first))]
+        upto[first[1:][np.diff(first) > 0] - 1] = U(1 << (CHANCE + 1))
+        stops = np.zeros(n, np.int64)
+        stops[end - length] = end
+        for name, used, value in (("data", self.size, own), ("stop", self.size, stops + self.size), ("piece", self.edges, piece), ("to", self.edges, to + self.size), ("upto", self.edges, upto), ("chance", self.edges, chance), ("log", self.edges, np.rint(log * 2.0**LOG).astype(np.int64))):
+            grown = _room(getattr(self, name), used, len(value))
+            grown[used : used + len(value)] = value
+            setattr(self, name, grown)
+        self.first = _room(self.first, self.size + 1, n)
+        self.first[self.size : self.size + n + 1] = first + self.edges
+        at = self.size + end - length
+        self.size, self.edges = self.size + n, self.edges + e
+        return at
 
 
 _SPREAD = U(0xD1342543DE82EF95)
@@ -174,12 +257,16 @@ def hashed(*parts) -> np.ndarray:
     return h
 
 
+def _unit(h: np.ndarray) -> np.ndarray:
+    return ((h >> U(11)).astype(float) + 0.5) / float(1 << 53)
+
+
 def uniform(*parts) -> np.ndarray:
     """Numbers strictly between 0 and 1, hashed from integers."""
-    return ((hashed(*parts) >> U(11)).astype(float) + 0.5) / float(1 << 53)
+    return _unit(hashed(*parts))
 
 
-def draw(lattice: Lattice, start: np.ndarray, stop: np.ndarray, key: np.ndarray, place: np.ndarray):
+def draw(lattice: Lattices, start: np.ndarray, stop: np.ndarray, key: np.ndarray, place: np.ndarray):
     """One path from each start to its stop: edges, and their bounds by path.
 
     `key` is hashed from the text's key and the number of the draw, `place` is
@@ -191,12 +278,12 @@ def draw(lattice: Lattice, start: np.ndarray, stop: np.ndarray, key: np.ndarray,
     steps = []
     while len(live):
         here = pos[live]
-        u = ((mix(seed[live] + here.astype(U)) >> U(11)).astype(float) + 0.5) / float(1 << 53)
+        u = mix(seed[live] + here.astype(U)) >> U(64 - CHANCE)
         edge = lattice.first[here]
-        go = np.flatnonzero(lattice.cdf[edge] < u)
+        go = np.flatnonzero(lattice.upto[edge] <= u)
         while len(go):
             edge[go] += 1
-            go = go[lattice.cdf[edge[go]] < u[go]]
+            go = go[lattice.upto[edge[go]] <= u[go]]
         steps.append((live, edge))
         pos[live] = lattice.to[edge]
         live = live[pos[live] < stop[live]]
@@ -210,129 +297,198 @@ def draw(lattice: Lattice, start: np.ndarray, stop: np.ndarray, key: np.ndarray,
     return edges, bounds
 
 
-class Path(NamedTuple):
-    """A drawn segmentation of a text: edges, and each edge's segment."""
-
-    edges: np.ndarray
-    segment: np.ndarray
-
-
-class Open(NamedTuple):
-    """The paths that share `path`'s first `at` edges and go on with none of the edges `out`."""
-
-    bound: float  # negative, for the heap
-    order: tuple[int, int]
-    path: Path
-    at: int
-    out: tuple[int, ...]
-
-
-def _cut_off(location: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
+def _cut_off(location: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel variables at `location`, each given that it is at most `bound`."""
     return -np.logaddexp(-bound, -(location - np.log(-np.log(u))))
 
 
 class Search:
-    """Open sets of paths of one text, the best bound first."""
-
-    def __init__(self, key: int, samples: int, lattice: Lattice):
-        self.key, self.samples, self.lattice = key, samples, lattice
-        self.done: list[tuple[Path, float]] = []
-        self.open: list[Open] = []
-
-    def add(self, path: Path, bound: float, since: int = 0, out: tuple[int, ...] = ()) -> None:
-        """Take a drawn path; what is left of its set falls apart by the first edge that differs."""
-        self.done.append((path, bound))
-        chance = self.lattice.log_chance[path.edges]
-        taken = np.exp(np.minimum(chance[since:], 0))
-        taken[0] += sum(np.exp(self.lattice.log_chance[e]) for e in out)
-        before = np.concatenate([[0.0], np.cumsum(chance)])[since:-1]
+    """The search over all texts of a block at once, one draw after the other.
+
+    Path k of text j is edges[begin[k, j] : begin[k, j] + length[k, j]]. An open
+    set of text j holds the paths that share the first `at` edges of `path` and go
+    on with none of the edges that are out: the path's own next one and, along
+    `chain`, those of the sets that this one was left over from.
+    """
+
+    def __init__(self, lattice: Lattices, key: np.ndarray, samples: int):
+        m, slots = len(key), samples * (samples + 1)
+        self.lattice, self.key, self.samples = lattice, key, samples
+        self.edges, self.segment = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.begin, self.length = np.zeros((samples, m), np.int64), np.zeros((samples, m), np.int64)
+        self.perturbed, self.log_prob = np.full((samples, m), -np.inf), np.zeros((samples, m))
+        self.bound = np.full((m, slots), -np.inf)
+        self.path, self.at, self.chain = np.zeros((m, slots), np.int16), np.zeros((m, slots), np.int64), np.full((m, slots), -1, np.int32)
+
+    def out_of(self, texts: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among `texts`, edge) of the edges that are out of the sets in these slots; none for slot -1."""
+        owner, edges = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        own = np.flatnonzero(slot >= 0)
+        slot = slot[own]
+        while len(own):
+            j = texts[own]
+            owner.append(own)
+            edges.append(self.edges[self.begin[self.path[j, slot], j] + self.at[j, slot]])
+            slot = self.chain[j, slot]
+            own, slot = own[slot >= 0], slot[slot >= 0]
+        return np.concatenate(owner), np.concatenate(edges)
+
+    def add(self, draw_no: int, texts: np.ndarray, edges: np.ndarray, segment: np.ndarray, length: np.ndarray, bound: np.ndarray, since: np.ndarray, slot: np.ndarray) -> None:
+        """Take a drawn path of each of `texts`; what is left of the set in `slot` falls apart by the first edge that differs."""
+        k = draw_no - 1
+        begin = np.cumsum(length) - length
+        self.begin[k, texts], self.length[k, texts], self.perturbed[k, texts] = begin + len(self.edges), length, bound
+        self.edges, self.segment = np.concatenate([self.edges, edges]), np.concatenate([self.segment, segment])
+        before = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.lattice.log[edges])])  # wraps around, differences don't
+        self.log_prob[k, texts] = (before[begin + length] - before[begin]) / 2.0**LOG
+        size = length - since
+        head = np.cumsum(size) - size
+        at = spread(begin + since, size)
+        taken = self.lattice.chance[edges[at]]
+        owner, out = self.out_of(texts, slot)
+        np.add.at(taken, head[owner], self.lattice.chance[out])
         with np.errstate(divide="ignore"):
             # What is left within rounding is no set.
-            location = before + np.where(taken < 1 - 1e-9, np.log1p(-np.minimum(taken, 1.0)), -np.inf)
-        bounds = _cut_off(location, bound, uniform(self.key, len(self.done), 1 << 20, np.arange(since, len(chance))))
-        k = min(len(bounds), self.samples + 1)  # no more of them can be among the samples, or set the limit
-        for i in np.argpartition(-bounds, k - 1)[:k].tolist():
-            if bounds[i] > -np.inf:
-                at = since + i
-                heapq.heappush(self.open, Open(-float(bounds[i]), (len(self.done), at), path, at, (*out, int(path.edges[at])) if i == 0 else (int(path.edges[at]),)))
-
-
-def _other_edge(lattice: Lattice, start: int, out: tuple[int, ...], u: float) -> int:
-    """An edge from a position, drawn among those not in `out`."""
-    edges = np.arange(lattice.first[start], lattice.first[start + 1])
-    chance = np.exp(lattice.log_chance[edges])
-    chance[np.isin(edges, out)] = 0
-    total = np.cumsum(chance)
-    return int(edges[min(np.searchsorted(total, u * total[-1], "right"), np.flatnonzero(chance)[-1])])
-
-
-def sample_block(block: Block, keys: np.ndarray, voc: Vocabulary, samples: int, alpha: float) -> list[list[dict]]:
-    """The sampled segmentations of each text of a block."""
-    n = len(block.bounds) - 1
+            rest = np.where(taken < 1 - 1e-9, np.log1p(-np.minimum(taken, 1.0)), -np.inf)
+            location = (before[at] - np.repeat(before[begin], size)) / 2.0**LOG + rest
+        seed = hashed(self.key[texts], draw_no, 1 << 20)
+        u = _unit(mix((at - np.repeat(begin, size)).astype(U) + np.repeat(seed * _SPREAD, size)))
+        left = _cut_off(location, np.repeat(bound, size), u)
+        for turn in range(self.samples + 1):  # no more of them can be among the samples, or set the limit
+            best = np.maximum.reduceat(left, head)
+            at_best = np.flatnonzero(left == np.repeat(best, size))
+            where = np.empty(len(texts), np.int64)
+            where[np.repeat(np.arange(len(texts)), size)[at_best[::-1]]] = at_best[::-1]
+            some = best > -np.inf
+            if not some.any():
+                break
+            own, cell = texts[some], k * (self.samples + 1) + turn
+            offset = where[some] - head[some]
+            self.bound[own, cell], self.path[own, cell], self.at[own, cell] = best[some], k, since[some] + offset
+            self.chain[own, cell] = np.where(offset == 0, slot[some], -1)
+            left[where] = -np.inf
+
+    def pop(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts with open sets, the slot of the best of each, and its bound; the set is open no more."""
+        slot = self.bound.argmax(1)
+        best = self.bound[np.arange(len(slot)), slot]
+        texts = np.flatnonzero(best > -np.inf)
+        self.bound[texts, slot[texts]] = -np.inf
+        return texts, slot[texts], best[texts]
+
+    def other_edges(self, texts: np.ndarray, slot: np.ndarray, edge: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """An edge from the position where each `edge` begins, drawn among those that are not out."""
+        first = self.lattice.first[: self.lattice.size + 1]
+        start = np.searchsorted(first, edge, "right") - 1
+        count = first[start + 1] - first[start]
+        head = np.cumsum(count) - count
+        choice = spread(first[start], count)
+        chance = np.rint(self.lattice.chance[choice] * 2.0**40).astype(np.int64)
+        owner, out = self.out_of(texts, slot)
+        chance[head[owner] + out - first[start[owner]]] = 0
+        total = np.cumsum(chance)
+        before = total[head] - chance[head]
+        want = before + np.floor(u * (total[head + count - 1] - before)).astype(np.int64)
+        return choice[np.searchsorted(total, want, "right")]
+
+
+class Sampled(NamedTuple):
+    """Sampled segmentations of a block's texts, by text and sample."""
+
+    text: np.ndarray
+    sample: np.ndarray
+    ids: np.ndarray  # of all, one after the other
+    bounds: np.ndarray
+    log_prob: np.ndarray
+    perturbed: np.ndarray
+    log_inclusion: np.ndarray
+    exact: np.ndarray
+
+
+def sample_block(block: Block, keys: np.ndarray, lattice: Lattices, samples: int) -> Sampled:
+    """The sampled segmentations of each text of a block; one without pieces for an empty text."""
     size = np.diff(block.bounds)
-    full = np.flatnonzero(size)
+    full, bare = np.flatnonzero(size), np.flatnonzero(size == 0)
+    zeros = np.zeros(len(bare))
     if not len(full):
-        return [[] for _ in range(n)]
+        return Sampled(bare, np.ones(len(bare), np.int64), np.zeros(0, np.int32), np.zeros(len(bare) + 1, np.int64), zeros, zeros, zeros, zeros == 0)
     # A space goes before each text that has any.
-    begin = block.bounds[:-1] + np.cumsum(size > 0) - (size > 0)
+    size = size[full] + 1
+    begin = np.cumsum(size) - size
     data = np.full(len(block.data) + len(full), 32, np.uint8)
     mask = np.ones(len(data), bool)
-    mask[begin[full]] = False
+    mask[begin] = False
     data[mask] = block.data
     cut = np.zeros(len(data), bool)
     blank, line = data == 32, data == 10
     cut[1:] = (blank[1:] & ~blank[:-1]) | line[1:] | line[:-1]
-    cut[begin[full]] = True
+    cut[begin] = True
     start = np.flatnonzero(cut)
     stop = np.concatenate([start[1:], [len(data)]])
-    text = full[np.searchsorted(begin[full], start, "right") - 1]
-    first, last = np.searchsorted(text, np.arange(n)), np.searchsorted(text, np.arange(n), "right")
-    sums, down = _sums(data)
-    _, one, kind = np.unique(mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(U)), return_index=True, return_inverse=True)
-    length = stop[one] - start[one]
-    end = np.cumsum(length)
-    lattice = build_lattice(data[spread(start[one], length)], end - length, end, voc, alpha)
-    seg_from, seg_to = (end - length)[kind], end[kind]
+    text = np.searchsorted(begin, start, "right") - 1
+    first, last = np.searchsorted(text, np.arange(len(full))), np.searchsorted(text, np.arange(len(full)), "right")
+    seg_from = lattice.place(data, start, stop)
+    seg_to = seg_from + stop - start
     place = start - begin[text]
-    key = mix(keys.view(U) + U(1))
+    key = mix(keys[full].view(U) + U(1))
 
-    search = {d: Search(int(key[d] >> U(1)), samples, lattice) for d in full.tolist()}
+    search = Search(lattice, key >> U(1), samples)
+    every = np.arange(len(full))
     edges, bounds = draw(lattice, seg_from, seg_to, hashed(1, key)[text], place)
-    segment = np.repeat(np.arange(len(start)), np.diff(bounds))
-    for d, s in search.items():
-        own = slice(bounds[first[d]], bounds[last[d]])
-        s.add(Path(edges[own], segment[own]), float(-np.log(-np.log(uniform(s.key, 0, 0, 2 << 20)))[0]))
+    none = np.full(len(full), -1)
+    search.add(1, every, edges, np.repeat(np.arange(len(start)), np.diff(bounds)), bounds[last] - bounds[first], -np.log(-np.log(uniform(search.key, 0, 0, 2 << 20))), np.zeros(len(full), np.int64), none)
     for draw_no in range(2, samples + 1):
-        going = [(d, s, heapq.heappop(s.open)) for d, s in search.items() if s.open]
-        if not going:
+        texts, slot, bound = search.pop()
+        if not len(texts):
             break
         # The edge that must differ, then the rest of its segment, then the segments after it.
-        lead = np.array([_other_edge(lattice, int(_origin(lattice, o)), o.out, float(uniform(s.key, o.at, draw_no, 3 << 20)[0])) for _, s, o in going])
-        seg = np.array([o.path.segment[o.at] for _, _, o in going])
-        count = np.array([last[d] for d, _, _ in going]) - seg
+        at = search.at[texts, slot]
+        was = search.begin[search.path[texts, slot], texts]
+        seg = search.segment[was + at]
+        lead = search.other_edges(texts, slot, search.edges[was + at], uniform(search.key[texts], at, draw_no, 3 << 20))
+        count = last[texts] - seg
         segs = spread(seg, count)
         head = np.cumsum(count) - count
         begins = seg_from[segs].copy()
         begins[head] = lattice.to[lead]
-        edges, bounds = draw(lattice, begins, seg_to[segs], hashed(draw_no, key)[text[segs]], place[segs] + begins - seg_from[segs])
-        segment = np.repeat(segs, np.diff(bounds))
-        for g, (_, s, o) in enumerate(going):
-            own = slice(bounds[head[g]], bounds[head[g] + count[g]])
-            s.add(Path(np.concatenate([o.path.edges[: o.at], lead[g : g + 1], edges[own]]), np.concatenate([o.path.segment[: o.at], seg[g : g + 1], segment[own]])), -o.bound, o.at, o.out)
-    out: list[list[dict]] = [[] for _ in range(n)]
-    for d, s in search.items():
-        limit = -s.open[0].bound if s.open else -np.inf
-        for path, bound in s.done:
-            log_p = float(lattice.log_chance[path.edges].sum())
-            x = np.exp(min(log_p - limit, 50.0)) if limit > -np.inf else np.inf
-            out[d].append({"ids": lattice.piece[path.edges].astype(np.int32), "log_prob": log_p, "perturbed": bound, "log_inclusion": float(np.log(-np.expm1(-x))) if x > 1e-12 else log_p - limit})
-    return out
-
-
-def _origin(lattice: Lattice, o: Open) -> int:
-    """The position where the edge that must differ begins."""
-    return np.searchsorted(lattice.first, o.path.edges[o.at], "right") - 1
+        tail, bounds = draw(lattice, begins, seg_to[segs], hashed(draw_no, key)[text[segs]], place[segs] + begins - seg_from[segs])
+        rest = bounds[head + count] - bounds[head]
+        length = at + 1 + rest
+        new = np.cumsum(length) - length
+        edges, segment = np.empty(int(length.sum()), np.int64), np.empty(int(length.sum()), np.int64)
+        for whole, old, mine, after in ((edges, search.edges, lead, tail), (segment, search.segment, seg, np.repeat(segs, np.diff(bounds)))):
+            whole[spread(new, at)] = old[spread(was, at)]
+            whole[new + at] = mine
+            whole[spread(new + at + 1, rest)] = after
+        search.add(draw_no, texts, edges, segment, length, bound, at, slot)
+
+    sample, j = np.nonzero(search.length)
+    order = np.argsort(j, kind="stable")
+    sample, j = sample[order], j[order]
+    length = search.length[sample, j]
+    ids = lattice.piece[search.edges[spread(search.begin[sample, j], length)]]
+    log_p, limit = search.log_prob[sample, j], search.bound.max(1)[j]
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+        x = np.where(limit > -np.inf, np.exp(np.minimum(log_p - limit, 50.0)), np.inf)
+        inclusion = np.where(x > 1e-12, np.log(-np.expm1(-x)), log_p - limit)
+    exact = _spell_back(ids, length, data, begin[j], size[j], lattice.voc)
+    order = np.argsort(np.concatenate([full[j], bare]), kind="stable")
+    put = lambda a, b: np.concatenate([a, b])[order]
+    counts = put(length, np.zeros(len(bare), np.int64))
+    return Sampled(put(full[j], bare), put(sample + 1, np.ones(len(bare), np.int64)), ids, np.concatenate([[0], np.cumsum(counts)]), put(log_p, zeros), put(search.perturbed[sample, j], zeros), put(inclusion, zeros), put(exact, zeros == 0))
+
+
+def _spell_back(ids: np.ndarray, length: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray, voc: Vocabulary) -> np.ndarray:
+    """Whether each segmentation decodes to its text, data[begin : begin + size]."""
+    width = voc.length[ids]
+    head = np.cumsum(length) - length
+    good = np.add.reduceat(width, head) == size
+    kept = ids[np.repeat(good, length)]
+    made = voc.flat[spread(voc.start[kept], voc.length[kept])]
+    same = made == data[spread(begin[good], size[good])]
+    if len(same):
+        good[good] = np.logical_and.reduceat(same, np.cumsum(size[good]) - size[good])
+    return good
 
 
 def decode_ids(ids: np.ndarray, voc: Vocabulary) -> bytes:
@@ -344,24 +500,22 @@ _SCHEMA = "doc_id long, sample int, ids {}, log_prob double, perturbed double, l
 
 
 def _sample(voc: Vocabulary, samples: int, alpha: float, packed: bool, checked: bool):
-    kind = pa.binary() if packed else pa.list_(pa.int32())
-
     def run(batches):
+        lattice = Lattices(voc, alpha)
         for batch in batches:
             # A null identifier draws as one fixed number would; the output has it null.
             ids = batch.column(0).fill_null(-1).to_numpy()
             for block in text_blocks(batch.column(1), BLOCK_BYTES):
-                found = sample_block(block, ids[block.first : block.first + len(block.bounds) - 1], voc, samples, alpha)
-                rows = [(d, k, x) for d, own in enumerate(found) for k, x in enumerate(own or [{"ids": np.zeros(0, np.int32), "log_prob": 0.0, "perturbed": 0.0, "log_inclusion": 0.0}])]
-                out = {
-                    "doc_id": batch.column(0).take(pa.array([block.first + d for d, _, _ in rows], pa.int64())),
-                    "sample": pa.array([k + 1 for _, k, _ in rows], pa.int32()),
-                    "ids": pa.array([x["ids"].tobytes() if packed else x["ids"] for _, _, x in rows], kind),
-                }
-                out |= {c: pa.array([x[c] for _, _, x in rows], pa.float64()) for c in ("log_prob", "perturbed", "log_inclusion")}
+                x = sample_block(block, ids[block.first : block.first + len(block.bounds) - 1], lattice, samples)
+                flat = np.ascontiguousarray(x.ids.astype("<i4"))
+                if packed:
+                    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(x.text), [None, pa.py_buffer(4 * x.bounds), pa.py_buffer(flat)]).cast(pa.binary())
+                else:
+                    column = pa.ListArray.from_arrays(pa.array(x.bounds.astype(np.int32)), pa.array(flat))
+                out = {"doc_id": batch.column(0).take(pa.array(block.first + x.text)), "sample": pa.array(x.sample.astype(np.int32)), "ids": column}
+                out |= {c: pa.array(getattr(x, c)) for c in ("log_prob", "perturbed", "log_inclusion")}
                 if checked:
-                    text = block.data.tobytes()
-                    out["exact"] = pa.array([decode_ids(x["ids"], voc) == text[block.bounds[d] : block.bounds[d + 1]] for d, _, x in rows])
+                    out["exact"] = pa.array(x.exact)
                 yield pa.RecordBatch.from_pydict(out)
 
     return run
