@@ -6,12 +6,14 @@ Everything stays in the JVM; no function here is a Python UDF.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values.
+# Severities, from least to most.
 SEVERITIES = ("DEBUG", "INFO", "WARN", "ERROR", "CRITICAL")
+# Masks of a message's variable parts, in their order of precedence.
 MASKS = (
     (r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<uuid>"),
     (r"\b\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?\b", "<ip>"),
@@ -22,24 +24,26 @@ MASKS = (
     (r"\b\d+(?:\.\d+)?\s?(?:ms|s|sec|m|h|%|kb|mb|gb)\b", "<n>"),
     (r"\b\d+\b", "<n>"),
 )
-SEVERITY_WORDS = {
-    "DEBUG": "trace debug path config fine finer finest d dbg vrb verbose",
-    "INFO": "info informational notice ok low p4 resolved plain i inf information audit_success unknown success",
-    "WARN": "warn warning medium p3 minor w wrn audit_failure",
-    "ERROR": "error err high p2 firing major e failed failure",
-    "CRITICAL": "critical crit fatal alert emerg emergency severe p1 f ftl panic",
-}
+# Words for each severity.
+DEBUG_WORDS = ("trace", "debug", "path", "config", "fine", "finer", "finest", "d", "dbg", "vrb", "verbose")
+INFO_WORDS = ("info", "informational", "notice", "ok", "low", "p4", "resolved", "plain", "i", "inf", "information", "audit_success", "unknown", "success")
+WARN_WORDS = ("warn", "warning", "medium", "p3", "minor", "w", "wrn", "audit_failure")
+ERROR_WORDS = ("error", "err", "high", "p2", "firing", "major", "e", "failed", "failure")
+CRITICAL_WORDS = ("critical", "crit", "fatal", "alert", "emerg", "emergency", "severe", "p1", "f", "ftl", "panic")
+# Level words in a line, and phrases that hint at a severity.
 LEVEL_WORD = r"(?i)(?<![A-Za-z])(TRACE|DEBUG|INFO|NOTICE|WARN(?:ING)?|ERR(?:OR)?|CRIT(?:ICAL)?|FATAL|ALERT|EMERG(?:ENCY)?|SEVERE|PANIC|INF|WRN|FTL|DBG|VRB)(?![A-Za-z])"
-ERROR_HINT = r"(?i)(ORA-\d{5}|TNS-\d{5}|Traceback \(most recent call last\)|\b[A-Za-z_.$]*(?:Exception|Error)\b: |deadlock detected|Out of memory|\bsegfault\b|\bpanic:|\bLogin failed\b)"
+ERROR_HINT = r"(?i)(ORA-\d{5}|APP-FND-\d{5}|FRM-\d{5}|TNS-\d{5}|Traceback \(most recent call last\)|\b[A-Za-z_.$]*(?:Exception|Error)\b: |deadlock detected|Out of memory|\bsegfault\b|\bpanic:|\bkernel panic|\bStack overflow\b|\bBACKUP failed\b|\bLogin failed\b|\bAssertion failure\b|\bcircuit breaker open\b)"
 WARN_HINT = r"(?i)(\btimed out\b|\btimeout\b|\bretry\b|\bretrying\b|\bdeferred\b|\bdenied\b|\brefused\b|\bslow query\b|\bunreachable\b|\bdegraded\b|\bdeprecated\b)"
-ENVIRONMENTS = {
-    "prod": "prod production prd live",
-    "test": "test tst",
-    "qa": "qa",
-    "uat": "uat",
-    "dev": "dev development sandbox",
-    "staging": "staging stage stg preprod canary",
-}
+# Names of each environment, and which of them count inside other words' neighbourhood.
+PROD_NAMES = ("prod", "production", "prd", "live", "canli", "uretim")
+TEST_NAMES = ("test", "tst", "testing")
+QA_NAMES = ("qa",)
+UAT_NAMES = ("uat", "acceptance", "kabul")
+DEV_NAMES = ("dev", "development", "develop", "gelistirme", "local", "sandbox")
+STAGING_NAMES = ("staging", "stage", "stg", "preprod", "pre-prod", "canary")
+DR_NAMES = ("dr", "disaster")
+ENVIRONMENT_TOKEN = r"(?i)(?<![a-z0-9])(prod|production|prd|test|tst|qa|uat|dev|development|staging|stage|stg|preprod|canary|sandbox|live)(?![a-z0-9])"
+# Personal data and secrets.
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 IBAN = r"\bTR\d{2}(?:\s?\d{4}){5}\s?\d{2}\b|\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b"
 PHONE = r"(?<![\w])(?:\+?90[\s\-]?)?\(?0?5\d{2}\)?[\s\-]?\d{3}[\s\-]?\d{2}[\s\-]?\d{2}(?![\w])"
@@ -129,8 +133,8 @@ def severity_of(word: Column) -> Column:
     """Severity for a level word; syslog digits 0 to 4 are the urgent ones; INFO for anything else."""
     w = F.lower(F.trim(F.coalesce(word, F.lit(""))))
     out = F.when(w.isin("0", "1", "2"), "CRITICAL").when(w == "3", "ERROR").when(w == "4", "WARN")
-    for severity, words in SEVERITY_WORDS.items():
-        out = out.when(w.isin(*words.split()), severity)
+    for severity, words in zip(SEVERITIES, (DEBUG_WORDS, INFO_WORDS, WARN_WORDS, ERROR_WORDS, CRITICAL_WORDS), strict=True):
+        out = out.when(w.isin(*words), severity)
     return out.otherwise("INFO")
 
 
@@ -140,14 +144,26 @@ def severity_from_text(text: Column) -> Column:
     return F.when(word != "", severity_of(word)).when(text.rlike(ERROR_HINT), "ERROR").when(text.rlike(WARN_HINT), "WARN").otherwise("INFO")
 
 
+def _environment(name: Column) -> Column:
+    """The environment that a lower-cased name stands for; null for another."""
+    groups = {"prod": PROD_NAMES, "test": TEST_NAMES, "qa": QA_NAMES, "uat": UAT_NAMES, "dev": DEV_NAMES, "staging": STAGING_NAMES, "dr": DR_NAMES}
+    out = F.lit(None).cast("string")
+    for environment, names in groups.items():
+        out = F.when(name.isin(*names), environment).otherwise(out)
+    return out
+
+
+def normal_environment(value: Column) -> Column:
+    """`Production`, `PRD`, `prod-eu` as `prod`; another value lower-cased, 20 characters at most; empty for none."""
+    v = F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    inside = F.lower(F.regexp_extract(v, ENVIRONMENT_TOKEN, 1))
+    return F.coalesce(_environment(v), _environment(inside), F.substring(v, 1, 20))
+
+
 def environment_of(*texts: Column) -> Column:
     """Environment named by the first text that holds such a token; empty without one."""
-    words = "|".join(w for names in ENVIRONMENTS.values() for w in names.split())
-    found = F.coalesce(*[F.nullif(F.lower(F.regexp_extract(t, rf"(?i)(?<![a-z0-9])({words})(?![a-z0-9])", 1)), F.lit("")) for t in texts])
-    out = F.when(found.isNull(), "")
-    for name, names in ENVIRONMENTS.items():
-        out = out.when(found.isin(*names.split()), name)
-    return out.otherwise("")
+    found = F.coalesce(*[F.nullif(F.lower(F.regexp_extract(t, ENVIRONMENT_TOKEN, 1)), F.lit("")) for t in texts])
+    return F.coalesce(_environment(found), F.lit(""))
 
 
 def path_template(url: Column, segments: int = 8) -> Column:
@@ -164,14 +180,20 @@ def scrub(text: Column) -> Column:
     t = F.regexp_replace(F.coalesce(text, F.lit("")), SECRET, "$1$2***")
     for pattern, mark in ((BEARER, "Bearer ***"), (EMAIL, "[E-POSTA]"), (IBAN, "[IBAN]"), (PHONE, "[TEL]")):
         t = F.regexp_replace(t, pattern, mark)
-    runs = r"(?<![\w])\d[\d \-]{9,22}\d(?![\w])"
 
     def card(x: Column) -> Column:
         d = F.regexp_replace(x, r"\D", "")
-        return F.when(F.length(d).between(13, 19) & F.call_function("luhn_check", d), "[KART]").when((F.length(d) == 11) & _citizen(d), "[TCKN]").otherwise(x)
+        return F.when((F.length(d) == 11) & _citizen(d), "[TCKN]").when(F.length(d).between(13, 19) & F.call_function("luhn_check", d), "[KART]").otherwise(x)
+
+    t = _replaced(t, r"(?<![\w])\d[\d \-]{9,22}\d(?![\w])", card)
+    # Also beside letters.
+    return _replaced(t, r"(?<!\d)\d{11}(?!\d)", lambda x: F.when(_citizen(x), "[TCKN]").otherwise(x))
+
 
-    kept, hits = F.split(t, runs, -1), F.regexp_extract_all(t, F.lit(runs), 0)
-    return F.array_join(F.zip_with(kept, F.transform(hits, card), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+def _replaced(text: Column, pattern: str, made: Callable[[Column], Column]) -> Column:
+    """Each match of a pattern replaced by what `made` gives for it."""
+    kept, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.array_join(F.zip_with(kept, F.transform(hits, made), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
 def _citizen(d: Column) -> Column:

@@ -94,10 +94,18 @@ def hosts(obs: DataFrame, now_us: int, silent_us: int = 5 * MINUTE) -> DataFrame
 
 
 def pools(host_rows: DataFrame) -> DataFrame:
-    """Hosts folded by pool; outliers are hosts with over five times or under a fifth of the mean, among three hosts or more."""
-    mean = host_rows.groupBy("pool").agg(F.count("*").alias("hosts"), F.sum("lines").alias("lines"), F.sum("errors").alias("errors"), F.avg("lines").alias("mean"))
-    odd = host_rows.join(mean.select("pool", "mean", "hosts"), "pool").where("hosts >= 3 AND (lines > 5 * mean OR lines < mean / 5)").groupBy("pool").agg(F.count("*").alias("outliers"))
-    return mean.join(odd, "pool", "left").select("pool", "hosts", "lines", "errors", F.coalesce("outliers", F.lit(0)).alias("outliers"))
+    """Hosts folded by pool, with the worst host (most errors, then lines) if it has errors.
+
+    Outliers are hosts that aren't silent and have over five times or under a
+    fifth of the mean of those, if there are three of them or more.
+    """
+    live = F.when(~F.col("silent"), F.col("lines"))
+    mean = host_rows.groupBy("pool").agg(
+        F.count("*").alias("hosts"), F.sum("lines").alias("lines"), F.sum("errors").alias("errors"), F.count_if("silent").alias("silent"), F.avg(live).alias("mean"), F.count(live).alias("live"),
+        F.max_by(F.when(F.col("errors") > 0, F.col("host")), F.struct("errors", "lines", "host")).alias("worst"),
+    )
+    odd = host_rows.join(mean.select("pool", "mean", "live"), "pool").where("NOT silent AND live >= 3 AND (lines > 5 * mean OR lines < mean / 5)").groupBy("pool").agg(F.count("*").alias("outliers"))
+    return mean.join(odd, "pool", "left").select("pool", "hosts", "lines", "errors", "silent", "worst", F.coalesce("outliers", F.lit(0)).alias("outliers"))
 
 
 def sessions(obs: DataFrame, identity: str, step_us: int = 5 * MINUTE) -> DataFrame:

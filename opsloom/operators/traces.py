@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -16,7 +16,8 @@ VECTOR_BLOCK, QUERY_BLOCK = 8192, 512
 def red(spans: DataFrame, keys: list[str], target_ms: float = 300) -> DataFrame:
     """Calls, errors, mean, longest, quantiles and Apdex."""
     h = spans.withColumn("_b", stats.bucket(F.col("duration_ms"))).groupBy(*keys).agg(F.count("*").alias("calls"), F.count_if("error").alias("errors"), F.round(F.avg("duration_ms"), 4).alias("avg_ms"), F.max("duration_ms").alias("max_ms"), stats.histogram(F.col("_b")).alias("h"))
-    return h.select(*keys, "calls", "errors", "avg_ms", "max_ms", F.round(stats.quantile(F.col("h"), 0.95), 6).alias("p95"), F.round(stats.apdex(F.col("h"), target_ms), 6).alias("apdex"))
+    quantiles = [F.round(stats.quantile(F.col("h"), p), 6).alias(f"p{round(100 * p)}") for p in (0.5, 0.95, 0.99)]
+    return h.select(*keys, "calls", "errors", F.round(F.col("errors") / F.col("calls"), 5).alias("error_rate"), "avg_ms", "max_ms", *quantiles, F.round(stats.apdex(F.col("h"), target_ms), 6).alias("apdex"))
 
 
 def search(spans: DataFrame, least_ms: float, most: int) -> DataFrame:
@@ -25,51 +26,88 @@ def search(spans: DataFrame, least_ms: float, most: int) -> DataFrame:
     return t.withColumn("length_ms", F.col("hi") - F.col("lo")).where(F.col("length_ms") >= least_ms).orderBy(F.desc("length_ms"), "trace_id").limit(most).select("trace_id", "spans", "errors", "length_ms", "root")
 
 
+#: Powers of two up to which a span's length in ms goes: a day.
+LENGTHS = 27
+
+
 def parents(spans: DataFrame, slack_ms: float = 0.5) -> DataFrame:
-    """The tightest span of another service in the trace that encloses each span; of equally tight ones, the later.
+    """The parent of each span: the one it names, else the tightest earlier span of the trace that encloses it.
 
-    The join is inside a trace, and the choice an aggregate.
+    Earlier is by start, then longer first, then identifier; of equally tight
+    ones the last. The encloser must be of another service, or the span a call
+    outwards from one that isn't, or the encloser a user's or a device's.
+
+    An encloser lies in the one or two slots of its own length's power of two, and
+    a span looks into one slot of each power: no key holds a whole trace.
     """
-    p = spans.select("trace_id", F.col("span_id").alias("p_id"), F.col("service").alias("p_service"), F.col("start_ms").alias("p_start"), F.col("duration_ms").alias("p_ms"))
+    length = lambda ms: F.least(F.lit(LENGTHS), F.ceil(F.log2(ms + 2 * slack_ms + 1)).cast("int"))
+    slot = lambda at, level: F.floor(at / F.pow(F.lit(2.0), level)).cast("bigint")
+    p = spans.where("kind <> 'log'").select("trace_id", F.col("span_id").alias("p_id"), F.col("service").alias("p_service"), F.col("kind").alias("p_kind"), F.col("start_ms").alias("p_start"), F.col("duration_ms").alias("p_ms"), length(F.col("duration_ms")).alias("level"))
+    first = slot(F.col("p_start") - slack_ms, F.col("level"))
+    p = p.select("*", F.explode(F.array(first, first + 1)).alias("slot"))
+    named = spans.select("trace_id", F.col("span_id").alias("parent_ref"), F.col("service").alias("n_service"))
+    known = spans.join(named, ["trace_id", "parent_ref"], "left").withColumn("named", F.col("n_service").isNotNull() & (F.col("parent_ref") != F.col("span_id")))
+    c = known.where(~F.coalesce("named", F.lit(False))).select("trace_id", "span_id", "service", "kind", "start_ms", "duration_ms", F.explode(F.sequence(F.greatest(F.lit(0), length(F.col("duration_ms")) - 2), F.lit(LENGTHS))).alias("level"))
+    j = c.withColumn("slot", slot(F.col("start_ms"), F.col("level"))).join(p, ["trace_id", "level", "slot"])
     inside = (F.col("p_start") <= F.col("start_ms") + slack_ms) & (F.col("start_ms") + F.col("duration_ms") <= F.col("p_start") + F.col("p_ms") + slack_ms)
-    j = spans.join(p, "trace_id").where((F.col("p_service") != F.col("service")) & inside & ((F.col("p_ms") > F.col("duration_ms")) | ((F.col("p_ms") == F.col("duration_ms")) & (F.col("p_id") < F.col("span_id")))))
-    best = j.groupBy("trace_id", "span_id").agg(F.min_by(F.struct("p_id", "p_service", "p_ms"), F.struct("p_ms", -F.col("p_id"))).alias("b"))
-    return spans.join(best, ["trace_id", "span_id"], "left").select("trace_id", "span_id", "service", "duration_ms", "error", F.col("b.p_id").alias("parent_id"), F.col("b.p_service").alias("parent_service"))
+    earlier = F.struct("p_start", -F.col("p_ms"), "p_id") < F.struct("start_ms", -F.col("duration_ms"), "span_id")
+    out = ("db", "client", "external", "producer")
+    fits = (F.col("p_service") != F.col("service")) | (F.col("kind").isin(*out) & ~F.col("p_kind").isin(*out)) | F.col("p_kind").isin("user", "mobile")
+    best = j.where(inside & earlier & fits).groupBy("trace_id", "span_id").agg(F.min_by(F.struct("p_id", "p_service"), F.struct("p_ms", -F.col("p_start"), -F.col("p_id"))).alias("b"))
+    made = known.join(best, ["trace_id", "span_id"], "left")
+    pick = lambda own, other: F.when(F.col("named"), F.col(own)).otherwise(F.col(other))
+    return made.select("trace_id", "span_id", "service", "kind", "start_ms", "duration_ms", "error", pick("parent_ref", "b.p_id").alias("parent_id"), pick("n_service", "b.p_service").alias("parent_service"), (~F.coalesce("named", F.lit(False)) & F.col("b").isNotNull()).alias("inferred"))
+
+
+def _at(share: float) -> Column:
+    """Aggregate: the duration at index floor(share x n) of the sorted ones."""
+    return F.expr(f"percentile_disc({share} + 1e-12D) WITHIN GROUP (ORDER BY duration_ms)")
 
 
 def edges(with_parents: DataFrame) -> DataFrame:
-    """Calls between services."""
-    return with_parents.where("parent_id IS NOT NULL").groupBy(F.col("parent_service").alias("src"), F.col("service").alias("dst")).agg(F.count("*").alias("calls"), F.count_if("error").alias("errors"))
+    """Calls that cross services: how many, with errors, by inference, and the p50 and p95 of their durations."""
+    crossing = with_parents.where("parent_id IS NOT NULL AND parent_service <> service AND kind <> 'log'")
+    return crossing.groupBy(F.col("parent_service").alias("src"), F.col("service").alias("dst")).agg(F.count("*").alias("calls"), F.count_if("error").alias("errors"), F.count_if("inferred").alias("inferred"), _at(0.5).alias("p50"), _at(0.95).alias("p95"))
 
 
 def self_times(spans: DataFrame, with_parents: DataFrame) -> DataFrame:
     """Duration less that of the children, at least 0."""
-    kids = with_parents.where("parent_id IS NOT NULL").groupBy("trace_id", F.col("parent_id").alias("span_id")).agg(F.sum("duration_ms").alias("kids_ms"))
+    kids = with_parents.where("parent_id IS NOT NULL AND kind <> 'log'").groupBy("trace_id", F.col("parent_id").alias("span_id")).agg(F.sum("duration_ms").alias("kids_ms"))
     return spans.join(kids, ["trace_id", "span_id"], "left").select("trace_id", "span_id", F.greatest(F.lit(0.0), F.col("duration_ms") - F.coalesce("kids_ms", F.lit(0.0))).alias("self_ms"))
 
 
+def depths(with_parents: DataFrame, most: int = 64) -> DataFrame:
+    """(trace_id, span_id, depth): how many parents lie above a span. Each round doubles the distance that pointers reach."""
+    at = with_parents.select("trace_id", "span_id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"))
+    reach = 1
+    while reach < most:
+        above = at.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
+        at = at.join(above, ["trace_id", "up"], "left").select("trace_id", "span_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        reach *= 2
+    return at.select("trace_id", "span_id", "depth")
+
+
 def funnel(events: DataFrame, steps: int, now_s: int) -> DataFrame:
-    """Reached, conversion, median gap and stuck items for each step; the first event of a key and step counts.
+    """Reached, conversion, gaps and stuck items for each step; the first event of a key and step counts.
 
-    Stuck: waiting at its last step for over max(60, 1.5 x p95 of the gaps), or 900 s with fewer than five gaps.
+    Median and p95 are of all gaps, also negative ones. Stuck: waiting at its last
+    step for over max(60, 1.5 x the p95 of the gaps that aren't negative), or 900 s
+    with fewer than five of these.
     """
     first = events.groupBy("key", "step").agg(F.min("t").alias("t"))
     wide = first.groupBy("key").pivot("step", list(range(steps))).agg(F.first("t"))
     gaps = wide.select(F.explode(F.array(*[F.struct(F.lit(i).alias("step"), (F.col(str(i + 1)) - F.col(str(i))).alias("g")) for i in range(steps - 1)])).alias("x")).select("x.step", "x.g").where("g IS NOT NULL")
-    # Gaps are whole seconds: their counts by value stand for them.
-    by = gaps.groupBy("step", "g").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("step")
-    good = by.where("g >= 0").withColumn("upto", F.sum("n").over(w.orderBy("g"))).withColumn("all", F.sum("n").over(w))
-    p95 = good.where(F.col("upto") > F.least(F.col("all") - 1, F.floor(F.col("all") * 0.95))).groupBy("step").agg(F.min("g").alias("p95"), F.max("all").alias("gaps"))
-    median = gaps.groupBy("step").agg(F.median("g").alias("median_s"))
-    limit = F.when(F.col("gaps") >= 5, F.greatest(F.lit(60.0), F.col("p95") * 1.5)).otherwise(900.0)
-    limits = p95.select("step", limit.alias("limit_s"))
+    at = lambda g: F.expr(f"percentile_disc(0.95 + 1e-12D) WITHIN GROUP (ORDER BY {g})")
+    per = gaps.withColumn("good", F.when(F.col("g") >= 0, F.col("g"))).groupBy("step").agg(F.median("g").alias("median_s"), at("g").alias("p95_s"), at("good").alias("p95"), F.count("good").alias("gaps"))
+    limits = per.select("step", F.when(F.col("gaps") >= 5, F.greatest(F.lit(60.0), F.col("p95") * 1.5)).otherwise(900.0).alias("limit_s"))
     last = first.groupBy("key").agg(F.max_by("t", "step").alias("t"), F.max("step").alias("step")).where(F.col("step") < steps - 1)
-    stuck = last.join(F.broadcast(limits), "step", "left").where(now_s - F.col("t") > F.coalesce("limit_s", F.lit(900.0))).groupBy("step").agg(F.count("*").alias("stuck"))
+    stuck = last.join(limits, "step", "left").where(now_s - F.col("t") > F.coalesce("limit_s", F.lit(900.0))).groupBy("step").agg(F.count("*").alias("stuck"))
     reached = first.groupBy("step").agg(F.count("*").alias("reached"))
-    start = reached.where("step = 0").select(F.col("reached").alias("n0"))
-    out = reached.join(median, "step", "left").join(stuck, "step", "left").join(F.broadcast(start))
-    return out.select("step", "reached", F.round(F.col("reached") / F.col("n0"), 4).alias("of_first"), "median_s", F.coalesce("stuck", F.lit(0)).alias("stuck"))
+    # One row for each step from here on.
+    steps_in_order = Window.partitionBy(F.lit(0)).orderBy("step")
+    out = reached.join(per.select("step", "median_s", "p95_s"), "step", "left").join(stuck, "step", "left")
+    share = lambda n: F.round(F.col("reached") / n, 4)
+    return out.select("step", "reached", share(F.first("reached").over(steps_in_order)).alias("of_first"), share(F.lag("reached").over(steps_in_order)).alias("from_prev"), "median_s", "p95_s", F.coalesce("stuck", F.lit(0)).alias("stuck"))
 
 
 def flow_edges(flows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import views  # noqa: F401 (registers its queries)
 from .catalog import QUERIES, SQL
 
 

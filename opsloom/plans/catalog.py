@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
@@ -23,7 +23,8 @@ OBS = """obs AS (SELECT event_id AS seq, epoch_us(ts) AS us, CASE event_type WHE
   'svc-' || event_type AS service, 'prd-app-' || lpad(CAST(user_id % 20 AS VARCHAR), 2, '0') AS host, CASE user_id % 3 WHEN 0 THEN 'prod' WHEN 1 THEN 'test' ELSE 'dev' END AS environment,
   event_type || ' request ' || event_id || ' took ' || CAST(round(value) AS BIGINT) || ' ms' AS message, event_type || ' request <n> took <n>ms' AS template, CAST(round(value) AS DOUBLE) AS ms, value, user_id, event_type, props FROM events),
 o AS (SELECT *, severity IN ('ERROR', 'CRITICAL') AS bad, array_position(['DEBUG', 'INFO', 'WARN', 'ERROR', 'CRITICAL'], severity) - 1 AS lvl FROM obs)"""
-LINES = """p AS (SELECT l_orderkey AS trace_id, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS span_id, 'supplier-' || (l_suppkey % 5) AS service, CAST((l_partkey * 37 + l_linenumber * 11) % 400 AS DOUBLE) AS start_ms, CAST((l_suppkey * 53 + l_partkey * 7) % 900 + 1 AS DOUBLE) AS duration_ms, l_returnflag = 'R' AS error FROM lineitem)"""
+LINES = """p0 AS (SELECT l_orderkey AS trace_id, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS span_id, 'supplier-' || (l_suppkey % 5) AS service, CAST((l_partkey * 37 + l_linenumber * 11) % 400 AS DOUBLE) AS start_ms, CAST((l_suppkey * 53 + l_partkey * 7) % 900 + 1 AS DOUBLE) AS duration_ms, l_returnflag = 'R' AS error, CASE (l_partkey + l_linenumber) % 8 WHEN 0 THEN 'db' WHEN 1 THEN 'client' WHEN 2 THEN 'user' WHEN 3 THEN 'log' ELSE 'server' END AS kind, l_linenumber FROM lineitem),
+p AS (SELECT * EXCLUDE (l_linenumber), CASE WHEN l_linenumber = 3 THEN first_value(span_id) OVER (PARTITION BY trace_id ORDER BY start_ms, -duration_ms, span_id) END AS parent_ref FROM p0)"""
 BOUNDS = "b AS (SELECT i, CASE i WHEN 0 THEN 0.0 ELSE x[i] END AS lo, CASE i WHEN 22 THEN 240000.0 ELSE x[i + 1] END AS hi FROM (SELECT [1,2,5,10,20,50,100,200,300,500,750,1000,1500,2000,3000,5000,7500,10000,20000,30000,60000,120000] AS x, unnest(range(0, 23)) AS i))"
 
 
@@ -38,12 +39,16 @@ def query(sql: str | None = None):
 
 
 def spans_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as spans of a trace."""
+    """Order lines as spans of a trace; the third line names the trace's first span as its parent."""
     li = table(spark, sf_dir, "lineitem")
-    return li.select(
+    kinds = F.array(*map(F.lit, ("db", "client", "user", "log", "server", "server", "server", "server")))
+    s = li.select(
         F.col("l_orderkey").alias("trace_id"), (F.col("l_linenumber").cast("bigint") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("span_id"), F.concat(F.lit("supplier-"), F.col("l_suppkey") % 5).alias("service"),
         ((F.col("l_partkey") * 37 + F.col("l_linenumber") * 11) % 400).cast("double").alias("start_ms"), ((F.col("l_suppkey") * 53 + F.col("l_partkey") * 7) % 900 + 1).cast("double").alias("duration_ms"), (F.col("l_returnflag") == "R").alias("error"),
+        F.element_at(kinds, (F.pmod(F.col("l_partkey") + F.col("l_linenumber"), F.lit(8)) + 1).cast("int")).alias("kind"), "l_linenumber",
     )
+    first = Window.partitionBy("trace_id").orderBy("start_ms", -F.col("duration_ms"), "span_id")
+    return s.withColumn("parent_ref", F.when(F.col("l_linenumber") == 3, F.first("span_id").over(first))).drop("l_linenumber")
 
 
 @query(f"WITH {OBS}, n AS (SELECT severity AS key, CAST(floor((us - {START}) / {DAY}) AS BIGINT) AS bar, count(*) AS lines FROM o WHERE bad AND service LIKE 'svc-%' AND us >= {START} AND us < {END} GROUP BY 1, 2) SELECT bar, key, coalesce(lines, 0) AS lines FROM (SELECT key, unnest(range(0, 30)) AS bar FROM (SELECT DISTINCT key FROM n)) LEFT JOIN n USING (key, bar)")
@@ -71,9 +76,9 @@ def facets(spark, sf_dir):
     return rollups.facets(from_events(spark, sf_dir), clauses, ["severity", "service", "host"])
 
 
-@query(f"WITH {OBS} SELECT template, service, count(*) AS lines, CAST(max(lvl) AS INT) AS level, count(DISTINCT host) AS hosts, min(us) AS first_us, max(us) AS last_us FROM o GROUP BY 1, 2")
+@query(f"WITH {OBS} SELECT template, service, count(*) AS lines, CAST(max(lvl) AS INT) AS level, count(DISTINCT host) AS hosts, min(us) AS first_us, max(us) AS last_us, arg_max(message, {{'a': us, 'b': seq}}) AS sample, substr(sha1(template || chr(0) || service), 1, 12) AS group_key FROM o GROUP BY 1, 2")
 def message_groups(spark, sf_dir):
-    return rollups.groups(from_events(spark, sf_dir)).drop("sample", "group_key")
+    return rollups.groups(from_events(spark, sf_dir))
 
 
 @query(f"""WITH {OBS} SELECT 'level' AS leaf, count(*) AS lines FROM o WHERE lvl >= 2 UNION ALL SELECT 'glob', count(*) FROM o WHERE host LIKE 'prd-app-1_' UNION ALL SELECT 'number', count(*) FROM o WHERE coalesce(TRY_CAST(props->>'$.k' AS DOUBLE) > 50, false) UNION ALL SELECT 'present', count(*) FROM o WHERE coalesce(props->>'$.k', '-') NOT IN ('', '-') UNION ALL SELECT 'not_missing', count(*) FROM o UNION ALL SELECT 'text', count(*) FROM o WHERE message LIKE '%error request%'""")
@@ -115,9 +120,9 @@ def service_levels(spark, sf_dir):
     return s.withColumn("availability", F.round("availability", 9)).withColumn("budget_left", F.round("budget_left", 6))
 
 
-@query(f"WITH {OBS}, n AS (SELECT CAST(floor(us / {DAY}) AS BIGINT) AS bucket, count(*) AS lines, sum(CAST(bad AS INT)) AS errors FROM o GROUP BY 1) SELECT bucket, CAST(sum(lines) OVER (ORDER BY bucket) AS BIGINT) AS all_lines, CAST(sum(errors) OVER (ORDER BY bucket) AS BIGINT) AS all_errors FROM n")
+@query(f"WITH {OBS}, n AS (SELECT CAST(floor(us / {DAY}) AS BIGINT) AS bucket, count(*) AS lines, sum(CAST(bad AS INT)) AS errors FROM o GROUP BY 1), c AS (SELECT bucket, lines, CAST(errors AS BIGINT) AS errors, CAST(sum(lines) OVER (ORDER BY bucket) AS BIGINT) AS all_lines, CAST(sum(errors) OVER (ORDER BY bucket) AS BIGINT) AS all_errors FROM n) SELECT *, round(greatest(0.0, 1 - (all_errors / all_lines) / 0.3), 6) AS budget_left FROM c")
 def budget_burn(spark, sf_dir):
-    return rollups.burn(from_events(spark, sf_dir), DAY).select("bucket", "all_lines", "all_errors")
+    return rollups.burn(from_events(spark, sf_dir), DAY, 0.7).withColumn("budget_left", F.round("budget_left", 6))
 
 
 @query(f"WITH {OBS}, s AS (SELECT host, service, count(*) AS n FROM o GROUP BY 1, 2), t AS (SELECT host, service AS top_service FROM s QUALIFY row_number() OVER (PARTITION BY host ORDER BY n DESC, service) = 1) SELECT host, count(*) AS lines, count(*) FILTER (bad) AS errors, count(*) FILTER (severity = 'WARN') AS warnings, max(us) AS last_us, any_value(top_service) AS top_service, max(us) < {END} - {5 * MINUTE} AS silent, 'prd-app' AS pool FROM o JOIN t USING (host) GROUP BY 1")
@@ -125,9 +130,12 @@ def host_table(spark, sf_dir):
     return rollups.hosts(from_events(spark, sf_dir), END)
 
 
-@query(f"WITH {OBS}, h AS (SELECT host, count(*) AS lines, count(*) FILTER (bad) AS errors FROM o GROUP BY 1) SELECT 'prd-app' AS pool, count(*) AS hosts, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(errors) AS BIGINT) AS errors, count(*) FILTER (lines > 5 * (SELECT avg(lines) FROM h) OR lines < (SELECT avg(lines) FROM h) / 5) AS outliers FROM h")
+@query(f"""WITH {OBS}, h AS (SELECT host, count(*) AS lines, count(*) FILTER (bad) AS errors, max(us) < {END - 10 * DAY} - {7 * 60 * MINUTE} AS silent FROM o WHERE us < {END - 10 * DAY} GROUP BY 1), m AS (SELECT avg(lines) AS m, count(*) AS k FROM h WHERE NOT silent)
+SELECT 'prd-app' AS pool, count(*) AS hosts, CAST(sum(lines) AS BIGINT) AS lines, CAST(sum(errors) AS BIGINT) AS errors, count(*) FILTER (silent) AS silent, arg_max(CASE WHEN errors > 0 THEN host END, {{'a': errors, 'b': lines, 'c': host}}) AS worst, count(*) FILTER (NOT silent AND (SELECT k FROM m) >= 3 AND (lines > 5 * (SELECT m FROM m) OR lines < (SELECT m FROM m) / 5)) AS outliers FROM h""")
 def pools(spark, sf_dir):
-    return rollups.pools(rollups.hosts(from_events(spark, sf_dir), END))
+    """Pools as they stood on a day, with hosts that had been silent for seven hours."""
+    now = END - 10 * DAY
+    return rollups.pools(rollups.hosts(from_events(spark, sf_dir).where(F.col("us") < now), now, 7 * HOUR))
 
 
 @query(f"WITH {OBS} SELECT user_id, count(*) AS lines, count(*) FILTER (bad) AS errors, min(us) AS first_us, max(us) AS last_us, count(DISTINCT floor(us / {5 * MINUTE})) AS active, count(DISTINCT host) AS hosts FROM o GROUP BY 1")
@@ -194,9 +202,11 @@ def threshold_breaches(spark, sf_dir):
     return incidents.resolve_policies(latest, rules)
 
 
-@query(f"WITH {LINES}, {BOUNDS}, h AS (SELECT service, i, lo, hi, count(*) AS c FROM p JOIN b ON duration_ms > lo AND duration_ms <= hi GROUP BY ALL), w AS (SELECT *, sum(c) OVER (PARTITION BY service ORDER BY i) AS acc, sum(c) OVER (PARTITION BY service) AS n FROM h), q AS (SELECT service, arg_min(lo + (hi - lo) * ((0.95 * n - (acc - c)) / c), i) AS p95 FROM w WHERE acc >= 0.95 * n GROUP BY 1) SELECT service, count(*) AS calls, count(*) FILTER (error) AS errors, round(avg(duration_ms), 4) AS avg_ms, max(duration_ms) AS max_ms, round(any_value(p95), 6) AS p95 FROM p JOIN q USING (service) GROUP BY 1")
+@query(f"""WITH {LINES}, {BOUNDS}, h AS (SELECT service, i, lo, hi, count(*) AS c FROM p JOIN b ON duration_ms > lo AND duration_ms <= hi GROUP BY ALL), w AS (SELECT *, sum(c) OVER (PARTITION BY service ORDER BY i) AS acc, sum(c) OVER (PARTITION BY service) AS n FROM h), q AS (SELECT service, s, arg_min(lo + (hi - lo) * ((s * n - (acc - c)) / c), i) AS v FROM w, (SELECT unnest([0.5, 0.95, 0.99]) AS s) WHERE acc >= s * n GROUP BY 1, 2),
+a AS (SELECT service, sum(c * (least(1.0, greatest(0.0, (300 - lo) / (hi - lo))) + least(1.0, greatest(0.0, (1200 - lo) / (hi - lo))))) / 2 / any_value(n) AS apdex FROM w GROUP BY 1), r AS (SELECT service, round(max(v) FILTER (s = 0.5), 6) AS p50, round(max(v) FILTER (s = 0.95), 6) AS p95, round(max(v) FILTER (s = 0.99), 6) AS p99 FROM q GROUP BY 1)
+SELECT service, count(*) AS calls, count(*) FILTER (error) AS errors, round(count(*) FILTER (error) / count(*), 5) AS error_rate, round(avg(duration_ms), 4) AS avg_ms, max(duration_ms) AS max_ms, any_value(p50) AS p50, any_value(p95) AS p95, any_value(p99) AS p99, round(any_value(apdex), 6) AS apdex FROM p JOIN r USING (service) JOIN a USING (service) GROUP BY 1""")
 def red_metrics(spark, sf_dir):
-    return traces.red(spans_of(spark, sf_dir), ["service"]).drop("apdex")
+    return traces.red(spans_of(spark, sf_dir), ["service"])
 
 
 @query(f"WITH {LINES} SELECT trace_id, count(*) AS spans, count(*) FILTER (error) AS errors, max(start_ms + duration_ms) - min(start_ms) AS length_ms, arg_min(service, {{'a': start_ms, 'b': span_id}}) AS root FROM p GROUP BY 1 HAVING max(start_ms + duration_ms) - min(start_ms) >= 500 ORDER BY length_ms DESC, trace_id LIMIT 50")
@@ -204,30 +214,40 @@ def trace_search(spark, sf_dir):
     return traces.search(spans_of(spark, sf_dir), 500, 50)
 
 
-_PARENTS = f"{LINES}, c AS (SELECT x.trace_id, x.span_id, x.service, x.duration_ms, x.error, y.span_id AS parent_id, y.service AS parent_service, row_number() OVER (PARTITION BY x.trace_id, x.span_id ORDER BY y.duration_ms, y.span_id DESC) AS r FROM p x JOIN p y ON x.trace_id = y.trace_id AND x.service <> y.service AND y.start_ms <= x.start_ms + 0.5 AND x.start_ms + x.duration_ms <= y.start_ms + y.duration_ms + 0.5 AND (y.duration_ms > x.duration_ms OR (y.duration_ms = x.duration_ms AND y.span_id < x.span_id)))"
+_PARENTS = f"""{LINES}, f AS (SELECT x.trace_id, x.span_id, y.span_id AS parent_id, y.service AS parent_service FROM p x JOIN p y ON x.trace_id = y.trace_id AND x.parent_ref = y.span_id AND x.span_id <> y.span_id),
+c AS (SELECT x.trace_id, x.span_id, y.span_id AS parent_id, y.service AS parent_service, row_number() OVER (PARTITION BY x.trace_id, x.span_id ORDER BY y.duration_ms, y.start_ms DESC, y.span_id DESC) AS r FROM p x JOIN p y ON x.trace_id = y.trace_id AND y.kind <> 'log' AND y.start_ms <= x.start_ms + 0.5 AND x.start_ms + x.duration_ms <= y.start_ms + y.duration_ms + 0.5
+  AND (y.start_ms, -y.duration_ms, y.span_id) < (x.start_ms, -x.duration_ms, x.span_id) AND (x.service <> y.service OR (x.kind IN ('db', 'client', 'external', 'producer') AND y.kind NOT IN ('db', 'client', 'external', 'producer')) OR y.kind IN ('user', 'mobile')) WHERE (x.trace_id, x.span_id) NOT IN (SELECT (trace_id, span_id) FROM f)),
+t AS (SELECT p.*, coalesce(f.parent_id, c.parent_id) AS parent_id, coalesce(f.parent_service, c.parent_service) AS parent_service, c.parent_id IS NOT NULL AS inferred FROM p LEFT JOIN f USING (trace_id, span_id) LEFT JOIN (SELECT * FROM c WHERE r = 1) c USING (trace_id, span_id))"""
 
 
-@query(f"WITH {_PARENTS} SELECT trace_id, span_id, p.service, p.duration_ms, p.error, parent_id, parent_service FROM p LEFT JOIN (SELECT trace_id, span_id, parent_id, parent_service FROM c WHERE r = 1) USING (trace_id, span_id)")
+@query(f"WITH {_PARENTS} SELECT trace_id, span_id, service, kind, start_ms, duration_ms, error, parent_id, parent_service, inferred FROM t")
 def span_parents(spark, sf_dir):
     return traces.parents(spans_of(spark, sf_dir))
 
 
-@query(f"WITH {_PARENTS} SELECT parent_service AS src, service AS dst, count(*) AS calls, count(*) FILTER (error) AS errors FROM c WHERE r = 1 GROUP BY 1, 2")
+@query(f"WITH {_PARENTS} SELECT parent_service AS src, service AS dst, count(*) AS calls, count(*) FILTER (error) AS errors, count(*) FILTER (inferred) AS inferred, list_sort(list(duration_ms))[CAST(floor(count(*) * 0.5) AS INT) + 1] AS p50, list_sort(list(duration_ms))[CAST(floor(count(*) * 0.95) AS INT) + 1] AS p95 FROM t WHERE parent_id IS NOT NULL AND parent_service <> service AND kind <> 'log' GROUP BY 1, 2")
 def service_topology(spark, sf_dir):
     return traces.edges(traces.parents(spans_of(spark, sf_dir)))
 
 
-@query(f"WITH {_PARENTS}, k AS (SELECT trace_id, parent_id AS span_id, sum(duration_ms) AS kids FROM c WHERE r = 1 GROUP BY 1, 2) SELECT trace_id, span_id, greatest(0.0, duration_ms - coalesce(kids, 0.0)) AS self_ms FROM p LEFT JOIN k USING (trace_id, span_id)")
-def span_self_times(spark, sf_dir):
+@query(f"WITH RECURSIVE {_PARENTS}, k AS (SELECT trace_id, parent_id AS span_id, sum(duration_ms) AS kids FROM t WHERE parent_id IS NOT NULL AND kind <> 'log' GROUP BY 1, 2), d(trace_id, span_id, depth) AS (SELECT trace_id, span_id, 0 FROM t WHERE parent_id IS NULL UNION ALL SELECT t.trace_id, t.span_id, d.depth + 1 FROM t JOIN d ON t.trace_id = d.trace_id AND t.parent_id = d.span_id), z AS (SELECT trace_id, min(start_ms) AS t0 FROM p GROUP BY 1) SELECT DISTINCT trace_id, span_id, greatest(0.0, duration_ms - coalesce(kids, 0.0)) AS self_ms, depth, start_ms - t0 AS offset_ms FROM t LEFT JOIN k USING (trace_id, span_id) JOIN d USING (trace_id, span_id) JOIN z USING (trace_id)")
+def waterfalls(spark, sf_dir):
+    """Each trace's spans with their own time, depth and offset."""
     s = spans_of(spark, sf_dir)
-    return traces.self_times(s, traces.parents(s))
+    with_parents = traces.parents(s)
+    start = s.groupBy("trace_id").agg(F.min("start_ms").alias("t0"))
+    own = traces.self_times(s, with_parents).join(traces.depths(with_parents, 8), ["trace_id", "span_id"])
+    return own.join(s.select("trace_id", "span_id", "start_ms"), ["trace_id", "span_id"]).join(start, "trace_id").select("trace_id", "span_id", "self_ms", "depth", (F.col("start_ms") - F.col("t0")).alias("offset_ms")).distinct()
 
 
-@query("WITH e AS (SELECT o_orderkey AS key, 0 AS step, epoch_us(o_orderdate) // 1000000 AS t FROM orders UNION ALL SELECT l_orderkey, l_linenumber, epoch_us(l_shipdate) // 1000000 FROM lineitem WHERE l_linenumber < 4), f AS (SELECT key, step, min(t) AS t FROM e GROUP BY 1, 2), g AS (SELECT a.step, b.t - a.t AS g FROM f a JOIN f b ON a.key = b.key AND b.step = a.step + 1), r AS (SELECT step, count(*) AS reached FROM f GROUP BY 1) SELECT step, reached, round(reached / (SELECT reached FROM r WHERE step = 0), 4) AS of_first, m AS median_s FROM r LEFT JOIN (SELECT step, median(g) AS m FROM g GROUP BY 1) USING (step)")
+@query(f"""WITH e AS (SELECT o_orderkey AS key, 0 AS step, epoch_us(o_orderdate) // 1000000 AS t FROM orders UNION ALL SELECT l_orderkey, l_linenumber, epoch_us(l_shipdate) // 1000000 FROM lineitem WHERE l_linenumber < 4), f AS (SELECT key, step, min(t) AS t FROM e GROUP BY 1, 2), g AS (SELECT a.step, b.t - a.t AS g FROM f a JOIN f b ON a.key = b.key AND b.step = a.step + 1), r AS (SELECT step, count(*) AS reached FROM f GROUP BY 1),
+q AS (SELECT step, median(g) AS m, CAST(list_sort(list(g))[least(count(*), CAST(floor(count(*) * 0.95) AS INT) + 1)] AS DOUBLE) AS p, count(*) FILTER (g >= 0) AS k, list_sort(list(g) FILTER (g >= 0)) AS w FROM g GROUP BY 1), l AS (SELECT step, CASE WHEN k >= 5 THEN greatest(60.0, 1.5 * w[least(k, CAST(floor(k * 0.95) AS INT) + 1)]) ELSE 900.0 END AS lim FROM q),
+z AS (SELECT key, max(step) AS step, arg_max(t, step) AS t FROM f GROUP BY 1), s AS (SELECT z.step, count(*) AS n FROM z LEFT JOIN l USING (step) WHERE z.step < 3 AND {END // 1_000_000} - t > coalesce(lim, 900.0) GROUP BY 1)
+SELECT step, reached, round(reached / first(reached) OVER (ORDER BY step), 4) AS of_first, round(reached / lag(reached) OVER (ORDER BY step), 4) AS from_prev, m AS median_s, p AS p95_s, coalesce(n, 0) AS stuck FROM r LEFT JOIN q USING (step) LEFT JOIN s USING (step)""")
 def order_funnel(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.lit(0).alias("step"), F.floor(micros("o_orderdate") / 1_000_000).alias("t"))
     li = table(spark, sf_dir, "lineitem").where("l_linenumber < 4").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("step"), F.floor(micros("l_shipdate") / 1_000_000).alias("t"))
-    return traces.funnel(o.unionByName(li), 4, END // 1_000_000).drop("stuck")
+    return traces.funnel(o.unionByName(li), 4, END // 1_000_000)
 
 
 @query("SELECT s.s_nationkey AS src, c.c_nationkey AS dst, count(*) AS connections, count(DISTINCT l_suppkey) AS parties, epoch_us(max(l_shipdate)) AS last_t FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer c ON o_custkey = c_custkey JOIN supplier s ON l_suppkey = s_suppkey GROUP BY 1, 2")
@@ -243,13 +263,6 @@ def path_templates(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.path_template(F.col("url")).alias("path"))
 
 
-@query("WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 5) SELECT query_id, vec_id, cosine, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS INT) AS place FROM s QUALIFY place <= 10")
-def similar_vectors(spark, sf_dir):
-    """The ten nearest vectors to each of five stated ones."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return traces.nearest(v, v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10)
-
-
 @query("WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) SELECT query_id, vec_id, cosine, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS INT) AS place FROM s QUALIFY place <= 10")
 def nearest_vectors(spark, sf_dir):
     """The ten nearest vectors to each one whose identifier is divisible by 50, among all."""
@@ -272,12 +285,13 @@ def deduplicated(spark, sf_dir):
     return deduplicate(li, "k", F.col("l_returnflag") == "R", "n").select("k", "n")
 
 
-@query(f"WITH {OBS}, a AS (SELECT seq, us, us + CASE seq % 4 WHEN 0 THEN {3 * HOUR} WHEN 1 THEN {10 * MINUTE} WHEN 2 THEN 0 ELSE {-400 * DAY} END AS s FROM o) SELECT seq, CASE seq % 4 WHEN 0 THEN us WHEN 1 THEN us WHEN 2 THEN us ELSE us END AS us FROM a")
+@query(f"""WITH {OBS}, a AS (SELECT seq, us, CASE seq % 8 WHEN 0 THEN us + {3 * HOUR - MINUTE} WHEN 1 THEN us + {10 * MINUTE} WHEN 2 THEN us WHEN 3 THEN us - {400 * DAY} WHEN 4 THEN us + {3 * DAY} WHEN 5 THEN us + {20 * MINUTE} WHEN 6 THEN us - {10000 * DAY} END AS s FROM o), x AS (SELECT *, s - us AS ahead FROM a), y AS (SELECT *, CAST(ceil(ahead / {15 * MINUTE}) AS BIGINT) * {15 * MINUTE} AS off FROM x)
+SELECT seq, CASE WHEN s IS NULL OR year(make_timestamp(s)) < 2000 OR ahead > {DAY} THEN us WHEN ahead >= {15 * MINUTE} AND ahead <= {14 * HOUR} AND off - ahead <= {5 * MINUTE} THEN s - off ELSE s END AS us FROM y""")
 def clock_repair(spark, sf_dir):
-    """Stamps put out of order, then repaired against the arrival."""
-    r = F.pmod("seq", F.lit(4))
-    bent = F.col("us") + F.when(r == 0, 3 * HOUR).when(r == 1, 10 * MINUTE).when(r == 2, 0).otherwise(-400 * DAY)
-    return from_events(spark, sf_dir).select("seq", repair_clock(bent, F.col("us")).alias("us"))
+    """Stamps put out of order in eight ways, then repaired against the arrival."""
+    r = F.pmod("seq", F.lit(8))
+    by = F.when(r == 0, 3 * HOUR - MINUTE).when(r == 1, 10 * MINUTE).when(r == 2, 0).when(r == 3, -400 * DAY).when(r == 4, 3 * DAY).when(r == 5, 20 * MINUTE).when(r == 6, -10_000 * DAY)
+    return from_events(spark, sf_dir).select("seq", repair_clock(F.col("us") + by, F.col("us")).alias("us"))
 
 
 @query(f"WITH {OBS} SELECT coalesce(a.template, b.template) AS template, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after, CASE WHEN a.n IS NULL THEN 'only_b' WHEN b.n IS NULL THEN 'only_a' ELSE 'shared' END AS side FROM (SELECT template, count(*) AS n FROM o WHERE us < {START + 15 * DAY} GROUP BY 1) a FULL JOIN (SELECT template, count(*) AS n FROM o WHERE us >= {START + 15 * DAY} GROUP BY 1) b USING (template)")
@@ -287,15 +301,13 @@ def compare_halves(spark, sf_dir):
     return n.withColumn("side", F.when(F.col("before") == 0, "only_b").when(F.col("after") == 0, "only_a").otherwise("shared"))
 
 
-@query(f"WITH {OBS} SELECT seq, host, service, CAST(lvl AS INT) AS level, message FROM o")
+@query(f"WITH {OBS} SELECT seq, host, service, CASE severity WHEN 'CRITICAL' THEN 'CRITICAL' WHEN 'ERROR' THEN 'ERROR' WHEN 'WARN' THEN 'WARN' ELSE 'INFO' END AS severity, 'b' AS a, message FROM o")
 def syslog_round_trip(spark, sf_dir):
-    """Observations written as RFC 5424 lines and parsed again."""
+    """Observations written as RFC 5424 lines and parsed again; urgencies 5 to 7 are all INFO."""
     o = from_events(spark, sf_dir)
     pri = F.element_at(F.array(*map(F.lit, ("135", "134", "132", "131", "130"))), text.rank(F.col("severity")) + 1)
     lines = o.select("seq", F.concat(F.lit("<"), pri, F.lit(">1 2024-01-01T00:00:00Z "), "host", F.lit(" "), "service", F.lit(' 7 - [x@1 a="b"] '), "message").alias("value"))
-    p = formats.syslog5424(lines)
-    level = F.when(F.col("pri") == "135", 0).otherwise(text.rank(F.col("severity")))
-    return p.select("seq", "host", F.col("app").alias("service"), level.cast("int").alias("level"), "message")
+    return formats.syslog5424(lines).select("seq", "host", F.col("app").alias("service"), "severity", F.col("attributes")["a"].alias("a"), "message")
 
 
 @query(f"WITH {OBS} SELECT seq, host, service, message FROM o")

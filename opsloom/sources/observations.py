@@ -56,10 +56,31 @@ def deduplicate(rows: DataFrame, key: str, prefer: Column, order: str) -> DataFr
     return kept.unionByName(rows.where(keyless))
 
 
+# From how far ahead a stamp counts as a local clock, how far a zone can be, and the delay that may be left.
+AHEAD_US, FARTHEST_US, DELAY_US = 15 * MINUTE, 14 * 60 * MINUTE, 5 * MINUTE
+#: 1 January 2000.
+YEAR_2000 = 946_684_800_000_000
+
+
 def repair_clock(us: Column, arrival: Column) -> Column:
-    """A stamp that is missing, ancient or far ahead becomes the arrival; one ahead by whole quarter hours is shifted back."""
-    ahead = us - arrival
-    quarter = 15 * MINUTE
-    shift = F.round(ahead / quarter).cast("bigint") * quarter
-    zone = (ahead >= quarter - MINUTE) & (ahead <= 14 * 60 * MINUTE) & (F.abs(ahead - shift) <= 2 * MINUTE)
-    return F.when(us.isNull() | (arrival - us > 366 * 1440 * MINUTE), arrival).when(zone, us - shift).when(ahead > 2 * MINUTE, arrival).otherwise(us)
+    """A stamp that is missing, before 2000 or over a day ahead becomes the arrival.
+
+    One that is 15 minutes to 14 hours ahead is a local clock without zone: it goes
+    back by whole quarter hours, if that leaves a delay of five minutes at most.
+    """
+    ahead, quarter = us - arrival, 15 * MINUTE
+    back = F.ceil(ahead / quarter).cast("bigint") * quarter
+    zone = (ahead >= AHEAD_US) & (ahead <= FARTHEST_US) & (back - ahead <= DELAY_US)
+    return F.when(us.isNull() | (us < YEAR_2000) | (ahead > 1440 * MINUTE), arrival).when(zone, us - back).otherwise(us)
+
+
+#: Fixed value: names that are a process or component, not a host.
+BAD_HOST = r"^\[.*\]$|:$|\s|^-$"
+
+
+def repair_host(host: Column, agent: Column) -> tuple[Column, Column]:
+    """(host, component): a bad host name is the component; without a host, it is the agent's."""
+    bad = F.coalesce(host.rlike(BAD_HOST), F.lit(False))
+    named = F.when(bad, "").otherwise(F.coalesce(host, F.lit("")))
+    known = F.when(agent.isNull() | agent.isin("", "unknown"), "").otherwise(agent)
+    return F.when(named == "", known).otherwise(named), F.when(bad, F.regexp_replace(host, r"^[\[\]:]+|[\[\]:]+$", ""))
