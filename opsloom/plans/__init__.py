@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import views  # noqa: F401 (registers its queries)
+from . import incident_views, views  # noqa: F401 (they register their queries)
 from .catalog import QUERIES, SQL
 
 
