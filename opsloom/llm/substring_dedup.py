@@ -1,17 +1,21 @@
 """Substring deduplication by level-wise doubling.
 
-Windows of ten words are looked at first; those repeated at that length alone
-are extended to twenty words, the length that is removed. (`base` and `levels`
-are parameters; a level of n words is made from two of n / 2.) Of the first
-level's windows only the anchors are sent: the smallest hash among the base
-windows inside each target window. Equal target windows have equal anchors, so
-none is lost, and a sixth of the positions travels.
+Windows of five words are looked at first; those repeated at that length alone
+are extended to ten words, and those repeated there to twenty, the length that is
+removed. (The window and the number of doublings are parameters.) The loop ends
+at the length that is removed: a longer window that repeats holds only words
+that are gone already. Below it only anchors are sent: of the windows of a
+level's length inside each target window, the one with the smallest hash. Equal
+target windows have equal anchors, so none is lost, and few positions travel; a
+target window whose anchor is alone at some length goes no further.
 
 A level is one shuffle by hash. Before it, each shard sends one entry for each
 distinct window, its first; what repeats inside the shard is settled there. So
 a window that fills a third of the corpus is one entry per shard. Verdicts go
 back by document and meet the texts again under the same key, whose exchange
-both later steps share.
+all later steps share. Levels below the last compare 64-bit hashes, which can
+only let more through; the last compares 128 bits, made of three overlapping
+windows of half the length.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import table
@@ -28,6 +32,8 @@ from .textarrow import SPACED, Block, mix, ngrams, spread, text_blocks, words
 
 U = np.uint64
 WINDOW = 20
+#: Times that the length doubles before it is that of the window.
+DOUBLINGS = 2
 #: Bytes of text in a shard of the first level.
 SHARD_BYTES = 4 << 20
 #: Bytes of text for which there is a bucket of hashes, and one of documents: what a task holds at once.
@@ -80,7 +86,20 @@ def _pack(bucket, settled, hashes, docs, places):
 
 
 def _shard_of(docs: np.ndarray, buckets: int) -> np.ndarray:
-    return ((docs ^ (docs >> 16)) % buckets).astype(np.int32)
+    """Keys spread over shards, also those with a common stride."""
+    x = docs.view(U)
+    x = x ^ (x << U(13))
+    x = x ^ (x >> U(7))
+    x = x ^ (x << U(17))
+    return ((x >> U(1)) % U(buckets)).astype(np.int32)
+
+
+def _shard_column(key: Column, buckets: int) -> Column:
+    """The same number as `_shard_of`."""
+    x = key.bitwiseXOR(F.shiftleft(key, 13))
+    x = x.bitwiseXOR(F.shiftrightunsigned(x, 7))
+    x = x.bitwiseXOR(F.shiftleft(x, 17))
+    return (F.shiftrightunsigned(x, 1) % F.lit(buckets)).cast("int")
 
 
 def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -98,20 +117,22 @@ def _first_level(base: int, window: int, buckets: int):
                     continue
                 doc = np.searchsorted(bounds, at, "right") - 1
                 h, docs, places = grams[at], ids[block.first + doc], at - bounds[doc]
-                _, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
-                often = n[inverse] > 1
-                first = np.zeros(len(h), bool)
-                first[np.unique(inverse, return_index=True)[1]] = True
-                # What repeats here is settled, and its first is sent for other shards to see.
-                for settled, pick in ((False, first), (True, often)):
-                    b = _shard_of(docs[pick], buckets) if settled else _bucket_of(h[pick], buckets)
-                    out = _pack(b, settled, h[pick] if not settled else np.zeros(int(pick.sum()), np.uint8), docs[pick], places[pick])
-                    if out is not None:
-                        yield out
+                yield from _candidates(h, docs, places, buckets)
 
     return run
 
 
+def _candidates(h: np.ndarray, docs: np.ndarray, places: np.ndarray, buckets: int) -> list[pa.RecordBatch]:
+    """Entries of windows below the target length. What repeats here is settled, and its first is sent for other shards to see."""
+    _, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
+    often = n[inverse] > 1
+    first = np.zeros(len(h), bool)
+    first[np.unique(inverse, return_index=True)[1]] = True
+    out = [_pack(_bucket_of(h[first], buckets), False, h[first], docs[first], places[first])]
+    out.append(_pack(_shard_of(docs[often], buckets), True, np.zeros(int(often.sum()), np.uint8), docs[often], places[often]))
+    return [x for x in out if x is not None]
+
+
 def _verdicts(docs: np.ndarray, places: np.ndarray, buckets: int) -> pa.Table:
     shard = _shard_of(docs, buckets)
     order = np.lexsort((places, docs, shard))
@@ -125,17 +146,17 @@ def _joined(column, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _judge(buckets: int, keep_first: bool):
-    """Of a bucket: entries whose hash occurs again, but for the first of each if `keep_first`; and all settled ones."""
+def _judge(buckets: int, keep_first: bool, parts: int):
+    """Of a bucket: entries whose hash, of so many 64-bit parts, occurs again, but for the first of each if `keep_first`; and all settled ones."""
 
     def run(rows: pa.Table) -> pa.Table:
         open_rows = rows.filter(pa.array([not x for x in rows.column("settled").to_pylist()]))
         done = rows.filter(rows.column("settled"))
-        h, docs, places = _joined(open_rows.column("hashes"), U), _joined(open_rows.column("docs"), np.int64), _joined(open_rows.column("places"), np.int64)
-        order = np.lexsort((places, docs, h))
+        h, docs, places = _joined(open_rows.column("hashes"), U).reshape(-1, parts), _joined(open_rows.column("docs"), np.int64), _joined(open_rows.column("places"), np.int64)
+        order = np.lexsort((places, docs, *h.T))
         h, docs, places = h[order], docs[order], places[order]
         again = np.zeros(len(h), bool)
-        again[1:] = h[1:] == h[:-1]
+        again[1:] = (h[1:] == h[:-1]).all(1)
         if not keep_first:
             again[:-1] |= again[1:]
         return _verdicts(np.concatenate([docs[again], _joined(done.column("docs"), np.int64)]), np.concatenate([places[again], _joined(done.column("places"), np.int64)]), buckets)
@@ -177,8 +198,8 @@ def _of_row(verdicts: pa.Table, ids: np.ndarray, rank: np.ndarray) -> tuple[np.n
     return order[np.searchsorted(ids[order], docs) + (places >> PLACE_BITS)], places & ((1 << PLACE_BITS) - 1)
 
 
-def _next_level(base: int, window: int, buckets: int):
-    """Extend the windows at surviving anchors to the target length."""
+def _next_level(size: int, window: int, buckets: int):
+    """Extend the target windows whose anchors of `size` words survive to anchors of twice that, or to the targets themselves."""
 
     def run(texts: pa.Table, verdicts: pa.Table) -> pa.Table:
         out = []
@@ -190,7 +211,7 @@ def _next_level(base: int, window: int, buckets: int):
             row, place = row[order], place[order]
             docs, starts, hashes = [], [], []
             for block in text_blocks(texts.column("text"), SHARD_BYTES):
-                text, start, anchor, grams, bounds = _windows(block, base, window)
+                text, start, anchor, grams, bounds = _windows(block, size, window)
                 lo, hi = np.searchsorted(row, [block.first, block.first + len(block.bounds) - 1])
                 alive = np.zeros(len(grams), bool)
                 at = bounds[row[lo:hi] - block.first] + place[lo:hi]
@@ -198,23 +219,36 @@ def _next_level(base: int, window: int, buckets: int):
                 alive[at[at < bounds[row[lo:hi] - block.first + 1]]] = True
                 first = bounds[:-1][text]
                 keep = alive[first + anchor]
+                if 2 * size < window:
+                    _, _, anchor, grams, bounds = _windows(block, 2 * size, window)
+                    at = np.unique((bounds[:-1][text] + anchor)[keep])
+                    doc = np.searchsorted(bounds, at, "right") - 1
+                    hashes.append(grams[at])
+                    docs.append(ids[block.first + doc])
+                    starts.append(at - bounds[doc])
+                    continue
                 at = (first + start)[keep]
-                hashes.append(mix(grams[at] * U(0x2545F4914F6CDD1D) + grams[at + window - base]))
+                a, b, c = grams[at], grams[at + size // 2], grams[at + size]
+                hashes.append(np.stack([mix(a * U(0x2545F4914F6CDD1D) + c), mix(mix(a * U(0x9E3779B97F4A7C15) + b) * U(0xD1342543DE82EF95) + c)], 1))
                 docs.append(ids[block.first + text[keep]])
                 starts.append((rank[block.first + text[keep]] << PLACE_BITS) | start[keep])
             h, docs, places = np.concatenate(hashes), np.concatenate(docs), np.concatenate(starts)
-            order = np.lexsort((places, docs, h))
-            later = np.zeros(len(h), bool)
-            later[order[1:]] = h[order[1:]] == h[order[:-1]]
-            for settled, pick in ((False, ~later), (True, later)):
-                b = _shard_of(docs[pick], buckets) if settled else _bucket_of(h[pick], buckets)
-                out.append(_pack(b, settled, h[pick] if not settled else np.zeros(int(pick.sum()), np.uint8), docs[pick], places[pick]))
-        out = [x for x in out if x is not None]
+            out = _candidates(h, docs, places, buckets) if 2 * size < window else _targets(h, docs, places, buckets)
         return pa.Table.from_batches(out) if out else pa.table({"bucket": pa.array([], pa.int32()), "settled": pa.array([], pa.bool_()), "hashes": pa.array([], pa.binary()), "docs": pa.array([], pa.binary()), "places": pa.array([], pa.binary())})
 
     return run
 
 
+def _targets(h: np.ndarray, docs: np.ndarray, places: np.ndarray, buckets: int) -> list[pa.RecordBatch]:
+    """Entries of target windows. All but the first of equal ones are settled here, and the first is sent."""
+    order = np.lexsort((places, docs, *h.T))
+    later = np.zeros(len(h), bool)
+    later[order[1:]] = (h[order[1:]] == h[order[:-1]]).all(1)
+    out = [_pack(_bucket_of(h[~later, 0], buckets), False, h[~later], docs[~later], places[~later])]
+    out.append(_pack(_shard_of(docs[later], buckets), True, np.zeros(int(later.sum()), np.uint8), docs[later], places[later]))
+    return [x for x in out if x is not None]
+
+
 def _finish(window: int):
     def run(texts: pa.Table, verdicts: pa.Table) -> pa.Table:
         ids = _keys_of(texts.column("doc_id"))
@@ -244,7 +278,7 @@ def _finish(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, doublings: int = DOUBLINGS) -> DataFrame:
     """Remove each word that lies in a window that also starts earlier.
 
     Returns doc_id, n_words, n_removed, kept_text (kept words joined by one
@@ -255,23 +289,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one are documents of their own, in the order of their texts; one task looks
     at all of them. A null, empty or wordless text has no words; a text shorter
     than a window loses nothing. An empty table gives an empty result; other
-    columns are not looked at.
+    columns are not looked at. `window` must be divisible by two `doublings` times.
     """
-    base = window // 2
-    if base * 2 != window:
-        raise ValueError("window must be even")
+    size = window >> doublings
+    if doublings < 1 or size << doublings != window or not size:
+        raise ValueError("window must be divisible by two as often as lengths double")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    buckets = 1 + size // BUCKET_BYTES
-    # The same number as _shard_of.
-    key = F.coalesce("doc_id", F.lit(LAST))
-    texts = docs.withColumn("shard", F.pmod(key.bitwiseXOR(F.shiftright(key, 16)), F.lit(buckets)).cast("int"))
-    judge = lambda rows, keep_first: rows.groupBy("bucket").applyInArrow(_judge(buckets, keep_first), _VERDICTS)
-    alone = judge(docs.mapInArrow(_first_level(base, window, buckets), _ENTRIES), False)
-    longer = texts.groupBy("shard").cogroup(alone.groupBy("shard")).applyInArrow(_next_level(base, window, buckets), _ENTRIES)
-    removed = judge(longer, True)
-    return texts.groupBy("shard").cogroup(removed.groupBy("shard")).applyInArrow(_finish(window), "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:int,end:int>>")
+    volume = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    buckets = (1 + volume // BUCKET_BYTES) | 1
+    texts = docs.withColumn("shard", _shard_column(F.coalesce("doc_id", F.lit(LAST)), buckets))
+    judge = lambda rows, last: rows.groupBy("bucket").applyInArrow(_judge(buckets, last, 2 if last else 1), _VERDICTS)
+    back = lambda verdicts, step, schema: texts.groupBy("shard").cogroup(verdicts.groupBy("shard")).applyInArrow(step, schema)
+    entries = docs.mapInArrow(_first_level(size, window, buckets), _ENTRIES)
+    while size < window:
+        # Windows that are alone at this length go no further.
+        entries = back(judge(entries, False), _next_level(size, window, buckets), _ENTRIES)
+        size *= 2
+    return back(judge(entries, True), _finish(window), "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:int,end:int>>")
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
