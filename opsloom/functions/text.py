@@ -223,3 +223,65 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
+
+
+# What a variable token looks like.
+VARIABLE = r"^(?:\d+(?:[.,]\d+)?[%a-zA-Z]{0,3}|0x[0-9a-fA-F]+|[0-9a-fA-F]{8,}|[0-9a-f-]{36}|\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?|\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?[\w.:+-]*)?|\d{2}:\d{2}:\d{2}(?:[.,]\d+)?|/[\w./-]{3,}|https?://\S+|[\w.+-]+@[\w.-]+)[,;:)]?$"
+
+
+def drain_tokens(message: Column) -> Column:
+    """A message's tokens without punctuation around them; values and variable tokens as `<*>`."""
+    bare = F.transform(F.split(F.trim(message), r"\s+"), lambda t: F.regexp_replace(t, r"""^[,;:()\[\]{}"']+|[,;:()\[\]{}"']+$""", ""))
+    named = lambda t: F.when(t.contains("=") & ~t.startswith("="), F.concat(F.substring_index(t, "=", 1), F.lit("=<*>"))).when(t.rlike(VARIABLE), "<*>").otherwise(t)
+    return F.transform(F.filter(bare, lambda t: t != ""), named)
+
+
+# Well-known ports, and the kind of thing behind each protocol.
+PORTS = {
+    22: "ssh", 25: "smtp", 53: "dns", 80: "http", 88: "kerberos", 110: "pop3", 123: "ntp", 143: "imap", 389: "ldap", 443: "https", 445: "smb", 465: "smtps", 587: "smtp", 636: "ldaps", 1433: "sqlserver", 1521: "oracle", 1522: "oracle", 2049: "nfs", 2181: "zookeeper",
+    3200: "sap-dialog", 3201: "sap-dialog", 3300: "sap-rfc", 3301: "sap-rfc", 3306: "mysql", 3389: "rdp", 3600: "sap-ms", 4222: "nats", 5000: "http", 5432: "postgres", 5601: "kibana", 5672: "amqp", 6379: "redis", 6443: "kubernetes", 7001: "weblogic", 8000: "http", 8080: "http", 8443: "https",
+    9000: "http", 9042: "cassandra", 9092: "kafka", 9200: "elasticsearch", 9300: "elasticsearch", 11211: "memcached", 15672: "rabbitmq", 27017: "mongodb", 30015: "hana", 30013: "hana", 30041: "hana", 50000: "sap-http", 50001: "sap-https", 1414: "ibm-mq", 0: "jdbc",
+}
+CATEGORIES = {
+    "db": ("jdbc", "postgres", "oracle", "mysql", "sqlserver", "hana", "mongodb", "cassandra"), "cache": ("redis", "memcached"), "messaging": ("kafka", "amqp", "rabbitmq", "ibm-mq", "nats", "zookeeper"), "api": ("http", "https", "weblogic"),
+    "sap": ("sap-http", "sap-https", "sap-dialog", "sap-rfc", "sap-ms"), "identity": ("ldap", "ldaps", "kerberos"), "mail": ("smtp", "smtps", "imap", "pop3"), "file": ("ssh", "smb", "nfs"), "observability": ("elasticsearch", "kibana"), "infra": ("dns", "ntp", "kubernetes"), "remote": ("rdp",),
+}
+
+
+def protocol(port: Column) -> Column:
+    """Name of the protocol behind a port; `tcp/<port>` for one that isn't known."""
+    known = F.create_map(*[x for k, v in PORTS.items() for x in (F.lit(k), F.lit(v))])
+    hana = port.between(30_000, 39_999) & (port % 100 == 15)
+    return F.coalesce(known[port], F.when(hana, "hana"), F.concat(F.lit("tcp/"), port))
+
+
+def protocol_category(name: Column) -> Column:
+    out = F.lit("other")
+    for category, names in CATEGORIES.items():
+        out = F.when(name.isin(*names), category).otherwise(out)
+    return out
+
+
+def severity_mask(severity: Column) -> Column:
+    """One bit for each severity, DEBUG the lowest; nothing for anything else."""
+    return F.coalesce(F.call_function("shiftleft", F.lit(1), rank(severity)), F.lit(0))
+
+
+def dig(document: Column, path: str) -> Column:
+    """The value at a path such as `data.items[0].rows` of a JSON text."""
+    return F.get_json_object(document, f"$.{path}")
+
+
+def version_order(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 as version `a` is before, the same as or after `b`; parts compare as numbers, missing ones as 0."""
+    parts = lambda v: F.transform(F.split(v, r"\."), lambda x: F.coalesce(F.regexp_extract(x, r"^\d+", 0).try_cast("bigint"), F.lit(0)))
+    signs = F.zip_with(parts(a), parts(b), lambda x, y: F.signum(F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0))).cast("int"))
+    return F.coalesce(F.get(F.filter(signs, lambda s: s != 0), F.lit(0)), F.lit(0))
+
+
+def agent_family(agent: Column) -> Column:
+    """(os, browser) of a user agent; empty for what isn't known."""
+    has = lambda p: F.coalesce(agent.rlike(p), F.lit(False))
+    os = F.when(has("Android"), "Android").when(has("iPhone|iPad|iOS"), "iOS").when(has("Windows"), "Windows").when(has("Mac OS X"), "macOS").when(has("Linux"), "Linux").otherwise("")
+    browser = F.when(has("Edg/"), "Edge").when(has("Chrome/"), "Chrome").when(has("Firefox/"), "Firefox").when(has("Safari/"), "Safari").otherwise("")
+    return F.struct(os.alias("os"), browser.alias("browser"))

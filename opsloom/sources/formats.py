@@ -78,6 +78,15 @@ def cef(lines: DataFrame) -> DataFrame:
     return out.withColumn("severity", F.when(level >= 9, "CRITICAL").when(level >= 7, "ERROR").when(level >= 4, "WARN").when(level >= 0, "INFO"))
 
 
+def leef(lines: DataFrame) -> DataFrame:
+    """LEEF header and its attributes, which tabs separate; severity from 0 to 10 in `sev`."""
+    part = F.split(F.regexp_extract("value", r"LEEF:(\d+(?:\.\d+)?\|.*)$", 1), r"(?<!\\)\|", 6)
+    names = ("version", "vendor", "product", "device_version", "event_id")
+    out = lines.select("*", *[F.nullif(F.get(part, i), F.lit("")).alias(n) for i, n in enumerate(names)], _pairs(F.coalesce(F.get(part, 5), F.lit("")), r"(\w+)=([^\t]*)").alias("attributes"))
+    level = F.col("attributes")["sev"].try_cast("int")
+    return out.withColumn("severity", F.when(level >= 9, "CRITICAL").when(level >= 7, "ERROR").when(level >= 4, "WARN").otherwise("INFO"))
+
+
 def w3c(lines: DataFrame, directive: str) -> DataFrame:
     """Lines under a `#Fields:` directive as a map; a dash is absent."""
     names = directive.removeprefix("#Fields:").split()
