@@ -285,3 +285,72 @@ def agent_family(agent: Column) -> Column:
     os = F.when(has("Android"), "Android").when(has("iPhone|iPad|iOS"), "iOS").when(has("Windows"), "Windows").when(has("Mac OS X"), "macOS").when(has("Linux"), "Linux").otherwise("")
     browser = F.when(has("Edg/"), "Edge").when(has("Chrome/"), "Chrome").when(has("Firefox/"), "Firefox").when(has("Safari/"), "Safari").otherwise("")
     return F.struct(os.alias("os"), browser.alias("browser"))
+
+
+# What a query may call each level.
+LEVEL_ALIASES = {
+    "CRITICAL": ("crit", "critical", "fatal", "emerg", "emergency", "alert", "panic", "kritik"), "ERROR": ("err", "error", "hata"), "WARN": ("warn", "warning", "uyari"),
+    "INFO": ("info", "information", "notice", "ok", "success", "bilgi"), "DEBUG": ("debug", "trace", "verbose"),
+}
+
+
+def level_is(severity: Column, name: str, op: str = "=") -> Column:
+    """Level predicate by any of a level's names, also as a glob over them; `>=` takes all levels from the named one up."""
+    from fnmatch import fnmatchcase
+
+    named = [level for level, aliases in LEVEL_ALIASES.items() if any(fnmatchcase(a, name.lower()) for a in (*aliases, level.lower()))]
+    least = min((SEVERITIES.index(level) for level in named), default=len(SEVERITIES))
+    wanted = [level for level in SEVERITIES if (SEVERITIES.index(level) >= least if op == ">=" else level in named)]
+    return F.coalesce(severity.isin(*wanted), F.lit(False)) if wanted else F.lit(False)
+
+
+def holds(text: Column, term: str) -> Column:
+    """Substring match of a folded term; a `*` in it stands for characters that aren't white space, a `?` for one of them."""
+    import re
+
+    folded = term.translate(str.maketrans("ıİIşŞğĞüÜöÖçÇ", "iiissgguuoocc")).lower()
+    body = "".join(r"\S*" if c == "*" else r"\S" if c == "?" else re.escape(c) for c in re.sub(r"\*+", "*", folded))
+    return fold(text).rlike(body)
+
+
+def attribute(attributes: Column, key: str) -> Column:
+    """An attribute by its exact key, else by the key in any case of letters (the first by name)."""
+    others = F.array_sort(F.filter(F.map_entries(attributes), lambda e: F.lower(e["key"]) == key.lower()))
+    return F.coalesce(attributes[key], F.get(others, F.lit(0))["value"])
+
+
+def entropy(token: Column) -> Column:
+    """Shannon entropy of a token's characters in bits; 0 for an empty one."""
+    c = F.filter(F.split(token, ""), lambda x: x != "")
+    n = F.size(c)
+    share = lambda x: F.size(F.filter(c, lambda y: y == x)) / n
+    return F.aggregate(F.array_distinct(c), F.lit(0.0), lambda s, x: s - share(x) * F.log2(share(x)))
+
+
+def chunks(document: Column, size: int = 900) -> Column:
+    """Paragraphs packed to chunks of about `size` characters; a longer paragraph is a chunk alone."""
+    parts = F.filter(F.transform(F.split(document, r"\n\s*\n|\n(?=#+ )"), lambda p: F.trim(p)), lambda p: p != "")
+
+    def add(s: Column, p: Column) -> Column:
+        full = (s["open"] != "") & (F.length(s["open"]) + F.length(p) + 2 > size)
+        joined = F.when(s["open"] == "", p).otherwise(F.concat(s["open"], F.lit("\n\n"), p))
+        return F.struct(F.when(full, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]).alias("done"), F.when(full, p).otherwise(joined).alias("open"))
+
+    end = lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"])))
+    return F.aggregate(parts, F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open")), add, end)
+
+
+def flatten_json(document: Column, depth: int = 3) -> Column:
+    """Leaves of a JSON object as a map from dotted keys to texts; deeper objects stay texts."""
+    level = F.from_json(document, "map<string,string>")
+    for _ in range(depth - 1):
+        pairs = F.transform(F.map_entries(level), lambda e: F.when(e["value"].startswith("{"), F.transform(F.map_entries(F.from_json(e["value"], "map<string,string>")), lambda x: F.struct(F.concat(e["key"], F.lit("."), x["key"]).alias("key"), x["value"].alias("value")))).otherwise(F.array(e)))
+        level = F.map_from_entries(F.flatten(pairs))
+    return level
+
+
+def identity(attributes: Column, key: bytes) -> Column:
+    """Whose session a line belongs to: the session's name, else the user with the client, else the client; pseudonyms, empty for nobody."""
+    first = lambda *names: F.coalesce(*[F.when(present(attribute(attributes, n)), attribute(attributes, n)) for n in names])
+    session, user, client = first("rum_session", "session_id", "sid", "jsessionid"), first("user_id", "user", "username"), first("client_ip", "client", "remote_addr")
+    return pseudonym(F.coalesce(session, F.concat_ws("@", user, client)), key, "s")

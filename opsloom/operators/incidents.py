@@ -107,3 +107,17 @@ def new_templates(obs: DataFrame, since_us: int, least: int = 1) -> DataFrame:
     t = obs.select(text.template(F.col("message")).alias("template"), "severity", "us")
     now = t.where((F.col("us") >= since_us) & (text.rank(F.col("severity")) >= 2)).groupBy("template").agg(F.count("*").alias("lines"))
     return now.where(F.col("lines") >= least).join(t.where(F.col("us") < since_us).select("template").distinct(), "template", "left_anti")
+
+
+def policy_for(rows: DataFrame, policies: list[tuple[str, str, float, int]]) -> DataFrame:
+    """Rows (host, environment, applications) with the scope and limit of the policy that applies.
+
+    `policies` are (scope, target, limit, id), as few as people write. A host's own
+    comes first, then globs over hosts, its applications' (the strictest limit), its
+    environment's and the one for all; of equals the newest.
+    """
+    order = {"host": 0, "glob": 1, "application": 2, "env": 3, "all": 4}
+    fits = {"host": lambda t: F.col("host") == t, "glob": lambda t: text.glob(F.col("host"), t), "application": lambda t: F.array_contains("applications", t), "env": lambda t: F.col("environment") == t, "all": lambda t: F.lit(True)}
+    made = [F.when(fits[s](t), F.struct(F.lit(order[s]).alias("rank"), F.lit(limit if s == "application" else 0.0).alias("strict"), F.lit(-k).alias("age"), F.lit(s).alias("scope"), F.lit(float(limit)).alias("crit"))) for s, t, limit, k in policies]
+    best = F.array_min(F.filter(F.array(*made), lambda x: x.isNotNull()))
+    return rows.withColumn("best", best).select(*[c for c in rows.columns if c not in ("environment", "applications")], "best.scope", "best.crit")

@@ -216,3 +216,11 @@ def text_records(lines: DataFrame, year: int) -> DataFrame:
     after = F.regexp_replace("body", level, "")
     service = F.nullif(F.regexp_extract(after, app, 1), F.lit(""))
     return r.select("source", "line_no", stamps.micros_of(F.col("stamp"), year).alias("us"), F.when(word != "", text.severity_of(word)).otherwise(text.severity_from_text(F.col("body"))).alias("severity"), service.alias("service"), F.regexp_replace(after, app, "").alias("message"))
+
+
+def canonical(lines: DataFrame, year: int) -> DataFrame:
+    """JSON records as rows: of each role the first name that a record has, dotted names for nested ones."""
+    m = lines.withColumn("record", text.flatten_json(F.col("value"))).withColumn("record", F.transform_keys("record", lambda k, v: F.lower(k)))
+    first = lambda role: F.coalesce(*[F.when(text.present(F.col("record")[n]), F.col("record")[n]) for n in ROLES[role]])
+    named = first("severity")
+    return m.select("*", stamps.micros_of(first("timestamp"), year).alias("us"), first("message").alias("message"), first("host").alias("host"), first("service").alias("service"), F.when(named.isNotNull(), text.severity_of(named)).otherwise(text.severity_from_text(F.coalesce(first("message"), F.lit("")))).alias("severity")).drop("record")
