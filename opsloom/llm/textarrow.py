@@ -78,8 +78,8 @@ class Words(NamedTuple):
     bounds: np.ndarray  # text i has the words bounds[i]:bounds[i + 1]
 
 
-def text_blocks(column, size: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cut an Arrow text column into blocks of whole texts; null counts as empty."""
+def text_blocks(column, size: int = BLOCK_BYTES, most: int = 1 << 62) -> Iterator[Block]:
+    """Cut an Arrow text column into blocks of whole texts, `most` at most; null counts as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if column.null_count:
         column = pc.fill_null(column, "")
@@ -91,7 +91,7 @@ def text_blocks(column, size: int = BLOCK_BYTES) -> Iterator[Block]:
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
+        j = min(i + most, max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1))
         yield Block(i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         i = j
 
