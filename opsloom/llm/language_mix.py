@@ -20,6 +20,8 @@ from .textarrow import Block, text_blocks
 
 #: Buckets of the trigram hash.
 CELLS = 1 << 13
+#: Texts whose counts are held at a time, in an array of CELLS numbers each.
+ROWS = 512
 #: Steps of expectation-maximisation after each change of the set.
 STEPS = 12
 #: What a language costs, times the logarithm of the number of trigrams.
@@ -62,7 +64,7 @@ def _count(batches):
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         names = np.array(batch.column(0).to_pylist(), object)
-        for block in text_blocks(batch.column(1)):
+        for block in text_blocks(batch.column(1), most=ROWS):
             text, cell, n = cell_counts(block)
             own = names[block.first : block.first + len(block.bounds) - 1]
             for name in set(own.tolist()):
@@ -133,7 +135,7 @@ def _identify(model: Languages):
         for batch in batches:
             text = batch.column(1)
             top, score, mixed = [], [], []
-            for block in text_blocks(text):
+            for block in text_blocks(text, most=ROWS):
                 n = len(block.bounds) - 1
                 share = mixtures(*cell_counts(block), n, model.chances)
                 ascii_letter = np.zeros(len(block.data) + 1, np.int64)
@@ -164,7 +166,9 @@ def identify_languages(docs: DataFrame, model: Languages, id_col: str = "doc_id"
     (languages and proportions, largest first). A text that is null, or has no
     letter, is `und` with score 0 and an empty mixture, as is any text if the
     model knows no language; a text with letters but no trigram has all
-    languages alike. Other columns are not looked at.
+    languages alike. Of languages with equal proportions the first by name
+    counts. Equal rows have equal results, each its own; an empty table gives an
+    empty result; other columns are not looked at.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_identify(model), "doc_id long, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
 
