@@ -25,11 +25,13 @@ ROWS, DIM = 1 << 15, 16
 WIDTHS, FILTERS = (1, 2, 3), 16
 #: Leading bytes of a word that have an embedding of their own.
 PREFIX = 5
-#: Learned from at most: rows of each class, and words altogether.
-PER_CLASS, WORD_BUDGET = 1500, 3_000_000
+#: Rows of each class that are learned from at most, with their whole texts.
+PER_CLASS = 1500
 #: Rows in which a hashed word must occur in the sample to have an embedding.
 LEAST_ROWS = 4
 EPOCHS, BATCH, RATE, SEED = 5, 32, 0.01, 11
+#: Words from which on a batch takes no further row.
+BATCH_WORDS = 1 << 16
 #: Language groups by the letters that stand out: second bytes after 0xC3.
 GROUPS = {"de": (0xA4, 0xB6, 0xBC, 0x9F, 0x84, 0x96, 0x9C), "es": (0xB1, 0xA1, 0xAD, 0xB3, 0xBA, 0x91), "fr": (0xA8, 0xAA, 0xA7, 0xA0, 0xB4, 0x88, 0x8A, 0x87)}
 NAMES = ("plain", *GROUPS)
@@ -135,6 +137,19 @@ def _share_tables(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, whic
     return made, often
 
 
+def _batches(order: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]]):
+    """Cut a permutation into batches of BATCH rows, or fewer where they are long."""
+    part, size = [], 0
+    for i in order.tolist():
+        part.append(i)
+        size += len(rows[i][0])
+        if len(part) == BATCH or size >= BATCH_WORDS:
+            yield np.array(part)
+            part, size = [], 0
+    if part:
+        yield np.array(part)
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray]], group: np.ndarray, y: np.ndarray) -> Net:
     """Adam on the log loss, then thresholds. One row in five is held back for them."""
     rng = np.random.default_rng(SEED)
@@ -152,9 +167,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], group: np.ndarray, y: np.nd
     moment = {n: (np.zeros_like(p), np.zeros_like(p)) for n, p in params.items()}
     step = 0
     for _ in range(EPOCHS):
-        order = rng.permutation(fit)
-        for a in range(0, len(order), BATCH):
-            part = order[a : a + BATCH]
+        for part in _batches(rng.permutation(fit), rows):
             step += 1
             n = [len(rows[i][0]) for i in part]
             bounds = np.concatenate([[0], np.cumsum(n)])
@@ -233,24 +246,24 @@ def _rows(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0)[rows], blob(w), blob(p), pa.array(groups(block).astype(np.int32)), batch.column(2)[rows]], names=["doc_id", "w", "p", "g", "label"])
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = PER_CLASS, words_most: int = WORD_BUDGET) -> Net | None:
-    """Train on at most `per_class` rows of each class, those with the smallest hashes, and `words_most` words.
+def learn_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = PER_CLASS) -> Net | None:
+    """Train on at most `per_class` identifiers of each class, those with the smallest hashes, and their whole texts.
 
-    `labels` (doc_id, `label_col`) holds only rows that may be learned from.
-    None if a class has no rows.
+    `labels` (doc_id, `label_col`) holds only rows that may be learned from; an
+    identifier that any of its rows calls toxic is toxic. None if a class has no rows.
     """
-    known = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).where("label IS NOT NULL").dropDuplicates(["doc_id"])
+    known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label_col).cast("int")).alias("label"))
     few = known.where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).unionByName(known.where("label = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class))
     some = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "label")
-    some = some.withColumn("size", F.coalesce(F.length("text"), F.lit(0)))
-    most = words_most * 6 // (2 * per_class) * 4  # characters of a row that is learned from: four times the mean share
-    got = some.where(F.col("size") <= most).select("doc_id", "text", "label").mapInArrow(_rows, "doc_id long, w binary, p binary, g int, label int").toArrow()
-    got = got.take(pa.array(np.argsort(got.column("doc_id").to_numpy(), kind="stable"))) if got.num_rows else got
+    got = some.mapInArrow(_rows, "doc_id long, w binary, p binary, g int, label int").toArrow()
     y = got.column("label").to_numpy().astype(float) if got.num_rows else np.zeros(0)
     if not len(y) or y.min() == y.max():
         return None
-    rows = [tuple(np.frombuffer(x, np.uint16).astype(np.int64) for x in pair) for pair in zip(got.column("w").to_pylist(), got.column("p").to_pylist(), strict=True)]
-    return train(rows, got.column("g").to_numpy(), y)
+    ids, blobs = got.column("doc_id").to_pylist(), list(zip(got.column("w").to_pylist(), got.column("p").to_pylist(), strict=True))
+    # The rows' order must not depend on the tasks'; rows that are equal in it are equal.
+    order = sorted(range(len(y)), key=lambda i: (ids[i], *blobs[i]))
+    rows = [tuple(np.frombuffer(x, np.uint16).astype(np.int64) for x in blobs[i]) for i in order]
+    return train(rows, got.column("g").to_numpy()[order], y[order])
 
 
 def _score(net: Net | None, text_at: int):
@@ -267,7 +280,8 @@ def score_toxicity(docs: DataFrame, net: Net | None, text_col: str = "text", sco
 
     Null, empty and wordless texts get the score of a text in which no filter
     responds. Without a net every score is 0. Labels, identifiers and other
-    columns are never looked at. An empty table gives an empty result.
+    columns are never looked at, and equal texts have equal scores. An empty
+    table gives an empty result.
     """
     out = docs.drop(score_col).withColumn(score_col, F.lit(0.0))
     return out.mapInArrow(_score(net, out.columns.index(text_col)), out.schema)
