@@ -8,8 +8,9 @@ takes the stack of the last opening before it, without what has closed since,
 and its urls then choose the longest rule whose path fits. DataFrame functions
 only.
 
-Each top-level label is swept in `salts` shards, to which its rules are copied,
-so a label with most of the hosts is spread; only distinct hosts are swept.
+A top-level label with many hosts is swept in several shards, to which its rules
+are copied, so a label with most of the hosts is spread; others are one shard.
+Only distinct hosts are swept.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import shuffle_partitions, table
+from .shared import table
 
 #: (host, path, verdict)
 RULES = [
@@ -27,6 +28,8 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
+#: Distinct hosts in a shard of a top-level label, about.
+SHARD_HOSTS = 50_000
 #: Verdict where no rule fits.
 DEFAULT = "allow"
 
@@ -63,7 +66,7 @@ def _openings(rules: DataFrame) -> DataFrame:
     return up.join(own.alias("parent"), up["host"] == F.col("parent.host")).groupBy(up["key"]).agg(F.sort_array(F.collect_list(frame), asc=False).alias("stack"))
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT, salts: int | None = None) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT, shard_hosts: int = SHARD_HOSTS) -> DataFrame:
     """Verdict of the longest fitting rule for each url.
 
     `rules` has host, path and verdict; a rule fits its host and all subdomains
@@ -73,15 +76,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     verdict (`default` without a rule). A null url, or one without `://`, has an
     empty host and path and no rule; an empty path fits no rule whose path isn't
     empty. An empty table gives an empty result; without rules, every verdict is
-    the default. Other columns are not looked at.
+    the default. Equal rows are judged each; other columns are not looked at.
     """
-    salts = salts or shuffle_partitions(pages.sparkSession)
     urls = pages.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    hosts = urls.select("host").distinct().withColumn("key", key_of(F.col("host")))
-    top = F.substring_index("key", ".", 1)
-    points = hosts.select(top.alias("top"), F.pmod(F.xxhash64("host"), F.lit(salts)).cast("int").alias("salt"), "key", F.lit(1).alias("kind"), "host", F.lit(None).alias("stack"))
-    opened = _openings(rules)
-    opened = opened.select(top.alias("top"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("host"), "stack")
+    hosts = urls.select("host").distinct().withColumn("key", key_of(F.col("host"))).withColumn("top", F.substring_index("key", ".", 1))
+    shards = hosts.groupBy("top").agg(F.ceil(F.count("*") / shard_hosts).cast("int").alias("shards"))
+    points = hosts.join(shards, "top").select("top", F.pmod(F.xxhash64("host"), F.col("shards")).cast("int").alias("salt"), "key", F.lit(1).alias("kind"), "host", F.lit(None).alias("stack"))
+    opened = _openings(rules).withColumn("top", F.substring_index("key", ".", 1)).join(shards, "top")
+    opened = opened.select("top", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("salt"), "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("host"), "stack")
     sweep = Window.partitionBy("top", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = opened.unionByName(points).select("host", "key", "kind", F.last("stack", ignorenulls=True).over(sweep).alias("stack")).where("kind = 1")
     # What has closed since is popped: an opening is active as long as keys start with its own.
@@ -96,7 +98,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
 
 def op6_url_filters(spark, sf_dir: str) -> DataFrame:
     """All urls of `pages` against the fixed rules."""
-    return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+    rows = F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in RULES])
+    return judge_urls(table(spark, sf_dir, "pages"), spark.range(1).select(F.inline(rows)))
 
 
 ORACLE_SQL = r"""
