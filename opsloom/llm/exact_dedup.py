@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import shuffle_partitions, table
+from .shared import free_names, shuffle_partitions, table
 
 #: Characters of a text that the range splitters look at before its digest.
 SPLIT_CHARS = 32
@@ -83,10 +83,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that `exact_duplicates` keeps, with all their columns.
 
-    Where several rows share the kept identifier, all of them stay.
+    Rows that share an identifier are each judged by their own text; equal rows that are kept all stay.
     """
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    own_id, own_digest = free_names(docs, "kept_id", "kept_digest")
+    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias(own_id), F.col("text_sha256").alias(own_digest)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.sha2(normalised(F.col(text_col)), 256) == F.col(own_digest)), "left_semi")
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
