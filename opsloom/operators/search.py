@@ -62,7 +62,7 @@ def lessons_for(queries: DataFrame, lessons: DataFrame, most: int = 6) -> DataFr
     j = met.withColumn("lex", lex).join(n.select("lesson_id", "title", "occurrences"), "lesson_id").join(q.select("query_id", "query"), "query_id")
     score = F.when(F.col("title").contains(F.col("query")), F.greatest("lex", F.lit(0.6))).otherwise(F.col("lex")) + F.least(F.lit(0.1), 0.02 * (F.col("occurrences") - 1))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "lesson_id"))
-    return j.withColumn("score", F.round(score, 3)).where("score > 0.02").withColumn("place", place).where(F.col("place") <= most).select("query_id", "lesson_id", "score", "place")
+    return j.withColumn("score", F.round(score, 6)).where("score > 0.02").withColumn("place", place).where(F.col("place") <= most).select("query_id", "lesson_id", "score", "place")
 
 
 def tickets(rows: DataFrame, signals: DataFrame, window_min: int = 30) -> DataFrame:

@@ -38,7 +38,7 @@ def refused_terms(spark, sf_dir):
 
 
 @query(rf"""WITH q AS (SELECT item_id AS query_id, lower(coalesce(text, '')) AS query, {_TOKENS.format("coalesce(text, '')")} AS q FROM benchmark), l AS (SELECT conv_id * 100 + turn AS lesson_id, lower(coalesce(role, '')) AS title, 1 + conv_id % 7 AS occurrences, {_TOKENS.format("coalesce(role, '') || ' ' || coalesce(text, '')")} AS t FROM conversations),
-m AS (SELECT query_id, lesson_id, len(q) AS nq, len(t) AS nt, len(list_intersect(q, t)) AS c, occurrences FROM q, l WHERE len(list_intersect(q, t)) > 0), s AS (SELECT query_id, lesson_id, round(0.7 * c / nq + 0.3 * c / (nq + nt - c) + least(0.1, 0.02 * (occurrences - 1)), 3) AS score FROM m)
+m AS (SELECT query_id, lesson_id, len(q) AS nq, len(t) AS nt, len(list_intersect(q, t)) AS c, occurrences FROM q, l WHERE len(list_intersect(q, t)) > 0), s AS (SELECT query_id, lesson_id, round(0.7e0 * c / nq + 0.3e0 * c / (nq + nt - c) + least(0.1e0, 0.02e0 * (occurrences - 1)), 6) AS score FROM m)
 SELECT query_id, lesson_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lesson_id) AS INT) AS place FROM s WHERE score > 0.02 QUALIFY place <= 6""")
 def lesson_search(spark, sf_dir):
     """Conversation turns as lessons, benchmark items as queries."""
