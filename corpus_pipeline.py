@@ -7,17 +7,17 @@ a lost executor costs at most one stage and plans stay short.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from opsloom.llm.decontaminate import drop_contaminated
 from opsloom.llm.exact_dedup import drop_exact_duplicates
 from opsloom.llm.near_dedup import drop_near_duplicates
 from opsloom.llm.quality_knn import quality_model, score_quality
 from opsloom.llm.sentence_sampling import sample_segmentations
-from opsloom.llm.shared import table
+from opsloom.llm.shared import free_names, shared_folder, table
 
 #: A document whose quality score is below this goes.
 QUALITY_LEAST = 0.3
@@ -29,8 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are scored as any other. Extra columns are kept.
     """
     model = quality_model(docs, table(spark, sf_dir, "labels"))
-    scored = score_quality(docs, model, score_col="_quality_score")
-    return scored.where(f"_quality_score >= {QUALITY_LEAST}").select(*docs.columns)
+    score, = free_names(docs, "score")
+    return score_quality(docs, model, score_col=score).where(F.col(score) >= QUALITY_LEAST).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,14 +55,14 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("decontamination", decontaminate), ("sentencepiece", encode)]
 
-#: Neighbour votes in floating point and sampled segmentations have no SQL; tests hold every stage against brute force.
+#: Neighbour votes in floating point and sampled segmentations have no SQL. Tests hold the first stage against votes written
+#: out one by one, the next three against SQL, and the last against its texts.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; the intermediate tables lie in the folder of spark.checkpoint.dir."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    base = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -2,11 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .shared import durable
 
+#: Nodes at most whose neighbours are looked up in a broadcast table, since each has over 2 / HEAVY_NODES of all edge ends.
+HEAVY_NODES = 50_000
+#: Neighbours up to which a node is never heavy.
+LIGHT = 256
+
+
+def _with_smallest(pairs: DataFrame, rows: int) -> DataFrame:
+    """(u, v, m): each pair with the smallest v that its u has, or u itself.
+
+    The minima are aggregates with a partial step. A node with many neighbours,
+    such as the centre of a star, isn't joined by key: it is one of a bounded
+    number of heavy nodes, whose minima are broadcast.
+    """
+    low = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    heavy = low.where(F.col("n") > max(LIGHT, 2 * rows // HEAVY_NODES)).select("u", F.col("m").alias("h"))
+    marked = pairs.join(F.broadcast(heavy), "u", "left")
+    light = marked.where("h IS NULL").select("u", "v").join(low.select("u", "m"), "u")
+    return light.unionByName(marked.where("h IS NOT NULL").select("u", "v", F.col("h").alias("m")))
+
+
+def _cut(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, with their number and an order-free digest, which the job that writes them observes."""
+    seen = Observation()
+    h = F.xxhash64("u", "v")
+    table = durable(edges.observe(seen, F.count("*").alias("n"), F.sum(F.shiftright(h, 32)).alias("high"), F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("low")))
+    return table, (seen.get.get("n") or 0, seen.get.get("high"), seen.get.get("low"))
+
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every linked node.
@@ -17,18 +44,15 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     neighbour; the number of rounds grows with the logarithm of the longest
     path, and each ends in a checkpoint, so that the plan stays short.
     """
-    edges = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    edges, before = _cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        after = durable(small.where("u > v").distinct())
-        same = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if same(after) == same(edges):
+        large = durable(_with_smallest(both, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
+        small = _with_smallest(large, before[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges, after = _cut(small.where("u > v").distinct())
+        if after == before:
             break
-        edges = after
+        before = after
     else:
         raise RuntimeError(f"components: not settled after {most_rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct()

@@ -10,22 +10,28 @@ symbols on average; it meets in a chunk with probability 0.738 (0.75^4 + 4 x
 0.75^3 x 0.25), and in none of the 12 with 1e-7. That search is all that can
 miss a link: what follows looks at the full sets.
 
-Documents with equal sets are one class. Candidates are confirmed on full sets.
-Under a key with few members, all pairs are candidates. Under a crowded one,
-every member meets the smallest first; where that leaves more than one
-component, the members are compared exactly in blocks of bounded size that give
-out only the links of a spanning forest, so no group is ever written as pairs.
+Documents with equal sets are one class. Candidates are confirmed on full sets,
+unless bitmaps of the sets already differ in more places than linked sets can.
+Under a crowded key, every member meets the one that shares crowded keys with the
+most others, such as the text that the others are copies of. Under a key with few
+members, all pairs are candidates that aren't in one component by then. Where
+members of a crowded key stay apart, they meet one outside the largest component.
+What is still apart is compared exactly by shared rare shingles: with shingles in
+one order, rarest first, linked sets share one of the first ones of both. Lists of
+members under a shingle pair only members of different components, and the largest
+component of a list only with the others.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import durable, shuffle_partitions, table
+from .shared import durable, free_names, table
 from .textarrow import SPACED_LOWER, mix, ngrams, text_blocks, words
 
 U = np.uint64
@@ -34,10 +40,14 @@ CHUNKS, PER_CHUNK = 12, 4
 SYMBOLS = CHUNKS * PER_CHUNK
 #: Members of a key up to which all pairs are candidates at once; beyond it, blocks.
 CROWD = 32
-#: Documents in one block of a crowd.
-BLOCK = 768
 #: Identifiers up to which a list of wanted documents is broadcast; beyond it, the join shuffles.
 BROADCAST_IDS = 200_000
+#: 64-bit words of a set's bitmap.
+BITMAP = 16
+#: Cells that count shingles of crowds by hash; they only order shingles, and are all that the driver gets.
+CELLS_BITS = 20
+#: Pairs, and bytes of their texts, that are confirmed at a time.
+PAIRS, PAIR_BYTES = 512, 16 << 20
 
 _SEEDS = mix(np.arange(1, SYMBOLS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
@@ -62,16 +72,24 @@ def signatures(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def bitmaps(flat: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """One row of BITMAP words for each set flat[cut[i] : cut[i + 1]]: the bits that hashes of its shingles name."""
+    bits = np.zeros((len(cut) - 1, 64 * BITMAP), bool)
+    bits[np.repeat(np.arange(len(cut) - 1), np.diff(cut)), (mix(flat ^ U(0x94D049BB133111EB)) % U(64 * BITMAP)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
 def _sketch(id_col: str, text_col: str, *carried: str):
     def run(batches):
         for batch in batches:
             ids, text, *other = (batch.column(batch.schema.get_field_index(c)) for c in (id_col, text_col, *carried))
-            for block in text_blocks(text):
+            for block in text_blocks(text, most=1 << 14):
                 grams, bounds = ngrams(words(block, SPACED_LOWER), SHINGLE)
                 sets = [np.unique(grams[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 n = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(n)
                 sig, one, two = [None] * len(sets), np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
+                maps = np.zeros((len(sets), BITMAP), np.int64)
                 if len(full):
                     flat = np.concatenate([sets[i] for i in full])
                     cut = np.concatenate([[0], np.cumsum(n[full])])
@@ -79,15 +97,27 @@ def _sketch(id_col: str, text_col: str, *carried: str):
                         sig[i] = s.tobytes()
                     one[full] = np.add.reduceat(mix(flat), cut[:-1]).view(np.int64)
                     two[full] = np.bitwise_xor.reduceat(mix(flat ^ U(0x5851F42D4C957F2D)), cut[:-1]).view(np.int64)
+                    maps[full] = bitmaps(flat, cut)
                 rows = slice(block.first, block.first + len(sets))
-                yield pa.RecordBatch.from_arrays([ids[rows].cast(pa.int64()), pa.array(n), pa.array(one), pa.array(two), pa.array(sig, pa.binary()), *(c[rows] for c in other)], names=["doc_id", "n_shingles", "set_a", "set_b", "sig", *carried])
+                names = ["doc_id", "n_shingles", "set_a", "set_b", "sig", *_MAP, *carried]
+                yield pa.RecordBatch.from_arrays([ids[rows].cast(pa.int64()), pa.array(n), pa.array(one), pa.array(two), pa.array(sig, pa.binary()), *(pa.array(maps[:, k].copy()) for k in range(BITMAP)), *(c[rows] for c in other)], names=names)
 
     return run
 
 
-def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the shingle set, and the signature (null for an empty set)."""
-    return docs.select(id_col, text_col).mapInArrow(_sketch(id_col, text_col), "doc_id long, n_shingles long, set_a long, set_b long, sig binary")
+_MAP = [f"w{k}" for k in range(BITMAP)]
+_WORDS = ", ".join(f"{w} long" for w in _MAP)
+_SKETCH = f"doc_id long, n_shingles long, set_a long, set_b long, sig binary, {_WORDS}"
+
+
+def _can_link() -> Column:
+    """Whether sets of n_a and n_b shingles with bitmaps map_a and map_b can be linked.
+
+    Linked sets differ in size by a quarter at most, and in a seventh of both their
+    shingles; each bit that differs is another of these.
+    """
+    bits = sum((F.bit_count(F.col(f"map_a.{w}").bitwiseXOR(F.col(f"map_b.{w}"))) for w in _MAP), F.lit(0))
+    return (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")) & (7 * bits <= F.col("n_a") + F.col("n_b"))
 
 
 def _keys(batches):
@@ -99,7 +129,7 @@ def _keys(batches):
             a, b, c = (sig[:, :, j] for j in range(PER_CHUNK) if j != skip)
             tag = np.arange(CHUNKS, dtype=np.int64) * PER_CHUNK + skip
             key = (tag[None, :] << 48) | (a << 32) | (b << 16) | c
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(ids, CHUNKS))], names=["key", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(ids, CHUNKS))], names=["key", "node"])
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -113,12 +143,14 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 def _confirm(batches):
     """Pairs (a, b) whose full sets are linked."""
     for batch in batches:
-        for i in range(0, batch.num_rows, 512):
-            part = batch.slice(i, 512)
-            a, b = part.column(0), part.column(1)
+        size = sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3))
+        upto, i = np.cumsum(size), 0
+        while i < batch.num_rows:
+            j = min(i + PAIRS, max(i + 1, int(np.searchsorted(upto, upto[i] - size[i] + PAIR_BYTES))))
+            part, i = batch.slice(i, j - i), j
             left, right = shingle_sets(part.column(2)), shingle_sets(part.column(3))
             good = pa.array([linked(x, y) for x, y in zip(left, right, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(good), b.filter(good)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good)], names=["a", "b"])
 
 
 def _row_key() -> Column:
@@ -128,48 +160,79 @@ def _row_key() -> Column:
 
 def _text_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """doc_id (the class), text: one text for each row (doc_id, rep_id, rep_hash) of `classes`, whose key is that of its first row."""
-    few = classes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    wanted = durable(classes)
+    few = wanted.count() <= BROADCAST_IDS
     rows = docs.select(F.col("doc_id").alias("_id"), _row_key().alias("_hash"), "text")
-    found = rows.join(F.broadcast(classes) if few else classes, F.col("_id").eqNullSafe(F.col("rep_id")) & (F.col("_hash") == F.col("rep_hash")))
+    found = rows.join(F.broadcast(wanted) if few else wanted, F.col("_id").eqNullSafe(F.col("rep_id")) & (F.col("_hash") == F.col("rep_hash")))
     # Rows of the same identifier and text are one row here.
     return found.groupBy("doc_id").agg(F.any_value("text").alias("text"))
 
 
-def _crowd_links(key, rows):
-    """Links of a spanning forest among the members of two blocks of a crowd.
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h >> U(64 - CELLS_BITS)).astype(np.int64)
+
+
+def _count_cells(batches):
+    """How many shingles of the texts fall into each cell."""
+    total = np.zeros(1 << CELLS_BITS, np.int64)
+    for batch in batches:
+        for own in shingle_sets(batch.column(0)):
+            np.add.at(total, _cells(own), 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+
+
+def rare_first(own: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, int]:
+    """The shingles of a set that a link to a set of its size or smaller must share, rarest first, and how many a link to one of its size or larger must.
 
-    Members come with the component that they are known to be in; pairs in one component are not looked at.
+    Sets of n and m shingles are linked if they share 3/7 of n + m or more. Of n
+    in a fixed order, all but n - k + 1 can go if k are shared: with m >= n, k is
+    6n/7 or more, with m <= n it is 3n/4 or more.
     """
-    batch = rows.combine_chunks() if isinstance(rows, pa.Table) else rows
-    column = lambda n: batch.column(n).combine_chunks() if isinstance(batch.column(n), pa.ChunkedArray) else batch.column(n)
-    ids = column("doc_id").to_numpy()
-    own = column("block").to_numpy()
-    member = np.array(column("component").to_pylist(), np.int64)
-    sets = shingle_sets(column("text"))
-    size = np.array([len(x) for x in sets])
-    bounds = np.concatenate([[0], np.cumsum(size)])
-    _, code = np.unique(np.concatenate(sets), return_inverse=True)
-    first, second = key[1].as_py(), key[2].as_py()
+    n = len(own)
+    order = np.lexsort((own, frequency[_cells(own)]))
+    return own[order[: n - (3 * n + 3) // 4 + 1]], n - (6 * n + 6) // 7 + 1
 
-    out = []
-    seen = np.zeros(int(code.max()) + 1, np.int32)
-    for i in range(len(ids)):
-        if own[i] != first:
-            continue
-        others = (own == second) & (member != member[i]) & (4 * np.minimum(size, size[i]) >= 3 * np.maximum(size, size[i]))
-        if first == second:
-            others[: i + 1] = False
-        if not others.any():
-            continue
-        mine = code[bounds[i] : bounds[i + 1]]
-        seen[mine] = 1
-        both = np.add.reduceat(seen[code], bounds[:-1])
-        seen[mine] = 0
-        for j in np.flatnonzero(others & (100 * both >= 75 * (size + size[i] - both))).tolist():
-            if member[i] != member[j]:
-                member[member == max(member[i], member[j])] = min(member[i], member[j])
-                out.append((ids[i], ids[j]))
-    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+def _entries(frequency):
+    def run(batches):
+        for batch in batches:
+            node, component, *maps = (batch.column(i).to_numpy() for i in (0, 1, *range(3, 3 + BITMAP)))
+            sets = shingle_sets(batch.column(2))
+            made = [rare_first(own, frequency.value) for own in sets]
+            k = np.array([len(first) for first, _ in made], np.int64)
+            if not k.sum():
+                continue
+            place = np.concatenate([np.arange(n) for n in k])
+            short = place < np.repeat([s for _, s in made], k)
+            size = np.array([len(own) for own in sets], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([first for first, _ in made]).view(np.int64)), *(pa.array(np.repeat(x, k)) for x in (node, component, size)), pa.array(short), pa.array(size.repeat(k) - place), *(pa.array(np.repeat(x, k)) for x in maps)], names=["shingle", "node", "component", "n", "short", "rest", *_MAP])
+
+    return run
+
+
+def _crowd_pairs(members: DataFrame) -> DataFrame:
+    """Candidate pairs of different components among (node, component, text, and the bitmap's words), by rare shingles that they share."""
+    spark = members.sparkSession
+    counted = members.select("text").mapInArrow(_count_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(1 << CELLS_BITS, np.int64)
+    frequency[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    entries = durable(members.select("node", "component", "text", *_MAP).mapInArrow(_entries(spark.sparkContext.broadcast(frequency)), "shingle long, node long, component long, n long, short boolean, rest long, " + _WORDS))
+    per = entries.groupBy("shingle", "component").agg(F.count("*").alias("k"), F.max("short").alias("short"))
+    lists = durable(per.groupBy("shingle").agg(F.count("*").alias("of"), F.max_by("component", F.struct("k", "component")).alias("main"), F.max("short").alias("short")).where("of > 1 AND short").select("shingle", "main"))
+    entries = durable(entries.join(lists, "shingle").select("shingle", "node", "component", "n", "short", "rest", *_MAP, (F.col("component") != F.col("main")).alias("outside")))
+
+    def meet(small: Column, large: Column) -> DataFrame:
+        """Pairs of a smaller set, by the few shingles that it must share with one of its size or larger, and the larger one.
+
+        Under the first shingle that linked sets share, what follows in both is enough for all that they share.
+        """
+        side = lambda n: ("shingle", F.col("node").alias(n), F.col("component").alias(f"c_{n}"), F.col("n").alias(f"n_{n}"), F.col("rest").alias(f"rest_{n}"), F.struct(*_MAP).alias(f"map_{n}"))
+        x, y = entries.where(F.col("short") & small).select(*side("a")), entries.where(large).select(*side("b"))
+        return x.join(y, "shingle").where((F.col("c_a") != F.col("c_b")) & (F.col("n_a") <= F.col("n_b")) & (7 * F.least("rest_a", "rest_b") >= 3 * (F.col("n_a") + F.col("n_b"))) & _can_link()).select("a", "b")
+
+    found = meet(F.col("outside"), F.lit(True)).unionByName(meet(~F.col("outside"), F.col("outside")))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,78 +251,91 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _components_by_row(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).drop("row_hash")
 
 
+def _confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets are linked."""
+    side = lambda n: reps.select(F.col("doc_id").alias(n), F.col("n_shingles").alias(f"n_{n}"), F.struct(*_MAP).alias(f"map_{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    pairs = durable(both.where(_can_link()).select("a", "b"))
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = durable(_text_of(docs, ids.join(reps.select("doc_id", "rep_id", "rep_hash"), "doc_id")))
+    side = lambda n: texts.select(F.col("doc_id").alias(n), F.col("text").alias(f"text_{n}"))
+    return durable(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long").distinct())
+
+
+def _merged(of: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after more links: the graph of the new links has components for nodes."""
+    own = lambda n: of.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}"))
+    between = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    joined = durable(components(between))
+    whole = of.unionByName(joined.select("node", F.col("node").alias("component"))).distinct()
+    return durable(whole.join(joined.select(F.col("node").alias("component"), F.col("component").alias("joined")), "component", "left").select("node", F.coalesce("joined", "component").alias("component")))
+
+
+def _central() -> Column:
+    """Aggregate: the node with the largest degree; of equals, the smallest."""
+    return F.max_by("node", F.struct("degree", -F.col("node")))
+
+
 def _components_by_row(docs: DataFrame) -> DataFrame:
     """What near_duplicates gives for (doc_id, text), and row_hash, the text's half of the row key.
 
     Inside, a node is a class of equal sets, under a number of its own that the checkpoint holds.
     """
-    spark = docs.sparkSession
     keyed = docs.withColumn("row_hash", _row_key())
-    made = durable(keyed.mapInArrow(_sketch("doc_id", "text", "row_hash"), "doc_id long, n_shingles long, set_a long, set_b long, sig binary, row_hash long"))
+    made = durable(keyed.mapInArrow(_sketch("doc_id", "text", "row_hash"), f"{_SKETCH}, row_hash long"))
     sets = made.where("n_shingles > 0")
-    of_class = sets.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("class_id"), F.first(F.struct("sig", F.col("doc_id").alias("rep_id"), F.col("row_hash").alias("rep_hash"))).alias("rep"))
-    classes = durable(of_class.select("n_shingles", "set_a", "set_b", "class_id", "rep.*", F.monotonically_increasing_id().alias("node")))
-    reps = classes.select(F.col("node").alias("doc_id"), "sig", "n_shingles", "rep_id", "rep_hash")
-
-    under = Window.partitionBy("key")
-    keys = reps.select("doc_id", "sig").mapInArrow(_keys, "key long, doc_id long").repartition(shuffle_partitions(spark), "key")
-    met = durable(keys.select("key", "doc_id", F.count("*").over(under).alias("n"), F.min("doc_id").over(under).alias("low")).where("n > 1"))
-    star = met.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))
-    small = met.where(F.col("n").between(3, CROWD))
-    small = small.groupBy("key").agg(F.sort_array(F.collect_list("doc_id")).alias("m"))
-    pairs = small.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, CROWD), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
-    pairs = pairs.unionByName(star).distinct()
-    # Linked sets differ in size by a quarter at most, so nothing that the full sets would confirm goes here.
-    sized = lambda n: reps.select(F.col("doc_id").alias(n), F.col("n_shingles").alias(f"n_{n}"))
-    pairs = durable(pairs.join(sized("a"), "a").join(sized("b"), "b").where(4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")).select("a", "b"))
-
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = _text_of(docs, ids.join(reps.select("doc_id", "rep_id", "rep_hash"), "doc_id"))
-    side = lambda n: texts.select(F.col("doc_id").alias(n), F.col("text").alias(f"text_{n}"))
-    links = durable(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long").distinct())
-    of = durable(components(links))
-
-    crowded = met.where(F.col("n") > CROWD).join(of.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = crowded.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("low").alias("centre")).where("lo <> hi")
-    members = durable(crowded.join(split, "key").select("key", "doc_id", "component", "centre"))
-    if not members.isEmpty():
-        links = links.unionByName(_compare_crowds(docs, reps, members))
-        of = durable(components(links))
-
-    named = classes.select("n_shingles", "set_a", "set_b", "class_id", "node").join(of, "node", "left")
+    of_class = sets.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("rows"), F.first(F.struct("sig", *_MAP, F.col("doc_id").alias("rep_id"), F.col("row_hash").alias("rep_hash"))).alias("rep"))
+    classes = durable(of_class.select("n_shingles", "set_a", "set_b", "class_id", "rows", "rep.*", F.monotonically_increasing_id().alias("node")))
+    reps = classes.select(F.col("node").alias("doc_id"), "sig", *_MAP, "n_shingles", "rep_id", "rep_hash")
+
+    keys = reps.select("doc_id", "sig").mapInArrow(_keys, "key long, node long")
+    sizes = durable(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    met = durable(keys.join(sizes, "key"))
+    crowded = met.where(F.col("n") > CROWD)
+    crowded = durable(crowded.select("key", "node").join(durable(crowded.groupBy("node").agg(F.sum("n").alias("degree"))), "node"))
+    star = lambda members, centres: members.join(durable(centres), "key").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).where("a < b").distinct()
+    labelled = lambda rows, of: rows.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = durable(components(_confirmed(docs, reps, star(crowded, crowded.groupBy("key").agg(_central().alias("centre"))))))
+
+    few = labelled(met.where(F.col("n") <= CROWD), of).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "component"))).alias("m"))
+    later = lambda x, i: F.filter(F.slice("m", i + 2, CROWD), lambda y: y["component"] != x["component"])
+    pairs = few.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(later(x, i), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))).alias("p")).select("p.a", "p.b")
+    of = _merged(of, _confirmed(docs, reps, pairs.distinct()))
+
+    for exactly in (False, True):
+        members = labelled(crowded, of)
+        per = members.groupBy("key", "component").agg(F.count("*").alias("k"), F.max("degree").alias("degree"), _central().alias("node"))
+        split = durable(per.groupBy("key").agg(F.count("*").alias("of"), F.max_by("component", F.struct("k", "component")).alias("main")).where("of > 1"))
+        if split.isEmpty():
+            break
+        if exactly:
+            apart = durable(members.join(split, "key").select("node", "component").distinct())
+            whole = apart.join(reps.select(F.col("doc_id").alias("node"), *_MAP, "rep_id", "rep_hash"), "node")
+            texts = _text_of(docs, whole.select(F.col("node").alias("doc_id"), "rep_id", "rep_hash")).withColumnRenamed("doc_id", "node")
+            more = _crowd_pairs(durable(whole.join(texts, "node").select("node", "component", "text", *_MAP)))
+        else:
+            more = star(members, per.join(split, "key").where("component <> main").groupBy("key").agg(_central().alias("centre")))
+        of = _merged(of, _confirmed(docs, reps, more))
+
+    named = classes.select("n_shingles", "set_a", "set_b", "class_id", "rows", "node").join(of, "node", "left")
     least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = named.join(least, "component", "left").select("n_shingles", "set_a", "set_b", "class_id", F.when(F.col("component").isNull(), F.col("class_id")).otherwise(F.col("component_id")).alias("component_id"), F.lit(True).alias("named"))
+    # A class of one row without links needs no name: its row stands for itself.
+    named = named.where("rows > 1 OR component IS NOT NULL").join(least, "component", "left")
+    named = durable(named.select("n_shingles", "set_a", "set_b", "class_id", F.when(F.col("component").isNull(), F.col("class_id")).otherwise(F.col("component_id")).alias("component_id"), F.lit(True).alias("named")))
     found = made.join(named, ["n_shingles", "set_a", "set_b"], "left")
     own = lambda c: F.when(F.col("named"), F.col(c)).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", own("component_id").alias("component_id"), own("component_id").eqNullSafe(F.col("doc_id")).alias("kept"), own("class_id").alias("class_id"), "row_hash")
 
 
-def _compare_crowds(docs: DataFrame, reps: DataFrame, members: DataFrame) -> DataFrame:
-    """Exact links between components inside crowds, block against block.
-
-    Crowded keys that share members make one crowd (components over key centres).
-    Its members are dealt into blocks; each pair of blocks is one task's work.
-    """
-    crowd = components(members.select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct())
-    people = members.select("doc_id", "component").distinct().join(crowd.select(F.col("node").alias("doc_id"), F.col("component").alias("crowd")), "doc_id")
-    people = durable(people)
-    sizes = people.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = people.join(sizes, "crowd").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
-    work = dealt.select("crowd", "doc_id", "component", "block", F.explode(meet).alias("m")).select("crowd", "m.x", "m.y", "doc_id", "component", "block")
-    texts = _text_of(docs, people.select("doc_id").join(reps.select("doc_id", "rep_id", "rep_hash"), "doc_id"))
-    full = work.join(texts, "doc_id")
-    return durable(full.groupBy("crowd", "x", "y").applyInArrow(_crowd_links, "a long, b long"))
-
-
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component stays: that with the smallest identifier.
 
     Of rows that share an identifier each is judged by its own text; where several share the kept one, all of them stay.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    kept = _components_by_row(rows).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("row_hash").alias("_kept_hash")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.xxhash64(text_col) == F.col("_kept_hash")), "left_semi")
+    own_id, own_hash = free_names(docs, "kept_id", "kept_hash")
+    kept = _components_by_row(rows).where("kept").select(F.col("doc_id").alias(own_id), F.col("row_hash").alias(own_hash)).distinct()
+    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_hash)), "left_semi")
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="shared-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's `spark.checkpoint.dir`.
 
@@ -22,15 +29,20 @@ def shared_folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return shared or tempfile.mkdtemp(prefix="shared-")
+    return (shared or _own_folder()).rstrip("/")
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Cut the lineage of `df`: write it as a table in the shared folder and read that.
+
+    What is read has its real size. (A checkpoint keeps the size that was
+    estimated for its plan, a product over all joins, which grows without bound
+    where a loop cuts its plan again and again.)
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:

@@ -1,7 +1,5 @@
 """The corpus operators on hard small tables, against SQL or brute force, and their held-out accuracy."""
 
-import re
-
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -79,23 +77,6 @@ def test_crowd_of_near_copies_is_one_component(spark):
     assert {r.component_id for r in out} == {0} and sum(r.kept for r in out) == 1
 
 
-def test_base_secrets_like_python(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    assign = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
-    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex) for r in queries.queries()["op4_secret_scans"](spark, SF).collect()}
-    for r in docs.collect():
-        t = r.text or ""
-        n = (sum(len(m[2]) >= 6 for m in assign.finditer(t)), sum(len(m) >= 20 for m in re.findall("AKIA[A-Z0-9]+", t)), sum(len(m) >= 24 for m in re.findall("[0-9a-f]+", t)))
-        assert got[r.doc_id] == n
-
-
-@pytest.mark.parametrize(("name", "label", "least"), [("op2_quality_classifier", "quality", 0.8), ("op5_toxicity", "toxic", 0.85)])
-def test_held_out_labels(spark, name, label, least):
-    labels = spark.read.parquet(f"{SF}/labels.parquet").where(F.col(label).isNotNull())
-    j = queries.queries()[name](spark, SF).where("held_out").join(labels, "doc_id").collect()
-    assert sum(r.predicted == r[label] for r in j) / len(j) >= least
-
-
 def test_held_out_languages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang IS NOT NULL").select("doc_id", "lang")
     j = queries.queries()["op3_language_id"](spark, SF).where("held_out AND lang_pred <> 'und'").join(docs, "doc_id").collect()
