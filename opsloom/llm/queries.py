@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_mix, near_dedup, quality_knn, secret_markov, sentence_sampling, substring_dedup, toxicity_cnn, url_rules
+from . import conversation_trie, decontaminate, exact_dedup, language_mix, license_scan, near_dedup, quality_knn, secret_markov, sentence_sampling, spelling_variants, substring_dedup, toxicity_cnn, url_rules
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_decontamination": decontaminate.op8_decontamination,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_conversation_trie": conversation_trie.op11_conversation_trie,
+        "op12_license_scans": license_scan.op12_license_scans,
+        "op13_spelling_variants": spelling_variants.op13_spelling_variants,
     }
 
 
@@ -27,4 +30,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_decontamination": decontaminate.ORACLE_SQL,
         "op9_substring_dedup": substring_dedup.ORACLE_SQL,
         "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op11_conversation_trie": conversation_trie.ORACLE_SQL,
+        "op12_license_scans": license_scan.ORACLE_SQL,
+        "op13_spelling_variants": spelling_variants.ORACLE_SQL,
     }
