@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,8 +176,6 @@ def grok_of(template: str, sample: str = "") -> str:
 
 def with_grok(clusters: DataFrame) -> DataFrame:
     """Clusters with a grok pattern proposed from template and sample; Arrow batches of templates, of which there are few."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def proposed(template: pd.Series, sample: pd.Series) -> pd.Series:
         return pd.Series([grok_of(t, s or "") for t, s in zip(template, sample)], dtype=object)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stats, text
 from ..sources.observations import MINUTE
 from .rollups import bucket, severe
+from .spans import kept
 
 #: Tokens of a template, and those that say nothing.
 TOKEN, PLAIN_TOKENS = r"[a-z][a-z0-9_\-]{2,}", ("path", "uuid", "hex", "url")
@@ -125,12 +126,9 @@ def query_alerts(obs: DataFrame, rules: dict[str, tuple[Column, str, int]], star
     return counted.select(F.inline(rows))
 
 
-def sampled_traces(spans: DataFrame, percent: float, slow_ms: float) -> DataFrame:
-    """Spans of the traces that are kept: a fixed share by the hash of their identifier, and all with an error, a slow span, or a user's or device's."""
-    h = F.conv(F.substring(F.sha1(F.col("trace_id").cast("string")), 1, 8), 16, 10).cast("bigint")
-    claimed = spans.where(F.col("error") | (F.col("duration_ms") >= slow_ms) | F.col("kind").isin("user", "mobile")).select("trace_id").distinct()
-    by_share = spans.where(h % 10_000 < int(percent * 100)).select("trace_id").distinct()
-    return spans.join(claimed.unionByName(by_share).distinct(), "trace_id", "left_semi")
+def sampled_traces(spans: DataFrame, percent: float, slow_ms: float, hold_ms: float = 120_000) -> DataFrame:
+    """Spans that are kept: a fixed share of traces by hash, failed, slow and users' spans, and the traces that an error claims."""
+    return kept(spans, percent, slow_ms, F.col("error"), "start_ms", hold_ms)
 
 
 def span_rollup(spans: DataFrame, step_ms: int) -> DataFrame:

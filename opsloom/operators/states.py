@@ -11,7 +11,7 @@ from .folds import fold, fold_stream
 # The share of the lower limit below which a level is left, minutes after which a metric that isn't sent is
 # closed quietly, and minutes between notices where a policy names none.
 HYSTERESIS, GONE_MIN, COOLDOWN_MIN = 0.95, 15, 30
-STATES = "host string, metric string, us long, value double, level string, status string, since_us long, limit double, notice string"
+STATES = "host string, metric string, us long, value double, level string, status string, since_us long, bound double, notice string"
 
 
 def _quiet() -> dict:
@@ -44,8 +44,8 @@ def _judge(s: dict, r: dict) -> list:
     s.update(level=level, seen=us)
     if s["since"] is None:
         s["since"] = us
-    limit = crit if level == "crit" else warn if level == "warn" else low
-    return [{"us": us, "value": v, "level": level, "status": status, "since_us": s["since"], "limit": limit, "notice": notice}]
+    bound = crit if level == "crit" else warn if level == "warn" else low
+    return [{"us": us, "value": v, "level": level, "status": status, "since_us": s["since"], "bound": bound, "notice": notice}]
 
 
 def threshold_states(values: DataFrame) -> DataFrame:

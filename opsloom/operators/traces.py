@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from .graph import written
 
 #: Vectors, and queries, that a task of the similarity search holds at once, on average.
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 512
@@ -76,15 +77,41 @@ def self_times(spans: DataFrame, with_parents: DataFrame) -> DataFrame:
     return spans.join(kids, ["trace_id", "span_id"], "left").select("trace_id", "span_id", F.greatest(F.lit(0.0), F.col("duration_ms") - F.coalesce("kids_ms", F.lit(0.0))).alias("self_ms"))
 
 
-def depths(with_parents: DataFrame, most: int = 64) -> DataFrame:
-    """(trace_id, span_id, depth): how many parents lie above a span. Each round doubles the distance that pointers reach."""
-    at = with_parents.select("trace_id", "span_id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"))
+def depths(with_parents: DataFrame) -> DataFrame:
+    """(trace_id, span_id, depth): how many spans lie on the way up from a span, itself not counted.
+
+    Each round doubles the distance that pointers reach, until all have ended. In
+    a circle of parents, which ends nowhere, the way stops at a span that it has
+    met, which counts once more: its length is that of the way into the circle and
+    the circle together.
+    """
+    at = written(with_parents.select("trace_id", "span_id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("bigint").alias("depth")))
+    longest = at.groupBy("trace_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     reach = 1
-    while reach < most:
+    while reach < 2 * longest and not at.where("up IS NOT NULL").isEmpty():
         above = at.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        at = at.join(above, ["trace_id", "up"], "left").select("trace_id", "span_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        at = written(at.join(above, ["trace_id", "up"], "left").select("trace_id", "span_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
         reach *= 2
-    return at.select("trace_id", "span_id", "depth")
+    ended = at.where("up IS NULL").select("trace_id", "span_id", "depth")
+    # Pointers that are left lie on circles by now, since they have gone further than any trace has spans.
+    stuck = at.where("up IS NOT NULL").select("trace_id", "span_id")
+    edges = with_parents.select("trace_id", "span_id", "parent_id").join(stuck, ["trace_id", "span_id"], "left_semi")
+
+    def walk(rows: pa.Table) -> pa.Table:
+        up = dict(zip(rows.column("span_id").to_pylist(), rows.column("parent_id").to_pylist()))
+        out = []
+        for s in up:
+            seen = {s}
+            at = up[s]
+            while at not in seen:
+                seen.add(at)
+                at = up[at]
+            out.append(len(seen))
+        return pa.table({"trace_id": rows.column("trace_id")[: len(out)], "span_id": pa.array(list(up), rows.schema.field("span_id").type), "depth": pa.array(out, pa.int64())})
+
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
+    circles = edges.dropDuplicates(["trace_id", "span_id"]).groupBy("trace_id").applyInArrow(walk, f"trace_id {kinds['trace_id']}, span_id {kinds['span_id']}, depth long")
+    return ended.unionByName(circles)
 
 
 def funnel(events: DataFrame, steps: int, now_s: int) -> DataFrame:

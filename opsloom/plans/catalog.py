@@ -236,7 +236,7 @@ def waterfalls(spark, sf_dir):
     s = spans_of(spark, sf_dir)
     with_parents = traces.parents(s)
     start = s.groupBy("trace_id").agg(F.min("start_ms").alias("t0"))
-    own = traces.self_times(s, with_parents).join(traces.depths(with_parents, 8), ["trace_id", "span_id"])
+    own = traces.self_times(s, with_parents).join(traces.depths(with_parents), ["trace_id", "span_id"])
     return own.join(s.select("trace_id", "span_id", "start_ms"), ["trace_id", "span_id"]).join(start, "trace_id").select("trace_id", "span_id", "self_ms", "depth", (F.col("start_ms") - F.col("t0")).alias("offset_ms")).distinct()
 
 

@@ -13,19 +13,6 @@ from opsloom.sources.observations import MINUTE
 BASE = 1_704_067_200_000_000  # a Monday
 
 
-def streamed(spark, df, folder, make, name, parts=3, by="us"):
-    """What a stream gives for rows that come in several files, in order of `by`."""
-    rows = df.orderBy(by).collect()
-    step = -(-len(rows) // parts)
-    for k in range(parts):
-        if part := rows[k * step : (k + 1) * step]:
-            spark.createDataFrame(part, df.schema).coalesce(1).write.parquet(f"{folder}/in/{k}")
-    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
-    query = make(source).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
-
-
 def sequential(messages):
     """The miner, one line after the other, with the tree written out."""
     root, memory, order = {}, {}, []
@@ -71,10 +58,10 @@ def test_templates_equal_a_sequential_miner(spark, monkeypatch, children):
     assert mining.mine(df.limit(0)).count() == 0
 
 
-def test_streamed_templates(spark, tmp_path):
+def test_streamed_templates(spark, streamed):
     lines = [f"{w} on disk {i}" for i in range(5) for w in ("read", "write")] + ["read on tape 3", "42 done"]
     df = spark.createDataFrame([(m, BASE + i, i) for i, m in enumerate(lines)], "message string, us long, seq long")
-    out = streamed(spark, df, tmp_path, mining.mine_stream, "templates").collect()
+    out = streamed(df, mining.mine_stream, "templates").collect()
     last = {}
     for r in sorted(out, key=lambda r: (r.us, r.seq)):
         last[r.node, r.leaf, r.cluster] = (r.template, r.lines)
@@ -120,7 +107,7 @@ def series(seed):
     return rows
 
 
-def test_threshold_states_and_their_stream(spark, tmp_path):
+def test_threshold_states_and_their_stream(spark, streamed):
     rows = [(h, "cpu", *r) for h in ("a", "b", "c") for r in series(h)]
     df = spark.createDataFrame(rows, "host string, metric string, us long, value double, warn double, crit double, for_min int, cooldown_min int, tell_resolved boolean")
     got = states.threshold_states(df.repartition(4))
@@ -128,7 +115,7 @@ def test_threshold_states_and_their_stream(spark, tmp_path):
     want = [(h, *o) for h in ("a", "b", "c") for o in judged([r[2:] for r in rows if r[0] == h])]
     assert [(r.host, r.us, r.level, r.status, r.since_us, r.notice) for r in seen] == want
     assert {r.notice for r in seen} == {"", "warn", "crit", "resolved"} and {r.status for r in seen} == {"ok", "pending", "warn", "crit"}
-    live = streamed(spark, df, tmp_path, states.threshold_stream, "levels")
+    live = streamed(df, states.threshold_stream, "levels")
     assert sorted(map(tuple, live.select(*got.columns).collect())) == sorted(map(tuple, seen))
     moved = states.transitions(got).count()
     assert 0 < moved < len(seen)
@@ -195,11 +182,11 @@ def test_daily_cycles_wait_for_a_weekend_and_means_decay(spark):
     assert profile.weekday == pytest.approx([mean[h] for h in range(24)]) and profile.weekend == [None] * 24
 
 
-def test_learning_as_a_stream(spark, tmp_path):
+def test_learning_as_a_stream(spark, streamed):
     rows = [(h, us, v, a) for h in ("x", "y") for _, us, v, a in hour_rows([5, None, 7] * 20)]
     df = spark.createDataFrame(rows, HOURS)
     table = learning.learning_states(df)
-    live = streamed(spark, df, tmp_path, learning.learning_stream, "learned")
+    live = streamed(df, learning.learning_stream, "learned")
     key = lambda d: sorted(repr(tuple(r)) for r in d.select(*table.columns).collect())
     assert key(live) == key(table)
 
