@@ -15,13 +15,18 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="graph-")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df`: a table in the folder that driver and executors share, read again."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`; one of this process only where Spark runs in it alone."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    path = f"{(shared or _own_folder()).rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return (shared or _own_folder()).rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df`: a table in the folder that driver and executors share, read again."""
+    spark: SparkSession = df.sparkSession
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

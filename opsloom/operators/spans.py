@@ -161,10 +161,8 @@ def merge_rollups(*parts: DataFrame) -> DataFrame:
     for p in parts[1:]:
         every = every.unionByName(p)
     keys = ("bar", "service", "operation", "kind", "environment")
-    cells = every.select(*keys, F.posexplode("h").alias("i", "n")).groupBy(*keys, "i").agg(F.sum("n").alias("n"))
-    hist = cells.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "n"))), lambda x: x["n"]).alias("h"))
-    sums = every.groupBy(*keys).agg(F.sum("calls").alias("calls"), F.sum("errors").alias("errors"), F.round(F.sum("total_ms"), 3).alias("total_ms"), F.max("max_ms").alias("max_ms"))
-    return sums.join(hist, list(keys))
+    histogram = F.array(*[F.sum(F.col("h")[i]) for i in range(len(stats.BOUNDS) + 1)])
+    return every.groupBy(*keys).agg(F.sum("calls").alias("calls"), F.sum("errors").alias("errors"), F.round(F.sum("total_ms"), 3).alias("total_ms"), F.max("max_ms").alias("max_ms"), histogram.alias("h"))
 
 
 def by_hash(trace_id: Column, percent: float) -> Column:
