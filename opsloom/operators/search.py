@@ -66,20 +66,44 @@ def lessons_for(queries: DataFrame, lessons: DataFrame, most: int = 6) -> DataFr
     return j.withColumn("score", F.round(score, 6)).where("score > 0.02").withColumn("place", place).where(F.col("place") <= most).select("query_id", "lesson_id", "score", "place")
 
 
-def tickets(rows: DataFrame, signals: DataFrame, window_min: int = 30) -> DataFrame:
-    """How much a ticket (ticket_id, text, us) has to do with signals (fingerprint, template, service, host, onset_us).
-
-    A shared service or host counts 0.6, each shared specific word 0.15; a match
-    needs one of the former or two words. Opened near an onset counts too.
+def _near_any(rows: DataFrame, onsets: DataFrame, window_us: int) -> DataFrame:
+    """(ticket_id, near_any): whether any of the onsets lies within the window of a ticket's time. A slot's first and last onset tell it, whatever their number."""
+    slots = onsets.where("onset_us IS NOT NULL").groupBy(F.floor(F.col("onset_us") / window_us).alias("slot")).agg(F.min("onset_us").alias("lo"), F.max("onset_us").alias("hi"))
+    at = rows.select("ticket_id", "us", F.explode(F.array(*[(F.floor(F.col("us") / window_us) + k).alias("slot") for k in (-1, 0, 1)])).alias("slot")).join(slots, "slot")
+    close = F.col("lo").between(F.col("us") - window_us, F.col("us") + window_us) | F.col("hi").between(F.col("us") - window_us, F.col("us") + window_us)
+    return at.groupBy("ticket_id").agg(F.bool_or(close).alias("near_any"))
+
+
+def tickets(rows: DataFrame, signals: DataFrame, window_min: int = 30, now_us: int | None = None, breaches: DataFrame | None = None, incidents: DataFrame | None = None) -> DataFrame:
+    """How much a ticket (ticket_id, text, us) has to do with signals, breaches and incidents: relevance, related and near.
+
+    `signals` has fingerprint, template, service, host and onset_us. A shared
+    service or host counts 0.6, each shared specific word 0.15; a match needs one
+    of the former or two words. A breach (metric, host) that the ticket names
+    counts 0.7, an incident (incident, name, onset_us; a row for each of its
+    services and hosts) 0.8. 0.65 of the best is text, 0.35 time: in full if a
+    related onset - of all signals, where nothing is related - is within the
+    window, half if the ticket itself is no older than that at `now_us`.
     """
+    window = window_min * MINUTE
     t = rows.select("ticket_id", "us", F.explode(tokens(F.col("text"))).alias("token"))
     names = signals.select("fingerprint", F.explode(F.array_distinct(F.array(F.lower("service"), F.lower("host")))).alias("token"), F.lit(1).alias("name"), F.lit(0).alias("word"))
     words = signals.select("fingerprint", F.explode(F.filter(tokens(F.col("template")), lambda w: F.length(w) >= 4)).alias("token"), F.lit(0).alias("name"), F.lit(1).alias("word"))
     m = t.join(names.unionByName(words), "token").groupBy("ticket_id", "us", "fingerprint").agg(F.max("name").alias("name"), F.sum("word").alias("words"))
     m = m.where("name = 1 OR words >= 2").withColumn("score", F.least(F.lit(1.0), 0.6 * F.col("name") + 0.15 * F.col("words"))).join(signals.select("fingerprint", "onset_us"), "fingerprint")
-    near = F.max((F.abs(F.col("us") - F.col("onset_us")) <= window_min * MINUTE).cast("int"))
-    best = m.groupBy("ticket_id").agg(F.max("score").alias("best"), near.alias("near"), F.count("*").alias("related"))
-    return rows.select("ticket_id").join(best, "ticket_id", "left").select("ticket_id", F.round(F.least(F.lit(1.0), 0.65 * F.coalesce("best", F.lit(0.0)) + 0.35 * F.coalesce("near", F.lit(0))), 2).alias("relevance"), F.coalesce("related", F.lit(0)).alias("related"))
+    items = m.select("ticket_id", "us", "score", "onset_us")
+    if breaches is not None:
+        said = breaches.select(F.explode(F.array(F.lower("host"), "metric")).alias("token"), F.concat_ws("@", "metric", "host").alias("breach"))
+        items = items.unionByName(t.join(said, "token").select("ticket_id", "us", "breach").distinct().select("ticket_id", "us", F.lit(0.7).alias("score"), F.lit(None).cast("long").alias("onset_us")))
+    if incidents is not None:
+        at = incidents.select(F.lower("name").alias("token"), "incident", "onset_us")
+        items = items.unionByName(t.join(at, "token").groupBy("ticket_id", "us", "incident").agg(F.min("onset_us").alias("onset_us")).select("ticket_id", "us", F.lit(0.8).alias("score"), "onset_us"))
+    best = items.groupBy("ticket_id").agg(F.max("score").alias("best"), F.bool_or(F.abs(F.col("us") - F.col("onset_us")) <= window).alias("near"), F.count("onset_us").alias("onsets"), F.count("*").alias("related"))
+    j = rows.select("ticket_id", "us").join(best, "ticket_id", "left").join(_near_any(rows, signals, window), "ticket_id", "left")
+    near = F.coalesce(F.when(F.coalesce("onsets", F.lit(0)) > 0, F.col("near")).otherwise(F.col("near_any")), F.lit(False))
+    young = F.lit(False) if now_us is None else F.coalesce(F.lit(now_us) - F.col("us") <= window, F.lit(False))
+    time = F.when(near, 1.0).when(young, 0.5).otherwise(0.0)
+    return j.select("ticket_id", F.round(F.least(F.lit(1.0), 0.65 * F.coalesce("best", F.lit(0.0)) + 0.35 * time), 2).alias("relevance"), F.coalesce("related", F.lit(0)).alias("related"), near.alias("near"))
 
 
 def host_values(obs: DataFrame, metrics: DataFrame, now_us: int, window_min: int) -> DataFrame:

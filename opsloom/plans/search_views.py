@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import rollups, search, views
+from ..operators import rollups, search, stacks, vectors, views
 from ..sources.observations import MINUTE, from_events, table
 from .catalog import BOUNDS, DAY, END, HOUR, LINES, OBS, START, query, spans_of
 from .views import _METRICS, METRICS
@@ -55,13 +55,54 @@ def token_similarity(spark, sf_dir):
     return j.select(F.col("a.page_id").alias("a"), F.col("b.page_id").alias("b"), F.round(search.similarity(F.col("a.t"), F.col("b.t")), 6).alias("similarity"))
 
 
-@query(f"WITH {OBS}, s AS (SELECT DISTINCT 'g-' || service || host || (us - us % {HOUR}) AS fingerprint, 'error burst in payment module' AS template, service, host, us - us % {HOUR} AS onset_us FROM o WHERE seq % 50 = 0), t AS (SELECT seq AS ticket_id, us, CASE seq % 3 WHEN 0 THEN 'trouble with ' || service WHEN 1 THEN 'payment module shows an error' ELSE 'nothing known' END AS x, seq, service FROM o WHERE seq % 20 = 0), m AS (SELECT ticket_id, t.us, s.onset_us, s.fingerprint, CASE WHEN t.seq % 3 = 0 AND t.service = s.service THEN 1 ELSE 0 END AS name, CASE WHEN t.seq % 3 = 1 THEN 3 ELSE 0 END AS words FROM t, s) , k AS (SELECT *, least(1.0, 0.6 * name + 0.15 * words) AS score FROM m WHERE name = 1 OR words >= 2), b AS (SELECT ticket_id, max(score) AS best, max(CAST(abs(us - onset_us) <= {30 * MINUTE} AS INT)) AS near FROM k GROUP BY 1) SELECT ticket_id, CAST(round(least(1.0, 0.65 * coalesce(best, 0.0) + 0.35 * coalesce(near, 0)), 2) AS DOUBLE) AS relevance FROM t LEFT JOIN b USING (ticket_id)")
+@query(f"""WITH {OBS}, s AS (SELECT DISTINCT 'g-' || service || host || (us - us % {HOUR}) AS fingerprint, service, host, us - us % {HOUR} AS onset_us FROM o WHERE seq % 50 = 0),
+t AS (SELECT seq AS ticket_id, us, seq % 3 AS kind, service, host FROM o WHERE seq % 20 = 0), m AS (SELECT ticket_id, t.us, s.onset_us, 0.6 AS score FROM t JOIN s ON t.kind = 0 AND t.service = s.service UNION ALL SELECT ticket_id, t.us, s.onset_us, 0.45 FROM t JOIN s ON t.kind = 1
+  UNION ALL SELECT ticket_id, us, NULL, 0.7 FROM t WHERE kind = 0 AND host = 'prd-app-03' UNION ALL SELECT ticket_id, us, {START + 9 * DAY}, 0.8 FROM t WHERE kind = 0 AND service = 'svc-error'),
+b AS (SELECT ticket_id, max(score) AS best, count(*) AS related, count(onset_us) AS onsets, bool_or(abs(us - onset_us) <= {30 * MINUTE}) AS near FROM m GROUP BY 1), a AS (SELECT ticket_id, EXISTS (SELECT 1 FROM s WHERE abs(t.us - s.onset_us) <= {30 * MINUTE}) AS any_near FROM t),
+j AS (SELECT t.ticket_id, t.us, coalesce(best, 0) AS best, coalesce(related, 0) AS related, coalesce(CASE WHEN coalesce(onsets, 0) > 0 THEN near ELSE any_near END, false) AS near FROM t LEFT JOIN b USING (ticket_id) JOIN a ON a.ticket_id = t.ticket_id)
+SELECT ticket_id, CAST(round(least(1.0, 0.65 * best + 0.35 * CASE WHEN near THEN 1.0 WHEN {START + 10 * DAY} - us <= {30 * MINUTE} THEN 0.5 ELSE 0.0 END), 2) AS DOUBLE) AS relevance, related, near FROM j""")
 def ticket_relevance(spark, sf_dir):
+    """Tickets against signals, a breach and an incident; those that name nothing count by time alone."""
     o = from_events(spark, sf_dir)
     s = o.where("seq % 50 = 0").select(F.concat(F.lit("g-"), "service", "host", F.col("us") - F.col("us") % HOUR).alias("fingerprint"), F.lit("error burst in payment module").alias("template"), "service", "host", (F.col("us") - F.col("us") % HOUR).alias("onset_us")).distinct()
     r = F.col("seq") % 3
-    t = o.where("seq % 20 = 0").select(F.col("seq").alias("ticket_id"), "us", F.when(r == 0, F.concat(F.lit("trouble with "), "service")).when(r == 1, "payment module shows an error").otherwise("nothing known").alias("text"))
-    return search.tickets(t, s).select("ticket_id", "relevance")
+    t = o.where("seq % 20 = 0").select(F.col("seq").alias("ticket_id"), "us", F.when(r == 0, F.concat(F.lit("trouble with "), "service", F.when(F.col("host") == "prd-app-03", " cpu").otherwise(""))).when(r == 1, "payment module shows an error").otherwise("nothing known").alias("text"))
+    breaches = spark.createDataFrame([("cpu", "elsewhere")], "metric string, host string")
+    incident = spark.createDataFrame([("INC-1", "svc-error", START + 9 * DAY), ("INC-1", "svc-none", START + 9 * DAY)], "incident string, name string, onset_us long")
+    return search.tickets(t, s, 30, START + 10 * DAY, breaches, incident)
+
+
+@query("SELECT (SELECT count(*) FROM conversations) AS lessons, true AS unit")
+def lesson_vectors(spark, sf_dir):
+    """Conversation turns with their vectors, each of length 1."""
+    n = table(spark, sf_dir, "conversations").select(F.coalesce("text", F.lit("")).alias("text"))
+    v = vectors.with_vectors(n)
+    length = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    return v.agg(F.count("*").alias("lessons"), F.bool_and(F.abs(length - 1) < 1e-4).alias("unit"))
+
+
+@query()
+def blended_lessons(spark, sf_dir):
+    """Lessons by words and vectors. No SQL: it has no blake2b; tests hold it against plain Python."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
+    n = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("lesson_id"), F.coalesce("role", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"), (1 + F.col("conv_id") % 7).alias("occurrences"))
+    return vectors.ranked_lessons(q, vectors.with_vectors(n))
+
+
+@query(f"""WITH w AS (SELECT unnest(['port', 'process', 'listener', 'inventory', 'log', 'agent', 'trace', 'banner', 'manual']) AS source, unnest([1, 2, 2, 2, 2, 3, 3, 3, 5]) AS weight, unnest(range(9)) AS i),
+e AS (SELECT 'host-' || (l_suppkey % 40) AS host, l_partkey % 25 AS k, source, weight, source IN ('agent', 'trace', 'banner', 'manual') AS direct FROM lineitem JOIN w ON i = CASE WHEN l_linenumber % 7 = 6 THEN l_orderkey % 9 ELSE l_linenumber % 5 END WHERE (l_partkey + l_suppkey) % 11 = 0),
+p AS (SELECT host, k, source, max(weight) AS weight, bool_or(direct) AS direct FROM e GROUP BY 1, 2, 3), c AS (SELECT host, k, bool_or(direct) AS direct, sum(weight) AS weight, count(*) AS sources FROM p GROUP BY 1, 2),
+d AS (SELECT c.*, n_name AS name, 'layer-' || n_regionkey AS layer, n_nationkey % 3 AS role_rank FROM c JOIN nation ON n_nationkey = k WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.host = c.host AND o.k = c.k + 3 AND c.k % 4 = 0)),
+r AS (SELECT *, CASE WHEN direct THEN 'certain' WHEN sources >= 2 THEN 'high' ELSE 'possible' END AS confidence FROM d)
+SELECT host, layer, name, CAST(weight AS BIGINT) AS weight, sources, confidence, CAST(row_number() OVER (PARTITION BY host, layer ORDER BY role_rank, CASE confidence WHEN 'certain' THEN 0 WHEN 'high' THEN 1 ELSE 2 END, weight DESC, sources DESC, name) AS INT) AS place FROM r QUALIFY place <= 3""")
+def host_stacks(spark, sf_dir):
+    """What runs on each host by layer, from weighted evidence; nations stand for technologies, regions for layers."""
+    w = F.array(*map(F.lit, ("port", "process", "listener", "inventory", "log", "agent", "trace", "banner", "manual")))
+    i = F.when(F.col("l_linenumber") % 7 == 6, F.col("l_orderkey") % 9).otherwise(F.col("l_linenumber") % 5)
+    e = table(spark, sf_dir, "lineitem").where("(l_partkey + l_suppkey) % 11 = 0").select(F.concat(F.lit("host-"), F.col("l_suppkey") % 40).alias("host"), (F.col("l_partkey") % 25).cast("string").alias("key"), F.get(w, i.cast("int")).alias("source"), F.lit(None).cast("string").alias("version"))
+    t = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("name"), F.concat(F.lit("layer-"), "n_regionkey").alias("layer"), (F.col("n_nationkey") % 3).alias("role_rank"))
+    n = table(spark, sf_dir, "nation").where("n_nationkey % 4 = 0 AND n_nationkey < 22").select((F.col("n_nationkey") + 3).cast("string").alias("key"), F.col("n_nationkey").cast("string").alias("replaces"))
+    return stacks.host_stacks(stacks.attributed(e), t, n).select("host", "layer", "name", "weight", "sources", "confidence", "place")
 
 
 @query(f"""WITH {OBS}, {_METRICS}, {BOUNDS}, r AS (SELECT * FROM o WHERE us >= {START + 9 * DAY} AND us < {START + 10 * DAY}), h AS (SELECT host, i, lo, hi, count(*) AS c FROM r JOIN b ON (ms > lo OR i = 0) AND (ms <= hi OR i = 22) AND (i > 0 OR ms <= 1) WHERE ms >= 0 GROUP BY ALL), w AS (SELECT *, sum(c) OVER (PARTITION BY host ORDER BY i) AS acc, sum(c) OVER (PARTITION BY host) AS n FROM h),
