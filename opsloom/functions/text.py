@@ -329,7 +329,7 @@ def entropy(token: Column) -> Column:
 
 def chunks(document: Column, size: int = 900) -> Column:
     """Paragraphs packed to chunks of about `size` characters; a longer paragraph is a chunk alone."""
-    parts = F.filter(F.transform(F.split(document, r"\n\s*\n|\n(?=#+ )"), lambda p: F.trim(p)), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(document, r"\n\s*\n|\n(?=#+ )"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
 
     def add(s: Column, p: Column) -> Column:
         full = (s["open"] != "") & (F.length(s["open"]) + F.length(p) + 2 > size)
@@ -340,13 +340,23 @@ def chunks(document: Column, size: int = 900) -> Column:
     return F.aggregate(parts, F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open")), add, end)
 
 
+def first_keys(entries: Column) -> Column:
+    """A map of (key, value) entries; of equal keys the first counts, null keys are left out."""
+    add = lambda m, e: F.map_concat(m, F.map_from_arrays(F.array(e["key"]), F.array(e["value"])))
+    return F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.when(e["key"].isNull() | F.map_contains_key(m, F.coalesce(e["key"], F.lit(""))), m).otherwise(add(m, e)))
+
+
 def flatten_json(document: Column, depth: int = 3) -> Column:
-    """Leaves of a JSON object as a map from dotted keys to texts; deeper objects stay texts."""
-    level = F.from_json(document, "map<string,string>")
+    """Leaves of a JSON object as a map from dotted keys to texts; deeper objects stay texts.
+
+    Of keys that come out equal the first counts; a text that only looks like an
+    object stays a text. Null for what isn't a JSON object.
+    """
+    level = F.map_entries(F.from_json(document, "map<string,string>"))
+    inner = lambda e: F.transform(F.map_entries(F.from_json(e["value"], "map<string,string>")), lambda x: F.struct(F.concat(e["key"], F.lit("."), x["key"]).alias("key"), x["value"].alias("value")))
     for _ in range(depth - 1):
-        pairs = F.transform(F.map_entries(level), lambda e: F.when(e["value"].startswith("{"), F.transform(F.map_entries(F.from_json(e["value"], "map<string,string>")), lambda x: F.struct(F.concat(e["key"], F.lit("."), x["key"]).alias("key"), x["value"].alias("value")))).otherwise(F.array(e)))
-        level = F.map_from_entries(F.flatten(pairs))
-    return level
+        level = F.flatten(F.transform(level, lambda e: F.when(e["value"].startswith("{"), F.coalesce(inner(e), F.array(e))).otherwise(F.array(e))))
+    return F.when(level.isNotNull(), first_keys(level))
 
 
 def identity(attributes: Column, key: bytes) -> Column:

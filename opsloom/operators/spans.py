@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import stamps, stats, text
-from ..sources.observations import MINUTE
+from ..sources.observations import MINUTE, with_once
 
 # Attributes (lower case) that name a trace, span, parent, request, session and user.
 TRACE_KEYS = ("trace_id", "traceid", "trace.id", "otel.trace_id", "x-b3-traceid", "dd.trace_id", "trace")
@@ -68,11 +68,6 @@ def _has(low: Column, *names: str) -> Column:
     return F.arrays_overlap(F.map_keys(low), F.array(*map(F.lit, names)))
 
 
-def _with(rows: DataFrame, **columns: Column) -> DataFrame:
-    """Columns worked out once: a generator of one row, into which the optimizer copies no expressions and through which it moves none."""
-    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def _part(column: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(column, pattern, group), F.lit(""))
 
@@ -107,28 +102,28 @@ def spans_of_lines(obs: DataFrame, key: bytes = b"") -> DataFrame:
     duration. A line failed if its status is 500 or more, or it has none and is
     ERROR or worse. Users become pseudonyms under `key`. Null attributes are none.
     """
-    base = _with(obs.withColumn("message", F.coalesce("message", F.lit(""))), _entries=lowered(F.col("attributes")))
-    base = _with(base, _low=F.map_from_entries("_entries"))
+    base = with_once(obs.withColumn("message", F.coalesce("message", F.lit(""))), _entries=lowered(F.col("attributes")))
+    base = with_once(base, _low=F.map_from_entries("_entries"))
     low, own_order, line = F.col("_low"), F.col("_entries"), F.col("message")
-    base = _with(base, _type=F.coalesce(_value(low, "type"), _value(low, "event")), _session=_first(low, ("sessionid", "session_id", "session_state")), _client=_first(low, ("clientid", "client_id", "client")))
+    base = with_once(base, _type=F.coalesce(_value(low, "type"), _value(low, "event")), _session=_first(low, ("sessionid", "session_id", "session_state")), _client=_first(low, ("clientid", "client_id", "client")))
     said = F.coalesce(F.col("_type").rlike(SIGN_ON), F.lit(False)) | F.trim("message").rlike(SIGN_ON)
-    base = _with(base, _sign_on=_has(low, "clientid", "client_id") & said & F.col("_session").isNotNull() & F.col("_client").isNotNull())
+    base = with_once(base, _sign_on=_has(low, "clientid", "client_id") & said & F.col("_session").isNotNull() & F.col("_client").isNotNull())
 
     request = _value(low, "request")
-    s = _with(
+    s = with_once(
         base.where(~F.col("_sign_on")), _parent=F.coalesce(_value(low, "traceparent"), _part(line, PARENT_IN_LINE, 0)), _trace=_whichever(own_order, TRACE_KEYS), _request=_whichever(own_order, REQUEST_KEYS), _span=_whichever(own_order, SPAN_KEYS),
         _up=_whichever(own_order, PARENT_KEYS), _user=_whichever(own_order, USER_KEYS), _sess=_whichever(own_order, SESSION_KEYS), _method=F.coalesce(_first(low, METHOD_KEYS), _part(request, REQUEST_LINE, 1), _part(line, REQUEST_LINE, 1)),
         _target=F.coalesce(_first(low, OPERATION_KEYS), _part(request, REQUEST_LINE, 2), _part(line, REQUEST_LINE, 2)), _named_ms=_duration(low),
     )
     in_line = F.when(F.col("_trace").isNull() & F.col("_request").isNull(), _part(line, ID_IN_LINE, 2))
-    s = _with(s, _found=in_line, _pieces=F.split(F.col("_parent"), "-"))
+    s = with_once(s, _found=in_line, _pieces=F.split(F.col("_parent"), "-"))
     has_id = F.coalesce("_parent", "_trace", "_request", "_found", "_span", "_up", "_user", "_sess").isNotNull()
     pieces = F.col("_pieces")
     explicit = F.when(F.size(pieces) >= 3, F.get(pieces, F.lit(1)))
     found_trace = F.lower(F.regexp_extract(line, ID_IN_LINE, 1)).startswith("trace")
     trace = F.coalesce(explicit, "_trace", F.when(found_trace, F.col("_found")), "_request", "_found")
-    s = _with(s, trace_id=F.substring(trace, 1, 128), parent_id=F.substring(F.coalesce("_up", F.when(F.size(pieces) >= 3, F.get(pieces, F.lit(2)))), 1, 128), _any_ms=F.coalesce("_named_ms", F.when(has_id | F.col("_method").isNotNull(), text.latency_ms(line))))
-    s = _with(s.where("_any_ms IS NOT NULL OR trace_id IS NOT NULL"), _ms=F.when((F.col("_any_ms") >= 0) & (F.col("_any_ms") <= DAY_MS), F.col("_any_ms")))
+    s = with_once(s, trace_id=F.substring(trace, 1, 128), parent_id=F.substring(F.coalesce("_up", F.when(F.size(pieces) >= 3, F.get(pieces, F.lit(2)))), 1, 128), _any_ms=F.coalesce("_named_ms", F.when(has_id | F.col("_method").isNotNull(), text.latency_ms(line))))
+    s = with_once(s.where("_any_ms IS NOT NULL OR trace_id IS NOT NULL"), _ms=F.when((F.col("_any_ms") >= 0) & (F.col("_any_ms") <= DAY_MS), F.col("_any_ms")))
 
     status = F.coalesce(F.substring(_first(low, STATUS_KEYS), 1, 3).try_cast("int"), F.lit(0))
     kind = F.lower(F.coalesce(_first(low, KIND_KEYS), F.lit("")))
@@ -139,7 +134,7 @@ def spans_of_lines(obs: DataFrame, key: bytes = b"") -> DataFrame:
     own = F.coalesce("service", F.lit(""))
     served = F.when(~own.isin(*NO_SERVICE), own).otherwise(F.coalesce(_first(low, SERVER_KEYS), F.nullif("host", F.lit("")), F.lit("http")))
     has_session = F.col("_sess").isNotNull()
-    out = _with(s, status=status).select(
+    out = with_once(s, status=status).select(
         "seq", "trace_id", F.substring("_span", 1, 128).alias("span_id"), "parent_id", F.col("us").alias("start_us"), F.round(F.coalesce("_ms", F.lit(0.0)), 3).alias("duration_ms"), F.col("_ms").isNotNull().alias("has_duration"),
         F.substring(served, 1, 120).alias("service"), F.substring(called, 1, 160).alias("operation"), ladder.alias("kind"), "status", ((F.col("status") >= 500) | ((F.col("status") == 0) & (F.coalesce(text.rank(F.col("severity")), F.lit(1)) >= 3))).alias("error"),
         F.coalesce("environment", F.lit("")).alias("environment"), F.substring(F.coalesce("host", F.lit("")), 1, 120).alias("host"), text.pseudonym(F.substring("_user", 1, 128), key).alias("user_ref"), F.coalesce(F.substring("_sess", 1, 128), F.lit("")).alias("session_id"),

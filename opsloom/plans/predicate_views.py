@@ -42,18 +42,19 @@ def session_identities(spark, sf_dir):
     return from_events(spark, sf_dir).select(i.alias("i")).where("i <> ''").agg(F.countDistinct("i").alias("sessions"), F.count("*").alias("lines"))
 
 
-@query("SELECT event_id AS seq, round(CASE event_id % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 2.0 ELSE 1.5 END, 6)::DOUBLE AS bits FROM events")
+@query("""WITH t AS (SELECT page_id, url AS tok, string_split(url, '') AS cs FROM pages WHERE url IS NOT NULL), c AS (SELECT page_id, unnest(cs) AS c FROM t), n AS (SELECT page_id, c, count(*) AS n, sum(count(*)) OVER (PARTITION BY page_id) AS m FROM c GROUP BY 1, 2) SELECT page_id, round(sum(-(n / m) * log2(n / m)), 6) + 0.0 AS bits FROM n GROUP BY 1""")
 def token_entropy(spark, sf_dir):
-    t = F.element_at(F.array(F.lit("aaaa"), F.lit("abcd"), F.lit("aabc")), (F.pmod("event_id", F.lit(3)) + 1).cast("int"))
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.round(text.entropy(t), 6).alias("bits"))
+    """Bits of each page's whole url."""
+    return table(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id", (F.round(text.entropy(F.col("url")), 6) + 0.0).alias("bits"))
 
 
-@query("SELECT doc_id, len(c) AS chunks, c[1] AS first FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN [repeat('a', 500) || chr(10) || chr(10) || repeat('b', 300), repeat('c', 400)] ELSE ['# t' || chr(10) || chr(10) || 'x'] END AS c FROM documents)")
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '\n(#+ )', chr(1) || '\1', 'g'), '\n\s*\n|\x01'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS ps FROM documents),
+s(doc_id, i, done, head, cur) AS (SELECT doc_id, 0::BIGINT, 0::BIGINT, '', '' FROM d UNION ALL SELECT doc_id, i + 1, done + CASE WHEN brims THEN 1 ELSE 0 END, CASE WHEN brims AND done = 0 THEN cur ELSE head END, CASE WHEN brims OR cur = '' THEN p ELSE cur || chr(10) || chr(10) || p END FROM (SELECT s.*, d.ps[i + 1] AS p, s.cur <> '' AND length(s.cur) + length(d.ps[i + 1]) + 2 > 900 AS brims FROM s JOIN d ON d.doc_id = s.doc_id WHERE i < len(d.ps)))
+SELECT s.doc_id, CAST(done + CASE WHEN cur <> '' THEN 1 ELSE 0 END AS INT) AS chunks, sha256(CASE WHEN done = 0 THEN cur ELSE head END) AS first_sha256 FROM s JOIN d ON d.doc_id = s.doc_id AND s.i = len(d.ps)""")
 def text_chunks(spark, sf_dir):
-    d = F.when(F.col("doc_id") % 2 == 0, F.concat(F.repeat(F.lit("a"), 500), F.lit("\n \n"), F.repeat(F.lit("b"), 300), F.lit("\n# "), F.repeat(F.lit("c"), 398))).otherwise(F.lit("# t\n\n\n\nx"))
-    c = text.chunks(F.regexp_replace(d, "# c", "# cc"))
-    c = F.transform(c, lambda x: F.regexp_replace(x, "^# cc", "ccc"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(c).alias("chunks"), F.element_at(c, 1).alias("first"))
+    """Every document cut to chunks of about 900 characters at its paragraphs."""
+    c = table(spark, sf_dir, "documents").select("doc_id", text.chunks(F.coalesce("text", F.lit(""))).alias("c"))
+    return c.select("doc_id", F.size("c").alias("chunks"), F.sha2(F.coalesce(F.get("c", F.lit(0)), F.lit("")), 256).alias("first_sha256"))
 
 
 @query("SELECT event_id AS seq, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS deep, 'x' AS flat FROM events")

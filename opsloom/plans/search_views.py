@@ -60,7 +60,7 @@ t AS (SELECT seq AS ticket_id, us, seq % 3 AS kind, service, host FROM o WHERE s
   UNION ALL SELECT ticket_id, us, NULL, 0.7 FROM t WHERE kind = 0 AND host = 'prd-app-03' UNION ALL SELECT ticket_id, us, {START + 9 * DAY}, 0.8 FROM t WHERE kind = 0 AND service = 'svc-error'),
 b AS (SELECT ticket_id, max(score) AS best, count(*) AS related, count(onset_us) AS onsets, bool_or(abs(us - onset_us) <= {30 * MINUTE}) AS near FROM m GROUP BY 1), a AS (SELECT ticket_id, EXISTS (SELECT 1 FROM s WHERE abs(t.us - s.onset_us) <= {30 * MINUTE}) AS any_near FROM t),
 j AS (SELECT t.ticket_id, t.us, coalesce(best, 0) AS best, coalesce(related, 0) AS related, coalesce(CASE WHEN coalesce(onsets, 0) > 0 THEN near ELSE any_near END, false) AS near FROM t LEFT JOIN b USING (ticket_id) JOIN a ON a.ticket_id = t.ticket_id)
-SELECT ticket_id, CAST(round(least(1.0, 0.65 * best + 0.35 * CASE WHEN near THEN 1.0 WHEN {START + 10 * DAY} - us <= {30 * MINUTE} THEN 0.5 ELSE 0.0 END), 2) AS DOUBLE) AS relevance, related, near FROM j""")
+SELECT ticket_id, CAST(round(CAST(CAST(least(1e0, 0.65e0 * CAST(best AS DOUBLE) + 0.35e0 * CASE WHEN near THEN 1e0 WHEN {START + 10 * DAY} - us <= {30 * MINUTE} THEN 0.5e0 ELSE 0e0 END) AS VARCHAR) AS DECIMAL(20, 17)), 2) AS DOUBLE) AS relevance, related, near FROM j""")
 def ticket_relevance(spark, sf_dir):
     """Tickets against signals, a breach and an incident; those that name nothing count by time alone."""
     o = from_events(spark, sf_dir)

@@ -7,6 +7,7 @@ import io
 import re
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stamps, text
 from .formats import KV, RFC3164, RFC5424
+from .observations import with_once
 
 # Files that aren't read, encodings in the order they are tried, and the bounds of an archive.
 SKIPPED = (".png", ".jpg", ".jpeg", ".gif", ".pdf", ".parquet", ".xlsx", ".xls", ".db", ".sqlite", ".pkl", ".so")
@@ -87,20 +89,34 @@ def members(name: str, data: bytes, room: _Room | None = None) -> Iterator[tuple
         yield name, data
 
 
+#: What a broken archive, or one past its bounds, ends in.
+BROKEN = (ValueError, EOFError, OSError, RuntimeError, NotImplementedError, zipfile.BadZipFile, tarfile.TarError, zlib.error)
+
+
 def _lines(batches):
+    def rows(names, numbers, values, errors):
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(numbers, pa.int64()), pa.array(values, pa.string()), pa.array(errors, pa.string())], names=["source", "line_no", "value", "error"])
+
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for name, data in members(path, content):
-                lines = (decoded(data) or "").splitlines()
-                for a in range(0, len(lines), 10_000):
-                    part = lines[a : a + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(a + 1, a + len(part) + 1), pa.int64()), pa.array(part, pa.string())], names=["source", "line_no", "value"])
+            try:
+                for name, data in members(path, content):
+                    lines = (decoded(data) or "").splitlines()
+                    for a in range(0, len(lines), 10_000):
+                        part = lines[a : a + 10_000]
+                        yield rows([name] * len(part), range(a + 1, a + len(part) + 1), part, [None] * len(part))
+            except BROKEN as e:
+                yield rows([path], [0], [None], [f"{type(e).__name__}: {e}"])
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(source, line_no, value) of all files under a path, archives opened; a file is one task's."""
+    """(source, line_no, value, error) of all files under a path, archives opened; a file is one task's.
+
+    A broken archive, or one that expands past its bounds, gives the lines before
+    that and a row with line_no 0, no value and the error; others go on.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(_lines, "source string, line_no long, value string")
+    return files.mapInArrow(_lines, "source string, line_no long, value string, error string")
 
 
 def detect_formats(lines: DataFrame) -> DataFrame:
@@ -220,7 +236,10 @@ def text_records(lines: DataFrame, year: int) -> DataFrame:
 
 def canonical(lines: DataFrame, year: int) -> DataFrame:
     """JSON records as rows: of each role the first name that a record has, dotted names for nested ones."""
-    m = lines.withColumn("record", text.flatten_json(F.col("value"))).withColumn("record", F.transform_keys("record", lambda k, v: F.lower(k)))
+    flat = with_once(lines, record=text.flatten_json(F.col("value")))
+    # Of keys that differ in case only, the first counts.
+    m = with_once(flat.withColumnRenamed("record", "_flat"), record=text.first_keys(F.transform(F.map_entries("_flat"), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))).drop("_flat")
     first = lambda role: F.coalesce(*[F.when(text.present(F.col("record")[n]), F.col("record")[n]) for n in ROLES[role]])
-    named = first("severity")
-    return m.select("*", stamps.micros_of(first("timestamp"), year).alias("us"), first("message").alias("message"), first("host").alias("host"), first("service").alias("service"), F.when(named.isNotNull(), text.severity_of(named)).otherwise(text.severity_from_text(F.coalesce(first("message"), F.lit("")))).alias("severity")).drop("record")
+    m = with_once(m, _stamp=first("timestamp"), _named=first("severity"), _message=first("message"), _host=first("host"), _service=first("service"))
+    severity = F.when(F.col("_named").isNotNull(), text.severity_of(F.col("_named"))).otherwise(text.severity_from_text(F.coalesce("_message", F.lit(""))))
+    return m.select(*lines.columns, stamps.micros_of(F.col("_stamp"), year).alias("us"), F.col("_message").alias("message"), F.col("_host").alias("host"), F.col("_service").alias("service"), severity.alias("severity"))

@@ -22,6 +22,11 @@ def micros(ts: str | Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
+def with_once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Columns worked out once: by a generator of one row, into which the optimizer copies no expressions and through which it moves none."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as observations."""
     e = table(spark, sf_dir, "events")

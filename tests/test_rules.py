@@ -43,3 +43,26 @@ def test_stamps_that_are_none(spark):
     for value in ("soon", "", "99/99/2024 10:00:00", "2024-13-01 00:00:00"):
         assert one(spark, stamps.micros_of(F.lit(value), 2024)) is None
     assert one(spark, stamps.micros_of(F.lit("Jan  2 03:04:05"), 2023)) == 1_672_628_645_000_000
+
+
+def test_flattened_records_keep_the_first_key_and_texts(spark):
+    flat = lambda t: one(spark, text.flatten_json(F.lit(t)))
+    assert flat('{"a":{"b":1},"a.b":2,"c":"{x"}') == {"a.b": "1", "c": "{x"}
+    assert flat('{"a":{"b":{"c":{"d":1}}}}') == {"a.b.c": '{"d":1}'} and flat("[1]") is None and flat("{}") == {}
+
+
+def test_records_whose_keys_differ_in_case_only(spark):
+    from opsloom.sources import ingest
+
+    rows = ingest.canonical(spark.createDataFrame([('{"Host":"a","host":"b","message":"m"}',), ("no json",)], "value string"), 2024).collect()
+    assert (rows[0].host, rows[0].message) == ("a", "m") and rows[1].host is None
+
+
+def test_broken_archives_are_a_row(spark, tmp_path):
+    from opsloom.sources import ingest
+
+    (tmp_path / "bad.zip").write_bytes(b"PK nothing")
+    (tmp_path / "cut.gz").write_bytes(b"\x1f\x8b\x08\x00")
+    (tmp_path / "fine.log").write_text("one\ntwo\n")
+    rows = {(r.source.rsplit("/", 1)[-1], r.line_no): (r.value, bool(r.error)) for r in ingest.read_lines(spark, str(tmp_path)).collect()}
+    assert rows == {("bad.zip", 0): (None, True), ("cut.gz", 0): (None, True), ("fine.log", 1): ("one", False), ("fine.log", 2): ("two", False)}
