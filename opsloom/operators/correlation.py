@@ -10,11 +10,15 @@ from ..sources.observations import MINUTE
 from . import graph
 from .rollups import bucket, severe
 
-# Entities and dependencies named in messages, words of causes, signs of a restart, weights of an incident's score.
+# Entities and dependencies named in messages, words of causes, signs of a restart, how likely a type of alarm is a cause, weights of an incident's score.
 ENTITY = r"(?i)\b(?:\d{1,3}(?:\.\d{1,3}){3}|[a-z][\w\-]*(?:-\d+|\.[a-z]+)+|[a-z]+-(?:api|db|svc|service|cache|queue|worker|gateway|proxy)\b)"
 DEPENDENCY = r"(?i)(?:upstream|downstream|to|from|calling|call to|connect(?:ing|ion)? to|dependency)\s+((?:[a-z][a-z0-9_.-]*?)?(?:-api|-service|-svc|-db|-cache|-queue|-gateway|-proxy|-worker|db-\d+|db|postgres(?:ql)?|mysql|redis|kafka|rabbitmq|elasticsearch|mongo(?:db)?|cache))\b"
 CAUSE_WORDS = ("database", "db", "postgres", "mysql", "redis", "kafka", "queue", "connection", "network", "dns", "disk", "storage", "latency", "duration", "slow", "certificate", "auth", "gateway", "no space", "oom")
 RESTART = r"(?i)\b(restart(?:ed|ing)?|reboot(?:ed)?|start(?:ed|ing)? (?:up|service|server|application)|(?:database|system) (?:is )?ready|listening on|boot(?:ed|ing)?|initializ(?:ed|ing)|reloaded|recovered|back online|healthy|failover complete|shut(?:ting)? down|pool (?:reset|recreated)|reconnected)\b"
+CAUSE_RANK = {
+    "network_down": 5.0, "pkt_loss": 4.5, "network_flap": 3.5, "disk_full": 5.0, "db_write_fail": 3.5, "oom_risk": 3.5, "ext_unreach": 4.5, "ext_slow": 3.5, "db_conn_pool": 2.5, "conn_refused": 2.5, "batch_overlap": 3.0, "batch_slow": 2.0,
+    "gc_pressure": 2.0, "mem_high": 1.5, "cpu_high": 1.5, "thread_pool": 1.5, "queue_backlog": 1.5, "disk_warn": 1.5, "timeout": 1.0, "http_5xx": 0.5, "latency_high": 0.5, "txn_fail": 0.5, "cert_expiry": 0.0, "backup_warn": 0.0, "ntp_drift": 0.0, "log_rotate": 0.0,
+}
 WEIGHTS = {"burst": 0.35, "severity": 0.25, "blast_radius": 0.25, "duration": 0.15}
 #: Observations of a signal whose entities are looked at; minutes within which signals can belong together.
 ENTITY_SAMPLE, WINDOW_MIN = 40, 10
@@ -33,6 +37,12 @@ def dependency(message: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(message, DEPENDENCY, 1)), F.lit(""))
 
 
+def cause_rank(alarm_type: Column, otherwise: float) -> Column:
+    """How likely a type of alarm is a cause (5) and not a symptom (0); `otherwise` for types that aren't listed."""
+    ranks = F.create_map(*[F.lit(x) for pair in CAUSE_RANK.items() for x in pair])
+    return F.coalesce(F.try_element_at(ranks, F.coalesce(alarm_type, F.lit(""))), F.lit(otherwise))
+
+
 def dependency_edges(obs: DataFrame) -> DataFrame:
     """How often ERROR+ lines of a service name another one."""
     t = obs.where(severe() & text.present(F.col("service"))).select("service", dependency(F.col("message")).alias("target"))
@@ -44,26 +54,28 @@ def fingerprinted(obs: DataFrame) -> DataFrame:
     return rows.withColumn("fingerprint", text.fingerprint(F.col("template"), F.col("severity"), F.col("service")))
 
 
-def signals(rows: DataFrame) -> DataFrame:
-    """Fingerprinted observations as signals with their burst.
+def signals(rows: DataFrame, within: str | None = None) -> DataFrame:
+    """Fingerprinted observations as signals with their burst; `within` is a column that fingerprints don't cross and whose span counts for them.
 
     The baseline is the upper median over all minutes of the data's span, quiet
     ones counting as zeros; zeros are counted, not made. The onset is the first
     minute with twice the baseline, or the peak minute.
     """
-    span = rows.agg(F.greatest(F.lit(1), F.floor((F.max("us") - F.min("us")) / MINUTE) + 1).cast("int").alias("span"))
-    per = rows.groupBy("fingerprint", bucket(MINUTE).alias("minute")).agg(F.count("*").alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"), F.first("template").alias("template"), F.first("severity").alias("severity"), F.first("service").alias("service"))
+    groups = [within] if within else []
+    span = rows.groupBy(*groups).agg(F.greatest(F.lit(1), F.floor((F.max("us") - F.min("us")) / MINUTE) + 1).cast("int").alias("span"))
+    per = rows.groupBy(*groups, "fingerprint", bucket(MINUTE).alias("minute")).agg(F.count("*").alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"), F.first("template").alias("template"), F.first("severity").alias("severity"), F.first("service").alias("service"))
     minutes = F.array_sort(F.collect_list(F.struct("n", "minute")))
-    s = per.groupBy("fingerprint").agg(F.sum("n").alias("lines"), F.min("lo").alias("first_us"), F.max("hi").alias("last_us"), F.first("template").alias("template"), F.first("severity").alias("severity"), F.first("service").alias("service"), minutes.alias("m"))
+    s = per.groupBy(*groups, "fingerprint").agg(F.sum("n").alias("lines"), F.min("lo").alias("first_us"), F.max("hi").alias("last_us"), F.first("template").alias("template"), F.first("severity").alias("severity"), F.first("service").alias("service"), minutes.alias("m"))
     hosts = rows.where(text.present(F.col("host"))).groupBy("fingerprint").agg(F.countDistinct("host").alias("hosts"))
-    s = s.crossJoin(F.broadcast(span)).join(hosts, "fingerprint", "left").withColumn("zeros", F.greatest(F.lit(0), F.col("span") - F.size("m")))
+    s = s.join(span, within) if within else s.crossJoin(F.broadcast(span))
+    s = s.join(hosts, "fingerprint", "left").withColumn("zeros", F.greatest(F.lit(0), F.col("span") - F.size("m")))
     middle = F.floor((F.size("m") + F.col("zeros")) / 2).cast("int") - F.col("zeros")
     s = s.withColumn("peak", F.element_at("m", -1)["n"]).withColumn("baseline", F.when(middle < 0, F.lit(0).cast("bigint")).otherwise(F.element_at("m", middle + 1)["n"]))
     peak_minute = F.array_min(F.transform(F.filter("m", lambda x: x["n"] == F.col("peak")), lambda x: x["minute"]))
     onset = F.array_min(F.transform(F.filter("m", lambda x: (x["n"] >= F.greatest(F.lit(1), 2 * F.col("baseline"))) | (x["minute"] == peak_minute)), lambda x: x["minute"]))
     ratio = F.col("peak") / (F.col("baseline") + 1)
     share = F.round(((F.col("last_us") - F.col("first_us")) / MINUTE + 1) / F.col("span"), 3)
-    return s.select("fingerprint", "template", "severity", "service", "lines", F.coalesce("hosts", F.lit(0)).alias("hosts"), "first_us", "last_us", "peak", "baseline", (onset * MINUTE).alias("onset_us"), F.round(F.when(ratio > 1, F.least(F.lit(1.0), (ratio - 1) / 9)).otherwise(0.0), 3).alias("burst"), share.alias("share"))
+    return s.select(*groups, "fingerprint", "template", "severity", "service", "lines", F.coalesce("hosts", F.lit(0)).alias("hosts"), "first_us", "last_us", "peak", "baseline", (onset * MINUTE).alias("onset_us"), F.round(F.when(ratio > 1, F.least(F.lit(1.0), (ratio - 1) / 9)).otherwise(0.0), 3).alias("burst"), share.alias("share"))
 
 
 def judged(s: DataFrame) -> DataFrame:
@@ -187,8 +199,12 @@ def noise_funnel(rows: DataFrame, s: DataFrame, members: DataFrame) -> DataFrame
     return rows.agg(F.count("*").alias("n")).select(F.lit("raw").alias("step"), "n").unionByName(j.agg(F.count("*").alias("n")).select(F.lit("fingerprints").alias("step"), "n")).unionByName(j.agg(F.count_if("interesting").alias("n")).select(F.lit("meaningful").alias("step"), "n")).unionByName(members.agg(F.countDistinct("incident").alias("n")).select(F.lit("incidents").alias("step"), "n"))
 
 
-def storm_clusters(cells: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """Hot cells (service, bar) with their cluster: those of neighbouring bars of one service or of a dependency belong together."""
+def storm_clusters(cells: DataFrame, dependencies: DataFrame, racks: DataFrame | None = None) -> DataFrame:
+    """Hot cells (service, bar) with their cluster: those of neighbouring bars of one service, of a dependency or of a rack belong together.
+
+    `racks` is (service, bar, rack). Cells of a rack are linked to the smallest one
+    of their bar, and those of two bars to each other, so a rack isn't paired.
+    """
     node = F.concat_ws("@", F.lpad(F.col("bar").cast("string"), 12, "0"), "service")
     c = graph.written(cells.select("service", "bar", node.alias("node")).distinct())
     near = c.select("node", F.lower("service").alias("own"), F.explode(F.array(F.col("bar") - 1, F.col("bar"), F.col("bar") + 1)).alias("bar"))
@@ -196,7 +212,13 @@ def storm_clusters(cells: DataFrame, dependencies: DataFrame) -> DataFrame:
     either = dependencies.select(F.lower("source").alias("own"), F.lower("target").alias("other")).unionByName(dependencies.select(F.lower("target").alias("own"), F.lower("source").alias("other"))).distinct()
     same = near.join(at, (near["bar"] == at["bar"]) & (near["own"] == at["other"])).select(F.col("node").alias("a"), "b")
     linked = near.join(either, "own").join(at, ["bar", "other"]).select(F.col("node").alias("a"), "b")
-    of = graph.components(c.select("node"), same.unionByName(linked).where("a < b").distinct())
+    links = same.unionByName(linked)
+    if racks is not None:
+        stands = c.join(racks, ["service", "bar"]).select("node", "bar", "rack")
+        heads = stands.groupBy("rack", "bar").agg(F.min("node").alias("b"))
+        to_head = stands.join(heads, ["rack", "bar"]).select(F.col("b").alias("a"), F.col("node").alias("b"))
+        links = links.unionByName(to_head).unionByName(heads.select("rack", (F.col("bar") + 1).alias("bar"), F.col("b").alias("a")).join(heads, ["rack", "bar"]).select("a", "b"))
+    of = graph.components(c.select("node"), links.where("a < b").distinct())
     return c.join(of, "node").select("service", "bar", F.col("component").alias("cluster"))
 
 
@@ -211,7 +233,7 @@ def elevated(obs: DataFrame, members: DataFrame, spans: DataFrame) -> DataFrame:
     """Members without the pairs of service and alarm type that run at their normal rate inside the cluster.
 
     A pair stays if it has twice what its overall rate gives for the cluster's
-    minutes, and two at least; ERROR+ lines stay.
+    minutes, and two at least; ERROR+ lines stay too, but for types that are no cause.
     """
     total = obs.agg(F.greatest(F.lit(1.0), (F.max("us") - F.min("us")) / MINUTE).alias("minutes"))
     rate = obs.groupBy("service", "alarm_type").agg(F.count("*").alias("overall"))
@@ -219,4 +241,4 @@ def elevated(obs: DataFrame, members: DataFrame, spans: DataFrame) -> DataFrame:
     own = inside.groupBy("cluster", "service", "alarm_type").agg(F.count("*").alias("n"))
     j = inside.join(own, ["cluster", "service", "alarm_type"]).join(rate, ["service", "alarm_type"]).join(spans, "cluster").crossJoin(F.broadcast(total))
     expected = F.col("overall") * F.col("span_min") / F.col("minutes")
-    return j.where((F.col("n") >= F.greatest(F.lit(2.0), 2 * expected)) | severe()).select("seq", "cluster")
+    return j.where((F.col("n") >= F.greatest(F.lit(2.0), 2 * expected)) | (severe() & (cause_rank(F.col("alarm_type"), 1.0) > 0))).select("seq", "cluster")
