@@ -302,6 +302,20 @@ def _cut_off(location: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarr
     return -np.logaddexp(-bound, -(location - np.log(-np.log(u))))
 
 
+#: A position of which more than 1 - NEAR is taken has its rest summed up; shares are whole numbers of 2**-SHARE.
+NEAR, SHARE = 1e-6, 40
+
+
+class Others(NamedTuple):
+    """Edges that are left at some positions."""
+
+    choice: np.ndarray  # all edges of each position, those that are out too
+    share: np.ndarray  # of each, relative to the position's likeliest; 0 for those that are out
+    head: np.ndarray  # where each position's edges begin among them
+    total: np.ndarray  # of each position's shares
+    log_sum: np.ndarray  # logarithm of the chance of each position's edges; -inf where none is left
+
+
 class Search:
     """The search over all texts of a block at once, one draw after the other.
 
@@ -347,10 +361,15 @@ class Search:
         taken = self.lattice.chance[edges[at]]
         owner, out = self.out_of(texts, slot)
         np.add.at(taken, head[owner], self.lattice.chance[out])
-        with np.errstate(divide="ignore"):
-            # What is left within rounding is no set.
-            rest = np.where(taken < 1 - 1e-9, np.log1p(-np.minimum(taken, 1.0)), -np.inf)
-            location = (before[at] - np.repeat(before[begin], size)) / 2.0**LOG + rest
+        rest = np.log1p(-np.minimum(taken, 1 - NEAR))
+        # Near 1 the difference would be rounding: there what is left is summed up edge by edge.
+        near = np.flatnonzero(taken > 1 - NEAR)
+        if len(near):
+            slot_of = np.full(len(at), -1)
+            slot_of[near] = np.arange(len(near))
+            chained = slot_of[head[owner]]
+            rest[near] = self.others(edges[at[near]], chained[chained >= 0], out[chained >= 0]).log_sum
+        location = (before[at] - np.repeat(before[begin], size)) / 2.0**LOG + rest
         seed = hashed(self.key[texts], draw_no, 1 << 20)
         u = _unit(mix((at - np.repeat(begin, size)).astype(U) + np.repeat(seed * _SPREAD, size)))
         left = _cut_off(location, np.repeat(bound, size), u)
@@ -376,20 +395,30 @@ class Search:
         self.bound[texts, slot[texts]] = -np.inf
         return texts, slot[texts], best[texts]
 
-    def other_edges(self, texts: np.ndarray, slot: np.ndarray, edge: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """An edge from the position where each `edge` begins, drawn among those that are not out."""
+    def others(self, edge: np.ndarray, owner: np.ndarray, out: np.ndarray) -> Others:
+        """What leaves the positions where each `edge` begins, but for the edge itself and `out[i]` of `edge[owner[i]]`.
+
+        Shares are relative to the likeliest of a position's own, so the smallest chances keep theirs.
+        """
         first = self.lattice.first[: self.lattice.size + 1]
         start = np.searchsorted(first, edge, "right") - 1
         count = first[start + 1] - first[start]
         head = np.cumsum(count) - count
         choice = spread(first[start], count)
-        chance = np.rint(self.lattice.chance[choice] * 2.0**40).astype(np.int64)
-        owner, out = self.out_of(texts, slot)
-        chance[head[owner] + out - first[start[owner]]] = 0
-        total = np.cumsum(chance)
-        before = total[head] - chance[head]
-        want = before + np.floor(u * (total[head + count - 1] - before)).astype(np.int64)
-        return choice[np.searchsorted(total, want, "right")]
+        log = self.lattice.log[choice] / 2.0**LOG
+        log[head + edge - first[start]] = -np.inf
+        log[head[owner] + out - first[start[owner]]] = -np.inf
+        best = np.maximum.reduceat(log, head)
+        share = np.rint(np.exp(log - np.repeat(np.where(best > -np.inf, best, 0), count)) * 2.0**SHARE).astype(np.int64)
+        total = np.add.reduceat(share, head)
+        return Others(choice, share, head, total, best + np.log(np.maximum(total, 1)) - SHARE * np.log(2))
+
+    def other_edges(self, texts: np.ndarray, slot: np.ndarray, edge: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """An edge from the position where each `edge` begins, drawn among those that are not out."""
+        left = self.others(edge, *self.out_of(texts, slot))
+        upto = np.cumsum(left.share)
+        before = upto[left.head] - left.share[left.head]
+        return left.choice[np.searchsorted(upto, before + np.floor(u * left.total).astype(np.int64), "right")]
 
 
 class Sampled(NamedTuple):

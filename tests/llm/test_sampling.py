@@ -51,16 +51,15 @@ def sampled(text: str, keys: int, samples: int, voc) -> list[list[tuple]]:
     return out
 
 
-@pytest.mark.parametrize("text", ["the", "no x", "a\nb", "ü中", "cats"])
+#: Rare paths have chances down to 1e-29; none is left out.
+@pytest.mark.parametrize("text", ["the", "no x", "a\nb", "ü中", "cats", "house"])
 def test_all_paths_and_their_probabilities(voc, text):
     want = paths(text, voc)
     for own in sampled(text, 3, len(want) + 2, voc):
-        # Sets that hold less than one part in 10^9 of what is left are no sets.
         assert len({p for p, *_ in own}) == len(own)
-        assert {p for p, q in want.items() if q > 1e-6} <= {p for p, *_ in own} <= want.keys()
+        assert {p for p, *_ in own} == want.keys()
         assert all(abs(lp - math.log(want[p])) < 1e-6 for p, lp, _ in own)
-        if len(own) == len(want):
-            assert all(inclusion == 0 for *_, inclusion in own)
+        assert all(inclusion == 0 for *_, inclusion in own)
 
 
 def test_frequencies_are_those_of_sampling_without_replacement(voc):
