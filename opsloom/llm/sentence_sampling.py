@@ -30,9 +30,9 @@ U = np.uint64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segmentations of each text, and the exponent that flattens (below 1) or sharpens the pieces' weights.
 SAMPLES, ALPHA = 2, 1.0
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: Bytes of distinct segments whose lattices a task keeps for its next blocks.
-STORE_BYTES = 3 << 19
+STORE_BYTES = 3 << 18
 _FILTER = 22
 
 
