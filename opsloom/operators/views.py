@@ -206,18 +206,26 @@ def line_objects(obs: DataFrame, most: int = 2000, skew_s: int = 120) -> DataFra
     return obs.select("seq", "us", F.substring("message", 1, most).alias("message"), (F.length("message") > most).alias("truncated"), F.when(F.abs(off) > skew_s, off).alias("skew_s"))
 
 
+def member_services(services: DataFrame, members: DataFrame) -> DataFrame:
+    """(service, app) of the distinct `services` whose name a member's glob fits."""
+    globs = members.where("kind = 'service'").select("app", F.concat(F.lit("(?s)^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower("name"), r"([.+()\[\]{}^$|\\])", r"\\$1"), r"\*+", ".*"), r"\?", "."), F.lit("$")).alias("re"))
+    return services.select("service").distinct().join(globs, F.regexp_like(F.lower("service"), F.col("re"))).select("service", "app").distinct()
+
+
+def owned(counts: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of `counts`, one for each host and service, once for each application that has the host or the service."""
+    by_host = counts.join(members.where("kind = 'host'").select(F.lower("name").alias("h"), "app"), F.lower("host") == F.col("h")).select("app", *counts.columns)
+    by_service = counts.join(member_services(counts, members), "service").select("app", *counts.columns)
+    return by_host.unionByName(by_service).distinct()
+
+
 def applications(obs: DataFrame, members: DataFrame) -> DataFrame:
     """Lines of applications. `members` has app, kind (host, or service as a glob) and name.
 
     A line counts once for an application, by its host or else by its service.
     Hosts and services are joined as distinct names, not line by line.
     """
-    n = obs.groupBy("host", "service").agg(F.count("*").alias("lines"), F.count_if(severe()).alias("errors"))
-    by_host = n.join(members.where("kind = 'host'").select(F.lower("name").alias("h"), "app"), F.lower("host") == F.col("h")).select("app", "host", "service", "lines", "errors")
-    globs = members.where("kind = 'service'").select("app", F.concat(F.lit("(?s)^"), F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower("name"), r"([.+()\[\]{}^$|\\])", r"\\$1"), r"\*+", ".*"), r"\?", "."), F.lit("$")).alias("re"))
-    named = n.select("service").distinct().join(globs, F.regexp_like(F.lower("service"), F.col("re"))).select("service", "app").distinct()
-    by_service = n.join(named, "service").select("app", "host", "service", "lines", "errors")
-    once = by_host.unionByName(by_service).distinct()
+    once = owned(obs.groupBy("host", "service").agg(F.count("*").alias("lines"), F.count_if(severe()).alias("errors")), members)
     return once.groupBy("app").agg(F.sum("lines").alias("lines"), F.sum("errors").alias("errors"), F.countDistinct("host").alias("hosts"), F.countDistinct("service").alias("services"))
 
 

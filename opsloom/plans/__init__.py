@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import format_views, incident_views, ingest_views, predicate_views, search_views, state_views, storm_views, stored_views, views  # noqa: F401 (they register their queries)
+from . import app_views, format_views, incident_views, ingest_views, predicate_views, search_views, state_views, storm_views, stored_views, views  # noqa: F401 (they register their queries)
 from .catalog import QUERIES, SQL
 
 
