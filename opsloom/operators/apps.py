@@ -90,3 +90,15 @@ def health(members: DataFrame, hosts: DataFrame, services: DataFrame, targets: D
     rows = rows.withColumn("reasons", F.array_compact(F.array(*[F.when(x, F.lit(name)) for name, x in reasons.items()])))
     status = F.when(F.arrays_overlap("reasons", F.array(*map(F.lit, CRITICAL))), "crit").when(F.size("reasons") > 0, "warn").when(c("lines") + c("calls") + c("reporting") > 0, "ok").otherwise("nodata")
     return rows.select("app", status.alias("status"), F.array_join("reasons", ",").alias("reasons"), F.round(1 - lost, 6).alias("availability"), *numbers)
+
+
+def events_of(anomalies: DataFrame, members: DataFrame, start_us: int, end_us: int) -> DataFrame:
+    """Anomalies that were open or seen in the range on an application's hosts or services, once for each application.
+
+    `anomalies` has host, service, first_us, last_us and open; those that began
+    after the range are not its own. Either of host and service may be null.
+    """
+    inside = anomalies.where((F.col("first_us") < end_us) & (F.col("open") | (F.col("last_us") >= start_us)))
+    places = owned(inside.select("host", "service").distinct(), members)
+    same = F.col("p.host").eqNullSafe(F.col("a.host")) & F.col("p.service").eqNullSafe(F.col("a.service"))
+    return inside.alias("a").join(places.alias("p"), same).select("p.app", "a.*")

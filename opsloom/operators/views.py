@@ -196,7 +196,8 @@ def kpis(obs: DataFrame, side: Column) -> DataFrame:
 
 def page(obs: DataFrame, most: int, before: tuple[int, int] | None = None) -> DataFrame:
     """Newest lines first, behind the cursor (us, seq) of the last line of the page before."""
-    rows = obs if before is None else obs.where(F.struct("us", "seq") < F.struct(F.lit(before[0]).alias("us"), F.lit(before[1]).cast("bigint").alias("seq")))
+    # The bound on time alone reaches the scan; that on both doesn't.
+    rows = obs if before is None else obs.where(F.col("us") <= before[0]).where(F.struct("us", "seq") < F.struct(F.lit(before[0]).alias("us"), F.lit(before[1]).cast("bigint").alias("seq")))
     return rows.orderBy(F.desc("us"), F.desc("seq")).limit(most)
 
 

@@ -69,3 +69,12 @@ w AS (SELECT *, concat_ws(',', CASE WHEN (1 - lost) * 100 < target THEN 'slo_bre
 SELECT app, CASE WHEN coalesce((1 - lost) * 100 < target, false) OR crit > 0 OR (reporting = 0 AND silent > 0) THEN 'crit' WHEN reasons <> '' THEN 'warn' WHEN lines + calls + reporting > 0 THEN 'ok' ELSE 'nodata' END AS status, reasons, round(1 - lost, 6) AS availability, reporting, silent, unknown, crit, warn, CAST(0 AS BIGINT) AS anomaly, lines, errors, calls, call_errors FROM w""")
 def application_health(spark, sf_dir):
     return apps.health(_members(spark), _host_rows(spark, sf_dir), _service_rows(spark, sf_dir), _rows(spark, TARGETS, ("app", "availability")))
+
+
+@query(f"""WITH {OBS}, an AS (SELECT host, service, min(us) AS first_us, max(us) AS last_us, count(*) AS lines, max(us) >= {END - SILENT} AS open FROM o WHERE bad GROUP BY 1, 2),
+i AS (SELECT * FROM an WHERE first_us < {END} AND (open OR last_us >= {END - DAY}))
+SELECT 'shop' AS app, * FROM i WHERE host IN ('prd-app-01', 'prd-app-02') OR service LIKE 'svc-p%' UNION ALL SELECT 'pay', * FROM i WHERE service LIKE 'svc-_r%' OR service = 'svc-click'""")
+def application_events(spark, sf_dir):
+    """Failures of a host's service are open while the last is younger than twelve hours; the range is the last day."""
+    bad = from_events(spark, sf_dir).where(rollups.severe()).groupBy("host", "service").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("*").alias("lines"))
+    return apps.events_of(bad.withColumn("open", F.col("last_us") >= END - SILENT), _members(spark), END - DAY, END)

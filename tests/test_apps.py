@@ -72,3 +72,10 @@ def test_empty_tables(obs, members, alarms, spans):
     assert apps.host_rows(obs, members.limit(0), alarms, START, NOW).count() == 0
     assert apps.service_rows(obs.limit(0), spans.limit(0), members, START, NOW).count() == 0
     assert {r["state"] for r in apps.host_rows(obs.limit(0), members, alarms, START, NOW).collect()} == {"unknown"}
+
+
+def test_events_once_for_each_application(spark, members):
+    rows = [("A", "shop-x", 0, 5, True, 1), ("a", None, START, START, False, 2), (None, "shop-y", 0, START - 1, False, 3), (None, "SHOP-y", 0, START, False, 4), ("b", "db", NOW, NOW, True, 5), (None, None, 0, NOW, True, 6), ("b", "db", 0, NOW, False, 7)]
+    anomalies = spark.createDataFrame(rows, "host string, service string, first_us long, last_us long, open boolean, id long")
+    got = sorted((r["app"], r["id"]) for r in apps.events_of(anomalies, members, START, NOW).collect())
+    assert got == [("one", 1), ("one", 2), ("one", 4), ("one", 7), ("two", 7)]
