@@ -93,18 +93,24 @@ def compare(text: Column, op: str, value: float) -> Column:
 def template(message: Column) -> Column:
     """Message with its variable parts masked in one pass, leftmost match first, then white space, case and length normalised."""
     text = F.trim(message)
-    every = F.lit("(?i)(?:" + "|".join(m for m, _ in MASKS) + ")")
-    kept = F.split(text, "(?i)(?:" + "|".join(m for m, _ in MASKS) + ")", -1)
-    hits = F.regexp_extract_all(text, every, 0)
+    # Where none of these begins, none of the masks does, so most places are passed over at once.
+    pattern = r"(?i)(?=[\d/]|https?:|[0-9a-f]{8})(?:" + "|".join(m for m, _ in MASKS) + ")"
 
     def mask(x: Column) -> Column:
         out = F.lit("<n>")
         for pattern, name in reversed(MASKS[:7]):
             name_col = F.concat(F.lit("<n>"), F.regexp_extract(x, r"([A-Za-z%]+)$", 1)) if pattern is MASKS[6][0] else F.lit(name)
             out = F.when(x.rlike("(?i)^(?:" + pattern.replace(r"(?<=[\s=:/])", "") + ")$"), name_col).otherwise(out)
-        return out
-
-    pieces = F.zip_with(kept, F.transform(hits, mask), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        # Most hits are short numbers, which are none of the others.
+        return F.when(x.rlike(r"^\d{1,15}\z"), "<n>").otherwise(out)
+
+    # One search puts a character around the hits that the text doesn't have; `split` would compile any longer pattern anew for each row.
+    mark = "\u0000"
+    around = F.split(F.regexp_replace(text, pattern, mark + "$0" + mark), mark, -1)
+    marked = F.transform(around, lambda x, i: F.when(i % 2 == 1, mask(x)).otherwise(x))
+    hits = F.regexp_extract_all(text, F.lit(pattern), 0)
+    apart = F.zip_with(F.split(text, pattern, -1), F.transform(hits, mask), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    pieces = F.when(F.contains(text, F.lit(mark)), apart).otherwise(marked)
     return F.substring(F.lower(F.regexp_replace(F.array_join(pieces, ""), r"\s+", " ")), 1, 200)
 
 

@@ -62,20 +62,29 @@ def signals(rows: DataFrame, within: str | None = None) -> DataFrame:
     minute with twice the baseline, or the peak minute.
     """
     groups = [within] if within else []
+    ids = [*groups, "fingerprint"]
     span = rows.groupBy(*groups).agg(F.greatest(F.lit(1), F.floor((F.max("us") - F.min("us")) / MINUTE) + 1).cast("int").alias("span"))
-    per = rows.groupBy(*groups, "fingerprint", bucket(MINUTE).alias("minute")).agg(F.count("*").alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"), F.first("template").alias("template"), F.first("severity").alias("severity"), F.first("service").alias("service"))
-    minutes = F.array_sort(F.collect_list(F.struct("n", "minute")))
-    s = per.groupBy(*groups, "fingerprint").agg(F.sum("n").alias("lines"), F.min("lo").alias("first_us"), F.max("hi").alias("last_us"), F.first("template").alias("template"), F.first("severity").alias("severity"), F.first("service").alias("service"), minutes.alias("m"))
-    hosts = rows.where(text.present(F.col("host"))).groupBy("fingerprint").agg(F.countDistinct("host").alias("hosts"))
+    # The pairs of minute and host are what is left of the rows: they are written once and are what all counts come from.
+    texts = ["template", "severity", "service"]
+    cells = graph.written(rows.groupBy(*ids, *texts, bucket(MINUTE).alias("minute"), F.when(text.present(F.col("host")), F.col("host")).alias("host")).agg(F.count("*").alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi")))
+    per = cells.groupBy(*ids, "minute").agg(F.sum("n").alias("n"))
+    # Texts are keys first, since an aggregate that keeps one sorts its rows; what is left has a row for each spelling of a service.
+    s = cells.groupBy(*ids, *texts).agg(F.sum("n").alias("lines"), F.min("lo").alias("first_us"), F.max("hi").alias("last_us"))
+    s = s.groupBy(*ids).agg(F.sum("lines").alias("lines"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), *[F.first(c).alias(c) for c in texts])
+    hosts = cells.where("host IS NOT NULL").groupBy("fingerprint").agg(F.countDistinct("host").alias("hosts"))
     s = s.join(span, within) if within else s.crossJoin(F.broadcast(span))
-    s = s.join(hosts, "fingerprint", "left").withColumn("zeros", F.greatest(F.lit(0), F.col("span") - F.size("m")))
-    middle = F.floor((F.size("m") + F.col("zeros")) / 2).cast("int") - F.col("zeros")
-    s = s.withColumn("peak", F.element_at("m", -1)["n"]).withColumn("baseline", F.when(middle < 0, F.lit(0).cast("bigint")).otherwise(F.element_at("m", middle + 1)["n"]))
-    peak_minute = F.array_min(F.transform(F.filter("m", lambda x: x["n"] == F.col("peak")), lambda x: x["minute"]))
-    onset = F.array_min(F.transform(F.filter("m", lambda x: (x["n"] >= F.greatest(F.lit(1), 2 * F.col("baseline"))) | (x["minute"] == peak_minute)), lambda x: x["minute"]))
+    # How many minutes have each count: the middle one is found by sums over the counts and not over the minutes.
+    counts = per.groupBy(*ids, "n").agg(F.count("*").alias("k"), F.min("minute").alias("first_minute"))
+    up_to = Window.partitionBy(*ids).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    all_of = Window.partitionBy(*ids)
+    placed = counts.withColumn("up_to", F.sum("k").over(up_to)).withColumn("busy", F.sum("k").over(all_of))
+    placed = placed.join(s.select(*ids, "span"), ids).withColumn("middle", F.floor(F.greatest(F.col("busy"), F.col("span")) / 2) - F.greatest(F.lit(0), F.col("span") - F.col("busy")))
+    peaks = placed.groupBy(*ids).agg(F.max("n").alias("peak"), F.max_by("first_minute", "n").alias("peak_minute"), F.coalesce(F.min(F.when((F.col("middle") >= 0) & (F.col("up_to") > F.col("middle")), F.col("n"))), F.lit(0).cast("bigint")).alias("baseline"))
+    onset = placed.join(peaks, ids).where(F.col("n") >= F.greatest(F.lit(1), 2 * F.col("baseline"))).groupBy(*ids).agg(F.min("first_minute").alias("risen"))
+    s = s.join(hosts, "fingerprint", "left").join(peaks, ids).join(onset, ids, "left")
     ratio = F.col("peak") / (F.col("baseline") + 1)
     share = F.round(((F.col("last_us") - F.col("first_us")) / MINUTE + 1) / F.col("span"), 3)
-    return s.select(*groups, "fingerprint", "template", "severity", "service", "lines", F.coalesce("hosts", F.lit(0)).alias("hosts"), "first_us", "last_us", "peak", "baseline", (onset * MINUTE).alias("onset_us"), F.round(F.when(ratio > 1, F.least(F.lit(1.0), (ratio - 1) / 9)).otherwise(0.0), 3).alias("burst"), share.alias("share"))
+    return s.select(*ids, "template", "severity", "service", "lines", F.coalesce("hosts", F.lit(0)).alias("hosts"), "first_us", "last_us", "peak", "baseline", (F.least("risen", "peak_minute") * MINUTE).alias("onset_us"), F.round(F.when(ratio > 1, F.least(F.lit(1.0), (ratio - 1) / 9)).otherwise(0.0), 3).alias("burst"), share.alias("share"))
 
 
 def judged(s: DataFrame) -> DataFrame:
