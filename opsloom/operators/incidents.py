@@ -50,12 +50,22 @@ def slow_burn(obs: DataFrame, keys: list[str], window_us: int = 15 * MINUTE, lea
     """ERROR+ observations that open a window with `least` such ones on `hosts` hosts.
 
     Buckets as wide as the window are the sort key's prefix, so a window reads two buckets and no key is one task's.
+    An observation counts for all moments from a window before it to its own; for
+    its host it counts for those after that host's observation before. So both
+    counts are running sums, and no window is read again for each row.
     """
-    bad = obs.where(severe()).withColumn("_b", F.floor(F.col("us") / window_us))
+    bad = obs.where(severe()).select("seq", *keys, "us", "host").withColumn("_b", F.floor(F.col("us") / window_us))
     both = bad.withColumn("_own", F.lit(True)).unionByName(bad.withColumn("_b", F.col("_b") - 1).withColumn("_own", F.lit(False)))
-    ahead = Window.partitionBy(*keys, "_b").orderBy("us").rangeBetween(0, window_us)
-    out = both.withColumn("n", F.count("*").over(ahead)).withColumn("hosts", F.size(F.collect_set("host").over(ahead)))
-    return out.where(F.col("_own") & (F.col("n") >= least) & (F.col("hosts") >= hosts)).select("seq", *keys, "n", "hosts")
+    last = F.lag("us").over(Window.partitionBy(*keys, "_b", "host").orderBy("us"))
+    opened = F.col("us") - window_us
+    seen = F.when(F.col("host").isNotNull(), 1).otherwise(0)
+    step = lambda at, n, h, row: F.struct(at.alias("_at"), F.lit(n).alias("_n"), h.alias("_h"), row.alias("_row"))
+    none, zero = F.lit(False), F.lit(0)
+    steps = F.array(step(opened, 1, zero, none), step(F.greatest(opened, F.coalesce(F.col("_last") + 1, opened)), 0, seen, none), step(F.col("us") + 1, -1, -seen, none), step(F.col("us"), 0, zero, F.lit(True)))
+    moves = both.withColumn("_last", last).select("seq", *keys, "_b", "_own", F.inline(F.when(F.col("_own"), steps).otherwise(F.slice(steps, 1, 3))))
+    up_to = Window.partitionBy(*keys, "_b").orderBy("_at")
+    out = moves.withColumn("n", F.sum("_n").over(up_to)).withColumn("hosts", F.sum("_h").over(up_to).cast("int"))
+    return out.where(F.col("_row") & (F.col("n") >= least) & (F.col("hosts") >= hosts)).select("seq", *keys, "n", "hosts")
 
 
 def anomalies(obs: DataFrame, key: str, now_us: int, step_us: int = MINUTE, window: int = 5, baseline: int = 1440, limit: float = 4.0, least: int = 50) -> DataFrame:

@@ -3,7 +3,7 @@
 import random
 
 from opsloom.functions import text
-from opsloom.operators import correlation
+from opsloom.operators import correlation, incidents
 from pyspark.sql import functions as F
 
 MINUTE = 60_000_000
@@ -40,3 +40,19 @@ def test_template_compiles_no_pattern_for_each_row(spark):
     assert [r.t for r in df.collect()] == ["order <n> took <n>ms", "a\0b <n> <path> <ip>", "<hex> and <n>", "at <path> <ts>", None, ""]
     body = plan(df).split("== Physical Plan ==")[1]
     assert body.count("split(") == 2 and ", \0, -1)" in body
+
+
+def test_slow_burn_reads_no_window_again(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(300), rng.choice(("a", "b", None)), rng.choice(("h1", "h2", "h3", None)), rng.choice(("ERROR", "CRITICAL", "INFO"))) for i in range(500)]
+    df = spark.createDataFrame(rows, "seq long, us long, service string, host string, severity string")
+    got = incidents.slow_burn(df, ["service"], 20, 4, 2)
+    assert "collect_set" not in plan(got)
+    want = set()
+    bad = [r for r in rows if r[4] != "INFO"]
+    for seq, us, service, _, _ in bad:
+        ahead = [r for r in bad if r[2] == service and us <= r[1] <= us + 20]
+        hosts = {r[3] for r in ahead} - {None}
+        if len(ahead) >= 4 and len(hosts) >= 2:
+            want.add((seq, service, len(ahead), len(hosts)))
+    assert {(r.seq, r.service, r.n, r.hosts) for r in got.collect()} == want and len(want) > 100
