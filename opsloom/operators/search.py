@@ -77,7 +77,7 @@ def _near_any(rows: DataFrame, onsets: DataFrame, window_us: int) -> DataFrame:
 def tickets(rows: DataFrame, signals: DataFrame, window_min: int = 30, now_us: int | None = None, breaches: DataFrame | None = None, incidents: DataFrame | None = None) -> DataFrame:
     """How much a ticket (ticket_id, text, us) has to do with signals, breaches and incidents: relevance, related and near.
 
-    `signals` has fingerprint, template, service, host and onset_us. A shared
+    `signals` has fingerprint (unique), template, service, host and onset_us. A shared
     service or host counts 0.6, each shared specific word 0.15; a match needs one
     of the former or two words. A breach (metric, host) that the ticket names
     counts 0.7, an incident (incident, name, onset_us; a row for each of its
@@ -86,21 +86,35 @@ def tickets(rows: DataFrame, signals: DataFrame, window_min: int = 30, now_us: i
     window, half if the ticket itself is no older than that at `now_us`.
     """
     window = window_min * MINUTE
-    t = rows.select("ticket_id", "us", F.explode(tokens(F.col("text"))).alias("token"))
-    names = signals.select("fingerprint", F.explode(F.array_distinct(F.array(F.lower("service"), F.lower("host")))).alias("token"), F.lit(1).alias("name"), F.lit(0).alias("word"))
-    words = signals.select("fingerprint", F.explode(F.filter(tokens(F.col("template")), lambda w: F.length(w) >= 4)).alias("token"), F.lit(0).alias("name"), F.lit(1).alias("word"))
-    m = t.join(names.unionByName(words), "token").groupBy("ticket_id", "us", "fingerprint").agg(F.max("name").alias("name"), F.sum("word").alias("words"))
-    m = m.where("name = 1 OR words >= 2").withColumn("score", F.least(F.lit(1.0), 0.6 * F.col("name") + 0.15 * F.col("words"))).join(signals.select("fingerprint", "onset_us"), "fingerprint")
-    items = m.select("ticket_id", "us", "score", "onset_us")
+    # Tickets of the same tokens, and signals of the same names and words, are one kind each: kinds are paired, not rows.
+    said_by = rows.select("ticket_id", "us", F.array_sort(F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))).alias("said"))
+    known = signals.select("onset_us", F.array_sort(F.array_compact(F.array_distinct(F.array(F.lower("service"), F.lower("host"))))).alias("names"), F.coalesce(F.array_sort(F.filter(tokens(F.col("template")), lambda w: F.length(w) >= 4)), F.array().cast("array<string>")).alias("words"))
+    slot = lambda at: F.floor(at / window)
+    slots = known.groupBy("names", "words", slot(F.col("onset_us")).alias("slot")).agg(F.count("*").alias("k"), F.count("onset_us").alias("onsets"), F.min("onset_us").alias("lo"), F.max("onset_us").alias("hi"))
+    kinds = slots.groupBy("names", "words").agg(F.sum("k").alias("k"), F.sum("onsets").alias("onsets"))
+    t = said_by.select("said").distinct().select("said", F.explode("said").alias("token"))
+    named = kinds.select("names", "words", "k", "onsets", F.explode("names").alias("token"), F.lit(1).alias("name"), F.lit(0).alias("word"))
+    worded = kinds.select("names", "words", "k", "onsets", F.explode("words").alias("token"), F.lit(0).alias("name"), F.lit(1).alias("word"))
+    m = t.join(named.unionByName(worded), "token").groupBy("said", "names", "words", "k", "onsets").agg(F.max("name").alias("name"), F.sum("word").alias("n"))
+    m = m.where("name = 1 OR n >= 2").withColumn("score", F.least(F.lit(1.0), 0.6 * F.col("name") + 0.15 * F.col("n")))
+    items = m.select("said", "score", "k", "onsets")
+    times = m.select("said", "names", "words").join(slots.where("slot IS NOT NULL").select("names", "words", "slot", "lo", "hi"), ["names", "words"]).select("said", "slot", "lo", "hi")
     if breaches is not None:
-        said = breaches.select(F.explode(F.array(F.lower("host"), "metric")).alias("token"), F.concat_ws("@", "metric", "host").alias("breach"))
-        items = items.unionByName(t.join(said, "token").select("ticket_id", "us", "breach").distinct().select("ticket_id", "us", F.lit(0.7).alias("score"), F.lit(None).cast("long").alias("onset_us")))
+        broken = breaches.select(F.explode(F.array(F.lower("host"), "metric")).alias("token"), F.concat_ws("@", "metric", "host").alias("breach"))
+        items = items.unionByName(t.join(broken, "token").select("said", "breach").distinct().select("said", F.lit(0.7).alias("score"), F.lit(1).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("onsets")))
     if incidents is not None:
         at = incidents.select(F.lower("name").alias("token"), "incident", "onset_us")
-        items = items.unionByName(t.join(at, "token").groupBy("ticket_id", "us", "incident").agg(F.min("onset_us").alias("onset_us")).select("ticket_id", "us", F.lit(0.8).alias("score"), "onset_us"))
-    best = items.groupBy("ticket_id").agg(F.max("score").alias("best"), F.bool_or(F.abs(F.col("us") - F.col("onset_us")) <= window).alias("near"), F.count("onset_us").alias("onsets"), F.count("*").alias("related"))
-    j = rows.select("ticket_id", "us").join(best, "ticket_id", "left").join(_near_any(rows, signals, window), "ticket_id", "left")
-    near = F.coalesce(F.when(F.coalesce("onsets", F.lit(0)) > 0, F.col("near")).otherwise(F.col("near_any")), F.lit(False))
+        met = t.join(at, "token").groupBy("said", "incident").agg(F.min("onset_us").alias("onset_us"))
+        items = items.unionByName(met.select("said", F.lit(0.8).alias("score"), F.lit(1).cast("bigint").alias("k"), F.col("onset_us").isNotNull().cast("bigint").alias("onsets")))
+        times = times.unionByName(met.where("onset_us IS NOT NULL").select("said", slot(F.col("onset_us")).alias("slot"), F.col("onset_us").alias("lo"), F.col("onset_us").alias("hi")))
+    best = items.groupBy("said").agg(F.max("score").alias("best"), F.sum("onsets").alias("onsets"), F.sum("k").alias("related"))
+    times = times.groupBy("said", "slot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # A slot's first and last onset tell whether one is near; tickets of the same tokens and time are asked for once.
+    asked = said_by.select("said", "us").distinct().select("said", "us", F.explode(F.array(*[(slot(F.col("us")) + i).alias("slot") for i in (-1, 0, 1)])).alias("slot")).join(times, ["said", "slot"])
+    close = F.col("lo").between(F.col("us") - window, F.col("us") + window) | F.col("hi").between(F.col("us") - window, F.col("us") + window)
+    near_own = asked.groupBy("said", "us").agg(F.bool_or(close).alias("near"))
+    j = said_by.join(best, "said", "left").join(near_own, ["said", "us"], "left").join(_near_any(rows, signals, window), "ticket_id", "left")
+    near = F.coalesce(F.when(F.coalesce("onsets", F.lit(0)) > 0, F.coalesce("near", F.lit(False))).otherwise(F.col("near_any")), F.lit(False))
     young = F.lit(False) if now_us is None else F.coalesce(F.lit(now_us) - F.col("us") <= window, F.lit(False))
     time = F.when(near, 1.0).when(young, 0.5).otherwise(0.0)
     return j.select("ticket_id", F.round(F.least(F.lit(1.0), 0.65 * F.coalesce("best", F.lit(0.0)) + 0.35 * time), 2).alias("relevance"), F.coalesce("related", F.lit(0)).alias("related"), near.alias("near"))

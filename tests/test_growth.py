@@ -3,7 +3,7 @@
 import random
 
 from opsloom.functions import text
-from opsloom.operators import correlation, incidents
+from opsloom.operators import correlation, incidents, search
 from pyspark.sql import functions as F
 
 MINUTE = 60_000_000
@@ -56,3 +56,14 @@ def test_slow_burn_reads_no_window_again(spark):
         if len(ahead) >= 4 and len(hosts) >= 2:
             want.add((seq, service, len(ahead), len(hosts)))
     assert {(r.seq, r.service, r.n, r.hosts) for r in got.collect()} == want and len(want) > 100
+
+
+def test_tickets_pair_kinds_and_not_rows(spark):
+    """Joins give out no more than kinds times kinds, three slots a ticket, however many tickets and signals are alike."""
+    signals = spark.range(3000).select(F.concat(F.lit("g"), "id").alias("fingerprint"), F.lit("payment module failed").alias("template"), F.lit("svc-a").alias("service"), F.concat(F.lit("h"), F.col("id") % 2).alias("host"), (F.col("id") * MINUTE).alias("onset_us"))
+    rows = spark.range(2000).select(F.col("id").alias("ticket_id"), F.when(F.col("id") % 2 == 0, "trouble with svc-a").otherwise("payment module").alias("text"), (F.col("id") * 2 * MINUTE).alias("us"))
+    df = search.tickets(rows, signals, 30)
+    got = {r.ticket_id: (r.relevance, r.related, r.near) for r in df.collect()}
+    assert got == {i: (round(0.65 * (0.6 if i % 2 == 0 else 0.3) + 0.35 * (2 * i <= 3029), 2), 3000, 2 * i <= 3029) for i in range(2000)}
+    # Pairs of tickets and signals would be grouped by both.
+    assert "fingerprint" not in plan(df).split("== Physical Plan ==")[1]
