@@ -27,37 +27,48 @@ def search(spans: DataFrame, least_ms: float, most: int) -> DataFrame:
     return t.withColumn("length_ms", F.col("hi") - F.col("lo")).where(F.col("length_ms") >= least_ms).orderBy(F.desc("length_ms"), "trace_id").limit(most).select("trace_id", "spans", "errors", "length_ms", "root")
 
 
-#: Powers of two up to which a span's length in ms goes: a day.
-LENGTHS = 27
+#: Powers of two up to which a span's length in ms goes: a day. Spans of a trace whose enclosers are looked for among all of them.
+LENGTHS, SMALL = 27, 64
 
 
-def parents(spans: DataFrame, slack_ms: float = 0.5) -> DataFrame:
+def parents(spans: DataFrame, slack_ms: float = 0.5, small: int = SMALL) -> DataFrame:
     """The parent of each span: the one it names, else the tightest earlier span of the trace that encloses it.
 
     Earlier is by start, then longer first, then identifier; of equally tight
     ones the last. The encloser must be of another service, or the span a call
     outwards from one that isn't, or the encloser a user's or a device's.
 
-    An encloser lies in the one or two slots of its own length's power of two, and
-    a span looks into one slot of each power: no key holds a whole trace.
+    Spans of a trace of up to `small` ones, as nearly all are, look at each other.
+    In larger ones an encloser lies in the one or two slots of its own length's
+    power of two, and a span looks into one slot of each power: no key holds a
+    whole large trace.
     """
     length = lambda ms: F.least(F.lit(LENGTHS), F.ceil(F.log2(ms + 2 * slack_ms + 1)).cast("int"))
     slot = lambda at, level: F.floor(at / F.pow(F.lit(2.0), level)).cast("bigint")
-    p = spans.where("kind <> 'log'").select("trace_id", F.col("span_id").alias("p_id"), F.col("service").alias("p_service"), F.col("kind").alias("p_kind"), F.col("start_ms").alias("p_start"), F.col("duration_ms").alias("p_ms"), length(F.col("duration_ms")).alias("level"))
-    first = slot(F.col("p_start") - slack_ms, F.col("level"))
-    p = p.select("*", F.explode(F.array(first, first + 1)).alias("slot"))
+    # At most one row for each `small` spans.
+    large = written(spans.groupBy("trace_id").agg(F.count("*").alias("n")).where(F.col("n") > small).select("trace_id"))
     named = spans.select("trace_id", F.col("span_id").alias("parent_ref"), F.col("service").alias("n_service"))
-    known = spans.join(named, ["trace_id", "parent_ref"], "left").withColumn("named", F.col("n_service").isNotNull() & (F.col("parent_ref") != F.col("span_id")))
-    c = known.where(~F.coalesce("named", F.lit(False))).select("trace_id", "span_id", "service", "kind", "start_ms", "duration_ms", F.explode(F.sequence(F.greatest(F.lit(0), length(F.col("duration_ms")) - 2), F.lit(LENGTHS))).alias("level"))
-    j = c.withColumn("slot", slot(F.col("start_ms"), F.col("level"))).join(p, ["trace_id", "level", "slot"])
+    refers = spans.where("parent_ref IS NOT NULL AND parent_ref <> span_id").select("trace_id", "parent_ref").distinct()
+    # Only spans that some other names are looked up.
+    named = named.join(refers, ["trace_id", "parent_ref"], "left_semi")
+    known = written(spans.join(named, ["trace_id", "parent_ref"], "left").withColumn("named", F.coalesce(F.col("n_service").isNotNull() & (F.col("parent_ref") != F.col("span_id")), F.lit(False))))
+    p = spans.where("kind <> 'log'").select("trace_id", F.col("span_id").alias("p_id"), F.col("service").alias("p_service"), F.col("kind").alias("p_kind"), F.col("start_ms").alias("p_start"), F.col("duration_ms").alias("p_ms"))
+    c = known.where("NOT named").select("trace_id", "span_id", "service", "kind", "start_ms", "duration_ms")
+    few = c.join(large, "trace_id", "left_anti").join(p, "trace_id")
+    leveled = p.join(large, "trace_id", "left_semi").withColumn("level", length(F.col("p_ms")))
+    first = slot(F.col("p_start") - slack_ms, F.col("level"))
+    leveled = leveled.select("*", F.explode(F.array(first, first + 1)).alias("slot"))
+    looks = c.join(large, "trace_id", "left_semi").select("*", F.explode(F.sequence(F.greatest(F.lit(0), length(F.col("duration_ms")) - 2), F.lit(LENGTHS))).alias("level"))
+    many = looks.withColumn("slot", slot(F.col("start_ms"), F.col("level"))).join(leveled, ["trace_id", "level", "slot"]).drop("level", "slot")
     inside = (F.col("p_start") <= F.col("start_ms") + slack_ms) & (F.col("start_ms") + F.col("duration_ms") <= F.col("p_start") + F.col("p_ms") + slack_ms)
     earlier = F.struct("p_start", -F.col("p_ms"), "p_id") < F.struct("start_ms", -F.col("duration_ms"), "span_id")
     out = ("db", "client", "external", "producer")
     fits = (F.col("p_service") != F.col("service")) | (F.col("kind").isin(*out) & ~F.col("p_kind").isin(*out)) | F.col("p_kind").isin("user", "mobile")
-    best = j.where(inside & earlier & fits).groupBy("trace_id", "span_id").agg(F.min_by(F.struct("p_id", "p_service"), F.struct("p_ms", -F.col("p_start"), -F.col("p_id"))).alias("b"))
-    made = known.join(best, ["trace_id", "span_id"], "left")
+    tightest = F.min_by(F.struct("p_id", "p_service"), F.struct("p_ms", -F.col("p_start"), -F.col("p_id"))).alias("b")
+    best = lambda j: j.where(inside & earlier & fits).groupBy("trace_id", "span_id").agg(tightest)
+    made = known.join(best(few).unionByName(best(many)), ["trace_id", "span_id"], "left")
     pick = lambda own, other: F.when(F.col("named"), F.col(own)).otherwise(F.col(other))
-    return made.select("trace_id", "span_id", "service", "kind", "start_ms", "duration_ms", "error", pick("parent_ref", "b.p_id").alias("parent_id"), pick("n_service", "b.p_service").alias("parent_service"), (~F.coalesce("named", F.lit(False)) & F.col("b").isNotNull()).alias("inferred"))
+    return made.select("trace_id", "span_id", "service", "kind", "start_ms", "duration_ms", "error", pick("parent_ref", "b.p_id").alias("parent_id"), pick("n_service", "b.p_service").alias("parent_service"), (~F.col("named") & F.col("b").isNotNull()).alias("inferred"))
 
 
 def _at(share: float) -> Column:
@@ -71,10 +82,10 @@ def edges(with_parents: DataFrame) -> DataFrame:
     return crossing.groupBy(F.col("parent_service").alias("src"), F.col("service").alias("dst")).agg(F.count("*").alias("calls"), F.count_if("error").alias("errors"), F.count_if("inferred").alias("inferred"), _at(0.5).alias("p50"), _at(0.95).alias("p95"))
 
 
-def self_times(spans: DataFrame, with_parents: DataFrame) -> DataFrame:
-    """Duration less that of the children, at least 0."""
+def self_times(spans: DataFrame, with_parents: DataFrame, *also: str) -> DataFrame:
+    """Duration less that of the children, at least 0, and the columns `also` of `spans`."""
     kids = with_parents.where("parent_id IS NOT NULL AND kind <> 'log'").groupBy("trace_id", F.col("parent_id").alias("span_id")).agg(F.sum("duration_ms").alias("kids_ms"))
-    return spans.join(kids, ["trace_id", "span_id"], "left").select("trace_id", "span_id", F.greatest(F.lit(0.0), F.col("duration_ms") - F.coalesce("kids_ms", F.lit(0.0))).alias("self_ms"))
+    return spans.join(kids, ["trace_id", "span_id"], "left").select("trace_id", "span_id", F.greatest(F.lit(0.0), F.col("duration_ms") - F.coalesce("kids_ms", F.lit(0.0))).alias("self_ms"), *also)
 
 
 def depths(with_parents: DataFrame) -> DataFrame:
@@ -85,16 +96,21 @@ def depths(with_parents: DataFrame) -> DataFrame:
     met, which counts once more: its length is that of the way into the circle and
     the circle together.
     """
-    at = written(with_parents.select("trace_id", "span_id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("bigint").alias("depth")))
+    ways = ["trace_id", "span_id", "up", "depth"]
+    at = with_parents.select("trace_id", "span_id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("bigint").alias("depth"))
     longest = at.groupBy("trace_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    # Ways that have ended are written once; a round writes only those that go on.
+    ended, going = at.where("up IS NULL"), written(at.where("up IS NOT NULL"))
+    ended = written(ended)
     reach = 1
-    while reach < 2 * longest and not at.where("up IS NOT NULL").isEmpty():
-        above = at.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        at = written(at.join(above, ["trace_id", "up"], "left").select("trace_id", "span_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+    while reach < 2 * longest and not going.isEmpty():
+        above = ended.unionByName(going).select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
+        after = written(going.join(above, ["trace_id", "up"], "left").select("trace_id", "span_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+        ended, going = ended.unionByName(after.where("up IS NULL").select(*ways)), after.where("up IS NOT NULL")
         reach *= 2
-    ended = at.where("up IS NULL").select("trace_id", "span_id", "depth")
+    ended = ended.select("trace_id", "span_id", "depth")
     # Pointers that are left lie on circles by now, since they have gone further than any trace has spans.
-    stuck = at.where("up IS NOT NULL").select("trace_id", "span_id")
+    stuck = going.select("trace_id", "span_id")
     edges = with_parents.select("trace_id", "span_id", "parent_id").join(stuck, ["trace_id", "span_id"], "left_semi")
 
     def walk(rows: pa.Table) -> pa.Table:

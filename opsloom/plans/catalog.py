@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import incidents, rollups, traces
+from ..operators import graph, incidents, rollups, traces
 from ..sources import formats
 from ..sources.observations import MINUTE, deduplicate, from_events, micros, repair_clock, table
 
@@ -233,11 +233,10 @@ def service_topology(spark, sf_dir):
 @query(f"WITH RECURSIVE {_PARENTS}, k AS (SELECT trace_id, parent_id AS span_id, sum(duration_ms) AS kids FROM t WHERE parent_id IS NOT NULL AND kind <> 'log' GROUP BY 1, 2), d(trace_id, span_id, depth) AS (SELECT trace_id, span_id, 0 FROM t WHERE parent_id IS NULL UNION ALL SELECT t.trace_id, t.span_id, d.depth + 1 FROM t JOIN d ON t.trace_id = d.trace_id AND t.parent_id = d.span_id), z AS (SELECT trace_id, min(start_ms) AS t0 FROM p GROUP BY 1) SELECT DISTINCT trace_id, span_id, greatest(0.0, duration_ms - coalesce(kids, 0.0)) AS self_ms, depth, start_ms - t0 AS offset_ms FROM t LEFT JOIN k USING (trace_id, span_id) JOIN d USING (trace_id, span_id) JOIN z USING (trace_id)")
 def waterfalls(spark, sf_dir):
     """Each trace's spans with their own time, depth and offset."""
-    s = spans_of(spark, sf_dir)
-    with_parents = traces.parents(s)
-    start = s.groupBy("trace_id").agg(F.min("start_ms").alias("t0"))
-    own = traces.self_times(s, with_parents).join(traces.depths(with_parents), ["trace_id", "span_id"])
-    return own.join(s.select("trace_id", "span_id", "start_ms"), ["trace_id", "span_id"]).join(start, "trace_id").select("trace_id", "span_id", "self_ms", "depth", (F.col("start_ms") - F.col("t0")).alias("offset_ms")).distinct()
+    with_parents = graph.written(traces.parents(spans_of(spark, sf_dir)))
+    start = with_parents.groupBy("trace_id").agg(F.min("start_ms").alias("t0"))
+    own = traces.self_times(with_parents, with_parents, "start_ms").join(traces.depths(with_parents), ["trace_id", "span_id"])
+    return own.join(start, "trace_id").select("trace_id", "span_id", "self_ms", "depth", (F.col("start_ms") - F.col("t0")).alias("offset_ms")).distinct()
 
 
 @query(f"""WITH e AS (SELECT o_orderkey AS key, 0 AS step, epoch_us(o_orderdate) // 1000000 AS t FROM orders UNION ALL SELECT l_orderkey, l_linenumber, epoch_us(l_shipdate) // 1000000 FROM lineitem WHERE l_linenumber < 4), f AS (SELECT key, step, min(t) AS t FROM e GROUP BY 1, 2), g AS (SELECT a.step, b.t - a.t AS g FROM f a JOIN f b ON a.key = b.key AND b.step = a.step + 1), r AS (SELECT step, count(*) AS reached FROM f GROUP BY 1),

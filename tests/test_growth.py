@@ -3,7 +3,7 @@
 import random
 
 from opsloom.functions import text
-from opsloom.operators import correlation, incidents, search
+from opsloom.operators import correlation, incidents, search, traces
 from pyspark.sql import functions as F
 
 MINUTE = 60_000_000
@@ -67,3 +67,11 @@ def test_tickets_pair_kinds_and_not_rows(spark):
     assert got == {i: (round(0.65 * (0.6 if i % 2 == 0 else 0.3) + 0.35 * (2 * i <= 3029), 2), 3000, 2 * i <= 3029) for i in range(2000)}
     # Pairs of tickets and signals would be grouped by both.
     assert "fingerprint" not in plan(df).split("== Physical Plan ==")[1]
+
+
+def test_small_and_large_traces_have_the_same_parents(spark):
+    rng = random.Random(6)
+    spans = [(t, 100 * t + i, rng.choice("abc"), float(rng.randrange(60)), float(rng.randrange(1, 80)), False, rng.choice(("db", "server", "user", "log")), 100 * t + rng.randrange(12) if i % 5 == 0 else None) for t in range(30) for i in range(12)]
+    df = spark.createDataFrame(spans, "trace_id long, span_id long, service string, start_ms double, duration_ms double, error boolean, kind string, parent_ref long")
+    got = [sorted(map(tuple, traces.parents(df, small=n).select("trace_id", "span_id", "parent_id", "parent_service", "inferred").collect()), key=str) for n in (0, 12)]
+    assert got[0] == got[1] and len(got[0]) == len(spans) and sum(r[4] for r in got[0]) > 50
