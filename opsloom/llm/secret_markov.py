@@ -32,8 +32,6 @@ TOKEN = r"[A-Za-z0-9+/_=-]{10,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 #: ASCII codes: what a row of the table of ratios has.
 CODES = 128
-#: Documents at most, chosen by a hash of the identifier, from which labelled samples are drawn.
-SAMPLE_DOCS = 4000
 #: Lengths from which on a threshold of its own is calibrated.
 LENGTHS = (0, 12, 16, 24, 40)
 #: Log-likelihood ratio (natural) that a secret has at least; and how far it lies above the given share of ordinary tokens of its length.
@@ -94,19 +92,13 @@ def _apart(tokens: Column, base: Column) -> Column:
     return F.when(F.size(tokens) == 0, tokens).otherwise(F.flatten(F.transform(_blocks(tokens), one)))
 
 
-def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE_DOCS) -> DataFrame:
-    """(value, random): values that the fixed patterns found, and the tokens outside them, of at most `most` documents.
-
-    The documents are those with the smallest hashes of identifier and text; what is drawn is a checkpoint.
-    """
-    place = F.struct(F.xxhash64(id_col, text_col).alias("h"), F.col(id_col).alias("i"))
-    # Only the hashes are sorted; the texts of the chosen ones are then read by them.
-    chosen = docs.select(place.alias("at")).orderBy("at").limit(most).select("at.h").distinct()
-    some = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "h").dropDuplicates(["h"]).select("text")
-    some = durable(with_base_spans(durable(some), "text", "base").withColumn("rest", F.regexp_replace("text", "|".join(p for _, p, _, _ in PATTERNS), " ")))
-    random = some.select(F.explode("base").alias("s")).select(F.col("s.value").alias("value"), F.lit(True).alias("random"))
-    plain = some.select(F.explode(F.regexp_extract_all("rest", F.lit(TOKEN), F.lit(0))).alias("value"), F.lit(False).alias("random"))
-    return durable(random.unionByName(plain).distinct())
+def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(value, random): values that the fixed patterns found, and the tokens outside them, of all documents; each once, as a checkpoint. `id_col` isn't looked at."""
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = with_base_spans(texts, "text", "base").withColumn("rest", F.regexp_replace("text", "|".join(p for _, p, _, _ in PATTERNS), " "))
+    random = F.transform("base", lambda s: F.struct(s["value"].alias("value"), F.lit(True).alias("random")))
+    plain = F.transform(F.regexp_extract_all("rest", F.lit(TOKEN), F.lit(0)), lambda t: F.struct(t.alias("value"), F.lit(False).alias("random")))
+    return durable(found.select(F.inline(F.concat(random, plain))).distinct())
 
 
 def learn_ratios(samples: DataFrame) -> list[float] | None:
@@ -139,8 +131,9 @@ def ratio(value: Column, ratios: list[float]) -> Column:
 def thresholds(samples: DataFrame, ratios: list[float]) -> list[float]:
     """For each of LENGTHS, the ratio from which on a token of that length is a secret: well above nearly all ordinary samples."""
     group = sum(((F.length("value") >= n).cast("int") for n in LENGTHS[1:]), F.lit(0))
-    scored = samples.where("NOT random").select(group.alias("g"), ratio(F.col("value"), ratios).alias("r"))
-    known = {r["g"]: r["q"] for r in scored.groupBy("g").agg(F.percentile("r", SHARE).alias("q")).collect()}
+    # To a hundredth, so that what is sorted in one task is a histogram and not the samples.
+    scored = samples.where("NOT random").select(group.alias("g"), F.round(ratio(F.col("value"), ratios), 2).alias("r")).groupBy("g", "r").agg(F.count("*").alias("n"))
+    known = {r["g"]: r["q"] for r in scored.groupBy("g").agg(F.percentile("r", F.lit(SHARE), F.col("n")).alias("q")).collect()}
     return [max(LEAST_RATIO, known.get(g, 0.0) + MARGIN) for g in range(len(LENGTHS))]
 
 

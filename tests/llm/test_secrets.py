@@ -7,6 +7,8 @@ import string
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from opsloom.llm import queries, secret_markov
 
 SF = "/root/testdata/sf0.01"
@@ -76,3 +78,9 @@ def test_without_samples_nothing_is_added(spark):
     docs = spark.createDataFrame([(1, "password: abcdefgh"), (1, "password: abcdefgh")], "doc_id long, text string")
     rows = secret_markov.find_secrets(docs, none).collect()
     assert len(rows) == 2 and all(len(r.base) == 1 and r.added == [] for r in rows)
+
+
+def test_samples_are_of_all_documents(spark):
+    docs = spark.range(4500).select(F.col("id").alias("doc_id"), F.concat(F.lit("ordinary_token_"), F.col("id"), F.lit(" secret=value"), F.col("id")).alias("text"))
+    n = {r["random"]: r["count"] for r in secret_markov.labelled_samples(docs).groupBy("random").count().collect()}
+    assert n == {True: 4500, False: 4500}
