@@ -165,8 +165,8 @@ def query_alerts(obs: DataFrame, rules: dict[str, tuple[Column, str, int]], star
 
 
 def sampled_traces(spans: DataFrame, percent: float, slow_ms: float, hold_ms: float = 120_000) -> DataFrame:
-    """Spans that are kept: a fixed share of traces by hash, failed, slow and users' spans, and the traces that an error claims."""
-    return kept(spans, percent, slow_ms, F.col("error"), "start_ms", hold_ms)
+    """Spans that are kept: a fixed share of traces by hash, failed, slow and users' spans, and the traces that an error or a user's or device's span claims."""
+    return kept(spans, percent, slow_ms, F.col("error") | F.col("kind").isin("user", "mobile"), "start_ms", hold_ms)
 
 
 def span_rollup(spans: DataFrame, step_ms: int) -> DataFrame:

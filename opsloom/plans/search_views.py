@@ -129,7 +129,7 @@ def query_alerts(spark, sf_dir):
     return search.query_alerts(from_events(spark, sf_dir), rules, START + 5 * DAY, START + 6 * DAY)
 
 
-@query(f"WITH {LINES}, c AS (SELECT trace_id, min(start_ms) AS t FROM p WHERE error GROUP BY 1) SELECT p.trace_id, span_id FROM p LEFT JOIN c USING (trace_id) WHERE error OR duration_ms >= 895 OR kind IN ('user', 'mobile') OR start_ms >= t - 120000 OR CAST('0x' || substr(sha1(CAST(p.trace_id AS VARCHAR)), 1, 8) AS BIGINT) % 10000 < 1000")
+@query(f"WITH {LINES}, c AS (SELECT trace_id, min(start_ms) AS t FROM p WHERE error OR kind IN ('user', 'mobile') GROUP BY 1) SELECT p.trace_id, span_id FROM p LEFT JOIN c USING (trace_id) WHERE error OR duration_ms >= 895 OR kind IN ('user', 'mobile') OR start_ms >= t - 120000 OR CAST('0x' || substr(sha1(CAST(p.trace_id AS VARCHAR)), 1, 8) AS BIGINT) % 10000 < 1000")
 def sampled_traces(spark, sf_dir):
     return search.sampled_traces(spans_of(spark, sf_dir), 10, 895).select("trace_id", "span_id")
 

@@ -75,3 +75,9 @@ def test_small_and_large_traces_have_the_same_parents(spark):
     df = spark.createDataFrame(spans, "trace_id long, span_id long, service string, start_ms double, duration_ms double, error boolean, kind string, parent_ref long")
     got = [sorted(map(tuple, traces.parents(df, small=n).select("trace_id", "span_id", "parent_id", "parent_service", "inferred").collect()), key=str) for n in (0, 12)]
     assert got[0] == got[1] and len(got[0]) == len(spans) and sum(r[4] for r in got[0]) > 50
+
+
+def test_a_users_span_claims_its_trace(spark):
+    rows = [(1, 1, 0.0, 5.0, False, "server"), (1, 2, 1.0, 5.0, False, "user"), (2, 3, 0.0, 900.0, False, "server"), (2, 4, 0.0, 5.0, False, "server")]
+    df = spark.createDataFrame(rows, "trace_id long, span_id long, start_ms double, duration_ms double, error boolean, kind string")
+    assert {r.span_id for r in search.sampled_traces(df, 0, 895).collect()} == {1, 2, 3}
