@@ -215,20 +215,23 @@ def storm_clusters(cells: DataFrame, dependencies: DataFrame, racks: DataFrame |
     of their bar, and those of two bars to each other, so a rack isn't paired.
     """
     node = F.concat_ws("@", F.lpad(F.col("bar").cast("string"), 12, "0"), "service")
-    c = graph.written(cells.select("service", "bar", node.alias("node")).distinct())
-    near = c.select("node", F.lower("service").alias("own"), F.explode(F.array(F.col("bar") - 1, F.col("bar"), F.col("bar") + 1)).alias("bar"))
-    at = c.select(F.col("node").alias("b"), F.lower("service").alias("other"), "bar")
+    c = cells.select("service", "bar", node.alias("node"), F.lower("service").alias("own")).distinct()
+    # Cells of a service that follow each other are linked anyway: they are one run, named after its first cell, and runs are the graph's nodes.
+    in_order = Window.partitionBy("own").orderBy("bar", "service")
+    c = c.withColumn("begins", F.coalesce(F.col("bar") - F.lag("bar").over(in_order) > 1, F.lit(True)).cast("int"))
+    c = c.withColumn("k", F.sum("begins").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    c = graph.written(c.withColumn("run", F.first("node").over(Window.partitionBy("own", "k").orderBy("bar", "service"))).select("service", "bar", "own", "run"))
+    near = c.select("run", "own", F.explode(F.array(F.col("bar") - 1, F.col("bar"), F.col("bar") + 1)).alias("bar"))
+    at = c.select(F.col("run").alias("b"), F.col("own").alias("other"), "bar")
     either = dependencies.select(F.lower("source").alias("own"), F.lower("target").alias("other")).unionByName(dependencies.select(F.lower("target").alias("own"), F.lower("source").alias("other"))).distinct()
-    same = near.join(at, (near["bar"] == at["bar"]) & (near["own"] == at["other"])).select(F.col("node").alias("a"), "b")
-    linked = near.join(either, "own").join(at, ["bar", "other"]).select(F.col("node").alias("a"), "b")
-    links = same.unionByName(linked)
+    links = near.join(either, "own").join(graph.shuffled(at), ["bar", "other"]).select(F.col("run").alias("a"), "b")
     if racks is not None:
-        stands = c.join(racks, ["service", "bar"]).select("node", "bar", "rack")
-        heads = stands.groupBy("rack", "bar").agg(F.min("node").alias("b"))
-        to_head = stands.join(heads, ["rack", "bar"]).select(F.col("b").alias("a"), F.col("node").alias("b"))
-        links = links.unionByName(to_head).unionByName(heads.select("rack", (F.col("bar") + 1).alias("bar"), F.col("b").alias("a")).join(heads, ["rack", "bar"]).select("a", "b"))
-    of = graph.components(c.select("node"), links.where("a < b").distinct())
-    return c.join(of, "node").select("service", "bar", F.col("component").alias("cluster"))
+        stands = graph.shuffled(c).join(racks, ["service", "bar"]).select("run", "bar", "rack")
+        heads = graph.written(stands.groupBy("rack", "bar").agg(F.min("run").alias("b")))
+        to_head = stands.join(graph.shuffled(heads), ["rack", "bar"]).select(F.col("b").alias("a"), F.col("run").alias("b"))
+        links = links.unionByName(to_head).unionByName(heads.select("rack", (F.col("bar") + 1).alias("bar"), F.col("b").alias("a")).join(graph.shuffled(heads), ["rack", "bar"]).select("a", "b"))
+    of = graph.components(c.select(F.col("run").alias("node")).distinct(), links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return c.join(of.withColumnRenamed("node", "run"), "run").select("service", "bar", F.col("component").alias("cluster"))
 
 
 def storm_members(obs: DataFrame, clusters: DataFrame, step_us: int, origin_us: int, pad_us: int = 2 * MINUTE) -> DataFrame:
@@ -246,7 +249,7 @@ def elevated(obs: DataFrame, members: DataFrame, spans: DataFrame) -> DataFrame:
     """
     total = obs.agg(F.greatest(F.lit(1.0), (F.max("us") - F.min("us")) / MINUTE).alias("minutes"))
     rate = obs.groupBy("service", "alarm_type").agg(F.count("*").alias("overall"))
-    inside = obs.join(members, "seq")
+    inside = obs.join(graph.shuffled(members), "seq")
     own = inside.groupBy("cluster", "service", "alarm_type").agg(F.count("*").alias("n"))
     j = inside.join(own, ["cluster", "service", "alarm_type"]).join(rate, ["service", "alarm_type"]).join(spans, "cluster").crossJoin(F.broadcast(total))
     expected = F.col("overall") * F.col("span_min") / F.col("minutes")

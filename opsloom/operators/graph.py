@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Nodes up to which Spark may broadcast their labels.
+BROADCAST_NODES = 20_000
+
+
 @functools.cache
 def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="graph-")
@@ -31,6 +35,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """`df` as a side of a join that grows with the data: it is never broadcast, for which Spark would judge it by its compressed files."""
+    return df.hint("merge")
+
+
 def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, component): the smallest node that each of `nodes` (node) reaches over `links` (a, b).
 
@@ -39,11 +48,12 @@ def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 40) -> Dat
     """
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = written(nodes.select("node", F.col("node").alias("component")))
+    side = (lambda df: df) if labels.count() <= BROADCAST_NODES else shuffled
     for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        hooked = labels.join(near, "node", "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("mid"))
+        near = both.join(side(labels.select(F.col("node").alias("b"), "component")), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        hooked = labels.join(side(near), "node", "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("component").alias("far"))
-        after = written(hooked.join(jump, "mid").select("node", "was", F.least("mid", "far").alias("component")))
+        after = written(hooked.join(side(jump), "mid").select("node", "was", F.least("mid", "far").alias("component")))
         labels = after.select("node", "component")
         if after.where("was <> component").isEmpty():
             return labels

@@ -3,7 +3,7 @@
 import random
 
 from opsloom.functions import text
-from opsloom.operators import correlation, incidents, search, traces
+from opsloom.operators import correlation, graph, incidents, search, storms, traces
 from pyspark.sql import functions as F
 
 MINUTE = 60_000_000
@@ -81,3 +81,29 @@ def test_a_users_span_claims_its_trace(spark):
     rows = [(1, 1, 0.0, 5.0, False, "server"), (1, 2, 1.0, 5.0, False, "user"), (2, 3, 0.0, 900.0, False, "server"), (2, 4, 0.0, 5.0, False, "server")]
     df = spark.createDataFrame(rows, "trace_id long, span_id long, start_ms double, duration_ms double, error boolean, kind string")
     assert {r.span_id for r in search.sampled_traces(df, 0, 895).collect()} == {1, 2, 3}
+
+
+def test_cells_of_a_service_that_follow_each_other_are_one_node(spark, monkeypatch):
+    nodes = []
+    whole = graph.components
+
+    def counted(given, links):
+        nodes.append(given.count())
+        return whole(given, links)
+
+    monkeypatch.setattr(correlation.graph, "components", counted)
+    cells = spark.createDataFrame([("a", b) for b in range(60)] + [("A", 3), ("b", 70), ("b", 71), ("c", 59), ("c", 80)], "service string, bar long")
+    depends = spark.createDataFrame([("a", "c")], "source string, target string")
+    rows = correlation.storm_clusters(cells, depends).collect()
+    own = {(r["service"], r["bar"]): r["cluster"] for r in rows}
+    assert nodes == [4] and len(rows) == 65
+    assert {own["a", b] for b in range(60)} | {own["A", 3], own["c", 59]} == {"000000000000@a"}
+    assert own["b", 70] == own["b", 71] == "000000000070@b" and own["c", 80] == "000000000080@c"
+
+
+def test_windows_of_storms_are_not_broadcast(spark):
+    at = spark.createDataFrame([(1, 0, "a", "h", 0, 0)], "seq long, us long, service string, host string, bar long, t0 long")
+    clusters = spark.createDataFrame([("a", 0, "a@0", ("a", 0))], "service string, bar long, cluster string, first struct<service:string,bar:long>")
+    found = storms.claimed(at, clusters, spark.createDataFrame([("h", "a")], "host string, home string"))
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(1, "a@0")]
