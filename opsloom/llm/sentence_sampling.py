@@ -32,7 +32,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, ALPHA = 2, 1.0
 BLOCK_BYTES = 1 << 19
 #: Bytes of distinct segments whose lattices a task keeps for its next blocks.
-STORE_BYTES = 3 << 18
+STORE_BYTES = 3 << 19
 _FILTER = 22
 
 
@@ -46,7 +46,7 @@ class Vocabulary(NamedTuple):
     byte_id: np.ndarray  # piece of each byte
     hashes: np.ndarray  # sorted hashes of ordinary pieces, and their ids
     ids: np.ndarray
-    known: np.ndarray  # bit filter of pieces, and of their beginnings
+    known: np.ndarray  # of each slot: the first of its hashes; bit filter of pieces' beginnings
     begins: np.ndarray
     longest: int
 
@@ -85,8 +85,9 @@ def load_vocabulary(path: str = MODEL) -> Vocabulary:
     own = np.array(ordinary)
     h = span(start[own], length[own])
     order = np.argsort(h)
-    known, begins = np.zeros(1 << _FILTER, bool), np.zeros(1 << _FILTER, bool)
-    known[(h >> U(64 - _FILTER)).astype(np.int64)] = True
+    known, begins = np.full(1 << _FILTER, -1, np.int32), np.zeros(1 << _FILTER, bool)
+    slot, one = np.unique((h[order] >> U(64 - _FILTER)).astype(np.int64), return_index=True)
+    known[slot] = one
     for n_bytes in range(1, int(length.max()) + 1):
         a = start[own[length[own] >= n_bytes]]
         begins[(span(a, np.full(len(a), n_bytes)) >> U(64 - _FILTER)).astype(np.int64)] = True
@@ -126,9 +127,16 @@ def build_lattice(data: np.ndarray, begin: np.ndarray, end: np.ndarray, voc: Voc
             break
         h = mix((sums[alive + size] - sums[alive]) * down[alive] + U(size))
         slot = (h >> U(64 - _FILTER)).astype(np.int64)
-        maybe = voc.known[slot]
-        hit, place = h[maybe], alive[maybe]
-        k = np.minimum(np.searchsorted(voc.hashes, hit), len(voc.hashes) - 1)
+        k = voc.known[slot]
+        maybe = k >= 0
+        hit, place, k = h[maybe], alive[maybe], k[maybe]
+        # Few slots have more than one hash.
+        go = np.flatnonzero(voc.hashes[k] < hit)
+        while len(go):
+            k[go] += 1
+            go = go[k[go] < len(voc.hashes)]
+            go = go[voc.hashes[k[go]] < hit[go]]
+        k = np.minimum(k, len(voc.hashes) - 1)
         good = voc.hashes[k] == hit
         place = place[good]
         sets.append((place, voc.ids[k[good]]))
@@ -190,9 +198,10 @@ class Lattices:
     def _clear(self) -> None:
         self.hashes, self.at = np.zeros(0, U), np.zeros(0, np.int64)  # of known segments, by hash
         self.size, self.edges = 0, 0
-        self.data, self.first = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.data, self.first = np.zeros(0, np.uint8), np.zeros(1, np.int32)
         self.stop = np.zeros(0, np.int64)  # of the segment that begins at a position
-        self.piece, self.to = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.piece, self.to = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.origin = np.zeros(0, np.int32)  # the position where each edge begins
         self.upto = np.zeros(0, U)  # chance of choosing an edge or one before it
         self.chance, self.log = np.zeros(0), np.zeros(0, np.int64)
 
@@ -235,7 +244,7 @@ class Lattices:
         upto[first[1:][np.diff(first) > 0] - 1] = U(1 << (CHANCE + 1))
         stops = np.zeros(n, np.int64)
         stops[end - length] = end
-        for name, used, value in (("data", self.size, own), ("stop", self.size, stops + self.size), ("piece", self.edges, piece), ("to", self.edges, to + self.size), ("upto", self.edges, upto), ("chance", self.edges, chance), ("log", self.edges, np.rint(log * 2.0**LOG).astype(np.int64))):
+        for name, used, value in (("data", self.size, own), ("stop", self.size, stops + self.size), ("piece", self.edges, piece), ("to", self.edges, (to + self.size).astype(np.int32)), ("origin", self.edges, (np.repeat(np.arange(n), np.diff(first)) + self.size).astype(np.int32)), ("upto", self.edges, upto), ("chance", self.edges, chance), ("log", self.edges, np.rint(log * 2.0**LOG).astype(np.int64))):
             grown = _room(getattr(self, name), used, len(value))
             grown[used : used + len(value)] = value
             setattr(self, name, grown)
@@ -364,6 +373,10 @@ class Search:
         rest = np.log1p(-np.minimum(taken, 1 - NEAR))
         # Near 1 the difference would be rounding: there what is left is summed up edge by edge.
         near = np.flatnonzero(taken > 1 - NEAR)
+        here = self.lattice.origin[edges[at[near]]]
+        alone = self.lattice.first[here + 1] - self.lattice.first[here] == 1
+        rest[near[alone]] = -np.inf  # nothing is left of one edge
+        near = near[~alone]
         if len(near):
             slot_of = np.full(len(at), -1)
             slot_of[near] = np.arange(len(near))
@@ -371,8 +384,10 @@ class Search:
             rest[near] = self.others(edges[at[near]], chained[chained >= 0], out[chained >= 0]).log_sum
         location = (before[at] - np.repeat(before[begin], size)) / 2.0**LOG + rest
         seed = hashed(self.key[texts], draw_no, 1 << 20)
-        u = _unit(mix((at - np.repeat(begin, size)).astype(U) + np.repeat(seed * _SPREAD, size)))
-        left = _cut_off(location, np.repeat(bound, size), u)
+        left, open_at = np.full(len(at), -np.inf), np.flatnonzero(rest > -np.inf)
+        of = np.repeat(np.arange(len(texts)), size)[open_at]
+        u = _unit(mix((at[open_at] - begin[of]).astype(U) + (seed * _SPREAD)[of]))
+        left[open_at] = _cut_off(location[open_at], bound[of], u)
         for turn in range(self.samples + 1):  # no more of them can be among the samples, or set the limit
             best = np.maximum.reduceat(left, head)
             at_best = np.flatnonzero(left == np.repeat(best, size))
@@ -400,8 +415,7 @@ class Search:
 
         Shares are relative to the likeliest of a position's own, so the smallest chances keep theirs.
         """
-        first = self.lattice.first[: self.lattice.size + 1]
-        start = np.searchsorted(first, edge, "right") - 1
+        first, start = self.lattice.first, self.lattice.origin[edge]
         count = first[start + 1] - first[start]
         head = np.cumsum(count) - count
         choice = spread(first[start], count)

@@ -100,3 +100,22 @@ def test_store_is_let_go_and_hashes_are_not_believed(voc):
     big.data[first] = 33  # as if other bytes had the hash
     again = big.place(one, np.array([0]), np.array([6]))[0]
     assert again != first and big.data[again : again + 6].tobytes() == b" alpha"
+
+
+def test_nothing_is_summed_where_one_edge_leaves(monkeypatch, voc):
+    lattice, seen = s.Lattices(voc, 1.0), []
+    whole = s.Search.others
+
+    def others(self, edge, owner, out):
+        found = whole(self, edge, owner, out)
+        seen.extend(np.diff(np.append(found.head, len(found.choice))).tolist())
+        return found
+
+    monkeypatch.setattr(s.Search, "others", others)
+    texts = pa.array(["中文 日本 zqź \U0001f600 the words of a text " * 5])
+    block, = text_blocks(texts, s.BLOCK_BYTES)
+    found = s.sample_block(block, np.array([5]), lattice, 2)
+    assert found.exact.all() and len(found.text) == 2 and 1 not in seen
+    # Every piece is found by its slot.
+    at = np.flatnonzero(voc.known >= 0)
+    assert len(voc.hashes) >= len(at) and all(int(voc.hashes[voc.known[slot]] >> np.uint64(64 - 22)) == slot for slot in at[:500].tolist())
