@@ -27,12 +27,17 @@ def _with_smallest(pairs: DataFrame, rows: int) -> DataFrame:
     return light.unionByName(marked.where("h IS NOT NULL").select("u", "v", F.col("h").alias("m")))
 
 
-def _cut(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The edges as a table, with their number and an order-free digest, which the job that writes them observes."""
+def _cut(edges: DataFrame) -> tuple[DataFrame, int]:
+    """The edges as a table, with their number, which the job that writes them observes."""
     seen = Observation()
-    h = F.xxhash64("u", "v")
-    table = durable(edges.observe(seen, F.count("*").alias("n"), F.sum(F.shiftright(h, 32)).alias("high"), F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("low")))
-    return table, (seen.get.get("n") or 0, seen.get.get("high"), seen.get.get("low"))
+    table = durable(edges.observe(seen, F.count("*").alias("n")))
+    return table, seen.get.get("n") or 0
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: each u has one v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty()
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -42,17 +47,16 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     a link; a link from a node to itself adds nothing. Each round hangs the
     larger neighbours of every node, then the smaller ones, under the smallest
     neighbour; the number of rounds grows with the logarithm of the longest
-    path, and each ends in a checkpoint, so that the plan stays short.
+    path, and each ends in a checkpoint, so that the plan stays short. Stars need no round.
     """
-    edges, before = _cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    edges, rows = _cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = durable(_with_smallest(both, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
-        small = _with_smallest(large, before[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges, after = _cut(small.where("u > v").distinct())
-        if after == before:
+        if _settled(edges):
             break
-        before = after
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = durable(_with_smallest(both, 2 * rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
+        small = _with_smallest(large, rows).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges, rows = _cut(small.where("u > v").distinct())
     else:
         raise RuntimeError(f"components: not settled after {most_rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct()

@@ -46,8 +46,8 @@ BROADCAST_IDS = 200_000
 BITMAP = 16
 #: Cells that count shingles of crowds by hash; they only order shingles, and are all that the driver gets.
 CELLS_BITS = 20
-#: Pairs, and bytes of their texts, that are confirmed at a time.
-PAIRS, PAIR_BYTES = 512, 16 << 20
+#: Rows, pairs for one, and bytes of their texts, whose sets are held at a time.
+PAIRS, PAIR_BYTES = 512, 4 << 20
 
 _SEEDS = mix(np.arange(1, SYMBOLS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
@@ -140,17 +140,23 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return bool(both) and 100 * both >= 75 * (len(x) + len(y) - both)
 
 
-def _confirm(batches):
-    """Pairs (a, b) whose full sets are linked."""
+def parts(batches, *texts: int):
+    """The batches in slices of at most PAIRS rows, and of PAIR_BYTES in the columns `texts` unless one row has more."""
     for batch in batches:
-        size = sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3))
+        size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts)
         upto, i = np.cumsum(size), 0
         while i < batch.num_rows:
             j = min(i + PAIRS, max(i + 1, int(np.searchsorted(upto, upto[i] - size[i] + PAIR_BYTES))))
-            part, i = batch.slice(i, j - i), j
-            left, right = shingle_sets(part.column(2)), shingle_sets(part.column(3))
-            good = pa.array([linked(x, y) for x, y in zip(left, right, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good)], names=["a", "b"])
+            yield batch.slice(i, j - i)
+            i = j
+
+
+def _confirm(batches):
+    """Pairs (a, b) whose full sets are linked."""
+    for part in parts(batches, 2, 3):
+        left, right = shingle_sets(part.column(2)), shingle_sets(part.column(3))
+        good = pa.array([linked(x, y) for x, y in zip(left, right, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good)], names=["a", "b"])
 
 
 def _row_key() -> Column:
@@ -175,8 +181,8 @@ def _cells(h: np.ndarray) -> np.ndarray:
 def _count_cells(batches):
     """How many shingles of the texts fall into each cell."""
     total = np.zeros(1 << CELLS_BITS, np.int64)
-    for batch in batches:
-        for own in shingle_sets(batch.column(0)):
+    for part in parts(batches, 0):
+        for own in shingle_sets(part.column(0)):
             np.add.at(total, _cells(own), 1)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
@@ -196,7 +202,7 @@ def rare_first(own: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, int]
 
 def _entries(frequency):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 2):
             node, component, *maps = (batch.column(i).to_numpy() for i in (0, 1, *range(3, 3 + BITMAP)))
             sets = shingle_sets(batch.column(2))
             made = [rare_first(own, frequency.value) for own in sets]
@@ -256,6 +262,8 @@ def _confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     side = lambda n: reps.select(F.col("doc_id").alias(n), F.col("n_shingles").alias(f"n_{n}"), F.struct(*_MAP).alias(f"map_{n}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     pairs = durable(both.where(_can_link()).select("a", "b"))
+    if pairs.isEmpty():
+        return pairs
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = durable(_text_of(docs, ids.join(reps.select("doc_id", "rep_id", "rep_hash"), "doc_id")))
     side = lambda n: texts.select(F.col("doc_id").alias(n), F.col("text").alias(f"text_{n}"))
@@ -264,6 +272,8 @@ def _confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _merged(of: DataFrame, links: DataFrame) -> DataFrame:
     """Components (node, component) after more links: the graph of the new links has components for nodes."""
+    if links.isEmpty():
+        return of
     own = lambda n: of.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}"))
     between = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
     joined = durable(components(between))

@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from opsloom.llm import near_dedup
+from opsloom.llm import components, near_dedup
 
 
 def test_pair_with_far_signatures_is_linked(monkeypatch):
@@ -112,3 +112,20 @@ def test_components_of_stars_and_chains(spark, monkeypatch):
     links = [(0, i) for i in range(5, 40)] + [(99, i) for i in range(60, 90)] + [(i, i + 1) for i in range(200, 230)] + [(7, 61), (300, 300)]
     got = {r.node: r.component for r in c.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {0: 0, 99: 0} | dict.fromkeys(range(5, 40), 0) | dict.fromkeys(range(60, 90), 0) | dict.fromkeys(range(200, 231), 200)
+
+
+def test_sets_of_few_rows_are_held_at_a_time():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200)), pa.array(["a b c d e f"] * 600 + [None] + ["x" * near_dedup.PAIR_BYTES] * 2 + ["y"] * 597)], names=["n", "text"])
+    slices = list(near_dedup.parts([batch], 1))
+    assert pa.Table.from_batches(slices).equals(pa.Table.from_batches([batch]))
+    assert max(x.num_rows for x in slices) <= near_dedup.PAIRS and len(slices) >= 5
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    rounds, whole = [], components._with_smallest
+    monkeypatch.setattr(components, "_with_smallest", lambda pairs, rows: rounds.append(rows) or whole(pairs, rows))
+    star = spark.createDataFrame([(1, k) for k in range(2, 300)] + [(5, 5)], "a long, b long")
+    assert {tuple(r) for r in components.components(star).collect()} == {(k, 1) for k in range(1, 300)} and not rounds
+    path = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(90, 50), (90, 60), (60, 50)], "a long, b long")
+    want = {(k, 1) for k in range(1, 41)} | {(k, 50) for k in (50, 60, 90)}
+    assert {tuple(r) for r in components.components(path).collect()} == want and rounds
