@@ -46,13 +46,16 @@ DAY_MS = 86_400_000.0
 def lowered(attributes: Column) -> Column:
     """Attributes as (key, value) entries with lower-case keys, in their order; of keys that differ in case only, the last."""
     entries = F.transform(F.map_entries(attributes), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    keys = entries["key"]
     later = lambda e, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])
-    return F.coalesce(F.filter(entries, lambda e, i: ~later(e, i)), F.array().cast("array<struct<key:string,value:string>>"))
+    once = F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(F.filter(entries, lambda e, i: ~later(e, i)))
+    return F.coalesce(once, F.array().cast("array<struct<key:string,value:string>>"))
 
 
-def _whichever(low: Column, names: tuple) -> Column:
-    """The first attribute, in the line's own order, that has one of these names and a value."""
-    return F.get(F.filter(low, lambda e: e["key"].isin(*names) & text.present(e["value"])), F.lit(0))["value"]
+def _whichever(entries: Column, low: Column, names: tuple) -> Column:
+    """The first attribute, in the line's own order, that has one of these names and a value. Most lines have none, which the map tells in compiled code."""
+    first = F.get(F.filter(entries, lambda e: e["key"].isin(*names) & text.present(e["value"])), F.lit(0))["value"]
+    return F.when(_first(low, names).isNotNull(), first)
 
 
 def _value(low: Column, name: str) -> Column:
@@ -74,9 +77,12 @@ def _part(column: Column, pattern: str, group: int) -> Column:
 
 def _duration(low: Column) -> Column:
     """The first attribute of a duration that can be read, in milliseconds."""
-    named = F.array(*[F.struct(_value(low, k).alias("value"), F.lit(factor).cast("double").alias("factor")) for k, factor in stamps.DURATIONS])
-    read = F.transform(F.filter(named, lambda e: e["value"].isNotNull()), lambda e: F.coalesce(e["value"].try_cast("double") * e["factor"], stamps.milliseconds(e["value"])))
-    return F.get(F.filter(read, lambda x: x.isNotNull()), F.lit(0))
+    read = lambda e: F.coalesce(e["value"].try_cast("double") * e["factor"], stamps.milliseconds(e["value"]))
+    named = [F.struct(_value(low, k).alias("value"), F.lit(factor).cast("double").alias("factor")) for k, factor in stamps.DURATIONS]
+    every = F.transform(F.filter(F.array(*named), lambda e: e["value"].isNotNull()), read)
+    # The first that is there can mostly be read; a list of all is only made where it can't.
+    first = F.coalesce(*[F.when(e["value"].isNotNull(), e) for e in named])
+    return F.when(first.isNotNull(), F.coalesce(read(first), F.get(F.filter(every, lambda x: x.isNotNull()), F.lit(0))))
 
 
 def _sign_ons(rows: DataFrame, key: bytes) -> DataFrame:
@@ -111,8 +117,8 @@ def spans_of_lines(obs: DataFrame, key: bytes = b"") -> DataFrame:
 
     request = _value(low, "request")
     s = with_once(
-        base.where(~F.col("_sign_on")), _parent=F.coalesce(_value(low, "traceparent"), _part(line, PARENT_IN_LINE, 0)), _trace=_whichever(own_order, TRACE_KEYS), _request=_whichever(own_order, REQUEST_KEYS), _span=_whichever(own_order, SPAN_KEYS),
-        _up=_whichever(own_order, PARENT_KEYS), _user=_whichever(own_order, USER_KEYS), _sess=_whichever(own_order, SESSION_KEYS), _method=F.coalesce(_first(low, METHOD_KEYS), _part(request, REQUEST_LINE, 1), _part(line, REQUEST_LINE, 1)),
+        base.where(~F.col("_sign_on")), _parent=F.coalesce(_value(low, "traceparent"), _part(line, PARENT_IN_LINE, 0)), _trace=_whichever(own_order, low, TRACE_KEYS), _request=_whichever(own_order, low, REQUEST_KEYS), _span=_whichever(own_order, low, SPAN_KEYS),
+        _up=_whichever(own_order, low, PARENT_KEYS), _user=_whichever(own_order, low, USER_KEYS), _sess=_whichever(own_order, low, SESSION_KEYS), _method=F.coalesce(_first(low, METHOD_KEYS), _part(request, REQUEST_LINE, 1), _part(line, REQUEST_LINE, 1)),
         _target=F.coalesce(_first(low, OPERATION_KEYS), _part(request, REQUEST_LINE, 2), _part(line, REQUEST_LINE, 2)), _named_ms=_duration(low),
     )
     in_line = F.when(F.col("_trace").isNull() & F.col("_request").isNull(), _part(line, ID_IN_LINE, 2))

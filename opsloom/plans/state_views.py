@@ -19,7 +19,7 @@ _SPAN_COLUMNS = "seq, trace_id, span_id, parent_id, start_us, duration_ms, has_d
 
 def lines_of(spark, sf_dir):
     """The event table as lines with the attributes that a source of each kind writes."""
-    obs = from_events(spark, sf_dir)
+    obs = from_events(spark, sf_dir, deal=True)
     kind, n, user = F.substring("service", 5, 20), F.round("value").cast("bigint").cast("string"), F.lpad(F.col("user_id").cast("string"), 8, "0")
     seq = F.col("seq").cast("string")
     pairs = lambda *kv: F.create_map(*[F.lit(x) if i % 2 == 0 else x for i, x in enumerate(kv)])

@@ -23,13 +23,24 @@ def micros(ts: str | Column) -> Column:
 
 
 def with_once(rows: DataFrame, **columns: Column) -> DataFrame:
-    """Columns worked out once: by a generator of one row, into which the optimizer copies no expressions and through which it moves none."""
-    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    """Columns worked out once: by a generator of one row, into which the optimizer copies no expressions and through which it moves none.
+
+    The generator is given a column that is there already, since what stands in a generator beside a function of lists isn't compiled; as an
+    outer one it is given no filter on its size, which would work the column out again.
+    """
+    made = rows.select("*", F.array(F.struct(*[c.alias(n) for n, c in columns.items()])).alias("_once"))
+    return made.select(*[F.col(f"`{c}`") for c in rows.columns], F.inline_outer("_once"))
+
+
+def dealt(rows: DataFrame, by: str) -> DataFrame:
+    """Rows dealt out over all tasks by a column with many values, before steps that cost far more than the rows' bytes: a small file of few row groups is read by few tasks, whatever its rows cost later."""
+    return rows.repartition(by)
 
 
-def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table as observations."""
+def from_events(spark: SparkSession, sf_dir: str, deal: bool = False) -> DataFrame:
+    """The event table as observations, dealt out over all tasks for steps that cost much for each line."""
     e = table(spark, sf_dir, "events")
+    e = dealt(e, "event_id") if deal else e
     kind = F.col("event_type")
     severity = F.when(kind == "error", F.when(F.col("value") >= 200, "CRITICAL").otherwise("ERROR")).when(kind == "signup", "WARN").when(kind == "view", "DEBUG").otherwise("INFO")
     return e.select(

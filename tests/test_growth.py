@@ -3,7 +3,9 @@
 import random
 
 from opsloom.functions import text
-from opsloom.operators import correlation, graph, incidents, search, storms, traces
+from opsloom.operators import correlation, graph, incidents, search, spans, storms, traces
+from opsloom.plans import state_views
+from opsloom.sources.observations import with_once
 from pyspark.sql import functions as F
 
 MINUTE = 60_000_000
@@ -107,3 +109,26 @@ def test_windows_of_storms_are_not_broadcast(spark):
     found = storms.claimed(at, clusters, spark.createDataFrame([("h", "a")], "host string, home string"))
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in found.collect()] == [(1, "a@0")]
+
+
+def test_columns_worked_out_once_are_compiled_and_not_worked_out_again(spark):
+    """A generator is given a column; a filter on its size would hold the whole expression a second time."""
+    df = with_once(spark.range(3).selectExpr("id", "array(id, id + 1) AS a"), b=F.transform("a", lambda x: x * 2), c=F.col("id") + 7)
+    body = plan(df).split("== Physical Plan ==")[1]
+    assert "_once" in body.split("Generate ")[1].split("[")[0] and "Filter" not in body
+    assert sorted(map(tuple, df.collect())) == [(i, [i, i + 1], [2 * i, 2 * i + 2], i + 7) for i in range(3)]
+
+
+def test_spans_keep_the_order_of_attributes_and_durations(spark):
+    rows = [["Took", "oops", "duration", "7ms", "rt_ms", "-", "TRACE", "b", "traceid", "a"], ["elapsed", "nothing", "x", "1"], ["rt_ms", "5", "Rt_Ms", "6", "trace", "-", "dd.trace_id", "c"], ["rt_ms", "none", "took", "2s"]]
+    attributes = F.coalesce(*[F.when(F.col("seq") == i, F.create_map(*map(F.lit, a))) for i, a in enumerate(rows, 1)])
+    df = spark.createDataFrame([(i, 0, "x", "INFO", "s", "h", "prod") for i in range(1, 5)], "seq long, us long, message string, severity string, service string, host string, environment string").withColumn("attributes", attributes)
+    got = {r.seq: (r.trace_id, r.duration_ms, r.has_duration) for r in spans.spans_of_lines(df).collect()}
+    assert got == {1: ("b", 7.0, True), 3: ("c", 6.0, True), 4: (None, 2000.0, True)}
+
+
+def test_span_rollups_deal_lines_out_and_are_worked_out_once(spark, tmp_path):
+    """Few row groups are few tasks, and two sources of the same rollup read its lines once."""
+    e = spark.range(40).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "id % 7 AS user_id", "element_at(array('view', 'click', 'error', 'signup', 'purchase'), cast(id % 5 + 1 AS int)) AS event_type", "cast(id AS double) AS value", "'{\"k\": 1}' AS props")
+    e.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert "hashpartitioning(event_id" in plan(state_views.line_span_rollup(spark, str(tmp_path))).split("== Physical Plan ==")[1]
