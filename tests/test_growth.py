@@ -132,3 +132,5 @@ def test_span_rollups_deal_lines_out_and_are_worked_out_once(spark, tmp_path):
     e = spark.range(40).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "id % 7 AS user_id", "element_at(array('view', 'click', 'error', 'signup', 'purchase'), cast(id % 5 + 1 AS int)) AS event_type", "cast(id AS double) AS value", "'{\"k\": 1}' AS props")
     e.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     assert "hashpartitioning(event_id" in plan(state_views.line_span_rollup(spark, str(tmp_path))).split("== Physical Plan ==")[1]
+    merged = state_views.merged_rollups(spark, str(tmp_path))
+    assert "event_id" not in plan(merged) and sum(r.calls for r in merged.collect()) == 2 * 32
