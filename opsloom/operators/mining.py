@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.observations import with_once
 from .folds import fold, fold_stream
+from .graph import written
 
 WILD = "<*>"
 #: Share of places that must agree; children of a node, after which new keys share one.
@@ -78,7 +80,8 @@ _ROW = "tokens array<string>, lines long, first_us long, last_us long, sample st
 def shapes(lines: DataFrame) -> DataFrame:
     """One row for each shape: tokens, lines, first (us, seq), first_us, last_us and the first line as sample. `lines` has message, us and seq."""
     at = F.struct("us", "seq")
-    s = lines.select(shape(F.col("message")).alias("tokens"), "message", "us", "seq").groupBy("tokens")
+    s = with_once(lines.select("message", "us", "seq"), tokens=text.drain_tokens(F.coalesce("message", F.lit(""))))
+    s = s.withColumn("tokens", F.when(F.size("tokens") == 0, F.array(F.lit(WILD))).otherwise(F.col("tokens"))).groupBy("tokens")
     return s.agg(F.count("*").alias("lines"), F.min(at).alias("first"), F.max("us").alias("last_us"), F.min_by("message", at).alias("sample")).withColumn("first_us", F.col("first.us"))
 
 
@@ -101,13 +104,15 @@ def mine(lines: DataFrame, leaf_shapes: int = LEAF_SHAPES) -> DataFrame:
     `lines` has message, us and seq, which order the lines; a null message is an
     empty one. Clusters grow in the order in which shapes come first. A leaf with
     over `leaf_shapes` shapes is mined in parts, and their clusters once more.
+    Lines are read once: their shapes are written, which lengths, heads and leaves
+    are then told from, and so are the first clusters.
     """
-    placed = _leaves(shapes(lines))
+    placed = _leaves(written(shapes(lines)))
     big = placed.groupBy("node", "leaf").agg(F.ceil(F.count("*") / leaf_shapes).cast("int").alias("parts"))
     # As few rows as there are leaves, a hundred and one times a hundred and one at most.
     placed = placed.join(F.broadcast(big), ["node", "leaf"]).withColumn("part", F.pmod(F.xxhash64("tokens"), F.col("parts")).cast("int"))
     ddl = f"node string, leaf string, parts int, part int, cluster int, {_ROW}"
-    first = fold(placed.select("node", "leaf", "parts", "part", "first", "tokens", "lines", "first_us", "last_us", "sample"), ["node", "leaf", "parts", "part"], ["first"], _start, _absorb, ddl, _clusters)
+    first = written(fold(placed.select("node", "leaf", "parts", "part", "first", "tokens", "lines", "first_us", "last_us", "sample"), ["node", "leaf", "parts", "part"], ["first"], _start, _absorb, ddl, _clusters))
     whole = first.where("parts = 1").select("node", "leaf", "cluster", *["tokens", "lines", "first_us", "last_us", "sample"])
     again = fold(first.where("parts > 1"), ["node", "leaf"], ["first_us", "sample"], _start, _absorb, f"node string, leaf string, cluster int, {_ROW}", _clusters)
     out = whole.unionByName(again.select(*whole.columns))

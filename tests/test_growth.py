@@ -3,7 +3,7 @@
 import random
 
 from opsloom.functions import text
-from opsloom.operators import correlation, graph, incidents, search, spans, storms, traces
+from opsloom.operators import correlation, graph, incidents, mining, search, spans, storms, traces
 from opsloom.plans import state_views
 from opsloom.sources.observations import with_once
 from pyspark.sql import functions as F
@@ -134,3 +134,13 @@ def test_span_rollups_deal_lines_out_and_are_worked_out_once(spark, tmp_path):
     assert "hashpartitioning(event_id" in plan(state_views.line_span_rollup(spark, str(tmp_path))).split("== Physical Plan ==")[1]
     merged = state_views.merged_rollups(spark, str(tmp_path))
     assert "event_id" not in plan(merged) and sum(r.calls for r in merged.collect()) == 2 * 32
+
+
+def test_lines_are_mined_in_one_pass(spark):
+    """Neither lines nor shapes are masked or folded again for lengths, heads, parts, totals and the largest clusters."""
+    df = spark.createDataFrame([(f"{w} on disk {i} of node{i % 3}", i, i) for i in range(50) for w in ("read", "write", "")] + [(None, 60, 1)], "message string, us long, seq long")
+    clusters = mining.mine(df)
+    body = plan(mining.stats(clusters)).split("== Physical Plan ==")[1]
+    assert "regexp_replace" not in body and "min_by" not in body
+    assert body.count("MapInArrow") <= 2
+    assert sorted((r.template, r.lines) for r in clusters.collect()) == [("<*>", 1), ("on disk <*> of <*>", 50), ("read on disk <*> of <*>", 50), ("write on disk <*> of <*>", 50)]
