@@ -3,7 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +61,25 @@ def test_blended_ranking_equals_scoring_all_pairs(spark):
     assert [r.score for r in got] == pytest.approx([s for _, _, s, _ in want], abs=2e-4)
 
 
+def test_a_task_holds_a_block_of_scores_however_large_its_batches(monkeypatch):
+    rnd = random.Random(2)
+    words = [f"word{i}" for i in range(300)]
+    asked = [{"query_id": i, "query": " ".join(q), "t": q} for i, q in enumerate(rnd.sample(words, 3) for _ in range(200))]
+    texts = [rnd.sample(words, 4) for _ in range(4000)]
+    vs = np.array([vectors.vector(" ".join(t)) for t in texts], np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000), pa.int64()), pa.array([""] * 4000), pa.array(texts), pa.array([i % 3 for i in range(4000)]), pa.ListArray.from_arrays(pa.array(np.arange(4001) * 256, pa.int32()), pa.array(vs.reshape(-1)))], names=["lesson_id", "title", "t", "occurrences", "vector"])
+    arrow = [pa.int64(), pa.int64(), pa.float64()]
+    tracemalloc.start()
+    found = list(vectors.finder(asked, arrow, 6)(iter([batch, batch.slice(0, 0)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Six tables of 4000 by 200 scores would be 38 MB.
+    assert peak < 20_000_000 and len(found) == 1 and found[0].num_rows == 1200
+    monkeypatch.setattr(vectors, "BLOCK_SCORES", 200 * 4000)
+    assert found[0].equals(next(vectors.finder(asked, arrow, 6)(iter([batch]))))
+    assert list(vectors.finder([], arrow, 6)(iter([batch]))) == []
+
+
 def test_tickets_count_time_without_related_items(spark):
     m = MINUTE
     signals = spark.createDataFrame([("f1", "lock wait exceeded on table", "billing", "db-1", 100 * m), ("f2", "cache miss", "shop", "web-1", 300 * m)], "fingerprint string, template string, service string, host string, onset_us long")
