@@ -24,6 +24,8 @@ MASKS = (
     (r"\b\d+(?:\.\d+)?\s?(?:ms|s|sec|m|h|%|kb|mb|gb)\b", "<n>"),
     (r"\b\d+\b", "<n>"),
 )
+# What the first six masks, and white space that is more than a space, cannot do without: a text that has none of these is masked by the last two alone.
+LONG_MASKS = r"[/\t\n\x0B\f\r]|  |(?i:https?:)|(?i:[0-9a-f]{8}(?:-|[0-9a-f]{8}))|\d\.\d{1,3}\.\d|\d{4}-\d{2}-\d{2}[T ]"
 # Words for each severity.
 DEBUG_WORDS = ("trace", "debug", "path", "config", "fine", "finer", "finest", "d", "dbg", "vrb", "verbose")
 INFO_WORDS = ("info", "informational", "notice", "ok", "low", "p4", "resolved", "plain", "i", "inf", "information", "audit_success", "unknown", "success")
@@ -111,7 +113,10 @@ def template(message: Column) -> Column:
     hits = F.regexp_extract_all(text, F.lit(pattern), 0)
     apart = F.zip_with(F.split(text, pattern, -1), F.transform(hits, mask), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     pieces = F.when(F.contains(text, F.lit(mark)), apart).otherwise(marked)
-    return F.substring(F.lower(F.regexp_replace(F.array_join(pieces, ""), r"\s+", " ")), 1, 200)
+    # Numbers and quantities alone need no list of pieces, whose functions aren't compiled. A quantity keeps its unit, but not a per cent sign.
+    numbers = F.regexp_replace(text, r"(?i)(?=\d)\b(?:\d+(?:\.\d+)?\s?(?:(ms|s|sec|m|h|kb|mb|gb)|%)\b|\d+\b)", "<n>$1")
+    masked = F.when(text.rlike(LONG_MASKS), F.regexp_replace(F.array_join(pieces, ""), r"\s+", " ")).otherwise(numbers)
+    return F.substring(F.lower(masked), 1, 200)
 
 
 def fingerprint(templ: Column, severity: Column, service: Column) -> Column:

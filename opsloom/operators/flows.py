@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.observations import with_once
 from .rollups import severe
 
 #: Step of an error that carries the key and matches no step.
@@ -46,7 +47,7 @@ def flow_items(events: DataFrame, steps: int, now_us: int, limits: DataFrame) ->
 
 def suggested_steps(obs: DataFrame, key: str) -> DataFrame:
     """Templates that carry a key, by the median of their relative place on the keys' paths; those of two keys or more."""
-    rows = obs.select(F.regexp_extract("message", f"(?i){key}", 1).alias("key"), text.template(F.col("message")).alias("template"), "us").where("key <> ''")
+    rows = with_once(obs.select("message", "us"), key=F.regexp_extract("message", f"(?i){key}", 1)).where("key <> ''").select("key", text.template(F.col("message")).alias("template"), "us")
     first = rows.groupBy("key", "template").agg(F.min("us").alias("us"))
     path = Window.partitionBy("key")
     placed = first.withColumn("place", F.row_number().over(path.orderBy("us", "template")) - 1).withColumn("n", F.count("*").over(path))

@@ -3,7 +3,7 @@
 import random
 
 from opsloom.functions import text
-from opsloom.operators import correlation, graph, incidents, mining, search, spans, storms, traces
+from opsloom.operators import correlation, flows, graph, incidents, mining, search, spans, storms, traces
 from opsloom.plans import state_views
 from opsloom.sources.observations import with_once
 from pyspark.sql import functions as F
@@ -144,3 +144,20 @@ def test_lines_are_mined_in_one_pass(spark):
     assert "regexp_replace" not in body and "min_by" not in body
     assert body.count("MapInArrow") <= 2
     assert sorted((r.template, r.lines) for r in clusters.collect()) == [("<*>", 1), ("on disk <*> of <*>", 50), ("read on disk <*> of <*>", 50), ("write on disk <*> of <*>", 50)]
+
+
+def test_keys_are_looked_for_once_and_numbers_masked_without_lists(spark):
+    lines = ["order 7 created", "order 8 created", "ORDER 7 took 1.5 ms at 9%a", "order 8 took 20 MS at 9%a", "order 7  by 10.0.0.1", "order 8 by 10.0.0.2:80", "order 7 at 2024-01-01 10:00:00", "none", None]
+    df = flows.suggested_steps(spark.createDataFrame([(m, i) for i, m in enumerate(lines)], "message string, us long"), r"order (\d+)")
+    body = plan(df).split("== Physical Plan ==")[1]
+    assert body.count("regexp_extract(message") == 1 and "RLIKE" in body
+    assert {(r.template, r.keys, r.position) for r in df.collect()} == {("order <n> created", 2, 0.0), ("order <n> took <n>ms at <n>a", 2, 0.417), ("order <n> by <ip>", 2, 0.833)}
+
+
+def test_templates_of_numbers_equal_those_by_pieces(spark, monkeypatch):
+    rng = random.Random(8)
+    bits = ["12", "1.5", "7 ms", "7MS", "3 s", "3 sec", "9%", "9%a", "4 kb", "1.2.3", "10.0.0.1", "2024-01-01", "deadbeef", "deadbeef-", "0123456789abcdef", "123456789012345", "/a/b", "https:", "order", "é9", "_1", "\0", "\n", "  ", " ", "-", ".", "$1", "\\"]
+    df = spark.createDataFrame([("".join(rng.choice(bits) + rng.choice(("", " ", "-")) for _ in range(rng.randrange(1, 7))),) for _ in range(2000)], "m string")
+    short = df.select(text.template(F.col("m")).alias("t"))
+    monkeypatch.setattr(text, "LONG_MASKS", "^")
+    assert [r.t for r in short.collect()] == [r.t for r in df.select(text.template(F.col("m")).alias("t")).collect()]
