@@ -32,7 +32,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, ALPHA = 2, 1.0
 BLOCK_BYTES = 1 << 19
 #: Bytes of distinct segments whose lattices a task keeps for its next blocks.
-STORE_BYTES = 3 << 19
+STORE_BYTES = 1 << 21
 _FILTER = 22
 
 
@@ -46,7 +46,7 @@ class Vocabulary(NamedTuple):
     byte_id: np.ndarray  # piece of each byte
     hashes: np.ndarray  # sorted hashes of ordinary pieces, and their ids
     ids: np.ndarray
-    known: np.ndarray  # of each slot: the first of its hashes; bit filter of pieces' beginnings
+    known: np.ndarray  # of each slot: the first of its hashes; bit filter of beginnings behind which pieces go on
     begins: np.ndarray
     longest: int
 
@@ -88,8 +88,8 @@ def load_vocabulary(path: str = MODEL) -> Vocabulary:
     known, begins = np.full(1 << _FILTER, -1, np.int32), np.zeros(1 << _FILTER, bool)
     slot, one = np.unique((h[order] >> U(64 - _FILTER)).astype(np.int64), return_index=True)
     known[slot] = one
-    for n_bytes in range(1, int(length.max()) + 1):
-        a = start[own[length[own] >= n_bytes]]
+    for n_bytes in range(1, int(length[own].max())):
+        a = start[own[length[own] > n_bytes]]
         begins[(span(a, np.full(len(a), n_bytes)) >> U(64 - _FILTER)).astype(np.int64)] = True
     return Vocabulary(flat, start, length, weight, byte_id, h[order], own[order], known, begins, int(length[own].max()))
 
@@ -122,14 +122,14 @@ def build_lattice(data: np.ndarray, begin: np.ndarray, end: np.ndarray, voc: Voc
     width[data >= 0xC0], width[data >= 0xE0], width[data >= 0xF0] = 2, 3, 4
     single = np.zeros(n, bool)
     for size in range(1, voc.longest + 1):
-        alive = alive[alive + size <= stop[alive]]
+        alive = alive.take(np.flatnonzero(alive + size <= stop.take(alive)))
         if not len(alive):
             break
-        h = mix((sums[alive + size] - sums[alive]) * down[alive] + U(size))
-        slot = (h >> U(64 - _FILTER)).astype(np.int64)
-        k = voc.known[slot]
-        maybe = k >= 0
-        hit, place, k = h[maybe], alive[maybe], k[maybe]
+        h = mix((sums.take(alive + size) - sums.take(alive)) * down.take(alive) + U(size))
+        slot = (h >> U(64 - _FILTER)).view(np.int64)
+        k = voc.known.take(slot)
+        maybe = np.flatnonzero(k >= 0)
+        hit, place, k = h.take(maybe), alive.take(maybe), k.take(maybe).astype(np.int64)
         # Few slots have more than one hash.
         go = np.flatnonzero(voc.hashes[k] < hit)
         while len(go):
@@ -141,7 +141,7 @@ def build_lattice(data: np.ndarray, begin: np.ndarray, end: np.ndarray, voc: Voc
         place = place[good]
         sets.append((place, voc.ids[k[good]]))
         single[place[width[place] == size]] = True
-        alive = alive[voc.begins[slot]]
+        alive = alive.take(np.flatnonzero(voc.begins.take(slot)))
     # Characters that are no piece fall into bytes.
     lost = head[~single[head]]
     lost = spread(lost, np.minimum(width[lost], stop[lost] - lost))
@@ -187,8 +187,8 @@ class Lattices:
     """Lattices of the distinct segments that a task has met, one after the other.
 
     A segment is worked out once and then found again by its hash and bytes. What
-    is kept is bounded: beyond `most` bytes of segments all are let go before the
-    next block, whose own segments are then the only ones.
+    is kept is bounded: beyond `most` bytes of segments those that came only once
+    are let go before the next block, and all of them if that leaves over half.
     """
 
     def __init__(self, voc: Vocabulary, alpha: float, most: int = STORE_BYTES):
@@ -196,7 +196,7 @@ class Lattices:
         self._clear()
 
     def _clear(self) -> None:
-        self.hashes, self.at = np.zeros(0, U), np.zeros(0, np.int64)  # of known segments, by hash
+        self.hashes, self.at, self.uses = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)  # of known segments, by hash
         self.size, self.edges = 0, 0
         self.data, self.first = np.zeros(0, np.uint8), np.zeros(1, np.int32)
         self.stop = np.zeros(0, np.int64)  # of the segment that begins at a position
@@ -205,24 +205,43 @@ class Lattices:
         self.upto = np.zeros(0, U)  # chance of choosing an edge or one before it
         self.chance, self.log = np.zeros(0), np.zeros(0, np.int64)
 
+    def _keep_used(self) -> None:
+        """Let go of the segments that came once since the last time."""
+        kept = self.uses > 1
+        at = self.at[kept]
+        length = self.stop[at] - at
+        if not len(at) or length.sum() > self.most // 2:
+            return self._clear()
+        places, count = spread(at, length), self.first[at + length] - self.first[at]
+        edges, begin = spread(self.first[at], count), np.cumsum(length) - length
+        moved = np.repeat(begin - at, count)
+        self.hashes, self.at, self.uses = self.hashes[kept], begin, np.ones(len(at), np.int64)
+        self.first = np.concatenate([np.zeros(1, np.int32), np.cumsum(self.first[places + 1] - self.first[places], dtype=np.int32)])
+        self.data, self.stop = self.data[places], np.zeros(len(places), np.int64)
+        self.stop[begin] = begin + length
+        self.to, self.origin = ((x[edges] + moved).astype(np.int32) for x in (self.to, self.origin))
+        self.piece, self.upto, self.chance, self.log = (x[edges] for x in (self.piece, self.upto, self.chance, self.log))
+        self.size, self.edges = len(places), len(edges)
+
     def place(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Where each segment data[start:stop] begins here; together they are all of `data`."""
         if self.size > self.most:
-            self._clear()
+            self._keep_used()
         sums, down = _sums(data)
         length = stop - start
-        h, one, kind = np.unique(mix((sums[stop] - sums[start]) * down[start] + length.astype(U)), return_index=True, return_inverse=True)
+        h, one, kind, times = np.unique(mix((sums[stop] - sums[start]) * down[start] + length.astype(U)), return_index=True, return_inverse=True, return_counts=True)
         slot = np.searchsorted(self.hashes, h)
         found = np.zeros(len(h), bool)
         inside = slot < len(self.hashes)
         found[inside] = self.hashes[slot[inside]] == h[inside]
         at = np.zeros(len(h), np.int64)
         at[found] = self.at[slot[found]]
+        self.uses[slot[found]] += times[found]
         new = ~found
         at[new] = self._add(data, start[one[new]], length[one[new]])
-        hashes, places = np.concatenate([self.hashes, h[new]]), np.concatenate([self.at, at[new]])
+        hashes, places, uses = np.concatenate([self.hashes, h[new]]), np.concatenate([self.at, at[new]]), np.concatenate([self.uses, times[new]])
         order = np.argsort(hashes, kind="stable")
-        self.hashes, self.at = hashes[order], places[order]
+        self.hashes, self.at, self.uses = hashes[order], places[order], uses[order]
         at = at[kind]
         # Equal hashes are not taken for equal bytes.
         other = self.data[np.minimum(spread(at, length), self.size - 1)] != data
@@ -244,7 +263,7 @@ class Lattices:
         upto[first[1:][np.diff(first) > 0] - 1] = U(1 << (CHANCE + 1))
         stops = np.zeros(n, np.int64)
         stops[end - length] = end
-        for name, used, value in (("data", self.size, own), ("stop", self.size, stops + self.size), ("piece", self.edges, piece), ("to", self.edges, (to + self.size).astype(np.int32)), ("origin", self.edges, (np.repeat(np.arange(n), np.diff(first)) + self.size).astype(np.int32)), ("upto", self.edges, upto), ("chance", self.edges, chance), ("log", self.edges, np.rint(log * 2.0**LOG).astype(np.int64))):
+        for name, used, value in (("data", self.size, own), ("stop", self.size, stops + self.size), ("piece", self.edges, piece), ("to", self.edges, (to + self.size).astype(np.int32)), ("origin", self.edges, (np.repeat(np.arange(n), np.diff(first)) + self.size).astype(np.int32)), ("upto", self.edges, upto), ("chance", self.edges, chance), ("log", self.edges, np.rint(np.minimum(log, 0) * 2.0**LOG).astype(np.int64))):
             grown = _room(getattr(self, name), used, len(value))
             grown[used : used + len(value)] = value
             setattr(self, name, grown)
@@ -267,7 +286,8 @@ def hashed(*parts) -> np.ndarray:
 
 
 def _unit(h: np.ndarray) -> np.ndarray:
-    return ((h >> U(11)).astype(float) + 0.5) / float(1 << 53)
+    # The largest one would be rounded to 1.
+    return np.minimum((h >> U(11)).astype(float) + 0.5, (1 << 53) - 1.0) / float(1 << 53)
 
 
 def uniform(*parts) -> np.ndarray:
@@ -286,16 +306,21 @@ def draw(lattice: Lattices, start: np.ndarray, stop: np.ndarray, key: np.ndarray
     pos, live = start.copy(), np.flatnonzero(start < stop)
     steps = []
     while len(live):
-        here = pos[live]
-        u = mix(seed[live] + here.astype(U)) >> U(64 - CHANCE)
-        edge = lattice.first[here]
-        go = np.flatnonzero(lattice.upto[edge] <= u)
+        here = pos.take(live)
+        u = mix(seed.take(live) + here.view(U)) >> U(64 - CHANCE)
+        edge = lattice.first.take(here).astype(np.int64)
+        go = np.flatnonzero(lattice.upto.take(edge) <= u)
+        at, least = edge.take(go), u.take(go)
         while len(go):
-            edge[go] += 1
-            go = go[lattice.upto[edge[go]] <= u[go]]
+            at += 1
+            on = lattice.upto.take(at) <= least
+            edge[go] = at
+            on = np.flatnonzero(on)
+            go, at, least = go.take(on), at.take(on), least.take(on)
         steps.append((live, edge))
-        pos[live] = lattice.to[edge]
-        live = live[pos[live] < stop[live]]
+        here = lattice.to.take(edge)
+        pos[live] = here
+        live = live.take(np.flatnonzero(here < stop.take(live)))
     count = np.zeros(n, np.int64)
     for own, _ in steps:
         count[own] += 1
@@ -313,6 +338,8 @@ def _cut_off(location: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarr
 
 #: A position of which more than 1 - NEAR is taken has its rest summed up; shares are whole numbers of 2**-SHARE.
 NEAR, SHARE = 1e-6, 40
+#: Parts behind a beginning whose logarithm of the chance is below -REACH are looked at only where they may be among the best; no Gumbel variable at 0 reaches HIGHEST.
+REACH, HIGHEST = 44, 37
 
 
 class Others(NamedTuple):
@@ -364,7 +391,26 @@ class Search:
         self.edges, self.segment = np.concatenate([self.edges, edges]), np.concatenate([self.segment, segment])
         before = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.lattice.log[edges])])  # wraps around, differences don't
         self.log_prob[k, texts] = (before[begin + length] - before[begin]) / 2.0**LOG
+        # Parts get less likely along the path: the first ones nearly always hold the best, and where they may not, all are looked at.
+        far = np.flatnonzero(before[:-1] - np.repeat(before[begin], length) >= -(REACH << LOG))
+        reach = np.searchsorted(far, begin + length) - np.searchsorted(far, begin)
         size = length - since
+        first = np.minimum(np.maximum(reach - since, 1), size)
+        best, where = self.parts(draw_no, texts, edges, before, begin, since, first, bound, slot)
+        more = np.flatnonzero((first < size) & (best[:, -1] < HIGHEST - REACH))
+        if len(more):
+            best[more], where[more] = self.parts(draw_no, texts[more], edges, before, begin[more], since[more], size[more], bound[more], slot[more])
+        for turn in range(best.shape[1]):
+            some = best[:, turn] > -np.inf
+            own, offset, cell = texts[some], where[some, turn], k * (self.samples + 1) + turn
+            self.bound[own, cell], self.path[own, cell], self.at[own, cell] = best[some, turn], k, since[some] + offset
+            self.chain[own, cell] = np.where(offset == 0, slot[some], -1)
+
+    def parts(self, draw_no: int, texts: np.ndarray, edges: np.ndarray, before: np.ndarray, begin: np.ndarray, since: np.ndarray, size: np.ndarray, bound: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the best sets that a path leaves by differing at one of the `size` edges from `since` on, and after how many it does.
+
+        One row for each text, best first; no more of them can be among the samples, or set the limit. -inf stands for no set.
+        """
         head = np.cumsum(size) - size
         at = spread(begin + since, size)
         taken = self.lattice.chance[edges[at]]
@@ -388,19 +434,16 @@ class Search:
         of = np.repeat(np.arange(len(texts)), size)[open_at]
         u = _unit(mix((at[open_at] - begin[of]).astype(U) + (seed * _SPREAD)[of]))
         left[open_at] = _cut_off(location[open_at], bound[of], u)
-        for turn in range(self.samples + 1):  # no more of them can be among the samples, or set the limit
-            best = np.maximum.reduceat(left, head)
-            at_best = np.flatnonzero(left == np.repeat(best, size))
-            where = np.empty(len(texts), np.int64)
-            where[np.repeat(np.arange(len(texts)), size)[at_best[::-1]]] = at_best[::-1]
-            some = best > -np.inf
-            if not some.any():
-                break
-            own, cell = texts[some], k * (self.samples + 1) + turn
-            offset = where[some] - head[some]
-            self.bound[own, cell], self.path[own, cell], self.at[own, cell] = best[some], k, since[some] + offset
-            self.chain[own, cell] = np.where(offset == 0, slot[some], -1)
-            left[where] = -np.inf
+        turns = self.samples - draw_no + 1
+        best, where = np.full((len(texts), turns), -np.inf), np.zeros((len(texts), turns), np.int64)
+        for turn in range(turns):
+            best[:, turn] = np.maximum.reduceat(left, head)
+            at_best = np.flatnonzero(left == np.repeat(best[:, turn], size))
+            place = np.empty(len(texts), np.int64)
+            place[np.repeat(np.arange(len(texts)), size)[at_best[::-1]]] = at_best[::-1]
+            where[:, turn] = place - head
+            left[place] = -np.inf
+        return best, where
 
     def pop(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Texts with open sets, the slot of the best of each, and its bound; the set is open no more."""

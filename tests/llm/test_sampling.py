@@ -119,3 +119,46 @@ def test_nothing_is_summed_where_one_edge_leaves(monkeypatch, voc):
     # Every piece is found by its slot.
     at = np.flatnonzero(voc.known >= 0)
     assert len(voc.hashes) >= len(at) and all(int(voc.hashes[voc.known[slot]] >> np.uint64(64 - 22)) == slot for slot in at[:500].tolist())
+
+
+LONG = "the words of a text that goes on and on without an end, 日本 and more of the same "
+
+
+def test_far_parts_are_not_looked_at_and_would_change_nothing(monkeypatch, voc):
+    block, = text_blocks(pa.array([LONG * 60, LONG, "x", "the " * 900, ""]), 1 << 30)
+    keys, seen, whole = np.arange(5, dtype=np.int64), [], s._cut_off
+
+    def cut_off(location, bound, u):
+        seen.append(len(location))
+        return whole(location, bound, u)
+
+    monkeypatch.setattr(s, "_cut_off", cut_off)
+    got = []
+    for reach in (s.REACH, 1 << 20, s.HIGHEST):  # as it is; everything at once; too few for most texts, which are looked at again
+        seen.clear()
+        monkeypatch.setattr(s, "REACH", reach)
+        got.append((s.sample_block(block, keys, s.Lattices(voc, 1.0), 3), sum(seen)))
+    for other, _ in got[1:]:
+        assert all(np.array_equal(x, y) for x, y in zip(got[0][0], other, strict=True))
+    assert 3 * got[0][1] < got[1][1]
+
+
+def test_segments_that_return_outlive_the_others(monkeypatch, voc):
+    built, whole = [], s.build_lattice
+
+    def build(data, *args):
+        built.append(data.tobytes())
+        return whole(data, *args)
+
+    monkeypatch.setattr(s, "build_lattice", build)
+    texts, words = [], []
+    for k in range(12):
+        words = [f"again{j}" for j in range(9)] + [f"once{k}x{j}" for j in range(40)]
+        texts.append(" ".join(words + words[:9]))
+    small, wide = s.Lattices(voc, 1.0, most=600), s.Lattices(voc, 1.0)
+    for k, text in enumerate(texts):
+        block, = text_blocks(pa.array([text]), 1 << 30)
+        x, y = (s.sample_block(block, np.array([k]), store, 2) for store in (small, wide))
+        assert all(np.array_equal(a, b) for a, b in zip(x, y, strict=True)) and x.exact.all() and small.size < 1200
+    # Once for each of the two stores.
+    assert b"".join(built).count(b" again3") == 2
