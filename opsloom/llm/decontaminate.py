@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import durable, free_names, table
+from .shared import durable, free_names, lean, table
 from .textarrow import ALNUM_LOWER, Words, mix, powers, spread, text_blocks, words
 
 U = np.uint64
@@ -311,7 +311,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     for k in range(pieces):
         rows = (sized if pieces == 1 else sized.where(F.pmod(F.xxhash64("i"), F.lit(pieces)) == k)).collect()
         part = make_slice([r["i"] for r in rows], [r["t"] for r in rows])
-        out = out.mapInArrow(_search(part, k == pieces - 1, text_col, names), out.schema)
+        out = out.mapInArrow(lean(_search(part, k == pieces - 1, text_col, names)), out.schema)
         if k < pieces - 1:
             out = durable(out)
     c = lambda n: F.col(names[n])

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import durable, free_names, table
+from .shared import durable, free_names, lean, table
 from .textarrow import SPACED_LOWER, mix, ngrams, text_blocks, words
 
 U = np.uint64
@@ -220,10 +220,10 @@ def _entries(frequency):
 def _crowd_pairs(members: DataFrame) -> DataFrame:
     """Candidate pairs of different components among (node, component, text, and the bitmap's words), by rare shingles that they share."""
     spark = members.sparkSession
-    counted = members.select("text").mapInArrow(_count_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counted = members.select("text").mapInArrow(lean(_count_cells), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(1 << CELLS_BITS, np.int64)
     frequency[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
-    entries = durable(members.select("node", "component", "text", *_MAP).mapInArrow(_entries(spark.sparkContext.broadcast(frequency)), "shingle long, node long, component long, n long, short boolean, rest long, " + _WORDS))
+    entries = durable(members.select("node", "component", "text", *_MAP).mapInArrow(lean(_entries(spark.sparkContext.broadcast(frequency))), "shingle long, node long, component long, n long, short boolean, rest long, " + _WORDS))
     per = entries.groupBy("shingle", "component").agg(F.count("*").alias("k"), F.max("short").alias("short"))
     lists = durable(per.groupBy("shingle").agg(F.count("*").alias("of"), F.max_by("component", F.struct("k", "component")).alias("main"), F.max("short").alias("short")).where("of > 1 AND short").select("shingle", "main"))
     entries = durable(entries.join(lists, "shingle").select("shingle", "node", "component", "n", "short", "rest", *_MAP, (F.col("component") != F.col("main")).alias("outside")))
@@ -267,7 +267,7 @@ def _confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = durable(_text_of(docs, ids.join(reps.select("doc_id", "rep_id", "rep_hash"), "doc_id")))
     side = lambda n: texts.select(F.col("doc_id").alias(n), F.col("text").alias(f"text_{n}"))
-    return durable(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long").distinct())
+    return durable(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(lean(_confirm), "a long, b long").distinct())
 
 
 def _merged(of: DataFrame, links: DataFrame) -> DataFrame:
@@ -292,13 +292,13 @@ def _components_by_row(docs: DataFrame) -> DataFrame:
     Inside, a node is a class of equal sets, under a number of its own that the checkpoint holds.
     """
     keyed = docs.withColumn("row_hash", _row_key())
-    made = durable(keyed.mapInArrow(_sketch("doc_id", "text", "row_hash"), f"{_SKETCH}, row_hash long"))
+    made = durable(keyed.mapInArrow(lean(_sketch("doc_id", "text", "row_hash")), f"{_SKETCH}, row_hash long"))
     sets = made.where("n_shingles > 0")
     of_class = sets.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("rows"), F.first(F.struct("sig", *_MAP, F.col("doc_id").alias("rep_id"), F.col("row_hash").alias("rep_hash"))).alias("rep"))
     classes = durable(of_class.select("n_shingles", "set_a", "set_b", "class_id", "rows", "rep.*", F.monotonically_increasing_id().alias("node")))
     reps = classes.select(F.col("node").alias("doc_id"), "sig", *_MAP, "n_shingles", "rep_id", "rep_hash")
 
-    keys = reps.select("doc_id", "sig").mapInArrow(_keys, "key long, node long")
+    keys = reps.select("doc_id", "sig").mapInArrow(lean(_keys), "key long, node long")
     sizes = durable(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     met = durable(keys.join(sizes, "key"))
     crowded = met.where(F.col("n") > CROWD)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fold, table
+from .shared import fold, lean, table
 from .textarrow import ALNUM_LOWER, SPACED, Block, text_blocks, words
 
 #: Hashed shape terms; terms of repeats and lengths after them; then hashed words.
@@ -96,7 +96,7 @@ def _terms(batches):
 def learn_neighbours(labelled: DataFrame, text_col: str = "text", label_col: str = "label") -> Neighbours:
     """Fit on all rows of `labelled`, whose number `bounded_sample` keeps down; the driver holds TERMS numbers for each."""
     few = labelled.select(text_col, F.col(label_col).cast("double").alias("label")).where("label IS NOT NULL")
-    got = few.mapInArrow(_terms, "terms binary, label double").toArrow()
+    got = few.mapInArrow(lean(_terms), "terms binary, label double").toArrow()
     if not got.num_rows:
         return Neighbours(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
     terms = np.frombuffer(b"".join(got.column("terms").to_pylist()), np.float32).reshape(-1, TERMS)
@@ -149,7 +149,7 @@ def score_quality(docs: DataFrame, model: Neighbours, text_col: str = "text", sc
     have equal scores. An empty table gives an empty result.
     """
     out = docs.drop(score_col).withColumn(score_col, F.lit(0.0))
-    return out.mapInArrow(_score(model, out.columns.index(text_col)), out.schema)
+    return out.mapInArrow(lean(_score(model, out.columns.index(text_col))), out.schema)
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> Neighbours:

@@ -23,16 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import lean, table
 from .textarrow import Block, mix, powers, spread, text_blocks
 
 U = np.uint64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segmentations of each text, and the exponent that flattens (below 1) or sharpens the pieces' weights.
 SAMPLES, ALPHA = 2, 1.0
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 #: Bytes of distinct segments whose lattices a task keeps for its next blocks.
-STORE_BYTES = 1 << 21
+STORE_BYTES = 1 << 20
 _FILTER = 22
 
 
@@ -624,7 +624,7 @@ def sample_segmentations(docs: DataFrame, model: str = MODEL, samples: int = SAM
     voc = load_vocabulary(model)
     schema = _SCHEMA.format("binary" if packed else "array<int>") + (", exact boolean" if checked else "")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_sample(voc, samples, alpha, packed, checked), schema)
+    return rows.mapInArrow(lean(_sample(voc, samples, alpha, packed, checked)), schema)
 
 
 def decode_segmentations(encoded: DataFrame, model: str = MODEL, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
@@ -645,7 +645,7 @@ def decode_segmentations(encoded: DataFrame, model: str = MODEL, ids_col: str =
                 texts.append(None if ids is None else decode_ids(ids, voc).decode(errors="replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=batch.schema.names)
 
-    return out.mapInArrow(run, out.schema)
+    return out.mapInArrow(lean(run), out.schema)
 
 
 def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
+import time
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +68,31 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def fold(column, folds: int):
     """crc32 of a value written as text, modulo `folds`: splits learning rows from held-out ones."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(folds))
+
+
+def give_back() -> None:
+    """Hand memory that this process has freed back to the system: that of Arrow's pool and of the C library, where it can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run`, a step over a task's Arrow batches, that gives freed memory back at its end and every second.
+
+    Spark keeps a task's Python worker for later tasks; what the worker doesn't give back lies beside their memory, and the executor's.
+    """
+    @functools.wraps(run)
+    def step(batches):
+        last = time.monotonic()
+        try:
+            for batch in run(batches):
+                yield batch
+                if time.monotonic() > last + 1:
+                    give_back()
+                    last = time.monotonic()
+        finally:
+            give_back()
+
+    return step
