@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources.observations import with_once
+from ..sources.observations import dealt, with_once
 from .folds import fold, fold_stream
 from .graph import written
 
@@ -80,7 +80,7 @@ _ROW = "tokens array<string>, lines long, first_us long, last_us long, sample st
 def shapes(lines: DataFrame) -> DataFrame:
     """One row for each shape: tokens, lines, first (us, seq), first_us, last_us and the first line as sample. `lines` has message, us and seq."""
     at = F.struct("us", "seq")
-    s = with_once(lines.select("message", "us", "seq"), tokens=text.drain_tokens(F.coalesce("message", F.lit(""))))
+    s = with_once(dealt(lines.select("message", "us", "seq"), "seq"), tokens=text.drain_tokens(F.coalesce("message", F.lit(""))))
     s = s.withColumn("tokens", F.when(F.size("tokens") == 0, F.array(F.lit(WILD))).otherwise(F.col("tokens"))).groupBy("tokens")
     return s.agg(F.count("*").alias("lines"), F.min(at).alias("first"), F.max("us").alias("last_us"), F.min_by("message", at).alias("sample")).withColumn("first_us", F.col("first.us"))
 

@@ -161,3 +161,9 @@ def test_templates_of_numbers_equal_those_by_pieces(spark, monkeypatch):
     short = df.select(text.template(F.col("m")).alias("t"))
     monkeypatch.setattr(text, "LONG_MASKS", "^")
     assert [r.t for r in short.collect()] == [r.t for r in df.select(text.template(F.col("m")).alias("t")).collect()]
+
+
+def test_lines_of_a_file_with_one_row_group_are_masked_by_all_tasks(spark):
+    lines = spark.range(40).coalesce(1).selectExpr("concat('line ', id, ' done') AS message", "id AS us", "id AS seq")
+    assert "RepartitionByExpression" in mining.shapes(lines)._jdf.queryExecution().optimizedPlan().toString().split("Generate")[-1]
+    assert mining.shapes(lines).select("lines").collect() == [(40,)]
