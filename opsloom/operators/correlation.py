@@ -20,7 +20,7 @@ CAUSE_RANK = {
     "gc_pressure": 2.0, "mem_high": 1.5, "cpu_high": 1.5, "thread_pool": 1.5, "queue_backlog": 1.5, "disk_warn": 1.5, "timeout": 1.0, "http_5xx": 0.5, "latency_high": 0.5, "txn_fail": 0.5, "cert_expiry": 0.0, "backup_warn": 0.0, "ntp_drift": 0.0, "log_rotate": 0.0,
 }
 WEIGHTS = {"burst": 0.35, "severity": 0.25, "blast_radius": 0.25, "duration": 0.15}
-#: Observations of a signal whose entities are looked at; minutes within which signals can belong together.
+#: First observations of a signal whose entities are looked at where a query asks for those only; minutes within which signals can belong together.
 ENTITY_SAMPLE, WINDOW_MIN = 40, 10
 #: Chronic: share of the data's span, burst below, lines at least. Sustained: WARN lines at least, hosts at most.
 CHRONIC_SHARE, CHRONIC_BURST, CHRONIC_LINES, SUSTAINED_LINES, SUSTAINED_HOSTS = 0.7, 0.3, 8, 25, 2
@@ -29,7 +29,9 @@ QUIET_US = 2 * MINUTE
 
 def entities(message: Column) -> Column:
     """Addresses, hosts and services that a message names, lower-cased."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(message, F.lit(ENTITY), F.lit(0)), F.lower))
+    # All of them have a dot or a dash, so texts without are not searched.
+    searched = F.when(~F.contains(message, F.lit(".")) & ~F.contains(message, F.lit("-")), "").otherwise(message)
+    return F.array_distinct(F.transform(F.regexp_extract_all(searched, F.lit(ENTITY), F.lit(0)), F.lower))
 
 
 def dependency(message: Column) -> Column:
@@ -95,11 +97,13 @@ def judged(s: DataFrame) -> DataFrame:
     return s.withColumn("interesting", ~F.col("chronic") & (severe() | (F.col("burst") >= 0.5) | F.col("sustained")))
 
 
-def signal_entities(rows: DataFrame) -> DataFrame:
-    """(fingerprint, entity) of each signal's first observations: its service, hosts, and what messages name."""
-    first = F.row_number().over(Window.partitionBy("fingerprint").orderBy("us", "seq"))
-    some = rows.select("fingerprint", "us", "seq", "service", "host", "message").withColumn("place", first).where(F.col("place") <= ENTITY_SAMPLE)
-    named = F.concat(entities(F.col("message")), F.array(F.lower("service"), F.lower("host")))
+def signal_entities(rows: DataFrame, first: int | None = None) -> DataFrame:
+    """(fingerprint, entity) of all observations of each signal: its service, hosts, and what messages name; with `first`, of so many first ones only."""
+    some = rows
+    if first is not None:
+        place = F.row_number().over(Window.partitionBy("fingerprint").orderBy("us", "seq"))
+        some = rows.select("fingerprint", "us", "seq", "service", "host", "message").withColumn("place", place).where(F.col("place") <= first)
+    named = F.concat(entities(F.coalesce("message", F.lit(""))), F.array(F.lower("service"), F.lower("host")))
     return some.select("fingerprint", F.explode(named).alias("entity")).where("entity IS NOT NULL AND entity <> ''").distinct()
 
 

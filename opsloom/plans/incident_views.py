@@ -25,10 +25,14 @@ so AS (SELECT fingerprint, min(minute) * {MINUTE} AS onset_us FROM pm JOIN mb US
 sg AS (SELECT fingerprint, any_value(template) AS template, any_value(severity) AS severity, any_value(service) AS service, count(*) AS lines, count(DISTINCT host) AS hosts, min(us) AS first_us, max(us) AS last_us, any_value(peak) AS peak, any_value(baseline) AS baseline, any_value(onset_us) AS onset_us,
   round(CASE WHEN any_value(peak) / (any_value(baseline) + 1) > 1 THEN least(1.0, (any_value(peak) / (any_value(baseline) + 1) - 1) / 9) ELSE 0.0 END, 3) AS burst, round(((max(us) - min(us)) / {MINUTE} + 1) / any_value(span), 3) AS share FROM rw JOIN mb USING (fingerprint) JOIN so USING (fingerprint) GROUP BY 1),
 j1 AS (SELECT *, share >= 0.7 AND burst < 0.3 AND lines >= 8 AS chronic FROM sg), j2 AS (SELECT *, NOT chronic AND severity = 'WARN' AND lines >= 25 AND hosts <= 2 AS sustained FROM j1), jd AS (SELECT *, NOT chronic AND (severity IN ('ERROR', 'CRITICAL') OR burst >= 0.5 OR sustained) AS interesting FROM j2)"""
-INCIDENTS = f"""{SIGNALS}, fo AS (SELECT * FROM rw QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY us, seq) <= 40), en AS (SELECT DISTINCT fingerprint, service AS entity FROM fo UNION SELECT fingerprint, host FROM fo), g AS (SELECT * FROM jd WHERE interesting),
+_GROUPED = f"""g AS (SELECT * FROM jd WHERE interesting),
 lk AS (SELECT DISTINCT x.fingerprint AS a, y.fingerprint AS b FROM g x JOIN g y ON x.fingerprint <> y.fingerprint AND greatest(x.first_us, y.first_us) - least(x.last_us, y.last_us) <= {10 * MINUTE} WHERE EXISTS (SELECT 1 FROM en p JOIN en q USING (entity) WHERE p.fingerprint = x.fingerprint AND q.fingerprint = y.fingerprint) OR EXISTS (SELECT 1 FROM dep WHERE (source = x.service AND target = y.service) OR (source = y.service AND target = x.service))),
 rc(a, b) AS (SELECT fingerprint, fingerprint FROM g UNION SELECT rc.a, lk.b FROM rc JOIN lk ON lk.a = rc.b), cm AS (SELECT a AS fingerprint, min(b) AS incident FROM rc GROUP BY 1), sz AS (SELECT incident, count(*) AS members, bool_or(severity IN ('ERROR', 'CRITICAL') OR burst >= 0.5) AS strong FROM g JOIN cm USING (fingerprint) GROUP BY 1 HAVING count(*) > 1 OR bool_or(severity IN ('ERROR', 'CRITICAL') OR burst >= 0.5)),
 mb2 AS (SELECT g.*, incident, members FROM g JOIN cm USING (fingerprint) JOIN sz USING (incident))"""
+_FIRST = "fo AS (SELECT * FROM rw QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY us, seq) <= 40), en AS (SELECT DISTINCT fingerprint, service AS entity FROM fo UNION SELECT fingerprint, host FROM fo)"
+# Entities of all alarms of a signal; those of its first forty.
+WHOLE = f"{SIGNALS}, en AS (SELECT DISTINCT fingerprint, service AS entity FROM rw UNION SELECT fingerprint, host FROM rw), {_GROUPED}"
+INCIDENTS = f"{SIGNALS}, {_FIRST}, {_GROUPED}"
 
 
 def alarms_of(spark, sf_dir) -> DataFrame:
@@ -48,9 +52,9 @@ def dependencies_of(spark) -> DataFrame:
     return spark.range(0, 40, 5).where(i != i * 3 % 40).select(F.concat(F.lit("svc-"), i).alias("source"), F.concat(F.lit("svc-"), i * 3 % 40).alias("target"))
 
 
-def _engine(spark, sf_dir):
+def _engine(spark, sf_dir, first=None):
     rows = correlation.fingerprinted(alarms_of(spark, sf_dir))
-    s, e, d = correlation.signals(rows), correlation.signal_entities(rows), dependencies_of(spark)
+    s, e, d = correlation.signals(rows), correlation.signal_entities(rows, first), dependencies_of(spark)
     return rows, s, e, d
 
 
@@ -62,13 +66,13 @@ def signals(spark, sf_dir):
 
 @query(f"WITH {ALARMS}, fo AS (SELECT * FROM rw QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY us, seq) <= 40) SELECT DISTINCT fingerprint, service AS entity FROM fo UNION SELECT fingerprint, host FROM fo")
 def signal_entities(spark, sf_dir):
-    return _engine(spark, sf_dir)[2]
+    return _engine(spark, sf_dir, correlation.ENTITY_SAMPLE)[2]
 
 
 @query(f"WITH RECURSIVE {INCIDENTS} SELECT fingerprint, incident, members FROM mb2")
 def incident_members(spark, sf_dir):
     """Signals put together to incidents."""
-    _, s, e, d = _engine(spark, sf_dir)
+    _, s, e, d = _engine(spark, sf_dir, correlation.ENTITY_SAMPLE)
     return correlation.incidents(s, e, d).select("fingerprint", "incident", "members")
 
 
@@ -78,7 +82,7 @@ sc AS (SELECT m.incident, m.fingerprint, m.onset_us, coalesce(fan, 0) AS fan, co
 SELECT incident, fingerprint, cause_score, CAST(row_number() OVER (PARTITION BY incident ORDER BY cause_score DESC, onset_us, fingerprint) AS INT) AS place, fan, provider, consumer FROM sc QUALIFY place <= 4""")
 def root_causes(spark, sf_dir):
     """The likeliest cause of each incident and three alternatives."""
-    _, s, e, d = _engine(spark, sf_dir)
+    _, s, e, d = _engine(spark, sf_dir, correlation.ENTITY_SAMPLE)
     return correlation.root_causes(correlation.incidents(s, e, d), e, d).where("place <= 4").select("incident", "fingerprint", "cause_score", "place", F.col("fan").cast("bigint").alias("fan"), F.col("provider").cast("bigint").alias("provider"), F.col("consumer").cast("bigint").alias("consumer"))
 
 
@@ -87,11 +91,11 @@ im AS (SELECT incident, count(*) AS members, CAST(sum(lines) AS BIGINT) AS lines
 sr AS (SELECT *, round(round(0.35 * round(CASE WHEN peak / (baseline + 1.0) > 1 THEN least(1.0, (peak / (baseline + 1.0) - 1) / 9) ELSE 0.0 END, 3), 3) + round(0.25 * (errors / lines), 3) + round(0.25 * least(1.0, (n_services + n_hosts) / dn), 3) + round(0.15 * least(1.0, (end_us - start_us) / 3600000000.0), 3), 3) AS score FROM im JOIN pk USING (incident) JOIN ho USING (incident), fl)
 SELECT incident, members, lines, errors, start_us, end_us, n_services, n_hosts, score, CASE WHEN score >= 0.6 OR critical THEN 'critical' WHEN score >= 0.4 THEN 'high' WHEN score >= 0.2 THEN 'medium' ELSE 'low' END AS severity FROM sr""")
 def incident_scores(spark, sf_dir):
-    rows, s, e, d = _engine(spark, sf_dir)
+    rows, s, e, d = _engine(spark, sf_dir, correlation.ENTITY_SAMPLE)
     return correlation.scored(rows, correlation.incidents(s, e, d))
 
 
-@query(f"""WITH RECURSIVE {INCIDENTS}, ow AS (SELECT rw.*, incident FROM rw JOIN mb2 USING (fingerprint)), t AS (SELECT incident, min(us) AS first_us, coalesce(max(us) FILTER (bad), max(us)) AS last_error_us FROM ow GROUP BY 1), nm AS (SELECT DISTINCT incident, service AS name FROM ow UNION SELECT DISTINCT incident, host FROM ow),
+@query(f"""WITH RECURSIVE {WHOLE}, ow AS (SELECT rw.*, incident FROM rw JOIN mb2 USING (fingerprint)), t AS (SELECT incident, min(us) AS first_us, coalesce(max(us) FILTER (bad), max(us)) AS last_error_us FROM ow GROUP BY 1), nm AS (SELECT DISTINCT incident, service AS name FROM ow UNION SELECT DISTINCT incident, host FROM ow),
 fd AS (SELECT incident, min(us) FILTER (us >= first_us AND us <= last_error_us + {10 * MINUTE} AND message LIKE '%restarted%') AS restart_us, min(us) FILTER (us > last_error_us AND lvl < 2) AS normal_us FROM rw JOIN nm ON name = service OR name = host JOIN t USING (incident) GROUP BY 1)
 SELECT incident, first_us, last_error_us, CASE WHEN (SELECT max(us) FROM rw) - last_error_us < {2 * MINUTE} THEN 'ongoing' WHEN restart_us IS NOT NULL THEN 'restart' WHEN normal_us IS NOT NULL THEN 'self_healed' ELSE 'stopped' END AS kind, coalesce(restart_us, normal_us) AS recovered_us FROM t LEFT JOIN fd USING (incident)""")
 def incident_recoveries(spark, sf_dir):
@@ -101,7 +105,7 @@ def incident_recoveries(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {INCIDENTS} SELECT 'raw' AS step, count(*) AS n FROM rw UNION ALL SELECT 'fingerprints', count(*) FROM jd UNION ALL SELECT 'meaningful', count(*) FROM jd WHERE interesting UNION ALL SELECT 'incidents', count(DISTINCT incident) FROM mb2")
 def noise_funnel(spark, sf_dir):
-    rows, s, e, d = _engine(spark, sf_dir)
+    rows, s, e, d = _engine(spark, sf_dir, correlation.ENTITY_SAMPLE)
     return correlation.noise_funnel(rows, s, correlation.incidents(s, e, d))
 
 
