@@ -103,9 +103,9 @@ def incident_recoveries(spark, sf_dir):
     return correlation.recoveries(rows, correlation.incidents(s, e, d))
 
 
-@query(f"WITH RECURSIVE {INCIDENTS} SELECT 'raw' AS step, count(*) AS n FROM rw UNION ALL SELECT 'fingerprints', count(*) FROM jd UNION ALL SELECT 'meaningful', count(*) FROM jd WHERE interesting UNION ALL SELECT 'incidents', count(DISTINCT incident) FROM mb2")
+@query(f"WITH RECURSIVE {WHOLE} SELECT 'raw' AS step, count(*) AS n FROM rw UNION ALL SELECT 'fingerprints', count(*) FROM jd UNION ALL SELECT 'meaningful', count(*) FROM jd WHERE interesting UNION ALL SELECT 'incidents', count(DISTINCT incident) FROM mb2")
 def noise_funnel(spark, sf_dir):
-    rows, s, e, d = _engine(spark, sf_dir, correlation.ENTITY_SAMPLE)
+    rows, s, e, d = _engine(spark, sf_dir)
     return correlation.noise_funnel(rows, s, correlation.incidents(s, e, d))
 
 

@@ -27,6 +27,10 @@ def test_an_incident_of_late_names_recovers_once(spark, late):
     assert [(r.first_us, r.last_error_us, r.kind, r.recovered_us) for r in rows] == [(0, 2 * MINUTE, "self_healed", 20 * MINUTE)]
 
 
+def test_the_funnel_counts_incidents_of_late_names(spark, late):
+    assert {r.step: r.n for r in queries()["noise_funnel"](spark, "").collect()} == {"raw": 47, "fingerprints": 3, "meaningful": 2, "incidents": 1}
+
+
 def test_lines_without_a_message_keep_service_and_host(spark):
     rows = correlation.fingerprinted(spark.createDataFrame([(1, 0, "Web", "h1", "ERROR", "", None), (2, 1, "web", "", "ERROR", "", None)], SCHEMA))
     assert sorted(r.entity for r in correlation.signal_entities(rows).collect()) == ["h1", "web"]
