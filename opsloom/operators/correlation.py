@@ -136,10 +136,39 @@ def incidents(s: DataFrame, of_signal: DataFrame, dependencies: DataFrame) -> Da
     return named.join(size.select("incident", "members"), "incident")
 
 
+def alike(pairs: DataFrame, within: str, key: str, value: str) -> DataFrame:
+    """(within, key, same): the smallest key of its group that has the very same values; from distinct (within, key, value).
+
+    Equal numbers and hashes of values only propose keys that are alike. They are if
+    their values together are as many as those of each; else each key stays alone.
+    No key's values are put in a list.
+    """
+    by = [within, "_n", "_h"]
+    told = pairs.groupBy(within, key).agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64(value)).alias("_h"))
+    kinds = pairs.join(graph.shuffled(told), [within, key]).groupBy(*by).agg(F.min(key).alias("_first"), F.countDistinct(value).alias("_all"))
+    return told.join(graph.shuffled(kinds), by).select(within, key, F.when(F.col("_all") == F.col("_n"), F.col("_first")).otherwise(F.col(key)).alias("same"))
+
+
+def shared_fan(entities: DataFrame, within: str) -> DataFrame:
+    """(fingerprint, fan): with how many other signals of its group a signal shares an entity; from distinct (within, fingerprint, entity).
+
+    Signals with the same entities are one, and then entities of the same signals are
+    one, so what is paired are kinds of both.
+    """
+    entities = graph.written(entities)
+    of = graph.written(alike(entities, within, "fingerprint", "entity"))
+    each = graph.written(entities.join(graph.shuffled(of.where("same = fingerprint").select(within, "fingerprint")), [within, "fingerprint"], "left_semi"))
+    one = alike(each, within, "entity", "fingerprint").where("same = entity").select(within, "entity")
+    each = graph.written(each.join(graph.shuffled(one), [within, "entity"], "left_semi"))
+    met = each.withColumnRenamed("fingerprint", "own").join(graph.shuffled(each.withColumnRenamed("fingerprint", "same")), [within, "entity"]).select(within, "own", "same").distinct()
+    fan = met.join(of.groupBy(within, "same").agg(F.count("*").alias("k")), [within, "same"]).groupBy(within, "own").agg((F.sum("k") - 1).alias("fan"))
+    return of.withColumnRenamed("same", "own").join(fan, [within, "own"]).select("fingerprint", "fan")
+
+
 def root_causes(members: DataFrame, of_signal: DataFrame, dependencies: DataFrame) -> DataFrame:
     """Each member's score as the cause of its incident, and its place: the earliest onset weighs most, then who is depended on."""
-    e = of_signal.join(members.select("fingerprint", "incident"), "fingerprint")
-    fan = e.alias("x").join(e.alias("y"), (F.col("x.incident") == F.col("y.incident")) & (F.col("x.entity") == F.col("y.entity")) & (F.col("x.fingerprint") != F.col("y.fingerprint"))).groupBy(F.col("x.fingerprint").alias("fingerprint")).agg(F.countDistinct("y.fingerprint").alias("fan"))
+    members = graph.written(members)
+    fan = shared_fan(of_signal.join(members.select("fingerprint", "incident"), "fingerprint").select("incident", "fingerprint", "entity"), "incident")
     # How many members a service has in an incident; a dependency then counts them for the other end.
     sizes = members.groupBy("incident", F.lower("service").alias("service")).agg(F.count("*").alias("k"))
     d = dependencies.select(F.lower("source").alias("source"), F.lower("target").alias("target")).distinct()

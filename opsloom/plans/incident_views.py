@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import correlation, flows, incidents
+from ..operators import correlation, flows, graph, incidents
 from ..sources.observations import MINUTE, micros, table
 from .catalog import DAY, END, HOUR, START, query
 
@@ -76,13 +76,14 @@ def incident_members(spark, sf_dir):
     return correlation.incidents(s, e, d).select("fingerprint", "incident", "members")
 
 
-@query(f"""WITH RECURSIVE {INCIDENTS}, fn AS (SELECT x.fingerprint, count(DISTINCT y.fingerprint) AS fan FROM mb2 x JOIN mb2 y ON x.incident = y.incident AND x.fingerprint <> y.fingerprint JOIN en p ON p.fingerprint = x.fingerprint JOIN en q ON q.fingerprint = y.fingerprint AND p.entity = q.entity GROUP BY 1),
+@query(f"""WITH RECURSIVE {WHOLE}, fn AS (SELECT x.fingerprint, count(DISTINCT y.fingerprint) AS fan FROM mb2 x JOIN mb2 y ON x.incident = y.incident AND x.fingerprint <> y.fingerprint JOIN en p ON p.fingerprint = x.fingerprint JOIN en q ON q.fingerprint = y.fingerprint AND p.entity = q.entity GROUP BY 1),
 pr AS (SELECT x.fingerprint, count(DISTINCT y.fingerprint) AS n FROM mb2 x JOIN mb2 y ON x.incident = y.incident AND x.fingerprint <> y.fingerprint JOIN dep ON dep.source = y.service AND dep.target = x.service GROUP BY 1), co AS (SELECT x.fingerprint, count(DISTINCT y.fingerprint) AS n FROM mb2 x JOIN mb2 y ON x.incident = y.incident AND x.fingerprint <> y.fingerprint JOIN dep ON dep.source = x.service AND dep.target = y.service GROUP BY 1),
 sc AS (SELECT m.incident, m.fingerprint, m.onset_us, coalesce(fan, 0) AS fan, coalesce(pr.n, 0) AS provider, coalesce(co.n, 0) AS consumer, round(-((m.onset_us - min(m.onset_us) OVER (PARTITION BY m.incident)) / {MINUTE}) * 3 + CASE WHEN template LIKE '%disk%' OR template LIKE '%slow%' OR template LIKE '%connection%' THEN 1.5 ELSE 0 END + coalesce(fan, 0) * 0.3 + CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'ERROR' THEN 3 WHEN 'WARN' THEN 2 WHEN 'INFO' THEN 1 ELSE 0 END * 0.3 + coalesce(pr.n, 0) * 2.0 - coalesce(co.n, 0) * 1.0, 2) AS cause_score FROM mb2 m LEFT JOIN fn USING (fingerprint) LEFT JOIN pr USING (fingerprint) LEFT JOIN co USING (fingerprint))
 SELECT incident, fingerprint, cause_score, CAST(row_number() OVER (PARTITION BY incident ORDER BY cause_score DESC, onset_us, fingerprint) AS INT) AS place, fan, provider, consumer FROM sc QUALIFY place <= 4""")
 def root_causes(spark, sf_dir):
     """The likeliest cause of each incident and three alternatives."""
-    _, s, e, d = _engine(spark, sf_dir, correlation.ENTITY_SAMPLE)
+    _, s, e, d = _engine(spark, sf_dir)
+    e = graph.written(e)
     return correlation.root_causes(correlation.incidents(s, e, d), e, d).where("place <= 4").select("incident", "fingerprint", "cause_score", "place", F.col("fan").cast("bigint").alias("fan"), F.col("provider").cast("bigint").alias("provider"), F.col("consumer").cast("bigint").alias("consumer"))
 
 

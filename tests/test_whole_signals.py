@@ -1,5 +1,6 @@
 """Entities come from all observations of a signal: what only its late ones name links, counts and ranks too."""
 
+import random
 import re
 
 import pytest
@@ -31,6 +32,29 @@ def test_the_funnel_counts_incidents_of_late_names(spark, late):
     assert {r.step: r.n for r in queries()["noise_funnel"](spark, "").collect()} == {"raw": 47, "fingerprints": 3, "meaningful": 2, "incidents": 1}
 
 
+def test_late_names_are_shared_with_causes(spark, late):
+    rows = queries()["root_causes"](spark, "").collect()
+    assert len({r.incident for r in rows}) == 1 and [(r.place, r.fan) for r in sorted(rows, key=lambda r: r.place)] == [(1, 1), (2, 1)]
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_fans_equal_all_pairs(spark, monkeypatch, collide):
+    if collide:
+        monkeypatch.setattr(correlation.F, "xxhash64", lambda c: F.length(c).cast("bigint"))
+    rng = random.Random(5)
+    has = {}
+    for s in range(60):
+        has[f"g{s % 2}", f"s{s}"] = {f"e{rng.randrange(40)}" for _ in range(rng.randrange(1, 5))}
+    for s in range(60, 90):
+        has[f"g{s % 2}", f"s{s}"] = set(rng.choice([e for (g, _), e in has.items() if g == f"g{s % 2}"]))
+    for g in ("g0", "g1"):
+        has[g, f"{g}-many"] = {f"e{k}" for k in range(300)}
+    df = spark.createDataFrame([(g, s, e) for (g, s), es in has.items() for e in es], "g string, fingerprint string, entity string")
+    want = {s: sum(bool(es & others) for (h, t), others in has.items() if h == g and t != s) for (g, s), es in has.items()}
+    got = correlation.shared_fan(df, "g")
+    assert {r.fingerprint: r.fan for r in got.collect()} == want and "collect_" not in got._jdf.queryExecution().toString()
+
+
 def test_lines_without_a_message_keep_service_and_host(spark):
     rows = correlation.fingerprinted(spark.createDataFrame([(1, 0, "Web", "h1", "ERROR", "", None), (2, 1, "web", "", "ERROR", "", None)], SCHEMA))
     assert sorted(r.entity for r in correlation.signal_entities(rows).collect()) == ["h1", "web"]
