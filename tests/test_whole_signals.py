@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from opsloom.operators import correlation
+from opsloom.operators import correlation, storms
 from opsloom.plans import incident_views, queries
 from opsloom.sources.observations import MINUTE
 
@@ -37,6 +37,13 @@ def test_late_names_are_shared_with_causes(spark, late):
     assert len({r.incident for r in rows}) == 1 and [(r.place, r.fan) for r in sorted(rows, key=lambda r: r.place)] == [(1, 1), (2, 1)]
 
 
+def test_late_names_are_shared_with_causes_of_storms(spark):
+    df = spark.createDataFrame([(*r, "") for r in ROWS], SCHEMA + ", rack string")
+    members = df.selectExpr("seq", "'c' AS cluster", "true AS kept")
+    rows = storms.causes(df, members, spark.createDataFrame([], "source string, target string")).collect()
+    assert {(r.service, r.severity): r.fan for r in rows} == {("web", "ERROR"): 1, ("shop", "ERROR"): 2, ("shop", "INFO"): 1}
+
+
 @pytest.mark.parametrize("collide", [False, True])
 def test_fans_equal_all_pairs(spark, monkeypatch, collide):
     if collide:
